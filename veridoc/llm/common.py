@@ -87,33 +87,37 @@ def in_ranges(df: DataFrame, key: str, n: int) -> tuple[DataFrame, list]:
     return df.withColumn("part", part), bounds
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Byte classes: 0 between words, 1 in words, 2 punctuation. Bytes of multi-byte characters are in words.
+_SPACED = np.ones(256, np.uint8)
+_SPACED[[9, 10, 11, 12, 13, 32]] = 0
+_CLASSED = _SPACED.copy()
+_CLASSED[[b for b in range(33, 128) if not chr(b).isalnum()]] = 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words (between ASCII white space) of all texts in order,
-    and the number of words of each text. Null counts as empty."""
-    raw = [(t or "").lower().encode() for t in texts]
+def word_hashes(texts: list[str | None], punctuation: bool = False, lower: bool = True, prefixes: tuple[int, ...] = ()) -> tuple:
+    """64-bit hashes of the words of all texts in order, and the number of words of each text.
+
+    Words stand between ASCII white space; with ``punctuation``, runs of ASCII punctuation are words of their
+    own. For each length in ``prefixes`` an array of hashes of the words' first bytes follows. Null counts as
+    empty."""
+    raw = [((t or "").lower() if lower else t or "").encode() for t in texts]
     ends = np.cumsum([len(r) + 1 for r in raw])
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    space = _SPACE[data]
-    before = np.empty_like(space)
-    before[0] = True
-    before[1:] = space[:-1]
-    starts = np.flatnonzero(~space & before)
+    kind = (_CLASSED if punctuation else _SPACED)[data]
+    starts = np.flatnonzero((kind > 0) & np.append(True, kind[1:] != kind[:-1]))
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(raw), np.int64)
+        none = np.zeros(0, np.uint64)
+        return none, np.zeros(len(raw), np.int64), *[none for _ in prefixes]
+    at = starts[0]
     spans = np.diff(np.append(starts, len(data)))
-    longest = int(spans.max())
-    powers = np.cumprod(np.full(longest, _BASE, np.uint64))
-    within = np.arange(starts[0], len(data)) - np.repeat(starts, spans)
-    values = (data[starts[0] :].astype(np.uint64) + np.uint64(1)) * powers[within]
-    values[space[starts[0] :]] = 0
-    hashes = mix(np.add.reduceat(values, starts - starts[0]))
-    upto = np.searchsorted(starts, ends)
-    return hashes, np.diff(upto, prepend=0)
+    powers = np.cumprod(np.full(int(spans.max()), _BASE, np.uint64))
+    within = np.arange(at, len(data)) - np.repeat(starts, spans)
+    values = (data[at:].astype(np.uint64) + np.uint64(1)) * powers[within]
+    values[kind[at:] == 0] = 0
+    counts = np.diff(np.searchsorted(starts, ends), prepend=0)
+    short = [mix(np.add.reduceat(np.where(within < k, values, np.uint64(0)), starts - at)) for k in prefixes]
+    return mix(np.add.reduceat(values, starts - at)), counts, *short
 
 
 def shingle_hashes(texts: list[str | None], words: int = 5) -> tuple[np.ndarray, np.ndarray]:

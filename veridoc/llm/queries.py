@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.llm import common, fingerprints, media, piece_bpe, simple8b, token_counts
+from veridoc.llm import chat, common, fingerprints, importance, media, near_dedup, packing, piece_bpe, simple8b, token_counts, toxicity
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -25,15 +25,55 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(spark, media.store_media(table(spark, sf_dir, "documents")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    limit = toxicity.threshold(net)
+    return toxicity.with_score(docs.select("doc_id", "text", "lang"), net).select(
+        "doc_id",
+        (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        limit.alias("lang_threshold"),
+        (F.col("score") >= limit).alias("rejected"),
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """Packs whole documents by their tokens and an end token each."""
+    counts = token_counts.count_tokens(docs, tokenizer_path(BYTE_BPE))
+    return packing.pack_documents(counts.select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens")))
+
+
+def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    sample = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", sample), (-1, 1, "assistant", sample)], turns.schema)
+    windows = chat.format_windows(turns.unionByName(extra), tokenizer_path(BYTE_BPE))
+    return chat.window_digests(windows)
+
+
 def op9_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = piece_bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_BPE))
     return rows.select(
@@ -51,7 +91,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_document_fingerprints, op3_chunked_media, op5_token_counts, op9_piece_round_trip, op10_token_files)}
+    found = (
+        op1_document_fingerprints, op2_near_duplicates, op3_chunked_media, op4_toxicity, op5_token_counts,
+        op6_importance_resampling, op7_best_fit_packing, op8_chat_windows, op9_piece_round_trip, op10_token_files,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
