@@ -84,11 +84,11 @@ def parse_activity_json(rows: DataFrame, key: str, json_col: str = "content") ->
     user = F.coalesce(F.get_json_object(raw, "$.data.user"), raw)
     years = F.filter(F.coalesce(F.json_object_keys(user), F.array().cast("array<string>")), lambda k: k.startswith("year"))
     held = F.from_json(user, f"map<string,{_YEAR}>")
-    rows = rows.select(key, F.explode(years).alias("k"), held.alias("held")).withColumn("y", F.element_at("held", F.col("k")))
-    count = lambda name: F.coalesce(F.col(f"y.{name}"), F.lit(0))
+    rows = rows.select(key, F.explode(years).alias("_year_key"), held.alias("_held")).withColumn("_y", F.element_at("_held", F.col("_year_key")))
+    count = lambda name: F.coalesce(F.col(f"_y.{name}"), F.lit(0))
     return rows.select(
         key,
-        F.substr("k", F.lit(5)).cast("int").alias("year"),
+        F.substr("_year_key", F.lit(5)).cast("int").alias("year"),
         count("totalCommitContributions").alias("commits"),
         count("totalPullRequestContributions").alias("pull_requests"),
         count("totalRepositoriesWithContributedCommits").alias("repositories"),

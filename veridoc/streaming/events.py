@@ -127,14 +127,10 @@ def redact_stream(deltas: DataFrame, names: tuple[str, ...], done_type: str = "o
     are the masked whole text, whatever the size of the deltas.
 
     deltas: (response_id, sequence_number, type, delta), rows of a response in order over the batches. What may
-    still belong to an identifier is held back; the event ``done_type`` flushes it, as does a silent hour."""
+    still belong to an identifier is held back until the event ``done_type`` flushes it and drops the state."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, number = state.get if state.exists else ("", 0)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"response_id": [key[0]], "part": [number], "text": [mask_text(held, names)]})
-            return
         rows = pd.concat(list(parts)).sort_values("sequence_number", kind="stable")
         text = held + "".join(d for d in rows["delta"] if isinstance(d, str))
         done = bool((rows["type"] == done_type).any())
@@ -144,12 +140,11 @@ def redact_stream(deltas: DataFrame, names: tuple[str, ...], done_type: str = "o
                 state.remove()
         else:
             state.update((text[cut:], number + (cut > 0)))
-            state.setTimeoutDuration(3_600_000)
         if cut:
             yield pd.DataFrame({"response_id": [key[0]], "part": [number], "text": [mask_text(text[:cut], names)]})
 
     kind = dict(deltas.dtypes)["response_id"]
-    return deltas.groupBy("response_id").applyInPandasWithState(run, f"response_id {kind}, part int, text string", "held string, part int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return deltas.groupBy("response_id").applyInPandasWithState(run, f"response_id {kind}, part int, text string", "held string, part int", "append", GroupStateTimeout.NoTimeout)
 
 
 def spend(tokens: float, last: float | None, times: list[float], limit: float = BUCKET, refill_s: float = REFILL_S) -> tuple[list[bool], float, float | None]:
