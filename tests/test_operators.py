@@ -147,3 +147,13 @@ def test_index(spark):
     assert found.tolist()[:2] == ['{"a": {"b": 1}}', "{}"] and found[2] is None and found[3] is None
     cards = spark.createDataFrame([("a", "x" * 500, "{}"), ("b--1", "x" * 500, "{}"), ("c", "x", "{}"), ("d", "x" * 500, None)], "name string, text string, metadata_json string")
     assert [r.problem for r in index.index_check(cards).orderBy("name").collect()] == [None, "looks_like_a_chunk", "size", "no_metadata"]
+
+
+def test_sql_functions(spark):
+    from veridoc.functions.registration import register_functions
+
+    register_functions(spark)
+    row = spark.sql("select fold_text('Título ÑANDÚ') a, slug_text(' Ficha Técnica: X ') b, condense_text('¿Cuál es el título de ingeniería?') c, is_denial_text('No consta.') d, document_base('hilux--003.md') e, fold_any_text('Ά') f, mask_text_ids('licencia 12345678') g").first()
+    assert tuple(row) == ("titulo nandu", "ficha-tecnica-x", "título ingeniería", True, "hilux", "α", "licencia ****5678")
+    got = spark.sql("select t.* from values ('uno. dos. tres.') v(x), lateral chunk_text(v.x, 6, 0, 5) t").collect()
+    assert [r.chunk_text for r in got] == ["uno.", "dos.", "tres."]
