@@ -191,12 +191,12 @@ def id_collisions(spark, sf):
     return collisions(table(spark, sf, "documents").select(F.col("source").alias("document_id"), F.col("lang").alias("path")))
 
 
-@query("ocr_confidence", "select doc_id, round_even(avg(c), 1) as confidence from (select doc_id, page_no, round_even(avg(c), 1) as c from (select doc_id, i // 4 as page_no, cast(90 + length(line) % 10 as double) as c from " + RAW_LINES + ") group by all) group by doc_id")
+@query("ocr_confidence", "select doc_id, round_even(avg(c), 1) as confidence from (select doc_id, page_no, round_even(avg(c), 1) as c from (select doc_id, i // 4 as page_no, cast(90 + (i // 4) % 10 as double) as c from " + RAW_LINES + ") group by all) group by doc_id")
 def ocr_confidence(spark, sf):
     from veridoc.operators.tables import ocr_confidence as confidence
 
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    return confidence(lines.select("doc_id", F.floor(F.col("i") / PAGE_LINES).alias("page_no"), (90 + F.length("line") % 10).cast("double").alias("confidence")))
+    return confidence(lines.select("doc_id", F.floor(F.col("i") / PAGE_LINES).alias("page_no"), (90 + F.floor(F.col("i") / PAGE_LINES) % 10).cast("double").alias("confidence")))
 
 
 CHUNKS = f"(select 'doc-' || doc_id as stem, doc_id, printf('doc-%d--%03d.md', doc_id, cast(i // 8 + 1 as int)) as document_id, i // 8 + 1 as chunk_index, string_agg(line, chr(10) order by i) as text from {RAW_LINES} group by all)"

@@ -292,7 +292,7 @@ def dialogue(spark, sf):
     return rows.select("conv_id", "n", F.md5(F.array_join(F.transform("x", lambda v: v["line"]), "\n")).alias("dialogue_md5"))
 
 
-@query("doc_metadata", f"select doc_id, 'documento' as tipo, 'doc-' || doc_id || '.md' as fuente, case when doc_id % 4 = 0 then 'ocr:motor' when doc_id % 4 = 1 then printf('capa de texto + motor (%d/%d páginas)', 1, 3) else 'capa de texto' end as origen_texto, case when doc_id % 4 = 0 then 98.5 end as ocr_confianza from {DOCS}")
+@query("doc_metadata", f"select doc_id, 'documento' as tipo, 'doc-' || doc_id || '.md' as fuente, case when doc_id % 4 = 0 then 'ocr:motor' when doc_id % 4 = 1 then printf('capa de texto + motor (%d/%d páginas)', 1, 3) else 'capa de texto' end as origen_texto, case when doc_id % 4 = 0 then 98.5::double end as ocr_confianza from {DOCS}")
 def doc_metadata(spark, sf):
     docs = documents(spark, sf)
     k = F.col("doc_id") % 4
