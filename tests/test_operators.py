@@ -157,3 +157,34 @@ def test_sql_functions(spark):
     assert tuple(row) == ("titulo nandu", "ficha-tecnica-x", "título ingeniería", True, "hilux", "α", "licencia ****5678")
     got = spark.sql("select t.* from values ('uno. dos. tres.') v(x), lateral chunk_text(v.x, 6, 0, 5) t").collect()
     assert [r.chunk_text for r in got] == ["uno.", "dos.", "tres."]
+
+
+def test_incremental_prep_equals_batch(spark):
+    from veridoc.plans import corpus_plans, stream_plans
+
+    sf = "/root/testdata/sf0.001"
+    key = lambda r: (r.doc_id, r.chunk_index, r.chunk_text)
+    assert sorted(map(key, stream_plans.incremental_prep(spark, sf).collect())) == sorted(map(key, corpus_plans.chunk_documents(spark, sf).collect()))
+
+
+def test_streams_equal_batches(spark):
+    from veridoc.plans import stream_plans
+
+    sf = "/root/testdata/sf0.001"
+    rows = stream_plans.redact_stream(spark, sf).collect()
+    assert len(rows) == 200 and all(r.same for r in rows)
+
+
+def test_hooks(spark):
+    from veridoc.operators import hooks
+
+    def engine(part):
+        if (part["page_no"] == 2).any():
+            raise RuntimeError("roto")
+        return part[["doc_key", "page_no"]].assign(text="x", confidence=99.0)
+
+    pages = spark.createDataFrame([("d", 1, b"a"), ("d", 2, b"b")], "doc_key string, page_no int, image binary").coalesce(1)
+    got = [tuple(r) for r in hooks.transcribe(pages, engine, 1).select("page_no", "text", "error").orderBy("page_no").collect()]
+    assert got == [(1, "x", None), (2, None, "roto")]
+    cards = hooks.summarize(spark.createDataFrame([("p",)], "prompt string"), lambda p: "respuesta {\"a\": 1}" + p * 0, "a int")
+    assert cards.first().card.a == 1

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veridoc.functions.text import mask_identifiers
-from veridoc.plans.inputs import table
+from veridoc.operators import chunking
+from veridoc.plans.inputs import documents, table
+from veridoc.plans.policies import PUBLIC
 from veridoc.sources.shared import shared_dir
 from veridoc.streaming import events as ev
 from veridoc.streaming.runner import run_available
@@ -163,6 +165,14 @@ def redact_stream(spark, sf):
     return joined.join(whole, "response_id").select("response_id", "text_md5", (F.col("text_md5") == F.col("whole_md5")).alias("same"))
 
 
+@query("incremental_prep")
+def incremental_prep(spark, sf):
+    """Documents become chunks as they arrive; only a manifest would need them all."""
+    docs = documents(spark, sf).select("doc_id", "stem", "text")
+    chunked = chunking.chunk_documents(_as_stream(spark, docs, "arriving"), PUBLIC.chunking)
+    return run_available(chunked, "chunks").select("doc_id", "document_id", "chunk_index", "chunk_total", "chunk_text")
+
+
 def _joined(parts):
     texts = F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda x: x["text"])
     return parts.groupBy("response_id").agg(F.array_join(texts, "").alias("text"))
