@@ -63,7 +63,8 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed_documents(docs: DataFrame) -> DataFrame:
     """Packs whole documents by their tokens and an end token each."""
     counts = token_counts.count_tokens(docs, tokenizer_path(BYTE_BPE))
-    return packing.pack_documents(counts.select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens")))
+    # rows are counted before their tokens are, so that no text is tokenized for it
+    return packing.pack_documents(counts.select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens")), n_docs=docs.count())
 
 
 def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
