@@ -123,7 +123,10 @@ def brute_classes(texts):
     return [find(i) for i in range(len(texts))]
 
 
-def test_near_duplicates_equal_brute_force(spark, texts):
+@pytest.mark.parametrize("many,block_rows", [(8, 4096), (1, 16)])
+def test_near_duplicates_equal_brute_force(spark, texts, monkeypatch, many, block_rows):
+    monkeypatch.setattr(near_dedup, "MANY", many)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", block_rows)
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(10**6)}"
     passage = [word() for _ in range(60)]
