@@ -26,8 +26,10 @@ COMPONENTS, BAND_ROWS = 128, 4
 BANDS = COMPONENTS // BAND_ROWS
 SIMILAR = 0.8
 WORDS = 5
-#: A bucket with members of more classes than this is cut by further band keys.
-MANY = 16
+#: A bucket with members of more classes than this is searched in blocks.
+MANY, BLOCK_ROWS = 8, 4096
+#: Components in which a similar pair agrees, but for less than one in a million (102 on average).
+AGREE = 80
 #: Filled by then with probability exp(-e^-SLACK) a component on average; other documents draw on.
 SLACK = 4.0
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -120,12 +122,13 @@ def _signed(batches):
             part = texts[lo:hi]
             owner, shingles, weights = bags(part)
             size = np.bincount(owner, weights, hi - lo).astype(np.int64)
-            keys = band_keys(signatures(owner, shingles, weights, hi - lo))
+            rows = signatures(owner, shingles, weights, hi - lo)
+            keys = band_keys(rows)
             keys = [k if n else [] for k, n in zip(keys.tolist(), size, strict=True)]
             same = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in part]
             yield pa.RecordBatch.from_arrays(
-                [b.column("key").slice(lo, hi - lo), pa.array(same, pa.binary()), pa.array(size), pa.array(keys, pa.list_(pa.int64()))],
-                ["key", "same", "size", "bands"],
+                [b.column("key").slice(lo, hi - lo), pa.array(same, pa.binary()), pa.array(size), pa.array(keys, pa.list_(pa.int64())), pa.array([r.tobytes() for r in rows.astype("<u2")], pa.binary())],
+                ["key", "same", "size", "bands", "sig"],
             )
 
 
@@ -183,11 +186,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     Equal texts are one class from the start, with their smallest id as representative; only representatives
     are compared. Within a bucket (representatives with one band key) every member is compared with the
-    bucket's smallest; a similarity of SIMILAR or more links them. A bucket whose members then lie in a few
-    different classes is searched on: each member is compared with each class's hub there, and of the pairs
-    left those that the triangle inequality (1 - similarity is a metric) does not rule out. A bucket of many
-    classes, as a passage in very many documents makes, is cut by the members' other band keys, since a
-    similar pair almost surely (all but 1 in a million) has a second one in common. So no bucket is expanded
+    bucket's smallest; a similarity of SIMILAR or more links them. Where members of a bucket then lie in a few
+    different classes, each is compared with each class's hub, and of the other pairs those that the triangle
+    inequality (1 - similarity is a metric) leaves possible. A bucket of many classes, as a passage in very
+    many documents or copies at the very limit make, is searched in blocks, as arrays: a member outside the
+    block's largest class meets all others, by signature first, and exactly until it is linked. So no bucket is expanded
     into its pairs, and none is capped. n_copies is the number of rows in the class.
 
     Words are lower-cased and stand between white space. Texts without words equal only equal texts; null
@@ -197,32 +200,29 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    signed = stored(rows.mapInArrow(_signed, f"key {kind}, same binary, size long, bands array<long>"), "signatures")
+    signed = stored(rows.mapInArrow(_signed, f"key {kind}, same binary, size long, bands array<long>, sig binary"), "signatures")
     first = signed.groupBy("same").agg(F.min("key").alias("rep"))
     members = signed.select("key", "same").join(first, "same").select("key", "rep")
-    reps = signed.join(first, "same").filter("key = rep").select("key", "size", "bands").dropDuplicates(["key"])
-    banded = stored(reps.select("key", "size", F.explode("bands").alias("band")), "bands")
-    buckets = _occupied(banded.withColumn("last", F.col("band")))
-    texts = stored(packed(rows, "key", "text").join(buckets.select("key").distinct(), "key").dropDuplicates(["key"]), "candidates")
+    reps = signed.join(first, "same").filter("key = rep").select("key", "size", "bands", "sig").dropDuplicates(["key"])
+    buckets = _occupied(reps.select("key", "size", F.explode("bands").alias("band")))
+    wanted = reps.join(buckets.select("key").distinct(), "key").select("key", "sig")
+    texts = stored(packed(rows, "key", "text").join(wanted, "key").dropDuplicates(["key"]), "candidates")
     star = buckets.filter(F.col("key") != F.col("hub.key")).filter(_may(F.col("size"), F.col("hub.size")))
-    seen = _compared(star.select(F.col("key").alias("a"), F.col("hub.key").alias("b")).distinct(), texts, kind)
+    seen = stored(_compare(star.select(F.col("key").alias("a"), F.col("hub.key").alias("b")).distinct(), texts, kind), "compared")
     while True:
         labels = components(seen.filter(F.col("similarity") >= SIMILAR))
         placed = _mixed(buckets, labels)
         if placed.isEmpty():
             break
-        many = placed.filter(F.col("classes") > MANY).select("band", "last", "key", "size")
         few = stored(placed.filter(F.col("classes") <= MANY), "mixed")
-        finer = _refined(many, banded)
-        star = finer.filter(F.col("key") != F.col("hub.key")).filter(_may(F.col("size"), F.col("hub.size")))
-        pairs = _hub_pairs(few).union(star.select(F.col("key").alias("a"), F.col("hub.key").alias("b"))).distinct()
-        new = stored(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+        hubs = _hubs(few)
+        new = stored(_hub_pairs(few, hubs).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
-            new = stored(_other_pairs(few, seen).join(seen, ["a", "b"], "left_anti"), "pairs")
+            new = stored(_other_pairs(few, hubs, seen).join(seen, ["a", "b"], "left_anti"), "pairs")
             few = few.limit(0) if new.isEmpty() else few
-        buckets = stored(few.select("band", "last", "key", "size").unionByName(finer.select("band", "last", "key", "size")), "buckets")
-        if not new.isEmpty():
-            seen = stored(seen.unionByName(_compared(new, texts, kind)), "compared")
+        linked = _linked(placed.filter(F.col("classes") > MANY), texts, kind)
+        buckets = few.select("band", "key", "size")
+        seen = stored(seen.unionByName(_compare(new, texts, kind)).unionByName(linked), "compared")
     rep_class = labels.select(F.col("key").alias("rep"), "label")
     classed = members.join(rep_class, "rep", "left").select("key", F.coalesce("label", "rep").alias("class_id"))
     sizes = classed.groupBy("class_id").agg(F.count("*").alias("n_copies"))
@@ -235,48 +235,108 @@ def _may(a, b):
 
 
 def _occupied(banded: DataFrame) -> DataFrame:
-    """Rows (band, last, key, size) of bands with several rows, with their smallest as hub."""
+    """Rows (band, key, size, hub) of bands with several rows, with their smallest as hub."""
     shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("key", "size")).alias("hub")).filter("n > 1").drop("n")
-    return stored(banded.join(shared, "band").select("band", "last", "key", "size", "hub"), "buckets")
+    return stored(banded.join(shared, "band").select("band", "key", "size", "hub"), "buckets")
 
 
-def _refined(many: DataFrame, banded: DataFrame) -> DataFrame:
-    """Buckets cut by a further band key; keys go upwards, so each set of keys comes once."""
-    other = banded.select("key", F.col("band").alias("next"))
-    cut = many.join(other, "key").filter(F.col("next") > F.col("last"))
-    return _occupied(cut.select(F.xxhash64("band", "next").alias("band"), F.col("next").alias("last"), "key", "size"))
-
-
-def _compared(pairs: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
+def _compare(pairs: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
     a = texts.select(F.col("key").alias("a"), F.col("blob").alias("blob_a"))
     b = texts.select(F.col("key").alias("b"), F.col("blob").alias("blob_b"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "blob_a", "blob_b")
-    return stored(both.mapInArrow(_verified, f"a {kind}, b {kind}, similarity double"), "compared")
+    return both.mapInArrow(_verified, f"a {kind}, b {kind}, similarity double")
+
+
+def _linked(many: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
+    """(a, b, similarity) links that join the classes of buckets of many classes.
+
+    A bucket's rows are packed into blocks of BLOCK_ROWS or so, and each pair of blocks is searched as arrays
+    in one task, which sends on a link for two classes at most, never the pairs it has looked at."""
+    row = F.struct("key", "label", "sig", "blob")
+    spread = F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK_ROWS)))
+    blocks_ = many.join(texts, "key").withColumn("block", spread).groupBy("band", "block").agg(F.collect_list(row).alias("rows"))
+    whole = many.groupBy("band").agg((F.max("members") > BLOCK_ROWS).alias("parts"))
+    a = blocks_.join(whole, "band")
+    alone = a.filter("not parts").select(F.col("rows").alias("left"), F.lit(None).cast(blocks_.schema["rows"].dataType).alias("right"))
+    x, y = a.filter("parts").alias("x"), a.filter("parts").alias("y")
+    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.block") <= F.col("y.block")))
+    both = pairs.select(F.col("x.rows").alias("left"), F.when(F.col("x.block") < F.col("y.block"), F.col("y.rows")).alias("right"))
+    return alone.unionByName(both).mapInArrow(_search, f"a {kind}, b {kind}, similarity double")
+
+
+def _search(batches):
+    for b in batches:
+        for i in range(b.num_rows):
+            left, right = b.column("left")[i].as_py(), b.column("right")[i].as_py()
+            found = list(join_classes(left, right))
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], b.schema.field("left").type.value_type.field("key").type), pa.array([f[1] for f in found], b.schema.field("left").type.value_type.field("key").type), pa.array([f[2] for f in found], pa.float64())], ["a", "b", "similarity"])
+
+
+def join_classes(left: list[dict], right: list[dict] | None):
+    """(larger key, smaller key, similarity) links between different classes among the rows of one block, or
+    across two. Pairs whose signatures agree in fewer than AGREE components are no candidates."""
+    rows = left + (right or [])
+    sig = np.frombuffer(b"".join(r["sig"] for r in rows), "<u2").reshape(len(rows), COMPONENTS)
+    texts = unpacked([r["blob"] for r in rows])
+    owner, shingles, weights = bags(texts)
+    ends = np.searchsorted(owner, np.arange(len(rows) + 1))
+    total = np.bincount(owner, weights, len(rows))
+    names = {label: i for i, label in enumerate(dict.fromkeys(r["label"] for r in rows))}
+    label = np.array([names[r["label"]] for r in rows])
+    bands = sig.reshape(len(rows), BANDS, BAND_ROWS)
+    here = (bands == bands[0]).all(axis=(0, 2))  # the bucket's band, and any other that all share
+    largest = np.bincount(label).argmax()
+    side = np.arange(len(rows)) < len(left)
+    for x in np.flatnonzero(label != largest):
+        agree = (sig == sig[x]).sum(axis=1)
+        small, big = np.minimum(total, total[x]), np.maximum(total, total[x])
+        near = np.flatnonzero((agree >= AGREE) & (label != label[x]) & (small >= big * SIMILAR - 1e-9) & ((side != side[x]) if right else True))
+        # a pair is looked at in the first band that it shares
+        near = near[here[(bands[near] == bands[x]).all(axis=2).argmax(axis=1)]]
+        sx, wx = shingles[ends[x] : ends[x + 1]], weights[ends[x] : ends[x + 1]]
+        for y in near[np.argsort(-agree[near], kind="stable")]:
+            if label[y] == label[x]:
+                continue
+            sy, wy = shingles[ends[y] : ends[y + 1]], weights[ends[y] : ends[y + 1]]
+            at = np.minimum(np.searchsorted(sx, sy), len(sx) - 1)
+            both = np.minimum(wx[at], wy)[sx[at] == sy].sum()
+            similarity = both / (total[x] + total[y] - both)
+            if similarity >= SIMILAR:
+                a, b = rows[x]["key"], rows[y]["key"]
+                yield max(a, b), min(a, b), float(similarity)
+                label[label == label[x]] = label[y]
 
 
 def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of buckets that hold several classes, with their class and the number of classes."""
-    placed = buckets.select("band", "last", "key", "size").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    several = placed.select("band", "label").distinct().groupBy("band").agg(F.count("*").alias("classes")).filter("classes > 1")
-    return stored(placed.join(several, "band"), "mixed")
+    """Rows of buckets that hold several classes, with their class, the number of classes and of members."""
+    placed = buckets.select("band", "key", "size").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    counts = placed.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("classes"), F.sum("n").alias("members"))
+    return stored(placed.join(counts.filter("classes > 1"), "band"), "mixed")
 
 
-def _hubs(few: DataFrame) -> DataFrame:
+def _hubs(placed: DataFrame) -> DataFrame:
     """(band, hub_label, hub, hub_size): the smallest member of each class in each bucket."""
-    return few.groupBy("band", "label").agg(F.min(F.struct("key", "size")).alias("h")).select("band", F.col("label").alias("hub_label"), F.col("h.key").alias("hub"), F.col("h.size").alias("hub_size"))
+    grouped = placed.groupBy("band", "label").agg(F.min(F.struct("key", "size")).alias("h"))
+    return grouped.select("band", F.col("label").alias("hub_label"), F.col("h.key").alias("hub"), F.col("h.size").alias("hub_size"))
 
 
-def _hub_pairs(few: DataFrame) -> DataFrame:
-    """Each member with each hub of its bucket, at most MANY pairs for a row."""
-    both = few.join(_hubs(few), "band").filter((F.col("key") != F.col("hub")) & _may(F.col("size"), F.col("hub_size")))
+def _hub_pairs(placed: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Each member with each of the hubs of its bucket, at most MANY pairs for a row."""
+    both = placed.select("band", "key", "size").join(hubs.select("band", "hub", "hub_size"), "band").filter((F.col("key") != F.col("hub")) & _may(F.col("size"), F.col("hub_size")))
     return both.select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b"))
 
 
-def _other_pairs(few: DataFrame, seen: DataFrame) -> DataFrame:
+def _distances(placed: DataFrame, hubs: DataFrame, seen: DataFrame) -> DataFrame:
+    """(band, key, size, label, hub_label, d): distance of each member to each of the hubs of its bucket."""
+    both = placed.join(hubs, "band").withColumn("a", F.greatest("key", "hub")).withColumn("b", F.least("key", "hub"))
+    known = both.join(seen, ["a", "b"], "left")
+    return known.select("band", "key", "size", "label", "hub_label", F.when(F.col("key") == F.col("hub"), 0.0).otherwise(1 - F.col("similarity")).alias("d"))
+
+
+def _other_pairs(few: DataFrame, hubs: DataFrame, seen: DataFrame) -> DataFrame:
     """Pairs of two classes of a bucket, neither a hub, that the distances to both hubs leave possible."""
-    both = few.join(_hubs(few), "band").withColumn("a", F.greatest("key", "hub")).withColumn("b", F.least("key", "hub"))
-    far = both.join(seen, ["a", "b"], "left").select("band", "key", "size", "label", "hub_label", "hub", (1 - F.col("similarity")).alias("d"))
-    own = far.filter("label = hub_label and key != hub").select("band", "key", "size", "label", F.col("d").alias("d_own"))
+    far = _distances(few, hubs, seen)
+    own = far.filter("label = hub_label and (d is null or d > 0)").select("band", "key", "size", "label", F.col("d").alias("d_own"))
     cross = far.filter("label != hub_label").select("band", "key", F.col("hub_label").alias("other"), F.col("d").alias("d_other"))
     sides = own.join(cross, ["band", "key"])
     x, y = sides.alias("x"), sides.alias("y")
