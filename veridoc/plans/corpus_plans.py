@@ -8,6 +8,7 @@ from veridoc.functions import text as t
 from veridoc.operators import chunking, cleaning, evaluation, index, predicates
 from veridoc.plans.inputs import PAGE_LINES, chunk_table, documents, pages, table
 from veridoc.plans.policies import PRIVATE, PUBLIC
+from veridoc.sources.shared import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -136,6 +137,18 @@ def chunk_rows(spark, sf):
     return rows.select("doc_id", "document_id", F.md5("chunk_text").alias("text_md5"), "contiene_pii")
 
 
+def _chunk_rows(spark, sf, *columns):
+    docs = documents(spark, sf).select("doc_id", "stem", "text", *columns)
+    return chunking.chunk_rows(chunking.chunk_documents(docs, PUBLIC.chunking), masks=bool(PRIVATE.redaction))
+
+
+@query("chunk_rows_all")
+def chunk_rows_all(spark, sf):
+    """Every chunk of every document with its number and total; chunk_rows has the part that SQL can state."""
+    rows = _chunk_rows(spark, sf)
+    return rows.select("doc_id", "document_id", F.md5("chunk_text").alias("text_md5"), "fragmento", "fragmentos_totales", "contiene_pii")
+
+
 META = "(select doc_id, 'doc-' || doc_id as document_id, source || '.pdf' as fuente, n_chars, lang, case when doc_id % 2 = 0 then source end as origen from documents)"
 
 
@@ -148,6 +161,19 @@ def manifest(spark, sf):
     return build(docs.select(F.col("stem").alias("document_id"), t.doc_type(F.col("stem")).alias("tipo"), F.lit(None).cast("int").alias("anio"), F.concat("source", F.lit(".pdf")).alias("fuente"), F.col("n_chars").alias("caracteres"), extra.alias("extra")))
 
 
+@query("manifest_chunks")
+def manifest_chunks(spark, sf):
+    """The manifest with a row for each chunk; manifest has the documents, which SQL can state."""
+    from veridoc.sources.corpus import manifest as build
+
+    rows = _chunk_rows(spark, sf, "lang", "source")
+    held = {"idioma": F.col("lang"), "origen": F.when(F.col("doc_id") % 2 == 0, F.col("source")), **{c: F.col(c).cast("string") for c in ("fragmento", "fragmentos_totales", "contiene_pii")}}
+    extra = F.map_filter(F.create_map(*[x for k, v in held.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    flat = rows.select("document_id", t.doc_type(F.col("stem")).alias("tipo"), F.lit(None).cast("int").alias("anio"), F.concat("source", F.lit(".pdf")).alias("fuente"), F.length("chunk_text").cast("long").alias("caracteres"), extra.alias("extra"))
+    # documents are chunked once; the manifest reads the rows twice
+    return build(written(flat, "manifest-rows"))
+
+
 @query(
     "sync_plan",
     """select coalesce(a.doc_id, b.doc_id) as doc_id, case when b.doc_id is null then 'new' when a.doc_id is null then 'deleted' when a.h <> b.h then 'changed' else 'same' end as action
