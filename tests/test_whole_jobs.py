@@ -1,7 +1,8 @@
 """Queries that do the whole job, against brute force over all rows of the given tables or inline ones."""
 
 from collections import Counter
-from hashlib import md5
+from hashlib import md5, sha256
+from math import ceil
 
 import pandas as pd
 import pytest
@@ -44,3 +45,24 @@ def test_manifest_has_every_chunk(spark, docs):
         split = len(parts) > 1
         wanted.update((f"doc-{d.doc_id}" + (f"--{i:03d}" if split else ""), len(p), str(i) if split else "", d.lang) for i, p in enumerate(parts, 1))
     assert got == wanted
+
+
+def test_density_gate_counts_every_page(spark, docs):
+    wanted = {}
+    for d in docs:
+        lines = d.text.split("\n")
+        pages = ["\n".join(lines[i : i + 4]) for i in range(0, len(lines), 4)]
+        texts = [p.strip(" ") for i, p in enumerate(pages) if (d.doc_id + i) % 3]
+        n_chars = sum(map(len, texts)) + max(2 * (sum(map(bool, texts)) - 1), 0)
+        wanted[d.doc_id] = (len(pages), n_chars, n_chars / len(pages) >= 200)
+    got = {r.doc_id: (r.n_pages, r.n_chars, r.dense) for r in corpus_plans.QUERIES["density_gate_all"](spark, SF).collect()}
+    assert got == wanted and len(got) == len(docs)
+
+
+def test_pending_work_of_every_length(spark, docs):
+    key = lambda d: sha256(f"v3|motor|200|{ceil(d.n_chars / 2000)}|{d.text}".encode()).hexdigest()
+    cached = {key(d) for d in docs if d.doc_id % 3 == 0}
+    n_pages = [ceil(d.n_chars / 2000) for d in docs if key(d) not in cached]
+    assert max(n_pages) > 2
+    got = corpus_plans.QUERIES["pending_work_all"](spark, SF).first()
+    assert (got.n_pending, got.n_pages) == (len(n_pages), sum(n_pages)) and got.usd == pytest.approx(sum(n_pages) * 0.015)

@@ -97,6 +97,21 @@ def density_gate(spark, sf):
     return predicates.density_gate(_transcripts(spark, sf))
 
 
+#: As TRANSCRIPTS, of every page: blank ones stay as rows.
+ALL_TRANSCRIPTS = f"(select doc_id, page_no, case when (doc_id + page_no) % 3 = 0 then '  ' else replace(text, 'e', 'E') end as text from {PAGES})"
+
+
+@query(
+    "density_gate_all",
+    f"""select doc_id, n_pages, cast(chars + greatest(2 * (filled - 1), 0) as bigint) as n_chars, (chars + greatest(2 * (filled - 1), 0)) / n_pages >= 200 as dense
+    from (select doc_id, count(*) as n_pages, count(*) filter (trim(text) <> '') as filled, sum(length(trim(text))) as chars from {ALL_TRANSCRIPTS} group by doc_id)""",
+)
+def density_gate_all(spark, sf):
+    """density_gate over every page of every document; density_gate has those with transcripts in pages_override."""
+    blank = (F.col("doc_id") + F.col("page_no")) % 3 == 0
+    return predicates.density_gate(pages(spark, sf).withColumn("text", F.when(blank, "  ").otherwise(F.replace("text", F.lit("e"), F.lit("E")))))
+
+
 @query("transcript_completeness", f"select a.doc_id, least(a.n, 40) as n_requested, coalesce(b.n, 0) as n_returned, coalesce(b.n, 0) >= least(a.n, 40) as complete, a.n > 40 as over_cap from (select doc_id, count(*) as n from {PAGES} group by 1) a left join (select doc_id, count(*) as n from {TRANSCRIPTS} group by 1) b on a.doc_id = b.doc_id")
 def transcript_completeness(spark, sf):
     return predicates.transcript_completeness(pages(spark, sf), _transcripts(spark, sf))
@@ -210,6 +225,20 @@ def pending_work(spark, sf):
     return work.agg(F.count("*").alias("n_pending"), F.sum("n_pages").alias("n_pages"), (F.sum("n_pages") / 1000 * 15.0).alias("usd"))
 
 
+@query(
+    "pending_work_all",
+    "select count(*) as n_pending, cast(sum(n_pages) as bigint) as n_pages, sum(n_pages) / 1000 * 15.0 as usd from (select left(sha256('v3|motor|200|' || n_pages || '|' || text), 32) as key, n_pages, doc_id from (select *, cast(ceil(n_chars / 2000) as bigint) as n_pages from documents)) w where not exists (select 1 from (select left(sha256('v3|motor|200|' || cast(ceil(n_chars / 2000) as bigint) || '|' || text), 32) as key from documents where doc_id % 3 = 0) c where c.key = w.key)",
+)
+def pending_work_all(spark, sf):
+    """Pending work among documents of every length; the cache holds a third of them."""
+    from veridoc.sources.corpus import cache_key, pending_work as pending
+
+    docs = table(spark, sf, "documents").withColumn("n_pages", F.ceil(F.col("n_chars") / 2000))
+    keyed = docs.select("doc_id", "n_pages", cache_key(F.lit("motor"), F.lit(200), F.col("n_pages"), F.encode("text", "UTF-8")).alias("key"))
+    work = pending(keyed, keyed.filter("doc_id % 3 = 0"))
+    return work.agg(F.count("*").alias("n_pending"), F.sum("n_pages").alias("n_pages"), (F.sum("n_pages") / 1000 * 15.0).alias("usd"))
+
+
 @query("id_collisions", "select source as document_id, count(distinct lang) as n_paths from documents group by 1 having count(distinct lang) > 1")
 def id_collisions(spark, sf):
     from veridoc.sources.corpus import id_collisions as collisions
