@@ -1,5 +1,7 @@
 """Queries that do the whole job, against brute force over all rows of the given tables or inline ones."""
 
+import re
+import unicodedata
 from collections import Counter
 from hashlib import md5, sha256
 from math import ceil
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridoc.operators import chunking
-from veridoc.plans import corpus_plans
+from veridoc.plans import corpus_plans, stream_plans, text_plans
 from veridoc.plans.policies import PUBLIC
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +68,10 @@ def test_pending_work_of_every_length(spark, docs):
     assert max(n_pages) > 2
     got = corpus_plans.QUERIES["pending_work_all"](spark, SF).first()
     assert (got.n_pending, got.n_pages) == (len(n_pages), sum(n_pages)) and got.usd == pytest.approx(sum(n_pages) * 0.015)
+
+
+def test_slug_of_whole_texts(spark, docs):
+    fold = lambda x: "".join(c for c in unicodedata.normalize("NFD", x.lower()) if not unicodedata.combining(c))
+    wanted = {d.doc_id: "-".join(re.findall("[a-z0-9]+", fold(d.text))) for d in docs}
+    got = {r.doc_id: r.slug_md5 for r in text_plans.QUERIES["slug_all"](spark, SF).collect()}
+    assert got == {k: hashed(v) for k, v in wanted.items()} and any(len(v) > 80 for v in wanted.values())

@@ -58,6 +58,12 @@ def slug(spark, sf):
     return table(spark, sf, "documents").select("doc_id", t.slug(F.left("text", F.lit(80))).alias("slug"))
 
 
+@query("slug_all", f"select doc_id, md5({sql_slug('text')}) as slug_md5 from documents")
+def slug_all(spark, sf):
+    """Slugs of whole texts; slug shows their first 80 characters."""
+    return table(spark, sf, "documents").select("doc_id", F.md5(t.slug(F.col("text"))).alias("slug_md5"))
+
+
 @query(
     "doc_type",
     f"""with s as (select doc_id, {sql_slug("split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) || ' ' || source")} as s from documents)
