@@ -6,7 +6,7 @@ from collections import Counter
 from hashlib import md5, sha256
 from math import ceil
 
-import pandas as pd
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +75,36 @@ def test_slug_of_whole_texts(spark, docs):
     wanted = {d.doc_id: "-".join(re.findall("[a-z0-9]+", fold(d.text))) for d in docs}
     got = {r.doc_id: r.slug_md5 for r in text_plans.QUERIES["slug_all"](spark, SF).collect()}
     assert got == {k: hashed(v) for k, v in wanted.items()} and any(len(v) > 80 for v in wanted.values())
+
+
+def tabled(spark, path, name, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{path}/{name}.parquet")
+
+
+def test_streams_keep_empty_and_null_texts(spark, tmp_path):
+    tabled(spark, tmp_path, "documents", [(1, ""), (2, None), (3, "tel 55 1234 5678 " * 9), (4, "x" * 64)], "doc_id long, text string")
+    rows = {r.response_id: r for r in stream_plans.QUERIES["redact_stream"](spark, str(tmp_path)).collect()}
+    assert sorted(rows) == [1, 2, 3, 4] and all(r.same for r in rows.values())
+    assert rows[1].text_md5 == rows[2].text_md5 == hashed("")
+    tabled(spark, tmp_path, "conversations", [(4, 0, "user", ""), (4, 1, "assistant", ""), (8, 0, "user", None), (9, 0, "user", "No "), (9, 1, "assistant", "consta")], "conv_id long, turn int, role string, text string")
+    got = {r.response_id: r.text_md5 for r in stream_plans.QUERIES["stream_answers"](spark, str(tmp_path)).collect()}
+    assert got == {4: hashed(""), 8: hashed(""), 9: hashed("No consta")}
+    judged = {r.response_id: (r.is_denial, r.is_grounded) for r in stream_plans.QUERIES["finished_answers"](spark, str(tmp_path)).collect()}
+    assert judged == {4: (False, False), 8: (False, False), 9: (True, True)}
+
+
+def test_stream_answers_equals_its_twin(spark):
+    duck = duckdb.connect()
+    duck.sql(f"create view conversations as select * from '{SF}/conversations.parquet'")
+    wanted = sorted(duck.sql(stream_plans.SQL["stream_answers"]).fetchall())
+    assert sorted(map(tuple, stream_plans.QUERIES["stream_answers"](spark, SF).collect())) == wanted
+    judged = stream_plans.QUERIES["finished_answers"](spark, SF).collect()
+    assert len(judged) == len(wanted) and {r.is_grounded for r in judged} == {True, False} == {r.is_denial for r in judged}
+
+
+def test_deltas_are_written_by_many_tasks(spark, monkeypatch):
+    seen = []
+    kept = stream_plans._as_stream
+    monkeypatch.setattr(stream_plans, "_as_stream", lambda s, rows, name: seen.append(rows.rdd.getNumPartitions()) or kept(s, rows, name))
+    stream_plans.QUERIES["stream_answers"](spark, SF).collect()
+    assert seen[0] > 1

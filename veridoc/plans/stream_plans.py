@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veridoc.functions.text import mask_identifiers
+from veridoc.functions.text import is_denial, is_grounded, mask_identifiers, text_fingerprint
 from veridoc.operators import chunking
 from veridoc.plans.inputs import documents, table
 from veridoc.plans.policies import PUBLIC
+from veridoc.plans.text_plans import sql_denial
 from veridoc.sources.shared import shared_dir
 from veridoc.streaming import events as ev
 from veridoc.streaming.runner import run_available
@@ -145,16 +146,38 @@ def metric_windows_stream(spark, sf):
 @query("stream_answers", f"select response_id, md5(string_agg(delta, '' order by sequence_number)) as text_md5 from {RESPONSES} group by response_id")
 def stream_answers(spark, sf):
     """Deltas through the redactor with an empty policy: pieces join to the whole answers."""
-    rows = responses(spark, sf)
-    ends = rows.groupBy("response_id").agg((F.max("sequence_number") + 1).alias("sequence_number")).select("response_id", "sequence_number", F.lit("output_text.done").alias("type"), F.lit(None).cast("string").alias("delta"))
-    parts = run_available(ev.redact_stream(_as_stream(spark, rows.unionByName(ends).coalesce(1), "deltas"), ()), "answers")
-    return _joined(parts).select("response_id", F.md5("text").alias("text_md5"))
+    return _answers(responses(spark, sf)).select("response_id", F.md5("text").alias("text_md5"))
+
+
+#: responses of which some name a document or decline at their end.
+ENDINGS = f"case response_id % 4 when 1 then ' [doc-1]' when 2 then ' {PUBLIC.decline}' when 3 then ' [doc-3]' else '' end"
+
+
+@query(
+    "finished_answers",
+    f"""select response_id, md5(a) as text_md5, left(sha256(a), 16) as fingerprint, {sql_denial('a')} as is_denial, contains(lower(a), '{PUBLIC.decline.lower().rstrip('.')}') or contains(a, '[doc-1]') or contains(a, '[doc-2]') as is_grounded
+    from (select response_id, coalesce(string_agg(delta, '' order by sequence_number), '') || {ENDINGS} as a from {RESPONSES} group by response_id)""",
+)
+def finished_answers(spark, sf):
+    """stream_answers with what is judged of each finished answer: fingerprint, denial and grounding."""
+    k = F.col("response_id") % 4
+    ending = F.when(k == 1, " [doc-1]").when(k == 2, f" {PUBLIC.decline}").when(k == 3, " [doc-3]").otherwise("")
+    text = F.col("text")
+    grounded = is_grounded(text, F.array(F.lit("doc-1"), F.lit("doc-2")), PUBLIC.decline)
+    return _answers(responses(spark, sf), ending).select("response_id", F.md5("text").alias("text_md5"), text_fingerprint(text).alias("fingerprint"), is_denial(text, PUBLIC.decline).alias("is_denial"), grounded.alias("is_grounded"))
+
+
+def _answers(rows, ending=None):
+    """(response_id, text) of responses that a done event ends, streamed with an empty policy."""
+    ends = rows.groupBy("response_id").agg((F.max("sequence_number") + 1).alias("sequence_number"))
+    ends = ends.select("response_id", "sequence_number", F.lit("output_text.done").alias("type"), (F.lit(None).cast("string") if ending is None else ending).alias("delta"))
+    return _joined(run_available(ev.redact_stream(_as_stream(rows.sparkSession, rows.unionByName(ends), "deltas"), ()), "answers"))
 
 
 @query("redact_stream")
 def redact_stream(spark, sf):
-    """Documents as streams of deltas of 64 characters; checked against masking the whole texts."""
-    docs = table(spark, sf, "documents")
+    """Documents as streams of deltas of 64 characters; checked against masking the whole texts; a null text counts as an empty one."""
+    docs = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     pieces = F.sequence(F.lit(0), F.floor(F.length("text") / 64).cast("int"))
     rows = docs.select(F.col("doc_id").alias("response_id"), F.explode(pieces).alias("sequence_number"), "text")
     rows = rows.select("response_id", "sequence_number", F.when(F.col("sequence_number") == F.floor(F.length("text") / 64), "output_text.done").otherwise("output_text.delta").alias("type"), F.substr("text", F.col("sequence_number") * 64 + 1, F.lit(64)).alias("delta"))
@@ -162,7 +185,7 @@ def redact_stream(spark, sf):
     parts = run_available(ev.redact_stream(_as_stream(spark, rows, "document-deltas"), names), "redacted")
     whole = docs.select(F.col("doc_id").alias("response_id"), F.md5(mask_identifiers(F.col("text"), names)).alias("whole_md5"))
     joined = _joined(parts).select("response_id", F.md5("text").alias("text_md5"))
-    return joined.join(whole, "response_id").select("response_id", "text_md5", (F.col("text_md5") == F.col("whole_md5")).alias("same"))
+    return whole.join(joined, "response_id", "left").select("response_id", "text_md5", F.equal_null("text_md5", "whole_md5").alias("same"))
 
 
 @query("incremental_prep")

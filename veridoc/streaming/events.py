@@ -124,7 +124,7 @@ def mask_text(text: str, names: tuple[str, ...]) -> str:
 
 def redact_stream(deltas: DataFrame, names: tuple[str, ...], done_type: str = "output_text.done") -> DataFrame:
     """(response_id, part, text): masked pieces of each response as its deltas arrive; joined by part they
-    are the masked whole text, whatever the size of the deltas.
+    are the masked whole text, whatever the size of the deltas. A response that ends without text has one empty part.
 
     deltas: (response_id, sequence_number, type, delta), rows of a response in order over the batches. What may
     still belong to an identifier is held back until the event ``done_type`` flushes it and drops the state."""
@@ -140,7 +140,7 @@ def redact_stream(deltas: DataFrame, names: tuple[str, ...], done_type: str = "o
                 state.remove()
         else:
             state.update((text[cut:], number + (cut > 0)))
-        if cut:
+        if cut or (done and not number):
             yield pd.DataFrame({"response_id": [key[0]], "part": [number], "text": [mask_text(text[:cut], names)]})
 
     kind = dict(deltas.dtypes)["response_id"]
