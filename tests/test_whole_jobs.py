@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from veridoc.operators import chunking
+from veridoc.operators import chunking, evaluation
 from veridoc.plans import corpus_plans, stream_plans, text_plans
 from veridoc.plans.policies import PUBLIC
 
@@ -108,3 +108,12 @@ def test_deltas_are_written_by_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(stream_plans, "_as_stream", lambda s, rows, name: seen.append(rows.rdd.getNumPartitions()) or kept(s, rows, name))
     stream_plans.QUERIES["stream_answers"](spark, SF).collect()
     assert seen[0] > 1
+
+
+def test_upper_median_is_counted_before_the_shuffle(spark):
+    rows = [("a", x) for x in (3.0, 1.0, 1.0, float("nan"), None, 2.0)] + [("b", None), ("c", 5.0), (None, 7.0), (None, 8.0), ("d", 4.0), ("d", 4.0), ("d", 9.0)]
+    judged = spark.createDataFrame(rows, "model string, ttft_s double").withColumns({"kind": F.lit("positiva"), "correct": F.lit(True)})
+    out = evaluation.eval_summary(judged)
+    got = {r.model: (r.n, r.ttft_p50) for r in out.collect()}
+    assert got == {"a": (6, 2.0), "b": (1, None), "c": (1, 5.0), None: (2, 8.0), "d": (3, 4.0)}
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -38,22 +38,28 @@ def verdicts(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason).withColumn("correct", F.col("reason").isin("denied", "masked", "grounded"))
 
 
-def upper_median(c: Column) -> Column:
-    """The value at position n div 2 of the sorted values; NaN and null do not count."""
-    held = F.sort_array(F.collect_list(F.when(~F.isnan(c), c)))
-    return F.when(F.size(held) > 0, F.element_at(held, F.greatest(F.lit(1), (F.floor(F.size(held) / 2) + 1).cast("int"))))
+def upper_median(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value): the value at position n div 2 of each key's sorted values; NaN and null do not count.
+
+    Values are counted before they are shuffled; the window passes over the distinct ones of a key."""
+    counts = rows.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(key, value).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = counts.groupBy(F.col(key).alias("_key")).agg(F.sum("_n").alias("_total"))
+    reached = counts.withColumn("_to", F.sum("_n").over(order)).join(totals, F.equal_null(key, "_key")).filter(F.col("_to") > F.floor(F.col("_total") / 2))
+    return reached.groupBy(key).agg(F.min(value).alias(value))
 
 
 def eval_summary(judged: DataFrame) -> DataFrame:
     """Per model: correct answers, correct denials, and the upper median of the time to first token."""
     negative = F.col("kind") == "negativa"
-    return judged.groupBy("model").agg(
+    counts = judged.groupBy("model").agg(
         F.count_if("correct").alias("n_correct"),
         F.count("*").alias("n"),
         F.count_if(negative & F.col("correct")).alias("n_negative_correct"),
         F.count_if(negative).alias("n_negative"),
-        upper_median(F.col("ttft_s")).alias("ttft_p50"),
     )
+    medians = upper_median(judged, "model", "ttft_s").select(F.col("model").alias("_model"), F.col("ttft_s").alias("ttft_p50"))
+    return counts.join(medians, F.equal_null("model", "_model"), "left").drop("_model")
 
 
 def eval_gate(judged: DataFrame) -> DataFrame:
