@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from veridoc.operators import chunking, evaluation
 from veridoc.plans import corpus_plans, stream_plans, text_plans
 from veridoc.plans.policies import PUBLIC
+from veridoc.streaming import events
 
 SF = "/root/testdata/sf0.001"
 
@@ -117,3 +118,33 @@ def test_upper_median_is_counted_before_the_shuffle(spark):
     got = {r.model: (r.n, r.ttft_p50) for r in out.collect()}
     assert got == {"a": (6, 2.0), "b": (1, None), "c": (1, 5.0), None: (2, 8.0), "d": (3, 4.0)}
     assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def bucket(times, limit, refill_s):
+    tokens, last, passed = limit, times[0], []
+    for now in times:
+        tokens, last = min(limit, tokens + (now - last).total_seconds() * limit / refill_s), now
+        passed.append(tokens >= 1)
+        tokens -= passed[-1]
+    return passed
+
+
+def test_rate_limit_audit_of_every_user(spark):
+    by_user = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts")).orderBy("ts").collect():
+        by_user.setdefault(r.user_id, []).append(r.ts)
+    got = Counter((r.client_key, r.ts, r.allowed) for r in stream_plans.QUERIES["rate_limit_audit"](spark, SF).collect())
+    assert got == Counter((u, x, p) for u, times in by_user.items() for x, p in zip(times, bucket(times, 2.0, 86_400.0)))
+    assert {a for _, _, a in got} == {True, False}
+
+
+def test_rate_limit_audit_keeps_requests_without_a_key(spark):
+    big = 2**53 + 1
+    rows = spark.createDataFrame([(None, i) for i in range(25)] + [(big, i) for i in range(3)], "client_key long, s long").select("client_key", F.timestamp_millis("s").alias("ts"))
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        out = events.rate_limit_audit(rows).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert Counter((r.client_key, r.allowed) for r in out) == {(None, True): 20, (None, False): 5, (big, True): 3}

@@ -126,10 +126,9 @@ def request_lifecycle(spark, sf):
 
 @query("rate_limit_audit")
 def rate_limit_audit(spark, sf):
-    # each event stands for a request of its type's client; times are compressed so that buckets run dry
-    e = table(spark, sf, "events")
-    moved = F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 400))
-    return ev.rate_limit_audit(e.select(F.col("event_type").alias("client_key"), moved.alias("ts")))
+    # each event is a request of its user; at about two a day, a bucket of two that a day refills runs dry
+    requests = table(spark, sf, "events").select(F.col("user_id").alias("client_key"), F.col("ts").cast("timestamp").alias("ts"))
+    return ev.rate_limit_audit(requests, limit=2.0, refill_s=86_400.0)
 
 
 def _as_stream(spark, rows, name: str):

@@ -158,11 +158,15 @@ def spend(tokens: float, last: float | None, times: list[float], limit: float =
     return passed, tokens, last
 
 
+_NO_CLIENT = object()
+
+
 def rate_limit_audit(requests: DataFrame, limit: float = BUCKET, refill_s: float = REFILL_S) -> DataFrame:
     """(client_key, ts, allowed) of requests (client_key, ts), by a token bucket for each client.
 
     A stream keeps a client's tokens and last time as state. A batch streams each client's rows in order
-    through its task, batch by batch, and never holds a client whole."""
+    through its task, batch by batch, and never holds a client whole. Requests without a key share one bucket,
+    as one anonymous client."""
     kind = dict(requests.dtypes)["client_key"]
     schema = f"client_key {kind}, ts timestamp, allowed boolean"
     seconds = lambda t: (t.astype("int64") / 1e9 if t.dtype == "datetime64[ns]" else t.astype("datetime64[ns]").astype("int64") / 1e9).tolist()
@@ -178,15 +182,18 @@ def rate_limit_audit(requests: DataFrame, limit: float = BUCKET, refill_s: float
         return requests.groupBy("client_key").applyInPandasWithState(run, schema, "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
 
     def ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, tokens, last = None, limit, None
+        current, tokens, last = _NO_CLIENT, limit, None
         for part in batches:
             allowed: list[bool] = []
             for key, rows in part.groupby("client_key", sort=False, dropna=False):
+                key = None if pd.isna(key) else key
                 if key != current:
                     current, tokens, last = key, limit, None
                 got, tokens, last = spend(tokens, last, seconds(rows["ts"]), limit, refill_s)
                 allowed += got
             yield part.assign(allowed=allowed)[["client_key", "ts", "allowed"]]
 
-    rows = requests.select("client_key", "ts").filter("client_key is not null")
-    return rows.repartition("client_key").sortWithinPartitions("client_key", "ts").mapInPandas(ordered, schema)
+    # keys go through pandas as strings, for null would turn whole numbers into floats
+    rows = requests.select(F.col("client_key").cast("string").alias("client_key"), "ts")
+    judged = rows.repartition("client_key").sortWithinPartitions("client_key", "ts").mapInPandas(ordered, "client_key string, ts timestamp, allowed boolean")
+    return judged.select(F.col("client_key").cast(kind).alias("client_key"), "ts", "allowed")
