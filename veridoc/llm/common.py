@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,12 +16,17 @@ from pyspark.sql import functions as F
 
 #: Code points that a numpy pass holds at once; a longer text is a block of its own.
 BLOCK_CHARS = 1 << 19
+#: Stands for a null id where rows are ordered by number.
+NO_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """A fresh folder below ``spark.checkpoint.dir``; where that is unset, a temporary one if driver and executors
+    are one process, and an error otherwise."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{os.path.join(tempfile.gettempdir(), 'veridoc-shared')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -32,6 +39,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table made by ``stored`` that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+#: A key of more than one row in so many is hot: there are at most so many hot keys.
+HOT_SHARE = 1000
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """rows joined with table, which has few rows for each key, so that no key is the work of one task.
+
+    counts has the number ``n`` of rows for each key (counted here with partial sums if not given; rows should be
+    cheap to read again then). A key with more than one in HOT_SHARE of all rows is hot: its rows are dealt, by a
+    hash of the columns ``by``, to as many salts as they are HOT_SHARE-ths, and its rows of table are repeated for
+    each. So there are at most HOT_SHARE hot keys; each with its number of salts, these are broadcast."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    limit = math.ceil((counts.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE) + 1
+    hot = F.broadcast(counts.filter((F.col("n") > limit) & F.col(key).isNotNull()).select(F.col(key).alias("_hot"), F.ceil(F.col("n") / limit).cast("int").alias("_salts")))
+    spread = rows.join(hot, rows[key] == hot["_hot"], "left")
+    salt = F.pmod(F.xxhash64(*(by or [c for c in rows.columns if c != key])), F.col("_salts"))
+    spread = spread.withColumn("_salt", F.coalesce(salt, F.lit(0)).cast("int")).drop("_hot", "_salts")
+    wide = table.join(hot, table[key] == hot["_hot"], "left")
+    wide = wide.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_hot", "_salts")
+    return spread.join(wide, [key, "_salt"]).drop("_salt")
+
+
 def blocks(texts: list[str | None], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``limit`` code points each, at least one text in each."""
     start = total = 0
@@ -61,30 +99,28 @@ def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
 
     def run(batches):
-        z = zstandard.ZstdCompressor(level=5)
         for b in batches:
-            blobs = [None if t is None else z.compress(t.encode()) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(blobs, pa.binary())], ["key", "blob"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(compressed(b.column("text").to_pylist()), pa.binary())], ["key", "blob"])
 
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, blob binary")
 
 
+def compressed(texts: list[str | None]) -> list[bytes | None]:
+    z = zstandard.ZstdCompressor(level=5)
+    return [None if t is None else z.compress(t.encode()) for t in texts]
+
+
 def unpacked(blobs: list[bytes | None]) -> list[str | None]:
     z = zstandard.ZstdDecompressor()
     return [None if b is None else z.decompress(b).decode() for b in blobs]
 
 
-def in_ranges(df: DataFrame, key: str, n: int) -> tuple[DataFrame, list]:
-    """df with a column ``part``: ascending ranges of a numeric key, of about equal numbers of rows,
-    and the ranges' upper bounds. It reads only the key; nulls go to part 0."""
+def range_bounds(df: DataFrame, key: str, n: int) -> list[int]:
+    """Upper bounds of ascending ranges of a numeric key, at most n, of about equal numbers of rows. It reads
+    only the key; nulls belong to the first range."""
     points = [i / n for i in range(1, n)]
     row = df.agg(F.percentile_approx(key, points, max(10_000, 20 * n)).alias("b")).first() if points else None
-    bounds = sorted(set(row["b"] or [])) if row else []
-    part = F.lit(0)
-    if bounds:
-        held = F.array(*[F.lit(b) for b in bounds])
-        part = F.coalesce(F.size(F.filter(held, lambda b: b < F.col(key))), F.lit(0))
-    return df.withColumn("part", part), bounds
+    return sorted(set(row["b"] or [])) if row else []
 
 
 #: Byte classes: 0 between words, 1 in words, 2 punctuation. Bytes of multi-byte characters are in words.

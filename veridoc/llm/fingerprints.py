@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import blocks, in_ranges, mix, packed, unpacked
+from veridoc.llm.common import NO_ID, blocks, compressed, mix, range_bounds, unpacked
 
 BINS = 128
 EMPTY = 0xFFFF
@@ -126,25 +126,40 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     document's, by ascending id, the first following the last) and how like they are.
 
     Null texts count as empty. Ranges of ids are dealt to tasks; the first document of each range also goes
-    to the range before it, so no task needs more than its own rows. Ids must be numbers; rows with equal ids
-    follow each other by their compressed text; null ids come first. An empty table gives no rows.
+    to the range before it, so no task needs more than its own rows. Ids must be whole numbers above -2^63; rows
+    with equal ids follow each other by their compressed text; null ids come first, and stay null. An empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids, bounds = in_ranges(rows.select("doc_id"), "doc_id", n)
+    bounds = range_bounds(rows, "doc_id", n)
+    limits = np.array(bounds, np.int64)
+    numbers = lambda column: column.fill_null(NO_ID).to_numpy(zero_copy_only=False)
+
+    def least(batches):
+        for b in batches:
+            keys = numbers(b.column(0))
+            part = np.searchsorted(limits, keys)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(keys, pa.int64())], ["part", "key"])
+
     # one row for each range: its first id
-    firsts = sorted((r["part"], r["first"]) for r in ids.groupBy("part").agg(F.min("doc_id").alias("first")).collect())
+    firsts = sorted(map(tuple, rows.select("doc_id").mapInArrow(least, "part int, key long").groupBy("part").agg(F.min("key")).collect()))
     if not firsts:
         return spark.createDataFrame([], EDITED)
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    key = F.col("key")
-    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < key)), F.lit(0)) if bounds else F.lit(0)
-    known = F.array(*[F.lit(k).cast("long") for k in before])
-    back = F.element_at(F.array(*[F.lit(p) for p in before.values()]), F.array_position(known, key).cast("int"))
-    also = F.when(F.array_contains(known, key), F.array(F.struct(back.alias("part"), F.lit(True).alias("extra")))).otherwise(F.array().cast("array<struct<part:int,extra:boolean>>"))
-    places = F.concat(F.array(F.struct(part.alias("part"), F.lit(False).alias("extra"))), also)
-    dealt = packed(rows, "doc_id", "text").select("key", "blob", F.explode(places).alias("p")).select("key", "blob", "p.part", "p.extra")
+    opening = np.array([k for _, k in firsts], np.int64)
+    before = np.array([firsts[i - 1][0] for i in range(len(firsts))], np.int32)
+
+    def deal(batches):
+        for b in batches:
+            keys, blobs = numbers(b.column("doc_id")), pa.array(compressed(b.column("text").to_pylist()), pa.binary())
+            at = np.minimum(np.searchsorted(opening, keys), len(opening) - 1)
+            also = np.flatnonzero(opening[at] == keys)
+            part = np.concatenate([np.searchsorted(limits, keys).astype(np.int32), before[at[also]]])
+            rows_ = np.concatenate([np.arange(len(keys)), also])
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.arange(len(rows_)) >= len(keys)), pa.array(keys[rows_]), blobs.take(pa.array(rows_))], ["part", "extra", "key", "blob"])
+
+    dealt = rows.mapInArrow(deal, "part int, extra boolean, key long, blob binary")
     dealt = dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("extra", "key", "blob")
 
     def run(batches):
@@ -173,7 +188,7 @@ def _edited(names: list, texts: list[str], marks: np.ndarray, n: int) -> pa.Reco
     other = sketches(edited)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(names[:n], pa.int64()),
+            pa.array([None if k == NO_ID else k for k in names[:n]], pa.int64()),
             pa.array([len(t) for t in texts[:n]], pa.int64()),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
             pa.array(as_text(marks[:n]), pa.string()),

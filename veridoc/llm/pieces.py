@@ -1,15 +1,21 @@
 """Splits texts at single spaces and line ends and remembers what each distinct piece encodes to.
 
 A byte-level vocabulary never joins a word to the space-led or newline-led word after it, so a text's ids
-are those of its pieces in order. Texts are full of repeats; each distinct piece is encoded once.
+are those of its pieces in order. Texts are full of repeats: pieces are numbered as they come up, each new one
+is encoded once, and the ids of whole texts are gathered from one pool by array operations.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import chain
+
+import numpy as np
 
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
+_JOINT = re.compile(r"[ \n]\S+")
+UNSAFE = -1
 
 
 def spaced_split(text: str) -> list[str]:
@@ -17,57 +23,126 @@ def spaced_split(text: str) -> list[str]:
     return _SAFE.split(text) if text else []
 
 
+class _Numbers(dict):
+    """Numbers of pieces; a piece not seen before gets the next one."""
+
+    def __init__(self, memo: PieceMemo, lead: str = "", sure: bool = False):
+        super().__init__()
+        self.memo, self.lead, self.sure = memo, lead, sure
+
+    def __missing__(self, piece: str) -> int:
+        memo = self.memo
+        n = self[piece] = memo.count
+        memo.count = n + 1
+        memo.fresh.append(piece if piece[:1] == "\n" else self.lead + piece)
+        if self.sure:
+            memo.sure.add(n)
+        return n
+
+
 class PieceMemo:
-    """Combines the values of a text's pieces, encoding only pieces not seen before.
+    """Ids or numbers of tokens of texts, encoding only pieces not seen before.
 
-    encode: values of a list of distinct pieces, given with their leading space or newline.
-    combine: joins an iterable of values (``sum`` or ``b"".join``); it must raise TypeError on None.
-    split: cuts any text into pieces; used where white space is irregular.
-    limit: pieces remembered; beyond it the memory is emptied, so that it stays bounded.
+    encode: (tokens of each piece, all their ids or None if only numbers are wanted) of two lists of pieces, the
+    first of which can be made one text: each is a space or newline and characters that are no white space.
+    limit: pieces remembered; beyond it only those used most stay, so that the memory is bounded.
     """
 
-    def __init__(self, encode: Callable, combine: Callable, split: Callable = spaced_split, limit: int = 600_000):
-        self.encode, self.combine, self.split, self.limit = encode, combine, split, limit
-        self.tail: dict[str, object] = {}
-        self.whole: dict[str, object] = {}
-
-    def __call__(self, texts: list[str | None]) -> list:
-        if len(self.tail) + len(self.whole) > self.limit:
-            self.tail.clear()
-            self.whole.clear()
-        parts = [(t or "").replace("\n", " \n").split(" ") for t in texts]
-        heads = [p[0] for p in parts]
-        self._learn({p for row in parts for p in row[1:]})
-        self._learn_whole({h for h in heads if h and not h[-1].isspace()})
-        out, odd = [], []
-        for i, row in enumerate(parts):
-            head = row[0]
-            try:
-                if len(row) == 1:
-                    if head and head in self.whole:
-                        out.append(self.combine([self.whole[head]]))
-                        continue
-                    raise TypeError
-                values = list(map(self.tail.__getitem__, row[1:]))
-                values.insert(0, self.whole.get(head))
-                out.append(self.combine(values))
-            except TypeError:
-                out.append(None)
-                odd.append(i)
-        if odd:
-            rows = [self.split(texts[i] or "") for i in odd]
-            self._learn_whole({p for row in rows for p in row})
-            for i, row in zip(odd, rows, strict=True):
-                out[i] = self.combine([self.whole[p] for p in row])
-        return out
-
-    def _learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.tail]
-        led = {p: p if p[:1] == "\n" else " " + p for p in new}
-        plain = [p for p in new if led[p][1:2].strip() and not p[-1].isspace()]
-        self.tail.update(dict.fromkeys(new))  # None marks a piece that is not cut off safely
-        self.tail.update(zip(plain, self.encode([led[p] for p in plain]), strict=True))
-
-    def _learn_whole(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.whole]
-        self.whole.update(zip(new, self.encode(new), strict=True))
+    def __init__(self, encode: Callable, limit: int = 1_000_000):
+        self.encode, self.limit = encode, limit
+        self._reset()
+
+    def _reset(self) -> None:
+        # pieces behind a space or newline; beginnings of texts; pieces of texts cut by spaced_split
+        self.tail, self.whole, self.odd = _Numbers(self, " "), _Numbers(self), _Numbers(self, sure=True)
+        self.sure: set[int] = set()
+        self.fresh: list[str] = []
+        self.count = 1  # number 0 stands for nothing
+        self.sizes, self.starts, self.uses = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.pool, self.filled = np.zeros(1 << 14, np.uint32), 0
+        self.whole[""] = 0
+
+    def _learn(self) -> None:
+        """Encodes the pieces numbered since the last call. A piece that can't be cut off safely, as white
+        space ends it or follows its leading space, gets the size UNSAFE."""
+        fresh, self.fresh = self.fresh, []
+        if not fresh:
+            return
+        match = _JOINT.fullmatch
+        plain = np.fromiter((match(p) is not None for p in fresh), bool, len(fresh))
+        joint, single = np.flatnonzero(plain), np.flatnonzero(~plain)
+        alone = [fresh[i] for i in single]
+        lengths, ids = self.encode([fresh[i] for i in joint], alone)
+        grow = lambda a, n: np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)]) if n > len(a) else a
+        self.sizes, self.starts, self.uses = (grow(a, self.count) for a in (self.sizes, self.starts, self.uses))
+        at = self.count - len(fresh) + np.concatenate([joint, single])
+        self.sizes[at] = lengths
+        if ids is not None:
+            self.starts[at] = self.filled + np.cumsum(lengths) - lengths
+            self.pool = grow(self.pool, self.filled + len(ids))
+            self.pool[self.filled : self.filled + len(ids)] = ids
+            self.filled += len(ids)
+        for p, n in zip(alone, at[len(joint) :].tolist(), strict=True):
+            if n not in self.sure and (p[-1].isspace() or p[0] in " \n" and not p[1:2].strip()):
+                self.sizes[n] = UNSAFE
+
+    def _shrink(self) -> None:
+        """Starts again with the pieces used most, half of the limit at most."""
+        uses = self.uses[: self.count]
+        half = max(1, self.limit // 2)
+        least = max(2, int(np.partition(uses, -half)[-half]) + 1)
+        kept = [[p for p, n in d.items() if n and uses[n] >= least] for d in (self.tail, self.whole, self.odd)]
+        self._reset()
+        for d, pieces in zip((self.tail, self.whole, self.odd), kept, strict=True):
+            for p in pieces:
+                d[p]
+        self._learn()
+
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pieces of all texts in order, and how many pieces each text has."""
+        if self.count > self.limit:
+            self._shrink()
+        rows = [(t or "").replace("\n", " \n").split(" ") for t in texts]
+        n = np.fromiter(map(len, rows), np.int64, len(rows))
+        heads = np.array([self.whole[r[0]] for r in rows], np.int64)
+        rest = np.fromiter(map(self.tail.__getitem__, chain.from_iterable([r[1:] for r in rows])), np.int64, int(n.sum()) - len(rows))
+        first = np.cumsum(n) - n
+        flat = np.insert(rest, first - np.arange(len(rows)), heads)
+        self._learn()
+        bad = self.sizes[flat] < 0
+        if bad.any():
+            parts = np.split(flat, first[1:])
+            for i in np.unique(np.repeat(np.arange(len(rows)), n)[bad]).tolist():
+                parts[i] = np.array([self.odd[p] for p in spaced_split(texts[i] or "")], np.int64)
+                n[i] = len(parts[i])
+            flat = np.concatenate(parts)
+            self._learn()
+        used = np.bincount(flat, minlength=self.count)
+        self.uses[: len(used)] += used
+        return flat, n
+
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        """Tokens of each text."""
+        if not texts:
+            return np.zeros(0, np.int64)
+        flat, n = self.numbers(texts)
+        total = np.append(0, np.cumsum(self.sizes[flat]))
+        ends = np.cumsum(n)
+        return total[ends] - total[ends - n]
+
+    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in order, and how many each text has."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        flat, n = self.numbers(texts)
+        lengths = self.sizes[flat]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.starts[flat] - ends + lengths, lengths)
+        at += np.arange(len(at))
+        total, last = np.append(0, ends), np.cumsum(n)
+        return self.pool[at], total[last] - total[last - n]
+
+
+def joined(pieces: list[str]) -> str:
+    """Pieces made one text, each led by a newline, which is always a token of its own."""
+    return "".join([p if p[0] == "\n" else "\n" + p for p in pieces])

@@ -7,6 +7,7 @@ the symbols that survive are its tokens.
 
 from __future__ import annotations
 
+import heapq
 import json
 from functools import lru_cache
 
@@ -17,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridoc.llm.common import blocks
-from veridoc.llm.pieces import PieceMemo
+from veridoc.llm.pieces import PieceMemo, joined
 
 NO_RANK = np.int32(2**31 - 1)
+#: Bytes of a pre-token beyond which it is merged by an agenda instead of in rounds.
+LONG = 1000
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -75,17 +78,30 @@ class PairTable:
 
 
 def merge_all(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> np.ndarray:
-    """Symbols left in each sequence when no ranked pair remains."""
+    """Symbols left in each sequence when no ranked pair remains.
+
+    A round costs the symbols that are left in sequences not yet finished, and a sequence takes as many rounds
+    as it applies different merges: a few for words. Sequences beyond LONG symbols, whose rounds could be as
+    many as the vocabulary's merges, go to merge_long instead."""
     left = lengths.astype(np.int64).copy()
+    long = np.flatnonzero(lengths > LONG)
     seq = np.repeat(np.arange(len(lengths)), lengths)
-    while len(symbols) > 1:
-        rank, merged = table.find(symbols[:-1], symbols[1:])
-        rank[seq[:-1] != seq[1:]] = NO_RANK
-        starts = np.flatnonzero(np.append(True, seq[1:] != seq[:-1]))
-        best = np.minimum.reduceat(np.append(rank, NO_RANK), starts)
-        spans = np.diff(np.append(starts, len(seq)))
-        hit = (rank == np.repeat(best, spans)[:-1]) & (rank < NO_RANK)
-        at = np.flatnonzero(hit)
+    if len(long):
+        ends = np.cumsum(lengths)
+        for i in long.tolist():
+            left[i] = merge_long(symbols[ends[i] - lengths[i] : ends[i]], table)
+        keep = (lengths <= LONG)[seq]
+        symbols, seq = symbols[keep], seq[keep]
+    if len(symbols) < 2:
+        return left
+    last = np.append(seq[1:] != seq[:-1], True)
+    rank, merged = table.find(symbols, np.append(symbols[1:], 0))
+    rank[last] = NO_RANK
+    while len(symbols):
+        starts = np.flatnonzero(np.append(True, last[:-1]))
+        best = np.minimum.reduceat(rank, starts)
+        spans = np.diff(np.append(starts, len(symbols)))
+        at = np.flatnonzero((rank == np.repeat(best, spans)) & (rank < NO_RANK))
         if not len(at):
             break
         fresh = np.append(True, np.diff(at) != 1)  # in a run of overlapping pairs every second one merges
@@ -93,11 +109,54 @@ def merge_all(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> np.
             run = np.flatnonzero(fresh)
             order = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
             at = at[order % 2 == 0]
+        left -= np.bincount(seq[at], minlength=len(left))
         symbols[at] = merged[at]
+        last[at] = last[at + 1]
         keep = np.repeat(best < NO_RANK, spans)
         keep[at + 1] = False
-        np.subtract.at(left, seq[at], 1)
-        symbols, seq = symbols[keep], seq[keep]
+        place = np.cumsum(keep) - 1
+        at = place[at]
+        symbols, seq, last, rank, merged = symbols[keep], seq[keep], last[keep], rank[keep], merged[keep]
+        before = at[at > 0] - 1  # only pairs that a merge touched are looked up again
+        todo = np.concatenate([at, before[~last[before]]])
+        todo = todo[~last[todo]]
+        rank[at[last[at]]] = NO_RANK
+        rank[todo], merged[todo] = table.find(symbols[todo], symbols[todo + 1])
+    return left
+
+
+def merge_long(symbols: np.ndarray, table: PairTable) -> int:
+    """Symbols left of one long sequence, by an agenda of pairs, lowest rank and leftmost first."""
+    value, n = symbols.tolist(), len(symbols)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    rank, merged = table.find(symbols[:-1], symbols[1:])
+    queue = [(r, i, m, value[i], value[i + 1]) for i, (r, m) in enumerate(zip(rank.tolist(), merged.tolist(), strict=True)) if r < NO_RANK]
+    heapq.heapify(queue)
+    known: dict[tuple[int, int], tuple[int, int]] = {}
+    left = n
+
+    def push(i: int) -> None:
+        pair = (value[i], value[after[i]])
+        if pair not in known:
+            r, m = table.find(np.array(pair[:1]), np.array(pair[1:]))
+            known[pair] = int(r[0]), int(m[0])
+        r, m = known[pair]
+        if r < NO_RANK:
+            heapq.heappush(queue, (r, i, m, *pair))
+
+    while queue:
+        _, i, m, a, b = heapq.heappop(queue)
+        j = after[i]
+        if value[i] != a or j >= n or value[j] != b:
+            continue  # one of the two has merged since
+        value[i], value[j] = m, -1
+        after[i] = after[j]
+        left -= 1
+        if after[i] < n:
+            before[after[i]] = i
+            push(i)
+        if before[i] >= 0:
+            push(before[i])
     return left
 
 
@@ -115,40 +174,53 @@ class MergeCounter:
         special = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.pattern = regex.compile(PATTERN)
-
-    def __call__(self, pieces: list[str]) -> list[int]:
-        if not pieces:
-            return []
-        extra = np.zeros(len(pieces), np.int64)
-        split: list[list[str]] = []
-        for i, piece in enumerate(pieces):
-            if self.special and self.special.search(piece):
-                extra[i] = len(self.special.findall(piece))
-                split.append([w for part in self.special.split(piece) for w in self.pattern.findall(part)])
-            else:
-                split.append(self.pattern.findall(piece))
-        index: dict[str, int] = {}
-        flat = np.fromiter((index.setdefault(w, len(index)) for ws in split for w in ws), np.int64)
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        words = [w.encode() for w in index]
-        left = np.zeros(0, np.int64)
-        if words:
-            lengths = np.fromiter(map(len, words), np.int64, len(words))
-            symbols = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
-            left = merge_all(symbols, lengths, self.table)
-        owner = np.repeat(np.arange(len(pieces)), counts)
-        return (extra + np.bincount(owner, left[flat], len(pieces)).astype(np.int64)).tolist()
+        self.newline = int(self.byte_id[10])
+
+    def __call__(self, joint: list[str], alone: list[str]) -> tuple[np.ndarray, None]:
+        """Tokens of pieces, the joint ones cut into pre-tokens as one text."""
+        text = joined(joint)
+        if self.special and self.special.search(text):
+            apart = np.array([self.special.search(p) is not None for p in joint])
+            some = [p for p, a in zip(joint, apart, strict=True) if a]
+            found = self([p for p, a in zip(joint, apart, strict=True) if not a], some + alone)[0]
+            order = np.concatenate([np.flatnonzero(~apart), np.flatnonzero(apart)])
+            out = np.zeros(len(joint), np.int64)
+            out[order] = found[: len(joint)]
+            return np.concatenate([out, found[len(joint) :]]), None
+        words, owner, extra = self.pattern.findall(text), [], np.zeros(len(alone), np.int64)
+        n_words = len(words)
+        for i, piece in enumerate(alone):
+            parts = self.special.split(piece) if self.special else [piece]
+            extra[i] = len(parts) - 1  # a special string is one token
+            own = [w for part in parts for w in self.pattern.findall(part)]
+            words += own
+            owner += [i] * len(own)
+        if not words:
+            return extra, None
+        raw = "".join(words).encode()
+        lengths = np.fromiter(map(len, words if len(raw) == sum(map(len, words)) else map(str.encode, words)), np.int64, len(words))
+        symbols = self.byte_id[np.frombuffer(raw, np.uint8)]
+        firsts = symbols[np.cumsum(lengths) - lengths]
+        sizes = merge_all(symbols, lengths, self.table)
+        extra += np.bincount(owner, sizes[n_words:], len(alone)).astype(np.int64) if owner else 0
+        # pre-tokens of joint pieces lie between newlines; a piece's own newline counts, one put before it doesn't
+        breaks = np.flatnonzero((firsts[:n_words] == self.newline) & (lengths[:n_words] == 1))
+        if len(breaks) != len(joint):
+            raise ValueError("a newline is not a pre-token of its own")
+        total = np.append(0, np.cumsum(sizes[:n_words]))
+        own = np.fromiter((p[0] == "\n" for p in joint), bool, len(joint))
+        return np.concatenate([np.diff(total[np.append(breaks, n_words)]) - ~own if len(joint) else own.astype(np.int64), extra]), None
 
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> PieceMemo:
-    return PieceMemo(MergeCounter(path), sum)
+    return PieceMemo(MergeCounter(path))
 
 
 def count_texts(texts: list[str | None], path: str) -> list[int]:
     """Tokens of each text; null and empty texts have none."""
     count = counter(path)
-    return [n for a, b in blocks(texts, 1 << 22) for n in count(texts[a:b])]
+    return [n for a, b in blocks(texts, 1 << 21) for n in count.counts(texts[a:b]).tolist()]
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
