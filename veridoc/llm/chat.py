@@ -1,9 +1,10 @@
 """Chat formatting in budgeted windows.
 
-Every turn becomes ``<|im_start|>role\\ntext<|im_end|>\\n``; control strings inside roles and texts are escaped
-reversibly. Prefix sums of the turns' tokens cut a conversation into turn-aligned windows within a budget.
-Each window opens with the conversation's system turn and repeats a limited history; only texts of assistant
-turns that are new in the window are targets, so each is trained on once.
+Every turn becomes ``<|im_start|>role\\ntext<|im_end|>\\n``, or ``<|im_past|>role...`` where a window repeats it;
+control strings inside roles and texts are escaped reversibly. Prefix sums of the tokens of the turns so formatted
+cut a conversation into turn-aligned windows within a budget. Each window opens with the conversation's system turn
+and repeats a limited history; only texts of assistant turns that are new in the window are targets, so each is
+trained on once.
 """
 
 from __future__ import annotations
@@ -15,13 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veridoc.llm.common import blocks
 from veridoc.llm.token_counts import count_texts
 
-OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
-_TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
+OPEN, PAST, CLOSE = "<|im_start|>", "<|im_past|>", "<|im_end|>\n"
+_TURN = re.compile(r"<\|im_(start|past)\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 _ESCAPED = re.compile(r"\\([\\|n])")
-#: Tokens of a turn beyond those of its text: role, marks and line ends.
-FRAME_TOKENS = 8
 
 
 def escape(text: str, line: bool = False) -> str:
@@ -34,58 +34,66 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: "\n" if m[1] == "n" else m[1], text)
 
 
-def parse(formatted: str) -> list[tuple[str, str]]:
-    """(role, text) of each turn of a formatted window."""
-    return [(unescape(r), unescape(t)) for r, t in _TURN.findall(formatted)]
+def formatted_turn(role: str, text: str, mark: str = OPEN) -> str:
+    return f"{mark}{escape(role, True)}\n{escape(text)}{CLOSE}"
+
+
+def parse(formatted: str) -> list[tuple[bool, str, str]]:
+    """(whether the turn is repeated, role, text) of each turn of a formatted window."""
+    return [(mark == "past", unescape(r), unescape(t)) for mark, r, t in _TURN.findall(formatted)]
 
 
 class Windows:
-    """Takes one conversation's turns in order and gives its windows as they fill up."""
+    """Takes one conversation's turns (role, text, tokens when formatted) in order and gives its windows as they
+    fill up. past: tokens by which a repeated turn differs from a new one."""
 
-    def __init__(self, budget: int, history: int):
-        self.budget, self.history = budget, history
+    def __init__(self, budget: int, history: int, past: int = 0):
+        self.budget, self.history, self.past = budget, history, past
         self.system: tuple | None = None
         self.recent: list[tuple] = []
-        self._open([])
-
-    def _open(self, repeated: list[tuple]) -> None:
-        self.repeated, self.fresh = repeated, []
-        self.used = sum(t[2] for t in repeated) + (self.system[2] if self.system else 0)
+        self.shown: list[tuple] = []
+        self.fresh: list[tuple] = []
+        self.used = 0
 
     def add(self, turn: tuple) -> tuple | None:
-        """Adds (role, text, tokens); returns a window if the turn opens another one."""
+        """Adds a turn; returns a window if the turn opens another one."""
         done = None
         if self.fresh and self.used + turn[2] > self.budget:
             done = self.close()
-            kept, total = [], self.system[2] if self.system else 0
+            self.fresh, self.used = [], turn[2]
+            lead = [self.system] if self.system and self.used + self.system[2] + self.past <= self.budget else []
+            self.used += sum(t[2] + self.past for t in lead)
+            kept, told = [], 0
             for old in reversed(self.recent):
-                if total + old[2] + turn[2] > self.budget or sum(t[2] for t in kept) + old[2] > self.history:
+                cost = old[2] + self.past
+                if self.used + cost > self.budget or told + cost > self.history:
                     break
                 kept.append(old)
-                total += old[2]
-            self._open(kept[::-1])
+                told += cost
+                self.used += cost
+            self.shown = lead + kept[::-1]
+        else:
+            self.used += turn[2]
         self.fresh.append(turn)
-        self.used += turn[2]
         if turn[0] == "system" and self.system is None and not self.recent:
             self.system = turn
         else:
             self.recent.append(turn)
-            while len(self.recent) > 1 and sum(t[2] for t in self.recent[1:]) >= self.history:
+            while len(self.recent) > 1 and sum(t[2] + self.past for t in self.recent[1:]) >= self.history:
                 self.recent.pop(0)
         return done
 
     def close(self) -> tuple:
         """(formatted, starts and ends of the target spans, repeated turns)."""
-        first = [self.system] if self.system and self.system is not self.fresh[0] else []
-        shown = first + self.repeated
-        parts, spans, at = [], [], 0
-        for i, (role, text, _) in enumerate([*shown, *self.fresh]):
-            head, body = f"{OPEN}{escape(role, True)}\n", escape(text)
-            if role == "assistant" and i >= len(shown) and body:
-                spans.append((at + len(head), at + len(head) + len(body)))
-            parts += [head, body, CLOSE]
-            at += len(head) + len(body) + len(CLOSE)
-        return "".join(parts), [s for s, _ in spans], [e for _, e in spans], len(shown)
+        parts, spans, at = [formatted_turn(role, text, PAST) for role, text, _ in self.shown], [], 0
+        at = sum(map(len, parts))
+        for role, text, _ in self.fresh:
+            turn = formatted_turn(role, text)
+            if role == "assistant" and text:
+                spans.append((at + len(OPEN) + len(escape(role, True)) + 1, at + len(turn) - len(CLOSE)))
+            parts.append(turn)
+            at += len(turn)
+        return "".join(parts), [s for s, _ in spans], [e for _, e in spans], len(self.shown)
 
 
 WINDOW = "window int, formatted string, starts array<int>, ends array<int>, repeated int"
@@ -94,38 +102,48 @@ WINDOW = "window int, formatted string, starts array<int>, ends array<int>, repe
 def format_windows(turns: DataFrame, tokenizer: str, budget: int = 1024, history: int = 256) -> DataFrame:
     """(conv_id, WINDOW's columns) of conversations given as (conv_id, turn, role, text).
 
-    starts and ends are code-point spans of the targets, repeated the number of leading turns that an
-    earlier window has, too. Null texts and roles count as empty; a null conv_id is a conversation of its own;
-    turns with equal numbers follow each other by role and text, and repeated rows stay. A turn beyond the
-    budget has a window of its own and is never cut. A conversation streams through one task, window by
-    window, and is never held whole. Extra columns are left out; an empty table gives no rows.
+    A window of two turns or more has at most ``budget`` tokens, marks and escapes included. A turn that is longer
+    has a window of its own and is never cut; the system turn leads each later window in which it fits beside a
+    new turn. starts and ends are code-point spans of the targets, repeated the number of leading turns that an
+    earlier window has, too; the text marks them as well. Null texts and roles count as empty; a null conv_id is a
+    conversation of its own; turns with equal numbers follow each other by role and text, and repeated rows stay.
+    Tokens are counted where the rows are read; then a conversation streams through one task, window by window,
+    and is never held whole. Extra columns are left out; an empty table gives no rows.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    named = ["conv_id", "turn", "role", "text", "n"]
+
+    def counted(batches):
+        for b in batches:
+            roles, texts = b.column("role").to_pylist(), b.column("text").to_pylist()
+            sizes = [n for lo, hi in blocks(texts, 1 << 20) for n in count_texts([formatted_turn(r, t) for r, t in zip(roles[lo:hi], texts[lo:hi], strict=True)], tokenizer)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes, pa.int64())], named)
+
+    kind = rows.schema["conv_id"].dataType.simpleString()
+    sized = rows.mapInArrow(counted, f"conv_id {kind}, turn {rows.schema['turn'].dataType.simpleString()}, role string, text string, n long")
+    sized = sized.repartition("conv_id").sortWithinPartitions(*named).select("conv_id", "role", "text", "n")
     kinds = pa.schema([("window", pa.int32()), ("formatted", pa.string()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("repeated", pa.int32())])
 
     def run(batches):
-        current, state, number = None, None, 0
+        # a mark is several pre-tokens, of which one differs; a turn ends in a newline, so tokens add up
+        past = count_texts([PAST], tokenizer)[0] - count_texts([OPEN], tokenizer)[0]
+        current, state, number, kind = None, None, 0, None
         out: list[tuple] = []
 
         def batch():
             nonlocal out
-            ids = pa.array([o[0] for o in out], kind)
-            cols = [pa.array([o[i + 1] for o in out], f.type) for i, f in enumerate(kinds)]
+            cols = [pa.array([o[i] for o in out], k) for i, k in enumerate([kind, *kinds.types])]
             out = []
-            return pa.RecordBatch.from_arrays([ids, *cols], ["conv_id", *kinds.names])
+            return pa.RecordBatch.from_arrays(cols, ["conv_id", *kinds.names])
 
-        kind = None
         for b in batches:
             kind = b.schema.field("conv_id").type
-            roles, texts = b.column("role").to_pylist(), b.column("text").to_pylist()
-            sizes = count_texts(texts, tokenizer)
-            for conv, role, text, n in zip(b.column("conv_id").to_pylist(), roles, texts, sizes, strict=True):
+            for conv, role, text, n in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if state is None or conv != current:
                     if state:
                         out.append((current, number, *state.close()))
-                    current, state, number = conv, Windows(budget, history), 0
-                if done := state.add((role, text, n + FRAME_TOKENS)):
+                    current, state, number = conv, Windows(budget, history, past), 0
+                if done := state.add((role, text, n)):
                     out.append((conv, number, *done))
                     number += 1
                 if len(out) >= 500:
@@ -135,7 +153,7 @@ def format_windows(turns: DataFrame, tokenizer: str, budget: int = 1024, history
         if out:
             yield batch()
 
-    return rows.mapInArrow(run, f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, {WINDOW}")
+    return sized.mapInArrow(run, f"conv_id {kind}, {WINDOW}")
 
 
 DIGEST = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
@@ -144,7 +162,9 @@ DIGEST = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string
 def window_digests(windows: DataFrame) -> DataFrame:
     """Per conversation, what its formatted windows say when they are read back: turns and targets once each.
 
-    Takes the rows of format_windows as they come, in order and a conversation within one task."""
+    Takes rows of format_windows in any order, from any table; they are ordered by conv_id and window, and turns
+    marked as repeated are passed over. An empty table gives no rows."""
+    rows = windows.select("conv_id", "window", "formatted", "starts", "ends").repartition("conv_id").sortWithinPartitions("conv_id", "window")
 
     def run(batches):
         current, state, kind = None, None, None
@@ -154,27 +174,27 @@ def window_digests(windows: DataFrame) -> DataFrame:
             out.append((current, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5]))
 
         def batch():
-            ids = pa.array([o[0] for o in out], kind)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            cols = [pa.array([o[i + 1] for o in out], k) for i, k in enumerate(kinds)]
+            kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            cols = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
             out.clear()
-            return pa.RecordBatch.from_arrays([ids, *cols], ["conv_id", *[f.split()[0] for f in DIGEST.split(", ")]])
+            return pa.RecordBatch.from_arrays(cols, ["conv_id", *[f.split()[0] for f in DIGEST.split(", ")]])
 
         for b in batches:
             kind = b.schema.field("conv_id").type
-            for row in b.to_pylist():
-                if state is None or row["conv_id"] != current:
+            for conv, _, formatted, starts, ends in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if state is None or conv != current:
                     if state:
                         finish()
-                    current, state = row["conv_id"], [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                for role, text in parse(row["formatted"])[row["repeated"] :]:
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode())
-                for s, e in zip(row["starts"], row["ends"], strict=True):
-                    target = unescape(row["formatted"][s:e])
+                    current, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                for past, role, text in parse(formatted):
+                    if not past:
+                        state[0] += 1
+                        state[1].update(f"{role}\n{text}\n".encode())
+                for s, e in zip(starts, ends, strict=True):
+                    target = unescape(formatted[s:e])
                     state[2] += len(target)
                     state[3].update(target.encode())
-                state[4] += len(row["formatted"])
+                state[4] += len(formatted)
                 state[5] += 1
             if len(out) > 1000:
                 yield batch()
@@ -183,4 +203,4 @@ def window_digests(windows: DataFrame) -> DataFrame:
         if out:
             yield batch()
 
-    return windows.mapInArrow(run, f"conv_id {windows.schema['conv_id'].dataType.simpleString()}, {DIGEST}")
+    return rows.mapInArrow(run, f"conv_id {windows.schema['conv_id'].dataType.simpleString()}, {DIGEST}")

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veridoc.llm.common import stored
+
 #: What a sequence of c tokens costs: its place in a batch, its tokens, and attention over their pairs.
 BIN_COST, ATTENTION = 16, 32_768
 #: Documents that are packed together; a few thousand fill bins as well as any number.
@@ -112,16 +114,17 @@ def _price(counts: np.ndarray, bits: int, size: int, capacity: int, capacities:
 PACKED = "piece int, piece_start long, piece_tokens int, bin_id string, bin_offset int, bin_length int"
 
 
-def pack_documents(docs: DataFrame, length_col: str = "n_tokens", capacities: tuple[int, ...] = (512, 1024, 2048, 4096), id_col: str = "doc_id", group_rows: int = GROUP_ROWS, n_docs: int | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, length_col: str = "n_tokens", capacities: tuple[int, ...] = (512, 1024, 2048, 4096), id_col: str = "doc_id", group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc_id, PACKED's columns): a row for each piece of each document.
 
-    Only ids and lengths are shuffled. Rows are dealt at random (by a hash of id, length and row number) to
-    groups of about ``group_rows`` (n_docs, if given, saves counting the rows), so the size of a group is bounded whatever ids repeat, and each group is
-    packed by itself. Null and negative lengths count as 0; rows with equal ids stay rows of their own;
-    other columns are left out; an empty table gives no rows.
+    Ids and lengths are written to the shared folder first, so lengths are counted once and a repeated task deals
+    the same rows the same way. They are dealt at random (by a hash of id, length and place in that table) to
+    groups of about ``group_rows``, so the size of a group is bounded whatever ids repeat, and each group is packed
+    by itself. Null and negative lengths count as 0; rows with equal ids and null ids stay rows of their own; ties
+    are packed by ascending id; other columns are left out; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.greatest(F.coalesce(F.col(length_col), F.lit(0)), F.lit(0)).cast("long").alias("n"))
-    groups = max(1, math.ceil((docs.count() if n_docs is None else n_docs) / group_rows))
+    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.greatest(F.coalesce(F.col(length_col), F.lit(0)), F.lit(0)).cast("long").alias("n")), "lengths")
+    groups = max(1, math.ceil(rows.count() / group_rows))
     rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "n", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     largest, allowed = max(capacities), list(capacities)
 

@@ -12,7 +12,6 @@ import re
 from array import array
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,7 +140,7 @@ class SegmentMemo:
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", check: bool = True) -> DataFrame:
     """(doc_id, ids binary, decoded string) of every row; ids are little-endian unsigned 32-bit, with the
-    begin and end ids.
+    begin and end ids; decoded is what the library makes of them.
 
     Null texts count as empty: begin and end alone, decoded to ''. Long texts are encoded whole; repeated
     rows stay; other columns are left out, so their names cannot clash; an empty table gives no rows.
@@ -155,7 +154,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             texts = b.column("text").to_pylist()
             for start, stop in blocks(texts, 1 << 21):
                 ids = [head + x + tail for x in memo(texts[start:stop])]
-                back = [bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
+                back = [bpe.library.decode(array("I", x).tolist()) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(start, stop - start), pa.array(ids, pa.binary()), pa.array(back, pa.string())],
                     ["doc_id", "ids", "decoded"],

@@ -63,8 +63,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed_documents(docs: DataFrame) -> DataFrame:
     """Packs whole documents by their tokens and an end token each."""
     counts = token_counts.count_tokens(docs, tokenizer_path(BYTE_BPE))
-    # rows are counted before their tokens are, so that no text is tokenized for it
-    return packing.pack_documents(counts.select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens")), n_docs=docs.count())
+    return packing.pack_documents(counts.select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens")))
 
 
 def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +71,7 @@ def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", sample), (-1, 1, "assistant", sample)], turns.schema)
     windows = chat.format_windows(turns.unionByName(extra), tokenizer_path(BYTE_BPE))
-    return chat.window_digests(windows)
+    return chat.window_digests(common.stored(windows, "chat-windows"))
 
 
 def op9_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
