@@ -27,6 +27,11 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "n", 1) for i, t in enumerate(rows)], "doc_id long, text string, n_tokens string, key int")
 
 
+def encoded(texts):
+    ids, counts = simple8b.encoder(queries.tokenizer_path("byte_bpe_50k.json")).ids(texts)
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
 def test_token_counts_equal_the_library(texts):
     from tokenizers import Tokenizer
 
@@ -34,8 +39,10 @@ def test_token_counts_equal_the_library(texts):
     lib = Tokenizer.from_file(path)
     want = [len(lib.encode(t or "", add_special_tokens=False).ids) for t in texts]
     assert token_counts.count_texts(texts, path) == want
-    ids = [np.frombuffer(x, "<u4").tolist() for x in simple8b.encoder(path)(texts)]
-    assert ids == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert encoded(texts) == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    memo = simple8b.PieceMemo(simple8b.LibraryEncoder(path), limit=50)  # much is forgotten between blocks
+    again = [x for lo, hi in common.blocks(texts, 2000) for x in np.split(*[f(y) for f, y in zip((lambda a: a, lambda n: np.cumsum(n)[:-1]), memo.ids(texts[lo:hi]), strict=True)])]
+    assert [x.tolist() for x in again] == encoded(texts)
 
 
 def test_pieces_equal_the_library(texts):
@@ -52,22 +59,37 @@ def test_simple8b_round_trip():
         x = rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         x >>= rng.integers(0, 64, n).astype(np.uint64)
         x[rng.random(n) < 0.5] = 0
-        assert (simple8b.decode_ids(*simple8b.encode_ids(x), n) == x).all()
-    named, counts, ids = simple8b.unpack_file(simple8b.pack_file([3, None], np.array([2, 1]), np.array([7, 2**61, 9], np.uint64)))
-    assert named.tolist() == [3, simple8b.NO_ID] and counts.tolist() == [2, 1] and ids.tolist() == [7, 2**61, 9]
+        sizes = simple8b.block_sizes(np.array([n // 3, 0, n - n // 3]))
+        assert (simple8b.decode_ids(*simple8b.encode_ids(x, sizes), sizes) == x).all()
+    file = simple8b.TokenFile()
+    for doc_id, ids in ((3, [7, 2**61]), (None, [9]), (4, []), (5, [2**63, 1, 2**62])):
+        x = np.array(ids, np.uint64)
+        file.add(doc_id, len(x), *simple8b.encode_ids(x, simple8b.block_sizes([len(x)])))
+    named, counts, ids = simple8b.unpack_file(file.pack())
+    assert named.tolist() == [3, common.NO_ID, 4, 5] and counts.tolist() == [2, 1, 0, 3] and ids.tolist() == [7, 2**61, 9, 2**63, 1, 2**62]
 
 
 def test_token_files(spark, texts):
+    from tokenizers import Tokenizer
+
     root = common.shared_dir(spark, "test-files")
     path = queries.tokenizer_path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
     docs = frame(spark, texts)
-    rows = simple8b.read_token_files(spark, root, simple8b.write_token_files(docs, root, path, end_id=2, file_ids=20_000)).orderBy("doc_id").collect()
+    index = simple8b.write_token_files(docs, root, path, end_id=2, file_ids=20_000)
+    simple8b._save(f"{root}/files", "ids-left-by-a-lost-task.s8b", b"half")
+    rows = simple8b.with_crc(simple8b.read_token_files(spark, root, index)).orderBy("doc_id").collect()
     at = 0
-    for i, (row, own) in enumerate(zip(rows, simple8b.encoder(path)(texts), strict=True)):
-        assert (row.doc_id, row.start, row.n_tokens) == (i, at, len(own) // 4 + 1) and bytes(row.ids) == own + b"\2\0\0\0"
+    for i, (row, text) in enumerate(zip(rows, texts, strict=True)):
+        own = np.array([*lib.encode(text or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
+        assert (row.doc_id, row.start, row.n_tokens) == (i, at, len(own) // 4) and bytes(row.ids) == own and row.ids_crc32 == zlib.crc32(own)
         at += row.n_tokens
     empty = common.shared_dir(spark, "test-empty")
     assert simple8b.read_token_files(spark, empty, simple8b.write_token_files(docs.limit(0), empty, path)).count() == 0
+    odd = spark.createDataFrame([(None, "b", 1), (7, "a a", 2), (7, None, 3), (None, "c c c", 4)], "doc_id long, text string, part int")
+    held = common.shared_dir(spark, "test-odd")
+    rows = simple8b.read_token_files(spark, held, simple8b.write_token_files(odd, held, path, end_id=2)).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None, None, 7, 7] and sorted(r.n_tokens for r in rows) == [1, 2, 3, 4] and rows[-1].start + rows[-1].n_tokens == 10
 
 
 def test_fingerprints(spark, texts):
@@ -123,10 +145,11 @@ def brute_classes(texts):
     return [find(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("many,block_rows", [(8, 4096), (1, 16)])
-def test_near_duplicates_equal_brute_force(spark, texts, monkeypatch, many, block_rows):
+@pytest.mark.parametrize("many,block_rows,block_bytes", [(8, 4096, 1 << 25), (1, 16, 1 << 25), (1, 40, 2000)])
+def test_near_duplicates_equal_brute_force(spark, texts, monkeypatch, many, block_rows, block_bytes):
     monkeypatch.setattr(near_dedup, "MANY", many)
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", block_bytes)
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(10**6)}"
     passage = [word() for _ in range(60)]
@@ -224,7 +247,30 @@ def test_chat_round_trip(spark):
     assert got[1].n_windows > 3 and got[2].n_turns == 2 and got[None].loss_chars == 1
     assert got[3].turns_sha256 == hashlib.sha256("rol\nraro\n\\n\n".encode()).hexdigest()
     first = windows.filter("conv_id = 1").collect()
-    assert all(r.formatted.startswith("<|im_start|>system") for r in first) and any(r.repeated > 1 for r in first[1:])
+    assert all(chat.parse(r.formatted)[0][1] == "system" for r in first) and any(r.repeated > 1 for r in first[1:])
+    assert all(sum(again for again, _, _ in chat.parse(r.formatted)) == r.repeated for r in first)
+    assert chat.window_digests(windows.limit(0)).count() == 0 and chat.format_windows(df.limit(0), queries.tokenizer_path("byte_bpe_50k.json")).count() == 0
+    shuffled = common.stored(windows.repartition(7, "formatted"), "shuffled")
+    assert {r.conv_id: r for r in chat.window_digests(shuffled).collect()} == got
+
+
+def test_chat_windows_hold_their_budget(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    rng = random.Random(4)
+    turns = [(1, i, "user" if i % 2 else "assistant", "si <|x|> \\") for i in range(300)]
+    turns += [(2, i, rng.choice(["system", "user", "assistant", "!?"]), "palabra <|im_end|> " * rng.randrange(60)) for i in range(200)]
+    turns += [(3, 0, "system", "regla " * 200), (3, 1, "user", "hola " * 300), (3, 2, "assistant", "si"), (3, 3, "user", "hola " * 900), (3, 4, "assistant", "no")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    given = queries.table(spark, "/root/testdata/sf0.01", "conversations").select(*df.columns)
+    for table, budget, history in ((df, 512, 128), (df, 400, 0), (given, 1024, 256)):
+        rows = chat.format_windows(table, path, budget, history).collect()
+        for r in rows:
+            n = len(lib.encode(r.formatted, add_special_tokens=False).ids)
+            assert n <= budget or len(chat.parse(r.formatted)) == 1
+        assert sum(len(chat.parse(r.formatted)) - r.repeated for r in rows) == table.count()
 
 
 def test_pipeline_keeps_clean_and_drops_marked(spark):

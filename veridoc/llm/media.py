@@ -3,8 +3,8 @@
 A rolling gear hash cuts each payload where the hash has zeros in its top bits, so an insertion moves only
 the cuts around it. Chunks that occur once stay inside their payload's row; a chunk that occurs more often is
 stored by one owner, the first payload that holds it, and other rows name it by digest. Spark joins find the
-shared digests and bring their bytes back; an ordered chunk list rebuilds every payload, and each chunk's
-digest is verified as it is read.
+shared digests and bring their bytes back; the ordered chunk list that is stored with each row rebuilds its
+payload, and each chunk's digest is verified as it is read.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import mix, packed, shared_dir, stored, unpacked
+from veridoc.llm.common import discard, mix, packed, salted_join, shared_dir, stored, unpacked
 
 LEAST, MOST = 256, 4096
 TOP_BITS = 10
@@ -90,18 +91,34 @@ def _batches(column: pa.Array, size: int = 256) -> Iterator[tuple[int, list]]:
 
 
 def _occurrences(batches):
+    """(key, digest, n) of each distinct chunk of each row."""
     for b in batches:
         for lo, texts in _batches(b.column("text")):
             data = [payload(t) for t in texts]
-            keys, digests = [], []
+            keys, digests, times = [], [], []
             for i, (p, cuts) in enumerate(zip(data, cut_points(data), strict=True)):
-                for digest, _ in chunks_of(p, cuts):
-                    digests.append(digest)
-                    keys.append(lo + i)
-            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(keys, pa.int64())), pa.array(digests, pa.binary())], ["key", "digest"])
+                held = Counter(digest for digest, _ in chunks_of(p, cuts))
+                digests += held.keys()
+                times += held.values()
+                keys += [lo + i] * len(held)
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(keys, pa.int64())), pa.array(digests, pa.binary()), pa.array(times, pa.int32())], ["key", "digest", "n"])
 
 
-ROW = "n_bytes long, lengths array<int>, digests array<binary>, places array<int>, inline binary, owned array<struct<digest:binary,bytes:binary>>"
+#: The ordered chunk list (MAGIC, number of chunks, digest and length of each), the kind of each chunk's place, the bytes of inline chunks, and of owned ones.
+ROW = "n_bytes long, form binary, places binary, inline binary, owned array<struct<digest:binary,bytes:binary>>"
+
+
+def chunk_list(chunks: list[tuple[bytes, int]]) -> bytes:
+    return MAGIC + struct.pack("<I", len(chunks)) + b"".join(d + struct.pack("<I", n) for d, n in chunks)
+
+
+def listed(form: bytes) -> list[tuple[bytes, int]]:
+    """(digest, length) of each chunk of a stored chunk list."""
+    (n,) = struct.unpack_from("<I", form, len(MAGIC))
+    at = len(MAGIC) + 4
+    if form[: len(MAGIC)] != MAGIC or len(form) != at + 20 * n:
+        raise ValueError("not a chunk list")
+    return [(form[i : i + 16], struct.unpack_from("<I", form, i + 16)[0]) for i in range(at, len(form), 20)]
 
 
 def _rows(batches):
@@ -111,22 +128,21 @@ def _rows(batches):
             texts = unpacked(blobs)
             shared = [{x["digest"]: x["own"] for x in s or []} for s in b.column("shared").slice(lo, len(texts)).to_pylist()]
             data = [payload(t) for t in texts]
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(5)]
             for t, p, cuts, marks in zip(texts, data, cut_points(data), shared, strict=True):
-                lengths, digests, places, inline, owned = [], [], [], [], {}
+                chunks, places, inline, owned = [], bytearray(), [], {}
                 for digest, part in chunks_of(p, cuts):
-                    lengths.append(len(part))
-                    digests.append(digest)
+                    chunks.append((digest, len(part)))
                     places.append(INLINE if digest not in marks else OWNED if marks[digest] else NAMED)
                     if places[-1] == INLINE:
                         inline.append(part)
                     elif places[-1] == OWNED:
                         owned[digest] = part
-                row = (len((t or "").encode()), lengths, digests, places, b"".join(inline), [{"digest": d, "bytes": x} for d, x in owned.items()])
+                row = (len((t or "").encode()), chunk_list(chunks), bytes(places), b"".join(inline), [{"digest": d, "bytes": x} for d, x in owned.items()])
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), held]
-            yield pa.RecordBatch.from_arrays([b.column("key").slice(lo, len(texts)), *map(pa.array, cols, kinds)], ["key", *[f.split()[0] for f in ROW.split(", ")]])
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), held]
+            yield pa.RecordBatch.from_arrays([b.column("key").slice(lo, len(texts)), *map(pa.array, cols, kinds)], ["key", "n_bytes", "form", "places", "inline", "owned"])
 
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> str:
@@ -138,28 +154,25 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    seen = stored(rows.mapInArrow(_occurrences, f"key {kind}, digest binary"), "chunk-digests")
+    seen = stored(rows.mapInArrow(_occurrences, f"key {kind}, digest binary, n int"), "chunk-digests")
     # counts and owners are combined before the shuffle, so a chunk of very many rows is one row for each task
-    shared = seen.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("key")).alias("first")).filter("n > 1")
+    shared = seen.groupBy("digest").agg(F.sum("n").alias("n"), F.min(F.struct("key")).alias("first")).filter("n > 1")
     own = F.col("key").eqNullSafe(F.col("first.key"))
-    marks = seen.distinct().join(shared, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", own.alias("own"))).alias("shared"))
+    shared = stored(shared, "shared-digests")
+    found = salted_join(seen.select("key", "digest"), shared.select("digest", "first"), "digest", shared)
+    marks = found.groupBy("key").agg(F.collect_set(F.struct("digest", own.alias("own"))).alias("shared"))
     blobs = packed(rows, "key", "text").alias("b")
     marked = blobs.join(marks.alias("m"), F.col("b.key").eqNullSafe(F.col("m.key")), "left").select("b.key", "b.blob", "m.shared")
     path = shared_dir(spark, "media")
-    flag = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(flag, None)
-    spark.conf.set(flag, "true")  # the texts' shuffle files go when the table is written
-    try:
-        marked.mapInArrow(_rows, f"key {kind}, {ROW}").write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(flag) if was is None else spark.conf.set(flag, was)
+    marked.mapInArrow(_rows, f"key {kind}, {ROW}").write.option("compression", "zstd").parquet(path)
+    discard(seen)
     return path
 
 
-def _container(lengths: list[int], digests: list[bytes], places: list[int], inline: bytes, known: dict[bytes, bytes]) -> tuple[bytes, bytes]:
-    """(stored form, payload): the stored form is the ordered chunk list, then the chunks' bytes."""
+def rebuilt(chunks: list[tuple[bytes, int]], places: bytes, inline: bytes, known: dict[bytes, bytes]) -> bytes:
+    """The payload that a chunk list describes; each chunk is verified."""
     parts, at = [], 0
-    for n, digest, place in zip(lengths, digests, places, strict=True):
+    for (digest, n), place in zip(chunks, places, strict=True):
         if place == INLINE:
             part, at = inline[at : at + n], at + n
         else:
@@ -167,44 +180,60 @@ def _container(lengths: list[int], digests: list[bytes], places: list[int], inli
         if hashlib.blake2b(part, digest_size=16).digest() != digest or len(part) != n:
             raise ValueError("a chunk differs from its digest")
         parts.append(part)
-    data = b"".join(parts)
-    listed = b"".join(d + struct.pack("<I", n) for d, n in zip(digests, lengths, strict=True))
-    return MAGIC + struct.pack("<I", len(lengths)) + listed + data, data
+    return b"".join(parts)
 
 
 RESULT = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+def feature(chunks: list[tuple[bytes, int]], data: bytes) -> str:
+    """Number of chunks and of different ones, entropy of the bytes, and the least digest."""
+    share = np.bincount(np.frombuffer(data, np.uint8), minlength=256) / len(data)
+    share = share[share > 0]
+    digests = {d for d, _ in chunks}
+    return f"chunks={len(chunks)};distinct={len(digests)};entropy={float(-(share * np.log2(share)).sum()):.4f};least={min(digests).hex()[:16]}"
+
+
 def _features(batches):
+    names = ["doc_id", *[f.split()[0] for f in RESULT.split(", ")]]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     for b in batches:
         cols = {c: b.column(c) for c in b.schema.names}
         for lo in range(0, b.num_rows, 256):
             part = {c: v.slice(lo, 256).to_pylist() for c, v in cols.items() if c != "key"}
             out: list[tuple] = []
-            for i in range(len(part["lengths"])):
+            for i, form in enumerate(part["form"]):
                 known = {x["digest"]: x["bytes"] for x in [*(part["owned"][i] or []), *(part["fetched"][i] or [])]}
-                form, data = _container(part["lengths"][i], part["digests"][i], part["places"][i], part["inline"][i], known)
-                share = np.bincount(np.frombuffer(data, np.uint8), minlength=256) / len(data)
-                share = share[share > 0]
-                feature = f"chunks={len(part['lengths'][i])};distinct={len(set(part['digests'][i]))};entropy={float(-(share * np.log2(share)).sum()):.4f};least={min(part['digests'][i]).hex()[:16]}"
-                out.append((part["n_bytes"][i], len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(form), hashlib.sha256(form).hexdigest(), feature))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([cols["key"].slice(lo, 256), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]], ["doc_id", *[f.split()[0] for f in RESULT.split(", ")]])
+                chunks = listed(form)
+                data = rebuilt(chunks, part["places"][i], part["inline"][i], known)
+                out.append((part["n_bytes"][i], len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(form), hashlib.sha256(form).hexdigest(), feature(chunks, data)))
+            yield pa.RecordBatch.from_arrays([cols["key"].slice(lo, 256), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]], names)
+
+
+def _asked(batches):
+    """(key, digest) of the chunks that a row names."""
+    for b in batches:
+        at, digests = [], []
+        for i, (form, places) in enumerate(zip(b.column("form").to_pylist(), b.column("places").to_pylist(), strict=True)):
+            own = {d for (d, _), p in zip(listed(form), places, strict=True) if p == NAMED}
+            digests += own
+            at += [i] * len(own)
+        yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at, pa.int64())), pa.array(digests, pa.binary())], ["key", "digest"])
 
 
 def read_media(spark: SparkSession, path: str) -> DataFrame:
-    """Rebuilds and verifies every payload of a stored table: doc_id and RESULT's columns.
+    """Rebuilds and verifies every payload of a stored table: doc_id and RESULT's columns. media_bytes and
+    media_sha256 are of the stored chunk list.
 
     Rows whose chunks are all in the row itself move nowhere; for the others only the named chunks and
     what the row holds itself are shuffled. A lost or altered chunk raises ValueError.
     """
     table = spark.read.parquet(path)
     kind = table.schema["key"].dataType.simpleString()
-    named = F.array_contains("places", NAMED)
+    named = F.instr(F.hex("places"), f"{NAMED:02X}") > 0
     chunks = table.select(F.explode("owned").alias("c")).select("c.digest", "c.bytes").groupBy("digest").agg(F.first("bytes").alias("bytes"))
-    wanted = F.array_distinct(F.transform(F.filter(F.arrays_zip("digests", "places"), lambda x: x["places"] == NAMED), lambda x: x["digests"]))
-    asked = table.filter(named).select("key", F.explode(wanted).alias("digest"))
-    fetched = asked.distinct().join(chunks, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "bytes")).alias("fetched"))
+    asked = stored(table.filter(named).select("key", "form", "places").mapInArrow(_asked, f"key {kind}, digest binary").distinct(), "asked-digests")
+    fetched = salted_join(asked, chunks, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "bytes")).alias("fetched"))
     t, f = table.filter(named).alias("t"), fetched.alias("f")
     far = t.join(f, F.col("t.key").eqNullSafe(F.col("f.key"))).select("t.*", "f.fetched")
     near = table.filter(~named).withColumn("fetched", F.lit(None).cast(fetched.schema["fetched"].dataType))

@@ -9,25 +9,30 @@ equal to their weighted Jaccard similarity, without bias. Points are drawn up to
 components are filled, later only where one is not.
 
 Bands of the signature name candidates; multiset overlap verifies every link. Groups are linked through hubs
-rather than by all pairs: see near_duplicate_classes.
+rather than by all pairs, and what hubs leave open is searched as arrays: see near_duplicate_classes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import blocks, mix, packed, shingle_hashes, stored, unpacked
+from veridoc.llm.common import blocks, compressed, mix, salted_join, shingle_hashes, stored, unpacked
 
 COMPONENTS, BAND_ROWS = 128, 4
 BANDS = COMPONENTS // BAND_ROWS
 SIMILAR = 0.8
 WORDS = 5
-#: A bucket with members of more classes than this is searched in blocks.
-MANY, BLOCK_ROWS = 8, 4096
+#: A bucket with members of more classes than this isn't linked through hubs. A search holds about so many
+#: texts, and bytes of compressed text, twice at most.
+MANY, BLOCK_ROWS, BLOCK_BYTES = 8, 4096, 1 << 25
+#: Bands by which a bucket of more than BLOCK_ROWS members is split further.
+DEEPER = 3
 #: Components in which a similar pair agrees, but for less than one in a million (102 on average).
 AGREE = 80
 #: Filled by then with probability exp(-e^-SLACK) a component on average; other documents draw on.
@@ -115,6 +120,15 @@ def band_keys(rows: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def digest(text: str | None) -> bytes:
+    """Names a text; null counts as empty. text_digest is the same as a column."""
+    return hashlib.sha256((text or "").encode()).digest()[:16]
+
+
+def text_digest(text: str):
+    return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)), 1, 16)
+
+
 def _signed(batches):
     for b in batches:
         texts = b.column("text").to_pylist()
@@ -123,15 +137,24 @@ def _signed(batches):
             owner, shingles, weights = bags(part)
             size = np.bincount(owner, weights, hi - lo).astype(np.int64)
             rows = signatures(owner, shingles, weights, hi - lo)
-            keys = band_keys(rows)
-            keys = [k if n else [] for k, n in zip(keys.tolist(), size, strict=True)]
-            same = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in part]
+            keys = [k if n else [] for k, n in zip(band_keys(rows).tolist(), size, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("key").slice(lo, hi - lo), pa.array(same, pa.binary()), pa.array(size), pa.array(keys, pa.list_(pa.int64())), pa.array([r.tobytes() for r in rows.astype("<u2")], pa.binary())],
-                ["key", "same", "size", "bands", "sig"],
+                [b.column("id").slice(lo, hi - lo), pa.array(map(digest, part), pa.binary()), pa.array(size), pa.array(keys, pa.list_(pa.int64())), pa.array([r.tobytes() for r in rows.astype("<u2")], pa.binary())],
+                ["id", "key", "size", "bands", "sig"],
             )
 
 
+def _named_texts(batches):
+    """(key, blob) of the texts of a task, copies of one text mostly once."""
+    known: set[bytes] = set()
+    for b in batches:
+        if len(known) > 1_000_000:
+            known.clear()
+        fresh = {k: t for t in b.column("text").to_pylist() if t and (k := digest(t)) not in known}
+        known |= fresh.keys()
+        yield pa.RecordBatch.from_arrays([pa.array(fresh.keys(), pa.binary()), pa.array(compressed([*fresh.values()]), pa.binary())], ["key", "blob"])
+
+
 def overlap(a: list[str | None], b: list[str | None]) -> np.ndarray:
     """Weighted Jaccard similarity of each pair of texts; 0 where neither has a word."""
     known: dict[str | None, int] = {}
@@ -166,12 +189,13 @@ def components(links: DataFrame) -> DataFrame:
     """(key, label): each key's smallest connected key, from links (a, b).
 
     Labels pass along links and then jump to their label's label until nothing changes; every step is a
-    written table. A key of very many links only sends them partial minima."""
-    edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("label"))
+    written table. The links of a key of very many are dealt to several tasks."""
+    edges = stored(links.select("a", F.col("b").alias("key")).union(links.select("b", F.col("a").alias("key"))).distinct(), "links")
+    degree = stored(edges.groupBy("key").agg(F.count("*").alias("n")), "degrees")
+    labels = edges.groupBy("a").agg(F.min("key").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("label"))
     labels = stored(labels, "labels")
     while True:
-        near = edges.join(labels, edges["b"] == labels["key"]).groupBy("a").agg(F.min("label").alias("near"))
+        near = salted_join(edges, labels, "key", degree).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels["key"] == near["a"]).select("key", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("key").alias("up"), F.col("label").alias("top"))
         step = step.join(up, step["label"] == up["up"], "left").select("key", "old", F.least("label", F.coalesce("top", "label")).alias("label"))
@@ -181,52 +205,70 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+PAIR = "a binary, b binary, similarity double"
+
+
+def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, key, class_id, n_copies, kept) of every row; see near_duplicate_classes. key names the row's text,
+    kept marks the rows of one text of each class: one that the class's smallest id has."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    signed = stored(rows.mapInArrow(_signed, f"id {kind}, key binary, size long, bands array<long>, sig binary"), "signatures")
+    # equal texts have equal signatures, so any of them will do; copies are combined before the shuffle
+    nodes = stored(signed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("size", "bands", "sig")]), "texts")
+    labels = _labels(rows, nodes)
+    placed = nodes.select("key", "n", "least").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    placed = stored(placed, "placed")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("first")
+    classes = stored(placed.groupBy("label").agg(F.count("*").alias("n"), F.sum("n").alias("n_copies"), first), "classes")
+    known = salted_join(placed, classes.select("label", "n_copies", F.col("first.least").alias("class_id"), F.col("first.key").alias("kept")), "label", classes)
+    known = stored(known.select("key", "n", "class_id", "n_copies", "kept"), "known")
+    joined = salted_join(signed.select("id", "key"), known.drop("n"), "key", known)
+    return joined.select("id", "key", "class_id", "n_copies", ((F.col("key") == F.col("kept")) & F.col("id").eqNullSafe(F.col("class_id"))).alias("kept"))
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_copies): the class of every row, named by its smallest id.
+    """(doc_id, class_id, n_copies): the class of every row, named by its smallest id, and the class's rows.
 
-    Equal texts are one class from the start, with their smallest id as representative; only representatives
-    are compared. Within a bucket (representatives with one band key) every member is compared with the
-    bucket's smallest; a similarity of SIMILAR or more links them. Where members of a bucket then lie in a few
-    different classes, each is compared with each class's hub, and of the other pairs those that the triangle
-    inequality (1 - similarity is a metric) leaves possible. A bucket of many classes, as a passage in very
-    many documents or copies at the very limit make, is searched in blocks, as arrays: a member outside the
-    block's largest class meets all others, by signature first, and exactly until it is linked. So no bucket is expanded
-    into its pairs, and none is capped. n_copies is the number of rows in the class.
+    Equal texts are one class from the start; only different texts are compared. Within a bucket (texts with one
+    band key) every text is compared with the bucket's first; a similarity of SIMILAR or more links them. Where
+    the texts of a bucket then lie in a few different classes, each is compared with each class's first. Pairs
+    that this leaves open, and buckets of many classes, as a passage in very many documents or copies at the very
+    limit make, are searched as arrays in blocks of bounded size: first by signatures, then by the texts of
+    those that have a candidate in another class, which are compared until they are linked. So no bucket is
+    expanded into its pairs, and none is capped.
 
     Words are lower-cased and stand between white space. Texts without words equal only equal texts; null
-    counts as empty. A text of one to four words has one shingle. Rows with equal ids should have equal texts;
-    if not, all have one of their classes. Null ids form no link and have a null class. Extra columns are left
-    out; an empty table gives no rows.
+    counts as empty. A text of one to four words has one shingle. Rows with equal ids are classed each by its own
+    text. Null ids take part; a class of null ids only has a null class_id. Extra columns are left out; an empty
+    table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
-    signed = stored(rows.mapInArrow(_signed, f"key {kind}, same binary, size long, bands array<long>, sig binary"), "signatures")
-    first = signed.groupBy("same").agg(F.min("key").alias("rep"))
-    members = signed.select("key", "same").join(first, "same").select("key", "rep")
-    reps = signed.join(first, "same").filter("key = rep").select("key", "size", "bands", "sig").dropDuplicates(["key"])
-    buckets = _occupied(reps.select("key", "size", F.explode("bands").alias("band")))
-    wanted = reps.join(buckets.select("key").distinct(), "key").select("key", "sig")
-    texts = stored(packed(rows, "key", "text").join(wanted, "key").dropDuplicates(["key"]), "candidates")
+    return classified(docs, id_col, text_col).select(F.col("id").alias("doc_id"), "class_id", "n_copies")
+
+
+def _labels(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, label) of each text that another is linked with."""
+    banded = nodes.select("key", "size", F.posexplode("bands").alias("place", "band"))
+    shared = stored(banded.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("key", "size")).alias("hub")).filter("n > 1"), "bands")
+    buckets = stored(salted_join(banded, shared.drop("n"), "band", shared), "buckets")
+    wanted = buckets.select("key").distinct()
+    named = rows.select("text").mapInArrow(_named_texts, "key binary, blob binary")
+    texts = stored(named.join(wanted, "key").dropDuplicates(["key"]), "candidates")
     star = buckets.filter(F.col("key") != F.col("hub.key")).filter(_may(F.col("size"), F.col("hub.size")))
-    seen = stored(_compare(star.select(F.col("key").alias("a"), F.col("hub.key").alias("b")).distinct(), texts, kind), "compared")
+    seen = _compared(star.select(F.col("key").alias("a"), F.col("hub.key").alias("b")), texts)
     while True:
         labels = components(seen.filter(F.col("similarity") >= SIMILAR))
-        placed = _mixed(buckets, labels)
-        if placed.isEmpty():
-            break
-        few = stored(placed.filter(F.col("classes") <= MANY), "mixed")
-        hubs = _hubs(few)
-        new = stored(_hub_pairs(few, hubs).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
+        placed, classes, bands = _mixed(buckets, labels)
+        new = stored(_hub_pairs(placed, classes, bands.filter(F.col("classes") <= MANY)).join(seen, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
-            new = stored(_other_pairs(few, hubs, seen).join(seen, ["a", "b"], "left_anti"), "pairs")
-            few = few.limit(0) if new.isEmpty() else few
-        linked = _linked(placed.filter(F.col("classes") > MANY), texts, kind)
-        buckets = few.select("band", "key", "size")
-        seen = stored(seen.unionByName(_compare(new, texts, kind)).unionByName(linked), "compared")
-    rep_class = labels.select(F.col("key").alias("rep"), "label")
-    classed = members.join(rep_class, "rep", "left").select("key", F.coalesce("label", "rep").alias("class_id"))
-    sizes = classed.groupBy("class_id").agg(F.count("*").alias("n_copies"))
-    return classed.join(sizes, "class_id", "left").select(F.col("key").alias("doc_id"), "class_id", "n_copies")
+            break
+        seen = stored(seen.unionByName(_compared(new, texts)), "compared")
+    # of few classes only pairs of two rows that are neither their class's first are open
+    left = bands.filter((F.col("classes") > MANY) | (F.col("deep") > 1))
+    if left.isEmpty():
+        return labels
+    found = _searched(stored(salted_join(placed, left.select("band"), "band", bands), "left"), nodes, texts)
+    return components(seen.filter(F.col("similarity") >= SIMILAR).unionByName(found))
 
 
 def _may(a, b):
@@ -234,120 +276,163 @@ def _may(a, b):
     return F.least(a, b) >= F.greatest(a, b) * SIMILAR - 1e-9
 
 
-def _occupied(banded: DataFrame) -> DataFrame:
-    """Rows (band, key, size, hub) of bands with several rows, with their smallest as hub."""
-    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("key", "size")).alias("hub")).filter("n > 1").drop("n")
-    return stored(banded.join(shared, "band").select("band", "key", "size", "hub"), "buckets")
-
-
-def _compare(pairs: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
-    a = texts.select(F.col("key").alias("a"), F.col("blob").alias("blob_a"))
-    b = texts.select(F.col("key").alias("b"), F.col("blob").alias("blob_b"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "blob_a", "blob_b")
-    return both.mapInArrow(_verified, f"a {kind}, b {kind}, similarity double")
-
-
-def _linked(many: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
-    """(a, b, similarity) links that join the classes of buckets of many classes.
-
-    A bucket's rows are packed into blocks of BLOCK_ROWS or so, and each pair of blocks is searched as arrays
-    in one task, which sends on a link for two classes at most, never the pairs it has looked at."""
-    row = F.struct("key", "label", "sig", "blob")
-    spread = F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK_ROWS)))
-    blocks_ = many.join(texts, "key").withColumn("block", spread).groupBy("band", "block").agg(F.collect_list(row).alias("rows"))
-    whole = many.groupBy("band").agg((F.max("members") > BLOCK_ROWS).alias("parts"))
-    a = blocks_.join(whole, "band")
-    alone = a.filter("not parts").select(F.col("rows").alias("left"), F.lit(None).cast(blocks_.schema["rows"].dataType).alias("right"))
-    x, y = a.filter("parts").alias("x"), a.filter("parts").alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.block") <= F.col("y.block")))
-    both = pairs.select(F.col("x.rows").alias("left"), F.when(F.col("x.block") < F.col("y.block"), F.col("y.rows")).alias("right"))
-    return alone.unionByName(both).mapInArrow(_search, f"a {kind}, b {kind}, similarity double")
-
-
-def _search(batches):
-    for b in batches:
-        for i in range(b.num_rows):
-            left, right = b.column("left")[i].as_py(), b.column("right")[i].as_py()
-            found = list(join_classes(left, right))
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], b.schema.field("left").type.value_type.field("key").type), pa.array([f[1] for f in found], b.schema.field("left").type.value_type.field("key").type), pa.array([f[2] for f in found], pa.float64())], ["a", "b", "similarity"])
-
-
-def join_classes(left: list[dict], right: list[dict] | None):
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, similarity) of pairs of keys, in a written table."""
+    pairs = stored(pairs.distinct(), "pairs")
+    count = lambda side: pairs.groupBy(side).agg(F.count("*").alias("n"))
+    one = salted_join(pairs, texts.select(F.col("key").alias("a"), F.col("blob").alias("blob_a")), "a", count("a"))
+    both = salted_join(one, texts.select(F.col("key").alias("b"), F.col("blob").alias("blob_b")), "b", count("b"), ["a"])
+    return stored(both.select("a", "b", "blob_a", "blob_b").mapInArrow(_verified, PAIR), "compared")
+
+
+def _mixed(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: the rows of all buckets with their label; the number of rows of each class of a bucket and
+    its first row; and of buckets of several classes the number of rows, of classes, and of classes of several
+    rows (deep)."""
+    placed = buckets.select("band", "place", "key", "size").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    placed = stored(placed, "placed")
+    classes = stored(placed.groupBy("band", "label").agg(F.count("*").alias("n"), F.min(F.struct("key", "size")).alias("first")), "classes")
+    bands = classes.groupBy("band").agg(F.sum("n").alias("n"), F.count("*").alias("classes"), F.sum((F.col("n") > 1).cast("int")).alias("deep"))
+    return placed, classes, stored(bands.filter("classes > 1"), "mixed")
+
+
+def _hub_pairs(placed: DataFrame, classes: DataFrame, bands: DataFrame) -> DataFrame:
+    """Each row of the given buckets with the first rows of its classes, at most MANY pairs for a row."""
+    hubs = classes.join(bands.select("band"), "band").select("band", "first")
+    both = salted_join(placed.select("band", "key", "size"), hubs, "band", bands)
+    both = both.filter((F.col("key") != F.col("first.key")) & _may(F.col("size"), F.col("first.size")))
+    return both.select(F.greatest("key", "first.key").alias("a"), F.least("key", "first.key").alias("b")).distinct()
+
+
+def _searched(left: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (PAIR's columns) that join the classes of buckets; left: (band, place, key, size, label) of their rows."""
+    signed = left.join(nodes.select("key", "sig", "bands"), "key")
+    close = stored(_close(signed.withColumn("last", F.col("place"))).distinct(), "close")
+    rows = left.join(close, "key").join(nodes.select("key", "sig"), "key").join(texts, "key")
+    rows = stored(rows.select("band", "place", "key", "size", "label", "sig", "blob"), "close-texts")
+    blocked = _blocks(rows, F.octet_length("blob"))
+    return _by_block(blocked.select("band", "low", "high", "side", "place", "key", "size", "label", "sig", "blob"), _links, PAIR)
+
+
+def _close(rows: DataFrame) -> DataFrame:
+    """Keys of rows with a candidate of another class in their bucket. Large buckets are split by a further band
+    that members share, DEEPER times, for similar texts share many; what is large even then is searched whole."""
+    found = None
+    for level in range(DEEPER + 1):
+        rows = stored(rows.select("band", "last", "key", "size", "label", "sig", "bands"), "members")
+        counts = stored(rows.groupBy("band").agg(F.count("*").alias("n"), (F.min("label") < F.max("label")).alias("mixed")).filter("mixed"), "members")
+        large = counts.filter(F.col("n") > (BLOCK_ROWS if level < DEEPER else 2**62))
+        small = salted_join(rows, counts.join(large.select("band"), "band", "left_anti").select("band"), "band", counts, ["key"])
+        here = _by_block(_blocks(small, F.lit(1)).select("band", "low", "high", "side", "key", "size", "label", "sig"), _candidates, "key binary")
+        found = here if found is None else found.unionByName(here)
+        if large.isEmpty():
+            return found
+        rest = salted_join(rows, large.select("band"), "band", counts, ["key"])
+        deeper = rest.select(F.col("band").alias("path"), F.col("last").alias("at"), "key", "size", "label", "sig", "bands", F.posexplode("bands").alias("last", "next")).filter("last > at")
+        rows = deeper.withColumn("band", F.xxhash64("path", "next")).drop("path", "at", "next")
+    return found
+
+
+def _blocks(rows: DataFrame, weight) -> DataFrame:
+    """rows dealt to pairs of blocks (low, high) of their band, each row once for each block of the band, with
+    the side that it stands on. A block has about BLOCK_ROWS rows and BLOCK_BYTES of weight."""
+    size = stored(rows.groupBy("band").agg(F.count("*").alias("n"), F.sum(weight).alias("weight")), "sizes")
+    parts = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("weight") / BLOCK_BYTES, F.lit(1))).cast("int")
+    dealt = salted_join(rows, size.select("band", parts.alias("parts")), "band", size, ["key"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).withColumn("side", (F.col("block") == F.col("high")).cast("int"))
+
+
+def _by_block(rows: DataFrame, search: Callable, schema: str) -> DataFrame:
+    """What search yields for each (band, low, high), given those rows' columns after these three as lists."""
+    block = ["band", "low", "high"]
+    names = [c for c in rows.columns if c not in block]
+
+    def run(batches):
+        current, held = None, {c: [] for c in names}
+        for b in batches:
+            keys = list(zip(*[b.column(c).to_pylist() for c in block], strict=True))
+            cols = {c: b.column(c).to_pylist() for c in names}
+            start = 0
+            for i, key in enumerate(keys):
+                if key != current:
+                    for c in names:
+                        held[c] += cols[c][start:i]
+                    if len(held["key"]) > 1:
+                        yield from search(held)
+                    current, start, held = key, i, {c: [] for c in names}
+            for c in names:
+                held[c] += cols[c][start:]
+        if len(held["key"]) > 1:
+            yield from search(held)
+
+    return rows.repartition(*block).sortWithinPartitions(*block, "key").mapInArrow(run, schema)
+
+
+def _candidates_of(x: int, sig: np.ndarray, label: np.ndarray, size: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Rows of another class, on the other side if there are two, that agree with row x in AGREE components."""
+    agree = (sig == sig[x]).sum(axis=1)
+    near = np.flatnonzero((agree >= AGREE) & (label != label[x]) & (np.minimum(size, size[x]) >= np.maximum(size, size[x]) * SIMILAR - 1e-9) & (side != side[x] if side.any() and not side.all() else True))
+    return near[np.argsort(-agree[near], kind="stable")]
+
+
+def _arrays(held: dict[str, list]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    names: dict[bytes, int] = {}
+    label = np.array([names.setdefault(x, len(names)) for x in held["label"]])
+    return np.frombuffer(b"".join(held["sig"]), "<u2").reshape(-1, COMPONENTS), label, np.array(held["size"]), np.array(held["side"])
+
+
+def _candidates(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
+    sig, label, size, side = _arrays(held)
+    close = np.zeros(len(label), bool)
+    for x in np.flatnonzero(label != np.bincount(label).argmax()):
+        near = _candidates_of(x, sig, label, size, side)
+        close[near] = True
+        close[x] |= len(near) > 0
+    if close.any():
+        yield pa.RecordBatch.from_arrays([pa.array([held["key"][i] for i in np.flatnonzero(close)], pa.binary())], ["key"])
+
+
+def _links(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
+    found = list(join_classes(held))
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.float64()))], ["a", "b", "similarity"])
+
+
+def join_classes(held: dict[str, list]) -> Iterator[tuple[bytes, bytes, float]]:
     """(larger key, smaller key, similarity) links between different classes among the rows of one block, or
-    across two. Pairs whose signatures agree in fewer than AGREE components are no candidates."""
-    rows = left + (right or [])
-    sig = np.frombuffer(b"".join(r["sig"] for r in rows), "<u2").reshape(len(rows), COMPONENTS)
-    texts = unpacked([r["blob"] for r in rows])
-    owner, shingles, weights = bags(texts)
-    ends = np.searchsorted(owner, np.arange(len(rows) + 1))
-    total = np.bincount(owner, weights, len(rows))
-    names = {label: i for i, label in enumerate(dict.fromkeys(r["label"] for r in rows))}
-    label = np.array([names[r["label"]] for r in rows])
-    bands = sig.reshape(len(rows), BANDS, BAND_ROWS)
-    here = (bands == bands[0]).all(axis=(0, 2))  # the bucket's band, and any other that all share
-    largest = np.bincount(label).argmax()
-    side = np.arange(len(rows)) < len(left)
-    for x in np.flatnonzero(label != largest):
-        agree = (sig == sig[x]).sum(axis=1)
-        small, big = np.minimum(total, total[x]), np.maximum(total, total[x])
-        near = np.flatnonzero((agree >= AGREE) & (label != label[x]) & (small >= big * SIMILAR - 1e-9) & ((side != side[x]) if right else True))
-        # a pair is looked at in the first band that it shares
-        near = near[here[(bands[near] == bands[x]).all(axis=2).argmax(axis=1)]]
+    across two. A pair is looked at in the first band that it shares."""
+    sig, label, size, side = _arrays(held)
+    bands = sig.reshape(len(sig), BANDS, BAND_ROWS)
+    place = held["place"][0]
+    owner, shingles, weights = bags(unpacked(held["blob"]))
+    ends = np.searchsorted(owner, np.arange(len(sig) + 1))
+    for x in np.flatnonzero(label != np.bincount(label).argmax()):
+        near = _candidates_of(x, sig, label, size, side)
+        near = near[(bands[near] == bands[x]).all(axis=2).argmax(axis=1) == place]
         sx, wx = shingles[ends[x] : ends[x + 1]], weights[ends[x] : ends[x + 1]]
-        for y in near[np.argsort(-agree[near], kind="stable")]:
+        for y in near:
             if label[y] == label[x]:
                 continue
             sy, wy = shingles[ends[y] : ends[y + 1]], weights[ends[y] : ends[y + 1]]
             at = np.minimum(np.searchsorted(sx, sy), len(sx) - 1)
             both = np.minimum(wx[at], wy)[sx[at] == sy].sum()
-            similarity = both / (total[x] + total[y] - both)
+            similarity = both / (size[x] + size[y] - both)
             if similarity >= SIMILAR:
-                a, b = rows[x]["key"], rows[y]["key"]
+                a, b = held["key"][x], held["key"][y]
                 yield max(a, b), min(a, b), float(similarity)
                 label[label == label[x]] = label[y]
 
 
-def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of buckets that hold several classes, with their class, the number of classes and of members."""
-    placed = buckets.select("band", "key", "size").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    counts = placed.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("classes"), F.sum("n").alias("members"))
-    return stored(placed.join(counts.filter("classes > 1"), "band"), "mixed")
-
-
-def _hubs(placed: DataFrame) -> DataFrame:
-    """(band, hub_label, hub, hub_size): the smallest member of each class in each bucket."""
-    grouped = placed.groupBy("band", "label").agg(F.min(F.struct("key", "size")).alias("h"))
-    return grouped.select("band", F.col("label").alias("hub_label"), F.col("h.key").alias("hub"), F.col("h.size").alias("hub_size"))
-
-
-def _hub_pairs(placed: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Each member with each of the hubs of its bucket, at most MANY pairs for a row."""
-    both = placed.select("band", "key", "size").join(hubs.select("band", "hub", "hub_size"), "band").filter((F.col("key") != F.col("hub")) & _may(F.col("size"), F.col("hub_size")))
-    return both.select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b"))
-
-
-def _distances(placed: DataFrame, hubs: DataFrame, seen: DataFrame) -> DataFrame:
-    """(band, key, size, label, hub_label, d): distance of each member to each of the hubs of its bucket."""
-    both = placed.join(hubs, "band").withColumn("a", F.greatest("key", "hub")).withColumn("b", F.least("key", "hub"))
-    known = both.join(seen, ["a", "b"], "left")
-    return known.select("band", "key", "size", "label", "hub_label", F.when(F.col("key") == F.col("hub"), 0.0).otherwise(1 - F.col("similarity")).alias("d"))
-
-
-def _other_pairs(few: DataFrame, hubs: DataFrame, seen: DataFrame) -> DataFrame:
-    """Pairs of two classes of a bucket, neither a hub, that the distances to both hubs leave possible."""
-    far = _distances(few, hubs, seen)
-    own = far.filter("label = hub_label and (d is null or d > 0)").select("band", "key", "size", "label", F.col("d").alias("d_own"))
-    cross = far.filter("label != hub_label").select("band", "key", F.col("hub_label").alias("other"), F.col("d").alias("d_other"))
-    sides = own.join(cross, ["band", "key"])
-    x, y = sides.alias("x"), sides.alias("y")
-    near = lambda p, q: F.coalesce(F.abs(F.col(p) - F.col(q)) <= 1 - SIMILAR + 1e-9, F.lit(True))  # noqa: E731  unknown: not ruled out
-    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.label") == F.col("y.other")) & (F.col("x.other") == F.col("y.label")) & (F.col("x.key") > F.col("y.key"))
-    possible = near("x.d_own", "y.d_other") & near("x.d_other", "y.d_own") & _may(F.col("x.size"), F.col("y.size"))
-    return x.join(y, on & possible).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-
-
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs, in all their columns, whose id is the smallest of its class; of rows with equal ids
-    all stay, and so do rows without an id."""
-    classes = near_duplicate_classes(docs).filter("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_anti")
+    """The rows of docs, in all their columns, with one text of each class: a text that the class's smallest id has.
+
+    Of rows with that id and text all stay, so repeated rows do, and so do rows without an id where no row of
+    the class has one. Null texts count as empty: all empty texts are one class. An empty table stays empty."""
+    names = ["_near_id", "_near_key"]
+    while set(names) & set(docs.columns):
+        names = [n + "_" for n in names]
+    lost = classified(docs).filter("not kept").select(F.col("id").alias(names[0]), F.col("key").alias(names[1])).distinct()
+    named = docs.withColumn("_text_key_" + names[1], text_digest("text"))
+    own = named["_text_key_" + names[1]]
+    return named.join(lost, named["doc_id"].eqNullSafe(lost[names[0]]) & (own == lost[names[1]]), "left_anti").select(*docs.columns)
