@@ -26,6 +26,8 @@ BUCKETS = 1 << BUCKET_BITS
 WEIGHT_NGRAMS = 50
 #: Labelled rows that the target model and the cut are fitted on at most.
 SAMPLE_ROWS = 10_000
+#: One labelled row in so many finds the cut, the others the target model.
+CUT_SHARE = 4
 _REPEAT = 0
 
 
@@ -82,17 +84,21 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
 
 def _sample(labels: DataFrame, rows: int) -> DataFrame:
     usable = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumn("cut", F.crc32(F.col("doc_id").cast("string")) % CUT_SHARE == 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Ratio | None, float]:
     """The ratio, and the mean log ratio that parts good from bad labelled rows best (balanced accuracy).
 
-    The raw model counts all of docs; the target model and the cut use at most ``sample_rows`` labelled rows.
-    Without good rows there is no ratio; without bad ones the cut is below every row."""
-    sample = F.broadcast(_sample(labels, sample_rows))  # sample_rows rows of two numbers at most
+    The raw model counts all of docs; the target model and the cut use at most ``sample_rows`` labelled rows: one
+    in CUT_SHARE for the cut, which the target model does not count, and the others for the target model (all for
+    both where the cut's rows lack a label). Without good rows there is no ratio; without bad ones the cut is
+    below every row. Of rows with equal ids, the smallest ratio counts for the cut."""
+    sample = F.broadcast(_sample(labels, sample_rows))  # sample_rows rows of three values at most
     texts = docs.select("doc_id", "text").join(sample, "doc_id")
-    target = bucket_counts(texts.filter("quality > 0"))
+    held = {(bool(r["good"]), r["cut"]) for r in texts.groupBy((F.col("quality") > 0).alias("good"), "cut").count().collect()}
+    apart = {(True, True), (False, True), (True, False)} <= held
+    target = bucket_counts(texts.filter("quality > 0 and not cut" if apart else "quality > 0"))
     if not target.sum():
         return None, -np.inf
     raw = bucket_counts(docs)
@@ -100,8 +106,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
     # the raw model also smooths the target model, by as many n-grams as there are buckets
     ratio = Ratio(np.log((target + BUCKETS * share + 1e-9) / (target.sum() + BUCKETS)) - np.log(share + 1e-9 / raw.sum()))
     ratio.log_ratio[raw == 0] = 0
-    found = with_ratio(texts, ratio).select("quality", "_ratio.mean").toPandas()
-    return ratio, _cut(found["mean"].to_numpy(), (found["quality"] > 0).to_numpy())
+    judged = with_ratio(texts.filter("cut") if apart else texts, ratio).groupBy("doc_id").agg((F.max("quality") > 0).alias("good"), F.min("_ratio.mean").alias("mean"))
+    found = judged.select("good", "mean").toArrow()  # two numbers for each sampled id
+    return ratio, _cut(found.column("mean").to_numpy(), found.column("good").to_numpy(zero_copy_only=False))
 
 
 def _cut(means: np.ndarray, good: np.ndarray) -> float:
@@ -117,11 +124,10 @@ def _cut(means: np.ndarray, good: np.ndarray) -> float:
 
 def with_ratio(docs: DataFrame, ratio: Ratio, name: str = "_ratio", text_col: str = "text") -> DataFrame:
     """docs with a struct of mean and n; null texts count as empty, whole texts are read."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)  # a fixed number of buckets
 
-    @F.pandas_udf("mean double, n long")
+    @F.pandas_udf("mean double, n long")  # the ratios, a fixed number of them, travel with the function
     def score(texts: pd.Series) -> pd.DataFrame:
-        mean, n = shared.value.means([t if isinstance(t, str) else None for t in texts])
+        mean, n = ratio.means([t if isinstance(t, str) else None for t in texts])
         return pd.DataFrame({"mean": mean, "n": n})
 
     return docs.withColumn(name, score(F.col(text_col)))
@@ -172,7 +178,10 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 13, sample_rows: in
 
 
 def selected_documents(docs: DataFrame, labels: DataFrame, seed: int = 13) -> DataFrame:
-    """The sampled rows of docs in all their columns; ratios are computed again, so no text is shuffled."""
+    """The sampled rows of docs in all their columns; ratios are computed again, so no text is shuffled.
+
+    Null texts count as empty (ratio 0), null ids share one key's noise, repeated rows and ties at the cut go the
+    same way, columns of any name stay; an empty table, or labels without good rows, leave docs as it is."""
     _, ratio, limit = resample(docs, labels, seed)
     if ratio is None:
         return docs
