@@ -267,7 +267,7 @@ def _labels(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     left = bands.filter((F.col("classes") > MANY) | (F.col("deep") > 1))
     if left.isEmpty():
         return labels
-    found = _searched(stored(salted_join(placed, left.select("band"), "band", bands), "left"), nodes, texts)
+    found = _searched(stored(salted_join(placed, left.select("band", "n"), "band", bands), "left"), nodes, texts)
     return components(seen.filter(F.col("similarity") >= SIMILAR).unionByName(found))
 
 
@@ -297,49 +297,55 @@ def _mixed(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame,
 
 
 def _hub_pairs(placed: DataFrame, classes: DataFrame, bands: DataFrame) -> DataFrame:
-    """Each row of the given buckets with the first rows of its classes, at most MANY pairs for a row."""
-    hubs = classes.join(bands.select("band"), "band").select("band", "first")
-    both = salted_join(placed.select("band", "key", "size"), hubs, "band", bands)
-    both = both.filter((F.col("key") != F.col("first.key")) & _may(F.col("size"), F.col("first.size")))
+    """Each row of the given buckets with the first rows of the other classes, fewer than MANY pairs for a row."""
+    hubs = classes.join(bands.select("band"), "band").select("band", F.col("label").alias("other"), "first")
+    both = salted_join(placed.select("band", "label", "key", "size"), hubs, "band", bands, ["key"])
+    both = both.filter((F.col("label") != F.col("other")) & _may(F.col("size"), F.col("first.size")))
     return both.select(F.greatest("key", "first.key").alias("a"), F.least("key", "first.key").alias("b")).distinct()
 
 
 def _searched(left: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (PAIR's columns) that join the classes of buckets; left: (band, place, key, size, label) of their rows."""
+    """Links (PAIR's columns) that join the classes of buckets; left: (band, place, key, size, label, n) of their
+    rows, n being the number of the bucket's rows."""
     signed = left.join(nodes.select("key", "sig", "bands"), "key")
-    close = stored(_close(signed.withColumn("last", F.col("place"))).distinct(), "close")
-    rows = left.join(close, "key").join(nodes.select("key", "sig"), "key").join(texts, "key")
+    close = stored(_close(signed.select("*", F.col("place").alias("last"), F.col("band").alias("root"))).distinct(), "close")
+    rows = left.drop("n").join(close.withColumnRenamed("root", "band"), ["band", "key"]).join(nodes.select("key", "sig"), "key").join(texts, "key")
     rows = stored(rows.select("band", "place", "key", "size", "label", "sig", "blob"), "close-texts")
-    blocked = _blocks(rows, F.octet_length("blob"))
+    sizes = stored(rows.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.octet_length("blob")).alias("bytes"), (F.min("label") < F.max("label")).alias("mixed")).filter("mixed"), "sizes")
+    rows = salted_join(rows, sizes.select("band", F.greatest(F.col("n") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES).alias("parts")), "band", sizes, ["key"])
+    blocked = _blocks(rows, F.col("parts"))
     return _by_block(blocked.select("band", "low", "high", "side", "place", "key", "size", "label", "sig", "blob"), _links, PAIR)
 
 
 def _close(rows: DataFrame) -> DataFrame:
-    """Keys of rows with a candidate of another class in their bucket. Large buckets are split by a further band
+    """(root, key) of rows with a candidate of another class in their bucket, which is named by its first band (root);
+    a pair counts in the first band that it shares. Large buckets are split by a further band
     that members share, DEEPER times, for similar texts share many; what is large even then is searched whole."""
-    found = None
+    columns = ["root", "place", "band", "last", "key", "size", "label", "sig", "bands", "n"]
+    rows, found = stored(rows.select(*columns), "members"), None
     for level in range(DEEPER + 1):
-        rows = stored(rows.select("band", "last", "key", "size", "label", "sig", "bands"), "members")
-        counts = stored(rows.groupBy("band").agg(F.count("*").alias("n"), (F.min("label") < F.max("label")).alias("mixed")).filter("mixed"), "members")
-        large = counts.filter(F.col("n") > (BLOCK_ROWS if level < DEEPER else 2**62))
-        small = salted_join(rows, counts.join(large.select("band"), "band", "left_anti").select("band"), "band", counts, ["key"])
-        here = _by_block(_blocks(small, F.lit(1)).select("band", "low", "high", "side", "key", "size", "label", "sig"), _candidates, "key binary")
+        large = rows.filter(F.col("n") > BLOCK_ROWS) if level < DEEPER else rows.limit(0)
+        small = rows.filter(F.col("n") <= BLOCK_ROWS) if level < DEEPER else rows
+        blocked = _blocks(small, F.col("n") / BLOCK_ROWS)
+        here = _by_block(blocked.select("band", "low", "high", "side", "root", "place", "key", "size", "label", "sig"), _candidates, "root long, key binary")
         found = here if found is None else found.unionByName(here)
         if large.isEmpty():
-            return found
-        rest = salted_join(rows, large.select("band"), "band", counts, ["key"])
-        deeper = rest.select(F.col("band").alias("path"), F.col("last").alias("at"), "key", "size", "label", "sig", "bands", F.posexplode("bands").alias("last", "next")).filter("last > at")
-        rows = deeper.withColumn("band", F.xxhash64("path", "next")).drop("path", "at", "next")
+            break
+        after = F.posexplode(F.slice("bands", F.col("last") + 2, BANDS)).alias("step", "next")
+        split = large.select("root", "place", F.col("band").alias("path"), F.col("last").alias("at"), "key", "size", "label", after)
+        split = stored(split.select("root", "place", F.xxhash64("path", "next").alias("band"), (F.col("at") + F.col("step") + 1).alias("last"), "key", "size", "label"), "split")
+        counts = split.groupBy("band").agg(F.count("*").alias("n"), (F.min("label") < F.max("label")).alias("mixed")).filter("mixed").drop("mixed")
+        counts = stored(counts, "split-sizes")
+        signed = large.select("key", "sig", "bands").dropDuplicates(["key"])
+        rows = stored(salted_join(split, counts, "band", counts, ["key"]).join(signed, "key").select(*columns), "members")
     return found
 
 
-def _blocks(rows: DataFrame, weight) -> DataFrame:
-    """rows dealt to pairs of blocks (low, high) of their band, each row once for each block of the band, with
-    the side that it stands on. A block has about BLOCK_ROWS rows and BLOCK_BYTES of weight."""
-    size = stored(rows.groupBy("band").agg(F.count("*").alias("n"), F.sum(weight).alias("weight")), "sizes")
-    parts = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("weight") / BLOCK_BYTES, F.lit(1))).cast("int")
-    dealt = salted_join(rows, size.select("band", parts.alias("parts")), "band", size, ["key"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+def _blocks(rows: DataFrame, parts) -> DataFrame:
+    """rows dealt to pairs of blocks (low, high) of their band, which has so many parts: each row once for each
+    block of the band, with the side that it stands on."""
+    parts = F.greatest(F.ceil(parts), F.lit(1)).cast("int")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("key"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     return dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).withColumn("side", (F.col("block") == F.col("high")).cast("int"))
 
 
@@ -369,10 +375,13 @@ def _by_block(rows: DataFrame, search: Callable, schema: str) -> DataFrame:
     return rows.repartition(*block).sortWithinPartitions(*block, "key").mapInArrow(run, schema)
 
 
-def _candidates_of(x: int, sig: np.ndarray, label: np.ndarray, size: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Rows of another class, on the other side if there are two, that agree with row x in AGREE components."""
+def _candidates_of(x: int, place: int, sig: np.ndarray, label: np.ndarray, size: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Rows of another class, on the other side if there are two, that agree with row x in AGREE components, and
+    share no band with it before the one at ``place``."""
     agree = (sig == sig[x]).sum(axis=1)
     near = np.flatnonzero((agree >= AGREE) & (label != label[x]) & (np.minimum(size, size[x]) >= np.maximum(size, size[x]) * SIMILAR - 1e-9) & (side != side[x] if side.any() and not side.all() else True))
+    first = (sig[near] == sig[x]).reshape(len(near), BANDS, BAND_ROWS).all(axis=2).argmax(axis=1)
+    near = near[first == place]
     return near[np.argsort(-agree[near], kind="stable")]
 
 
@@ -386,11 +395,12 @@ def _candidates(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
     sig, label, size, side = _arrays(held)
     close = np.zeros(len(label), bool)
     for x in np.flatnonzero(label != np.bincount(label).argmax()):
-        near = _candidates_of(x, sig, label, size, side)
+        near = _candidates_of(x, held["place"][0], sig, label, size, side)
         close[near] = True
         close[x] |= len(near) > 0
-    if close.any():
-        yield pa.RecordBatch.from_arrays([pa.array([held["key"][i] for i in np.flatnonzero(close)], pa.binary())], ["key"])
+    at = np.flatnonzero(close).tolist()
+    if at:
+        yield pa.RecordBatch.from_arrays([pa.array([held["root"][i] for i in at], pa.int64()), pa.array([held["key"][i] for i in at], pa.binary())], ["root", "key"])
 
 
 def _links(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
@@ -403,13 +413,10 @@ def join_classes(held: dict[str, list]) -> Iterator[tuple[bytes, bytes, float]]:
     """(larger key, smaller key, similarity) links between different classes among the rows of one block, or
     across two. A pair is looked at in the first band that it shares."""
     sig, label, size, side = _arrays(held)
-    bands = sig.reshape(len(sig), BANDS, BAND_ROWS)
-    place = held["place"][0]
     owner, shingles, weights = bags(unpacked(held["blob"]))
     ends = np.searchsorted(owner, np.arange(len(sig) + 1))
     for x in np.flatnonzero(label != np.bincount(label).argmax()):
-        near = _candidates_of(x, sig, label, size, side)
-        near = near[(bands[near] == bands[x]).all(axis=2).argmax(axis=1) == place]
+        near = _candidates_of(x, held["place"][0], sig, label, size, side)
         sx, wx = shingles[ends[x] : ends[x + 1]], weights[ends[x] : ends[x + 1]]
         for y in near:
             if label[y] == label[x]:
