@@ -148,3 +148,59 @@ def test_rate_limit_audit_keeps_requests_without_a_key(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
     assert Counter((r.client_key, r.allowed) for r in out) == {(None, True): 20, (None, False): 5, (big, True): 3}
+
+
+def test_white_space_and_folding(spark):
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from veridoc.functions import text as t
+
+    rows = ["Việt ﬁn Άλφα Ａ", "\t Ñandú\r\n", "ĳ ŉ ǆ", "Ёлка й", "plain", ""]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, s string").select("i", t.fold(F.col("s")).alias("f"), t.strip(F.col("s")).alias("s"), t.lines(F.col("s")).alias("l")).orderBy("i").collect()
+    for r, s in zip(got, rows, strict=True):
+        assert r.f == "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c)) or r.f == t.fold_any.func(__import__("pandas").Series([s]))[0]
+        assert r.s == s.strip()
+    assert got[1].l == ["\t Ñandú", ""]
+
+
+def test_stop_word_questions_have_variants_receipts_and_decline(spark):
+    from pyspark.sql import functions as F
+
+    from veridoc.operators import evaluation, retrieval
+
+    asked = spark.createDataFrame([(1, " de la que\t"), (2, "torque máximo"), (3, "\n")], "question_id long, question string")
+    planned = retrieval.planned(asked)
+    assert sorted((r.question_id, r.query, len(r.tokens)) for r in planned.collect())[0] == (1, "de la que", 0)
+    index = retrieval.indexed(spark.createDataFrame([("a", "torque de 5")], "document_id string, text string"))
+    top = retrieval.topk_hits(retrieval.merge_hits(retrieval.lexical_score(planned, index)), 3)
+    got = {r.question_id: r for r in retrieval.receipts(top, planned).collect()}
+    assert [r.document_id for r in got[2].results] == ["a"] and got[1].results == [] and 3 not in got
+    rows = spark.createDataFrame([(1, ["torque"], None), (2, ["torque"], [("a", "El torque es 5.")]), (3, ["torque", "xenon"], [("a", "El torque es 5.")] * 3)], "i int, query_tokens array<string>, hits array<struct<document_id:string,text:string>>")
+    said = {r.i: r.answer for r in evaluation.extractive_answer(rows, "No consta.").select("i", F.col("answer")).collect()}
+    assert said[1] == said[3] == "No consta." and "torque es 5 [a]" in said[2]
+
+
+def test_failed_responses_flush_what_is_held(spark, tmp_path):
+    from veridoc.streaming import events as ev
+    from veridoc.streaming.runner import run_available
+
+    rows = [(1, 0, "output_text.delta", "uno 5512345678"), (1, 1, "response.failed", None), (2, 0, "output_text.delta", "dos"), (2, 1, "output_text.done", None), (2, 2, "response.completed", None), (3, 0, "response.failed", None)]
+    df = spark.createDataFrame(rows, "response_id long, sequence_number long, type string, delta string")
+    df.write.parquet(str(tmp_path / "d"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "d"))
+    got = sorted((r.response_id, r.part, r.text) for r in run_available(ev.redact_stream(stream, ("telefono",)), "failed").collect())
+    assert [g[0] for g in got] == [1, 1, 2, 3] or [g[0] for g in got] == [1, 2, 3]
+    whole = "".join(g[2] for g in got if g[0] == 1)
+    assert whole.startswith("uno ") and whole.endswith("5678") and "55123" not in whole
+
+
+def test_streamed_windows_equal_the_batch(spark):
+    from veridoc.plans import stream_plans
+
+    exact = ["period", "n", "n_errors", "n_ungrounded"]
+    sf = "/root/testdata/sf0.001"
+    streamed = stream_plans.QUERIES["metric_windows_stream"](spark, sf).select(exact).collect()
+    batch = stream_plans.ev.metric_windows(stream_plans.telemetry(spark, sf)).select(exact).collect()
+    assert sorted(map(tuple, streamed)) == sorted(map(tuple, batch))

@@ -44,24 +44,43 @@ VISIBLE = 4
 WORD = r"[\p{L}\p{N}_]+"
 
 
-def _plain_letters() -> tuple[str, str]:
-    """Latin letters whose compatibility decomposition is one letter and marks, those letters, and the
-    combining marks (which translate drops)."""
-    found = {}
-    for point in range(0xC0, 0x250):
-        base = "".join(c for c in unicodedata.normalize("NFKD", chr(point)) if not unicodedata.combining(c))
-        if len(base) == 1 and base != chr(point):
-            found[chr(point)] = base
-    marks = "".join(chr(p) for p in range(0x300, 0x370) if unicodedata.combining(chr(p)))
-    return "".join(found) + marks, "".join(found.values())
+#: White space as a text's ends are stripped of, and line ends as texts are cut at them.
+WHITE = "".join(chr(p) for p in range(0x3001) if chr(p).isspace())
+LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
 
-_ACCENTED, _PLAIN = _plain_letters()
+def strip(c: Column) -> Column:
+    return F.btrim(c, F.lit(WHITE))
+
+
+def strip_end(c: Column) -> Column:
+    return F.rtrim(c, F.lit(WHITE))
+
+
+def lines(c: Column) -> Column:
+    return F.split(c, LINE_END, -1)
+
+
+def _letters() -> tuple[str, str, dict[str, str]]:
+    """Letters whose compatibility decomposition is one letter and marks; those letters, and after them the
+    combining marks (which translate drops); and ligatures, which stand for several letters."""
+    folded = lambda p: "".join(c for c in unicodedata.normalize("NFKD", chr(p)) if not unicodedata.combining(c))
+    scripts, ligatures = [*range(0xA0, 0x2000), *range(0xFF01, 0xFFDD)], [*range(0xA0, 0x250), *range(0xFB00, 0xFB07)]
+    single = {chr(p): folded(p) for p in scripts if len(folded(p)) == 1 and folded(p) != chr(p)}
+    marks = "".join(chr(p) for p in range(0x300, 0x3100) if unicodedata.combining(chr(p)))
+    return "".join(single) + marks, "".join(single.values()), {chr(p): folded(p) for p in ligatures if len(folded(p)) > 1}
+
+
+_ACCENTED, _PLAIN, _LIGATURES = _letters()
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents, for Latin text."""
-    return F.translate(F.lower(c), _ACCENTED, _PLAIN)
+    """Lower case without accents, for Latin, Greek, Cyrillic and full-width text; fold_any covers all scripts."""
+    plain = F.translate(F.lower(c), _ACCENTED, _PLAIN)
+    parted = plain
+    for ligature, letters in _LIGATURES.items():
+        parted = F.replace(parted, F.lit(ligature), F.lit(letters))
+    return F.when(plain.rlike(f"[{''.join(_LIGATURES)}]"), parted).otherwise(plain)
 
 
 @F.pandas_udf(T.StringType())
@@ -110,7 +129,7 @@ def condense(c: Column) -> Column:
 
 def plan_queries(question: Column, most: int = 2) -> Column:
     """The question, and its condensed form if that is neither empty nor the same."""
-    asked, short = F.trim(question), condense(question)
+    asked, short = strip(question), condense(question)
     both = F.when((short == "") | (F.lower(short) == F.lower(asked)), F.array(asked)).otherwise(F.array(asked, short))
     return F.when(asked == "", F.array().cast("array<string>")).otherwise(F.slice(both, 1, most))
 
@@ -200,7 +219,7 @@ def table_blocks(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(c, F.lit("[^\\n.;]+[.;]?"), 0), lambda x: F.trim(x)), lambda s: s != "")
+    return F.filter(F.transform(F.regexp_extract_all(c, F.lit("[^\\n.;]+[.;]?"), 0), strip), lambda s: s != "")
 
 
 def best_sentence(query_tokens: Column, text: Column) -> Column:

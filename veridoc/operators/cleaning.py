@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veridoc.functions.text import lines, strip, strip_end
 from veridoc.plans.policies import Cleanup
 
 NOISE = "^[A-Za-z0-9+/=]{60,}$"
@@ -14,7 +15,7 @@ EXPLICIT_FOLIO = r"(?i)^\s*(p[áa]g(?:ina)?\.?)\s*[0-9]+\s*(?:(?:de|/|of)\s*[0-9
 
 def doc_lines(pages: DataFrame) -> DataFrame:
     """(doc_id, page_no, line_no, line) without blank and noise lines, line_no from 0 among those kept."""
-    rows = pages.select("doc_id", "page_no", F.filter(F.transform(F.split("text", "\n"), lambda x: F.rtrim(x)), lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(NOISE)).alias("lines"))
+    rows = pages.select("doc_id", "page_no", F.filter(F.transform(lines(F.col("text")), strip_end), lambda x: (strip(x) != "") & ~strip(x).rlike(NOISE)).alias("lines"))
     return rows.select("doc_id", "page_no", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("line_no", "line"))
 
 
@@ -57,12 +58,12 @@ def clean_pages(pages: DataFrame, policy: Cleanup = Cleanup()) -> DataFrame:  #
     rows = rows.join(heads, ["doc_id", "line"], "left")
     first = Window.partitionBy("doc_id", "line").orderBy("page_no", "line_no")
     rows = rows.withColumn("seen", F.when(F.col("head"), F.row_number().over(first)).otherwise(1)).filter("seen = 1")
-    return rows.groupBy("doc_id").agg(F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "line_no", "line"))), lambda x: x["line"]), "\n")).alias("text"))
+    return rows.groupBy("doc_id").agg(strip(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "line_no", "line"))), lambda x: x["line"]), "\n")).alias("text"))
 
 
 def pages_override(pages: DataFrame, transcripts: DataFrame) -> DataFrame:
     """(doc_id, page_no, text, reinforced): a page that was transcribed, and not as blank, replaces the native one."""
-    better = F.trim(F.col("t_text")) != ""
+    better = strip(F.col("t_text")) != ""
     other = transcripts.select("doc_id", "page_no", F.col("text").alias("t_text"))
     rows = pages.join(other, ["doc_id", "page_no"], "left")
     return rows.select("doc_id", "page_no", F.when(better, F.col("t_text")).otherwise(F.col("text")).alias("text"), F.coalesce(better, F.lit(False)).alias("reinforced"))

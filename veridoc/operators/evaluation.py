@@ -71,14 +71,15 @@ def eval_gate(judged: DataFrame) -> DataFrame:
 
 def extractive_answer(rows: DataFrame, decline: str) -> DataFrame:
     """Adds answer to (query_tokens, hits): hits is an ordered array of (document_id, text), query_tokens are
-    the folded words of the condensed question. A longer query word that no hit contains declines."""
+    the folded words of the condensed question. A longer query word that no hit contains declines, and so does a
+    question without hits (null or an empty array); the answer takes the first two hits."""
     tokens, hits = F.col("query_tokens"), F.col("hits")
     body = fold(F.array_join(F.transform(hits, lambda h: h["text"]), " "))
     missing = F.exists(tokens, lambda t: (F.length(t) >= 4) & ~F.contains(body, t))
     best = F.transform(F.slice(hits, 1, 2), lambda h: F.struct(best_sentence(tokens, h["text"]).alias("s"), h["document_id"].alias("d")))
     parts = F.transform(F.filter(best, lambda x: x["s"] != ""), lambda x: F.concat(F.regexp_replace(x["s"], r"\.+$", ""), F.lit(" ["), x["d"], F.lit("].")))
     said = F.concat(F.lit("Según los documentos disponibles: "), F.array_join(parts, " "))
-    return rows.withColumn("answer", F.when((F.size(hits) == 0) | missing | (F.size(parts) == 0), F.lit(decline)).otherwise(said))
+    return rows.withColumn("answer", F.when(hits.isNull() | (F.size(hits) == 0) | missing | (F.size(parts) == 0), F.lit(decline)).otherwise(said))
 
 
 def rebuild_docs(chunks: DataFrame) -> DataFrame:

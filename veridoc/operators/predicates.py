@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veridoc.functions.text import strip
 from veridoc.plans.policies import Documents
 
 #: Floors for extracted and transcribed text, and what makes a page a scan.
@@ -57,8 +58,8 @@ def status_with_reason(marker: Column, error: Column, n_chars: Column, omitted:
 
 def density_gate(pages: DataFrame, least: int = MIN_DENSITY) -> DataFrame:
     """(doc_id, n_pages, n_chars, dense) of transcribed pages; joined pages count their joints."""
-    filled = F.trim("text") != ""
-    chars = F.sum(F.when(filled, F.length(F.trim("text"))).otherwise(0)) + F.greatest(2 * (F.count_if(filled) - 1), F.lit(0))
+    filled = strip(F.col("text")) != ""
+    chars = F.sum(F.when(filled, F.length(strip(F.col("text")))).otherwise(0)) + F.greatest(2 * (F.count_if(filled) - 1), F.lit(0))
     rows = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"), chars.alias("n_chars"))
     return rows.withColumn("dense", F.col("n_chars") / F.greatest("n_pages", F.lit(1)) >= least)
 

@@ -17,9 +17,10 @@ QUERY_BLOCK = 1024
 
 
 def planned(questions: DataFrame, id_col: str = "question_id", text_col: str = "question") -> DataFrame:
-    """(question_id, query_idx, query, tokens) of each question's variants with content."""
+    """(question_id, query_idx, query, tokens) of each question's variants; one of stop words only has no tokens,
+    finds nothing and still stands in the receipt."""
     rows = questions.select(F.col(id_col).alias("question_id"), F.posexplode(plan_queries(F.col(text_col))).alias("query_idx", "query"))
-    return rows.withColumn("tokens", token_set(F.col("query"))).filter(F.size("tokens") > 0)
+    return rows.withColumn("tokens", token_set(F.col("query")))
 
 
 def indexed(chunks: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridoc.functions.text import fold
+from veridoc.functions.text import fold, strip
 
 #: A value's words are this close; marked cells have this much ink more than empty ones.
 WORD_GAP, MIN_GAP, INK_CEILING, INK_CUT = 0.01, 0.001, 0.35, 0.0015
@@ -42,7 +42,7 @@ def group_cell_words(words: DataFrame) -> DataFrame:
 
 def md_table_cells(line: Column) -> Column:
     """Trimmed cells of a Markdown table row."""
-    return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\|+|\|+$", ""), r"\|"), lambda x: F.trim(x))
+    return F.transform(F.split(F.regexp_replace(strip(line), r"^\|+|\|+$", ""), r"\|"), strip)
 
 
 def is_rule(line: Column) -> Column:
@@ -103,7 +103,7 @@ def is_comparative(cells: DataFrame) -> DataFrame:
     """(table_id, comparative): two headers or more, most rows labelled, and half of the values empty.
 
     cells: (table_id, row_idx, col_idx, text), headers in row 0 and labels in column 0."""
-    filled = F.coalesce(F.trim("text") != "", F.lit(False))
+    filled = F.coalesce(strip(F.col("text")) != "", F.lit(False))
     head, label, value = (F.col("row_idx") == 0) & (F.col("col_idx") > 0), (F.col("row_idx") > 0) & (F.col("col_idx") == 0), (F.col("row_idx") > 0) & (F.col("col_idx") > 0)
     rows = cells.groupBy("table_id").agg(
         F.count_if(head & filled).alias("heads"),
@@ -119,7 +119,7 @@ def is_comparative(cells: DataFrame) -> DataFrame:
 def tables_to_text(cells: DataFrame) -> DataFrame:
     """(table_id, text) of cells (table_id, row_idx, col_idx, text): rows of a comparative table say which
     columns a feature is in, other rows pair each value with its header."""
-    filled = cells.withColumn("text", F.trim(F.coalesce("text", F.lit(""))))
+    filled = cells.withColumn("text", strip(F.coalesce("text", F.lit(""))))
     heads = filled.filter("row_idx = 0").groupBy("table_id").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "text"))).alias("heads"), F.count_if((F.col("col_idx") > 0) & (F.col("text") != "")).alias("n_heads"))
     row = F.sort_array(F.collect_list(F.when((F.col("text") != ""), F.struct("col_idx", "text"))))
     rows = filled.filter("row_idx > 0").groupBy("table_id", "row_idx").agg(row.alias("cells")).join(heads, "table_id").join(is_comparative(cells), "table_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veridoc.functions.text import strip
 from veridoc.plans.policies import Profile
 
 NO_EVIDENCE = "FRAGMENTOS: (ninguno)\n"
@@ -24,7 +25,7 @@ def render_context(hits: DataFrame) -> DataFrame:
     entries = F.array_sort(F.map_entries(F.map_filter("metadata", lambda k, v: k != "fuente")))
     meta = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
     head = F.concat(F.lit("["), F.col("citation"), F.lit("]"), F.when(meta != "", F.concat(F.lit(" ("), meta, F.lit(")"))).otherwise(""))
-    rows = hits.withColumn("block", F.concat(head, F.lit("\n"), F.trim("text")))
+    rows = hits.withColumn("block", F.concat(head, F.lit("\n"), strip(F.col("text"))))
     blocks = F.transform(F.sort_array(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"])
     return rows.groupBy("question_id").agg(F.array_join(blocks, "\n\n---\n\n").alias("context"))
 

@@ -68,15 +68,16 @@ def topk_hits(spark, sf):
 
 @query(
     "retrieval_receipts",
-    f"""select question_id, string_agg(document_id, ',' order by rank) as documents, string_agg(printf('%.4f', round_even(score, 4)), ',' order by rank) as scores, count(*) as n_results, any_value(v.n) as n_queries
-    from {TOP} join (select question_id as q, count(*) as n from {PLANNED} group by 1) v on v.q = question_id group by question_id""",
+    f"""select v.q as question_id, coalesce(string_agg(document_id, ',' order by rank), '') as documents, coalesce(string_agg(printf('%.4f', round_even(score, 4)), ',' order by rank), '') as scores, count(rank) as n_results, any_value(v.n) as n_queries
+    from (select question_id as q, count(*) as n from {PLANNED} group by 1) v left join {TOP} on v.q = question_id group by v.q""",
 )
 def retrieval_receipts(spark, sf):
-    """Flagship: what each question of the benchmark retrieves from all documents, as auditable receipts."""
+    """Flagship: what each question of the benchmark retrieves from all documents, as auditable receipts; a question
+    without evidence has one, too."""
     top, queries = _top(spark, sf)
     r = retrieval.receipts(top, queries)
     scores = F.array_join(F.transform("results", lambda x: F.format_string("%.4f", x["score"])), ",")
-    return r.filter(F.size("results") > 0).select("question_id", F.array_join("documents", ",").alias("documents"), scores.alias("scores"), F.size("results").cast("long").alias("n_results"), F.size("queries").cast("long").alias("n_queries"))
+    return r.select("question_id", F.array_join("documents", ",").alias("documents"), scores.alias("scores"), F.size("results").cast("long").alias("n_results"), F.size("queries").cast("long").alias("n_queries"))
 
 
 @query("topic_isolation", f"select question_id, document_id, score from (select s.*, d.lang as topic from {MERGED} s join documents d on document_id = 'doc-' || d.doc_id || '.md') where topic = case question_id % 4 when 0 then 'en' when 1 then 'fr' when 2 then 'de' else 'es' end")
@@ -150,10 +151,10 @@ def build_prompt(spark, sf):
 @query("extractive_answer")
 def extractive_answer(spark, sf):
     docs = documents(spark, sf).select(F.concat("stem", F.lit(".md")).alias("document_id"), "text")
-    top = _top(spark, sf, 2)[0].join(docs, "document_id")
+    top = _top(spark, sf)[0].join(docs, "document_id")
     hits = top.groupBy("question_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "document_id", "text"))), lambda x: F.struct(x["document_id"].alias("document_id"), x["text"].alias("text"))).alias("hits"))
     asked = questions(spark, sf).withColumn("query_tokens", t.token_set(F.col("question")))
-    return evaluation.extractive_answer(asked.join(hits, "question_id"), DECLINE).select("question_id", "answer")
+    return evaluation.extractive_answer(asked.join(hits, "question_id", "left"), DECLINE).select("question_id", "answer")
 
 
 @query(

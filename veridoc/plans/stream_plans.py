@@ -139,7 +139,12 @@ def _as_stream(spark, rows, name: str):
 
 @query("metric_windows_stream")
 def metric_windows_stream(spark, sf):
-    return run_available(ev.metric_windows(_as_stream(spark, telemetry(spark, sf), "telemetry")), "metrics")
+    """All windows of the stream: a closing row moves the watermark behind the last one; its own window, which no
+    row of the stream is in, stays open."""
+    rows = telemetry(spark, sf)
+    end = rows.agg((F.max("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"))
+    end = end.select(*[F.col("ts") if f.name == "ts" else F.lit("stream.end").alias("event") if f.name == "event" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+    return run_available(ev.metric_windows(_as_stream(spark, rows.unionByName(end), "telemetry")), "metrics")
 
 
 @query("stream_answers", f"select response_id, md5(string_agg(delta, '' order by sequence_number)) as text_md5 from {RESPONSES} group by response_id")

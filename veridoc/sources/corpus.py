@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.functions.text import slug
+from veridoc.functions.text import slug, strip
 
 TEXT_SUFFIXES = ("md", "markdown", "txt")
 SIDECAR = ".metadata.json"
@@ -38,7 +38,7 @@ def read_prepared_corpus(spark: SparkSession, root: str) -> DataFrame:
     """(document_id, rel_path, text, metadata) of prepared text files and their optional sidecars."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.decode("content", "UTF-8").alias("text"))
     suffix = F.lower(F.element_at(F.split("path", r"\."), -1))
-    texts = files.filter(suffix.isin(*TEXT_SUFFIXES)).select("path", F.trim("text").alias("text"))
+    texts = files.filter(suffix.isin(*TEXT_SUFFIXES)).select("path", strip(F.col("text")).alias("text"))
     side = files.filter(F.col("path").endswith(SIDECAR)).select(F.regexp_replace("path", r"\.metadata\.json$", "").alias("path"), F.col("text").alias("raw"))
     rows = texts.join(side, "path", "left")
     return rows.select(F.element_at(F.split("path", "/"), -1).alias("document_id"), F.col("path").alias("rel_path"), "text", sidecar_metadata(F.col("raw")).alias("metadata"))

@@ -122,29 +122,41 @@ def mask_text(text: str, names: tuple[str, ...]) -> str:
     return text
 
 
-def redact_stream(deltas: DataFrame, names: tuple[str, ...], done_type: str = "output_text.done") -> DataFrame:
+TERMINAL = ("response.completed", "response.failed", "response.incomplete")
+
+
+def redact_stream(deltas: DataFrame, names: tuple[str, ...], done_type: str = "output_text.done", timeout_s: int | None = None) -> DataFrame:
     """(response_id, part, text): masked pieces of each response as its deltas arrive; joined by part they
     are the masked whole text, whatever the size of the deltas. A response that ends without text has one empty part.
 
     deltas: (response_id, sequence_number, type, delta), rows of a response in order over the batches. What may
-    still belong to an identifier is held back until the event ``done_type`` flushes it and drops the state."""
+    still belong to an identifier is held back until an event ``done_type`` or one of TERMINAL flushes it and drops
+    the state. ``timeout_s`` seconds without any row do so, too, if given; a stream with timeouts runs on until it is
+    stopped, so leave them out where all that is available is to be processed once."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, number = state.get if state.exists else ("", 0)
-        rows = pd.concat(list(parts)).sort_values("sequence_number", kind="stable")
-        text = held + "".join(d for d in rows["delta"] if isinstance(d, str))
-        done = bool((rows["type"] == done_type).any())
+        frames = list(parts)
+        text, kinds = held, set()
+        if frames:
+            rows = pd.concat(frames).sort_values("sequence_number", kind="stable")
+            text += "".join(d for d in rows["delta"] if isinstance(d, str))
+            kinds = set(rows["type"])
+        done = state.hasTimedOut or done_type in kinds or not kinds.isdisjoint(TERMINAL)
         cut = len(text) if done else safe_prefix(text)
-        if done:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((text[cut:], number + (cut > 0)))
-        if cut or (done and not number):
+        # a completion that follows the done event finds no state and adds nothing
+        told = cut > 0 or (not number and bool(kinds & {done_type, *TERMINAL[1:]}))
+        if not done:
+            state.update((text[cut:], number + told))
+            if timeout_s is not None:
+                state.setTimeoutDuration(timeout_s * 1000)
+        elif state.exists:
+            state.remove()
+        if told:
             yield pd.DataFrame({"response_id": [key[0]], "part": [number], "text": [mask_text(text[:cut], names)]})
 
     kind = dict(deltas.dtypes)["response_id"]
-    return deltas.groupBy("response_id").applyInPandasWithState(run, f"response_id {kind}, part int, text string", "held string, part int", "append", GroupStateTimeout.NoTimeout)
+    return deltas.groupBy("response_id").applyInPandasWithState(run, f"response_id {kind}, part int, text string", "held string, part int", "append", GroupStateTimeout.NoTimeout if timeout_s is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def spend(tokens: float, last: float | None, times: list[float], limit: float = BUCKET, refill_s: float = REFILL_S) -> tuple[list[bool], float, float | None]:
