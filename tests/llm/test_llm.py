@@ -284,3 +284,34 @@ def test_pipeline_keeps_clean_and_drops_marked(spark):
     assert kept.join(labels.filter("quality = 0"), "doc_id").count() <= 0.1 * labels.filter("quality = 0").count()
     classes = near_dedup.near_duplicate_classes(docs.join(kept, "doc_id", "left_semi"))
     assert classes.groupBy("class_id").count().filter("count > 1").count() == 0
+
+
+def test_toxicity_network_equals_naive_convolution_and_numeric_gradient():
+    rng = np.random.default_rng(6)
+    net = toxicity.TextCnn(np.arange(20), rng.normal(0, 1, (21, toxicity.EMBEDDING)), [rng.normal(0, 0.5, (w, toxicity.EMBEDDING, toxicity.FILTERS)) for w in toxicity.WIDTH_SIZES], rng.normal(0, 0.1, 24), rng.normal(0, 0.5, 24), 0.3)
+    net.table[0] = 0
+    words = [rng.integers(0, 21, (n, 3)) * (rng.random((n, 1)) < 0.4) for n in (0, 1, 7, 30)]
+    got = net.logits(*toxicity._padded(np.concatenate(words), np.array(list(map(len, words)))))
+    for text, logit in zip(words, got, strict=True):
+        x = np.vstack([net.table[text].sum(axis=1), np.zeros((2, toxicity.EMBEDDING))]) if len(text) else np.zeros((2, toxicity.EMBEDDING))
+        pool = [max([0.0, *[sum(x[i + j] @ w[j] for j in range(len(w)))[f] for i in range(len(text))]]) for w in net.filters for f in range(toxicity.FILTERS)]
+        assert abs(np.maximum(np.array(pool) + net.bias, 0) @ net.out + net.out_bias - logit) < 1e-4
+        near = toxicity.around_active(text)
+        assert abs(net.logits(*toxicity._padded(near, np.array([len(near)])))[0] - logit) < 1e-4
+    index, begins = toxicity._padded(np.concatenate(words), np.array(list(map(len, words))))
+    y, weight = np.array([0, 1, 1, 0]), np.array([1.0, 2.0, 0.5, 1.0])
+
+    def loss():
+        p = 1 / (1 + np.exp(-net.logits(index, begins)))
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean()
+
+    grads = toxicity.gradients(net, index, begins, y, weight)
+    for param, grad in zip([net.table[1:], *net.filters, net.bias, net.out], [grads[0][1:], *grads[1:-1]], strict=True):
+        for at in [tuple(rng.integers(0, n) for n in param.shape) for _ in range(12)]:
+            held = param[at]
+            param[at] = held + 1e-2
+            up = loss()
+            param[at] = held - 1e-2
+            down = loss()
+            param[at] = held
+            assert abs((up - down) / 2e-2 - grad[at]) < 2e-2
