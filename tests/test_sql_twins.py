@@ -7,10 +7,10 @@ import os
 import duckdb
 import pytest
 
-from veridoc.plans import corpus_plans, retrieval_plans, stream_plans, text_plans
+from veridoc.plans import corpus_plans, derived_plans, retrieval_plans, stream_plans, text_plans
 
 SF = "/root/testdata/sf0.001"
-CASES = [(m, n) for m in (text_plans, corpus_plans, retrieval_plans, stream_plans) for n in m.QUERIES if n not in ("redact_stream", "metric_windows_stream", "stream_answers")]
+CASES = [(m, n) for m in (text_plans, corpus_plans, derived_plans, retrieval_plans, stream_plans) for n in m.QUERIES if n not in ("redact_stream", "metric_windows_stream", "stream_answers")]
 
 
 @pytest.fixture(scope="module")

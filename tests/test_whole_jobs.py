@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridoc.operators import chunking, evaluation
-from veridoc.plans import corpus_plans, stream_plans, text_plans
-from veridoc.plans.policies import PUBLIC
+from veridoc.plans import corpus_plans, derived_plans, stream_plans, text_plans
+from veridoc.plans.policies import PUBLIC, Chunking
 from veridoc.streaming import events
 
 SF = "/root/testdata/sf0.001"
@@ -204,3 +204,12 @@ def test_streamed_windows_equal_the_batch(spark):
     streamed = stream_plans.QUERIES["metric_windows_stream"](spark, sf).select(exact).collect()
     batch = stream_plans.ev.metric_windows(stream_plans.telemetry(spark, sf)).select(exact).collect()
     assert sorted(map(tuple, streamed)) == sorted(map(tuple, batch))
+
+
+def test_table_function_cuts_like_chunk_text(spark, docs):
+    found = {(r.doc_id, r.chunk_index): (r.chunk_total, r.chunk_md5) for r in derived_plans.chunk_text_udtf(spark, SF).collect()}
+    want = {}
+    for r in docs:
+        parts = chunking.chunk_text(r.text, Chunking(2000, 250, 2600))
+        want |= {(r.doc_id, i): (len(parts), hashed(p)) for i, p in enumerate(parts, 1)}
+    assert found == want

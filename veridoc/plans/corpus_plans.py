@@ -342,12 +342,24 @@ def sample_fragments(spark, sf):
     return index.sample_fragments(chunk_table(spark, sf), 4).select("stem", F.col("chunk_index").cast("long").alias("chunk_index"))
 
 
-@query("sample_hash")
+@query(
+    "sample_hash",
+    f"""select stem, sha256(string_agg(document_id || chr(0) || text || chr(0), '' order by chunk_index)) as sample_hash from (select *, row_number() over (partition by stem order by chunk_index) - 1 as pos, count(*) over (partition by stem) as total from {CHUNKS})
+    where total <= 4 or pos < 2 or pos = total // 3 or pos = 2 * total // 3 or pos = total - 1 group by stem""",
+)
 def sample_hash(spark, sf):
     return index.sample_hash(index.sample_fragments(chunk_table(spark, sf), 4))
 
 
-@query("family_rollup")
+@query(
+    "family_rollup",
+    """with d as (select *, doc_id % 6 as k, n_chars // 2000 + 1 as chunks from documents),
+    r as (select case when k = 0 then 'reporte-trimestral' when k = 1 then 'reporte-anual' when k = 2 then 'estados-financieros' when k = 3 then 'balance-mensual' else 'estado-situacion' end as family, chunks,
+     case when k = 1 or k = 2 then 2000 + doc_id % 25 else 2000 + doc_id % 20 end as year, case when k = 0 or k > 3 then doc_id % 4 + 1 end as quarter from d)
+    select family, count(*) as n_docs, cast(sum(chunks) as bigint) as n_chunks, cast(min(year) as integer) as first_year, cast(max(year) as integer) as last_year,
+    min(printf('%dT%02d', quarter, year - 2000) ) filter (quarter is not null and (year, quarter) = f) as first_quarter, min(printf('%dT%02d', quarter, year - 2000)) filter (quarter is not null and (year, quarter) = l) as last_quarter
+    from (select *, min((year, quarter)) filter (quarter is not null) over (partition by family) as f, max((year, quarter)) filter (quarter is not null) over (partition by family) as l from r) group by family""",
+)
 def family_rollup(spark, sf):
     docs = table(spark, sf, "documents")
     k = F.col("doc_id") % 6

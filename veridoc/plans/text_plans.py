@@ -306,6 +306,6 @@ def doc_metadata(spark, sf):
     return docs.select("doc_id", t.doc_type(F.col("stem")).alias("tipo"), F.concat("stem", F.lit(".md")).alias("fuente"), origin.alias("origen_texto"), F.when(k == 0, F.lit(98.5)).alias("ocr_confianza"))
 
 
-@query("unknown_fields")
+@query("unknown_fields", "select event_id, coalesce(array_to_string(list_sort([k for k in json_keys(props) if k not in ('ms', 'page')]), ','), '') as unknown from events")
 def unknown_fields(spark, sf):
-    return table(spark, sf, "events").select("event_id", p.unknown_fields(F.col("props"), ("ms", "page")).alias("unknown"))
+    return table(spark, sf, "events").select("event_id", F.array_join(p.unknown_fields(F.col("props"), ("ms", "page")), ",").alias("unknown"))

@@ -79,12 +79,13 @@ _YEAR = "struct<totalCommitContributions:bigint,totalPullRequestContributions:bi
 
 
 def parse_activity_json(rows: DataFrame, key: str, json_col: str = "content") -> DataFrame:
-    """(key, year, commits, pull_requests, repositories) for each yearNNNN object of an activity export."""
+    """(key, year, commits, pull_requests, repositories) for each yearNNNN object of an activity export, whatever
+    other fields stand beside them."""
     raw = F.col(json_col).cast("string")
     user = F.coalesce(F.get_json_object(raw, "$.data.user"), raw)
     years = F.filter(F.coalesce(F.json_object_keys(user), F.array().cast("array<string>")), lambda k: k.startswith("year"))
-    held = F.from_json(user, f"map<string,{_YEAR}>")
-    rows = rows.select(key, F.explode(years).alias("_year_key"), held.alias("_held")).withColumn("_y", F.element_at("_held", F.col("_year_key")))
+    held = F.from_json(user, "map<string,string>")
+    rows = rows.select(key, F.explode(years).alias("_year_key"), held.alias("_held")).withColumn("_y", F.from_json(F.element_at("_held", F.col("_year_key")), _YEAR))
     count = lambda name: F.coalesce(F.col(f"_y.{name}"), F.lit(0))
     return rows.select(
         key,
