@@ -155,7 +155,7 @@ def alignable(spark, sf):
     row = F.concat(F.lit("\n| "), feature, F.when(d % 3 == 1, " | • |").otherwise(" | • | - |"))
     text = F.concat(F.translate("text", "|", "/"), F.lit("\n| Equipo | GT LINE | BASE 2.0 |\n|---|---|---|"), row)
     hits = table(spark, sf, "documents").select(
-        d.alias("question_id"), F.concat(F.lit("doc-"), d.cast("string")).alias("document_id"), text.alias("text"), feature.alias("feature"), F.when(d % 4 == 2, "OTRA").otherwise("gt-line").alias("version")
+        d.alias("question_id"), F.concat(F.lit("doc-"), d.cast("string")).alias("document_id"), text.alias("text"), feature.alias("feature"), F.when(d % 4 == 2, "OTRA").otherwise("gt line").alias("version")
     )
     return tables.alignable(hits)
 
