@@ -315,3 +315,144 @@ def test_toxicity_network_equals_naive_convolution_and_numeric_gradient():
             down = loss()
             param[at] = held
             assert abs((up - down) / 2e-2 - grad[at]) < 2e-2
+
+
+def test_importance_equals_naive_ratio_and_sorted_keys(spark):
+    import math
+    import re
+
+    from pyspark.sql import functions as F
+
+    labels = queries.table(spark, SF, "labels")
+    given = [tuple(r) for r in queries.table(spark, SF, "documents").select("doc_id", "text").collect()]
+    rows = given + [(10**6 + i, t) for i, t in enumerate(ODD)] + given[:2] + [(None, "uno dos dos"), (None, None)]
+    docs = common.stored(spark.createDataFrame([(*r, 0.5, 1) for r in rows], "doc_id long, text string, mean double, bucket int"), "odd-docs")
+    out, _, _ = importance.resample(docs, labels)
+    _, cut = importance.fit(docs, labels)
+    of = {}
+
+    def bucket(gram):
+        if gram not in of:
+            of[gram] = int(importance.ngram_buckets([" ".join(gram)])[0][-1])
+        return of[gram]
+
+    def grams(text):
+        words = re.findall(r"[!-/:-@\[-`{-\x7f]+|[^\t\n\x0b\x0c\r !-/:-@\[-`{-\x7f]+", text or "")
+        return [bucket((w,)) for w in words] + [0 if a == b else bucket((a, b)) for a, b in zip(words, words[1:])]
+
+    quality = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    judge = lambda i: zlib.crc32(str(i).encode()) % importance.CUT_SHARE == 0
+    found = [grams(t) for _, t in rows]
+    target = Counter(b for (i, _), g in zip(rows, found, strict=True) if quality.get(i, 0) > 0 and not judge(i) for b in g)
+    raw = Counter(b for g in found for b in g)
+    n, all_raw, size = sum(target.values()), sum(raw.values()), importance.BUCKETS
+    ratio = {b: math.log((target[b] + size * raw[b] / all_raw + 1e-9) / (n + size)) - math.log((raw[b] + 1e-9) / all_raw) for b in raw}
+    means = [sum(ratio[b] for b in g) / max(1, len(g)) for g in found]
+    judged = {}
+    for (i, _), m in zip(rows, means, strict=True):
+        if i in quality and judge(i):
+            judged[i] = min(m, judged.get(i, m))
+    good, bad = [m for i, m in judged.items() if quality[i] > 0], [m for i, m in judged.items() if not quality[i] > 0]
+    assert good and bad and n
+    right = lambda c: sum(m > c for m in good) / len(good) + sum(m <= c for m in bad) / len(bad)
+    assert right(cut) == pytest.approx(max(map(right, [-math.inf, *judged.values()])))
+    noise = {r.doc_id: ((r.h % 2**64 >> 11) + 0.5) / 2**53 for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(13)).alias("h")).collect()}
+    keys = [m * importance.WEIGHT_NGRAMS - math.log(-math.log(noise[i])) for (i, _), m in zip(rows, means, strict=True)]
+    k = sum(m > cut for m in means)
+    limit = sorted(keys, reverse=True)[k - 1]
+    by = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    want = sorted([(i, len(g), m, key, key >= limit - 1e-9) for (i, _), g, m, key in zip(rows, found, means, keys, strict=True)], key=by)
+    got = sorted([tuple(r) for r in out.collect()], key=by)
+    assert 0 < k < len(rows) and len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and a[4] == b[4] and a[2:4] == pytest.approx(b[2:4], abs=1e-6)
+
+
+def naive_pack(lengths, capacities):
+    """The same rules over plain lists: every open bin and every remaining piece is looked at each time."""
+    largest, out, pieces, bins = max(capacities), [], [], []
+    for i, n in enumerate(lengths):
+        while_full = n // largest
+        for k in range(while_full):
+            bins.append({"left": 0, "touched": -1, "parts": [(i, k, largest)]})
+        if n % largest or not while_full:
+            pieces.append((i, while_full, n % largest))
+    pieces.sort(key=lambda p: (-p[2], p[0]))
+    fits = lambda n: min(c for c in capacities if c >= n)
+
+    def price(size, capacity, rest):
+        held = size
+        for n in rest:
+            if n and held + n <= capacity:
+                held += n
+        held = max(1, held)
+        length = fits(held)
+        return (packing.BIN_COST + length + length**2 / packing.ATTENTION) / held
+
+    for at, (i, k, n) in enumerate(pieces):
+        open_bins = [b for b in bins if b["touched"] >= 0 and b["left"] >= n]
+        if open_bins:
+            b = min(open_bins, key=lambda b: (b["left"], -b["touched"]))
+        else:
+            rest = [p[2] for p in pieces[at + 1 :]]
+            b = {"left": min((c for c in capacities if c >= n), key=lambda c: (price(n, c, rest), c)), "parts": []}
+            bins.append(b)
+        b["parts"].append((i, k, n))
+        b["left"], b["touched"] = b["left"] - n, at
+    for number, b in enumerate(bins):
+        at, length = 0, fits(sum(n for _, _, n in b["parts"]))
+        for i, k, n in b["parts"]:
+            out.append((i, k, n, number, at, length))
+            at += n
+    return sorted(out)
+
+
+@pytest.mark.parametrize("capacities", [[512, 1024, 2048, 4096], [7, 20], [64]])
+def test_packing_equals_naive_best_fit(spark, capacities):
+    rng = random.Random(8)
+    for n in (0, 1, 2, 40, 250):
+        lengths = [min(3 * max(capacities), int(rng.lognormvariate(np.log(max(capacities)) - 2.5, 1.3))) for _ in range(n)] + [0, 0, max(capacities), 5, 5]
+        assert sorted(packing.pack(lengths, capacities)) == naive_pack(lengths, capacities)
+    docs = spark.createDataFrame([(i, x, "clash", 3) for i, x in enumerate(lengths)], "doc_id long, n_tokens long, bin_id string, n int")
+    got = sorted(tuple(r) for r in packing.pack_documents(docs, capacities=tuple(capacities)).collect())
+    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    want = sorted((order[i], k, k * max(capacities), size, f"0-{b}", at, length) for i, k, size, b, at, length in naive_pack([lengths[i] for i in order], capacities))
+    assert got == want
+
+
+def test_token_frames_with_odd_rows(spark):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    rows = [(None, "a b"), (7, None), (7, ""), (7, ""), (8, "<s> hola ▁x"), (9, "palabra " * 30_000)]
+    odd = spark.createDataFrame([(*r, "n", 1) for r in rows], "doc_id long, text string, n_tokens string, ids int")
+    lib, piece = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json")), sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path("piece_bpe_32k.model"))
+    counts = [tuple(r) for r in token_counts.count_tokens(odd, queries.tokenizer_path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens").collect()]
+    by = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(counts, key=by) == sorted([(i, len((t or "").encode()), len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t in rows], key=by)
+    coded = [(r.doc_id, bytes(r.ids), r.decoded) for r in piece_bpe.encode_decode(odd, queries.tokenizer_path("piece_bpe_32k.model")).collect()]
+    want = [(i, np.array(x := piece.encode(t or "", add_bos=True, add_eos=True), "<u4").tobytes(), piece.decode(x)) for i, t in rows]
+    assert sorted(coded, key=by) == sorted(want, key=by)
+    assert token_counts.count_tokens(odd.limit(0), queries.tokenizer_path("byte_bpe_50k.json")).count() == 0
+    assert piece_bpe.encode_decode(odd.limit(0), queries.tokenizer_path("piece_bpe_32k.model")).count() == 0
+
+
+def test_pipeline_stages_with_odd_rows(spark):
+    from pyspark.sql import functions as F
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    some = queries.table(spark, SF, "documents").orderBy("doc_id").limit(4)
+    none = some.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in some.schema])
+    blank = none.withColumn("doc_id", F.lit(10**9).cast(some.schema["doc_id"].dataType)).withColumn("text", F.lit(""))
+    long = none.withColumn("doc_id", F.lit(10**9 + 1).cast(some.schema["doc_id"].dataType)).withColumn("text", F.repeat(F.lit("palabra larga "), 20_000))
+    odd = some.unionByName(some).unionByName(none).unionByName(none).unionByName(blank).unionByName(long)
+    odd = common.stored(odd.withColumns({c: F.lit(1) for c in ("_ratio", "_ratio_mean", "_near_id", "score", "label", "key", "id", "n", "band")}), "odd-rows")
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        assert stage(spark, odd.limit(0), SF).count() == 0
+        if name == "packing":
+            assert out.groupBy("doc_id").count().count() == 7  # null ids are one group here
+            counts = token_counts.count_tokens(odd, queries.tokenizer_path(queries.BYTE_BPE))
+            assert out.agg(F.sum("piece_tokens")).first()[0] == counts.agg(F.sum(F.col("n_tokens") + 1)).first()[0]
+        else:
+            assert out.columns == odd.columns and out.exceptAll(odd).isEmpty() and out.count() > 0
