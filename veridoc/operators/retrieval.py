@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions.text import chunk_tokens, citation, fold, plan_queries, token_set
 
 MIN_SCORE = 0.12
-#: Query vectors that one task multiplies by at a time; more of them are further rows of blocks.
-QUERY_BLOCK = 1024
+#: Query vectors that are multiplied by at a time; those that travel with a scan at most; and vectors in a slice.
+QUERY_BLOCK, QUERY_CHUNK, SLICE_ROWS = 1024, 8192, 16_384
 
 
 def planned(questions: DataFrame, id_col: str = "question_id", text_col: str = "question") -> DataFrame:
@@ -80,49 +80,82 @@ def receipts(top: DataFrame, queries: DataFrame, sources: DataFrame | None = Non
 
 
 def vector_score(vectors: DataFrame, queries: DataFrame, k: int, floor: float | None = None, topic: str | None = None) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k vectors of largest cosine for each query, of its topic if named.
-
-    vectors: (vec_id, embedding[, topic]); queries: (query_id, embedding[, topic]). Queries are packed into rows
-    of QUERY_BLOCK, each one matrix, and dealt to slices of the vectors: every slice meets every block as one
-    matrix product and sends on only its k best (and ties), so what is shuffled last is k rows for a query and
-    slice. A null or zero vector scores 0.
+    """(query_id, vec_id, score, rank): the k vectors of largest cosine for each query, of its topic if named;
+    of ties the smallest ids.
+
+    vectors: (vec_id, embedding[, topic]); queries: (query_id, embedding[, topic]). Up to QUERY_CHUNK queries
+    travel with the scan of the vectors, which then aren't shuffled. More are dealt in chunks of that size to slices
+    of about SLICE_ROWS vectors, so what a task holds does not grow with either table. Either way queries meet
+    vectors as matrix products, and only the k best of each batch or slice go on. A null or zero vector scores 0;
+    rows without a topic match nothing where topics count.
     """
-    spark = vectors.sparkSession
-    keys = [topic] if topic else []
-    pick = lambda df, name: df.select(F.col(name).alias("id"), "embedding", *(F.col(t).alias("topic") for t in keys))
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    asked = pick(queries, "query_id").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
-    group = ["block", *(["topic"] if topic else [])]
-    matrices = asked.groupBy(group).agg(F.collect_list(F.struct("id", "embedding")).alias("asked"))  # QUERY_BLOCK rows or so
-    slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    numbered = pick(vectors, "vec_id").withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
-    spread = matrices.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    by = ["slice", *(["topic"] if topic else [])]
+    keys = ["topic"] if topic else []
+    pick = lambda df, name: df.select(F.col(name).alias("id"), "embedding", *(F.col(topic).alias(t) for t in keys)).filter(F.col("topic").isNotNull() if topic else F.lit(True))
+    table, asked = pick(vectors, "vec_id"), pick(queries, "query_id")
     schema = f"query_id {dict(queries.dtypes)['query_id']}, vec_id {dict(vectors.dtypes)['vec_id']}, score double"
-
-    def run(_key, left: Iterator[pd.DataFrame], right: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [([x["id"] for x in row], _unit([x["embedding"] for x in row])) for part in right for row in part["asked"]]
-        for part in left:
-            if not len(part) or not held:
-                continue
-            ids, table = part["id"].to_numpy(), _unit(part["embedding"].tolist(), held[0][1].shape[1])
-            for names, matrix in held:
-                scores = matrix @ table.T
-                cut = np.partition(scores, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
-                q, at = np.nonzero(scores >= cut[:, None])
-                yield pd.DataFrame({"query_id": np.array(names, dtype=object)[q], "vec_id": ids[at], "score": scores[q, at]})
-
-    def grouped(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parts = list(run(_key, iter([left]), iter([right])))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    hits = numbered.groupBy(by).cogroup(spread.groupBy(by)).applyInPandas(grouped, schema)
+    n = asked.count()
+    if n <= QUERY_CHUNK:
+        few = asked.toArrow()
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matrices = _matrices(few, topic)
+            for b in batches:
+                yield from _best(pa.Table.from_batches([b]), matrices, k, topic)
+
+        hits = table.mapInArrow(scan, schema)
+    else:
+        chunks, slices = -(-n // QUERY_CHUNK), max(1, -(-table.count() // SLICE_ROWS))
+        numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        dealt = lambda n: F.pmod(F.xxhash64("id", "embedding"), F.lit(n)).cast("int")
+        left = table.withColumn("slice", dealt(slices)).withColumn("chunk", numbers(chunks))
+        right = asked.withColumn("chunk", dealt(chunks)).withColumn("slice", numbers(slices))
+        by = ["slice", "chunk", *keys]
+
+        def meet(some: pa.Table, wanted: pa.Table) -> pa.Table:
+            arrow = pa.schema([("query_id", wanted["id"].type), ("vec_id", some["id"].type), ("score", pa.float64())])
+            return pa.Table.from_batches(list(_best(some, _matrices(wanted, topic), k, topic)), arrow)
+
+        hits = left.groupBy(by).cogroup(right.groupBy(by)).applyInArrow(meet, schema)
     if floor is not None:
         hits = hits.filter(F.col("score") >= floor)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _topics(rows: pa.Table, topic: str | None) -> Iterator[tuple[object, pa.Table]]:
+    """Rows of each topic, in order of id; all rows if topics don't count."""
+    rows = rows.sort_by("id")
+    if topic is None:
+        yield None, rows
+    else:
+        places: dict[object, list[int]] = {}
+        for i, name in enumerate(rows["topic"].to_pylist()):
+            places.setdefault(name, []).append(i)
+        for name, at in places.items():
+            yield name, rows.take(at)
+
+
+def _matrices(queries: pa.Table, topic: str | None) -> dict[object, list[tuple[pa.Array, np.ndarray]]]:
+    """For each topic its queries' ids and unit vectors, QUERY_BLOCK at a time."""
+    found: dict[object, list] = {}
+    for name, rows in _topics(queries, topic):
+        parts = [rows.slice(at, QUERY_BLOCK) for at in range(0, rows.num_rows, QUERY_BLOCK)]
+        found[name] = [(p["id"].combine_chunks(), _unit(p["embedding"].to_pylist())) for p in parts]
+    return found
+
+
+def _best(rows: pa.Table, matrices: dict, k: int, topic: str | None) -> Iterator[pa.RecordBatch]:
+    for name, part in _topics(rows, topic):
+        for asked, matrix in matrices.get(name, []) if part.num_rows else []:
+            ids, most = part["id"].combine_chunks(), min(k, part.num_rows)
+            scores = matrix @ _unit(part["embedding"].to_pylist(), matrix.shape[1]).T
+            cut = np.partition(scores, -most, axis=1)[:, [-most]]
+            above, level = scores > cut, scores == cut
+            spare = most - above.sum(axis=1, keepdims=True)
+            q, at = np.nonzero(above | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= spare)))
+            yield pa.RecordBatch.from_arrays([asked.take(pa.array(q)), ids.take(pa.array(at)), pa.array(scores[q, at])], ["query_id", "vec_id", "score"])
+
+
 def _unit(rows: list, width: int | None = None) -> np.ndarray:
     width = width or next((len(r) for r in rows if r is not None), 1)
     table = np.array([r if r is not None else [0.0] * width for r in rows], np.float64)
