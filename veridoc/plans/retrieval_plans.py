@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from veridoc.functions import text as t
 from veridoc.operators import evaluation, retrieval, tables
+from veridoc.plans import prompts
 from veridoc.plans.corpus_plans import CHUNKS, PAGES
 from veridoc.plans.inputs import chunk_table, documents, pages, questions, table
 from veridoc.plans.policies import PUBLIC
 from veridoc.plans.text_plans import DECLINE, PLANNED, sql_denial, sql_tokens
 from veridoc.sources.shared import written
 
+SUBJECT = "documentos técnicos"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -129,23 +131,29 @@ def citation_locator(spark, sf):
     return found.select("document_id", "doc_id", F.col("page_no").cast("long").alias("page_no"), F.col("hits").cast("long").alias("hits"))
 
 
-@query("render_context", f"select question_id, md5(string_agg('[' || document_id || '] (lang=' || lang || ', n=' || n_chars || ')' || chr(10) || trim(text), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank)) as context_md5 from {TOP} join documents d on document_id = 'doc-' || d.doc_id || '.md' group by question_id")
+CONTEXT = "string_agg('[' || document_id || '] (lang=' || lang || ', n=' || n_chars || ')' || chr(10) || trim(text), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank)"
+
+
+@query("render_context", f"select question_id, md5({CONTEXT}) as context_md5 from {TOP} join documents d on document_id = 'doc-' || d.doc_id || '.md' group by question_id")
 def render_context(spark, sf):
     return _contexts(spark, sf).select("question_id", F.md5("context").alias("context_md5"))
 
 
 def _contexts(spark, sf):
-    from veridoc.plans.prompts import render_context as render
-
     docs = documents(spark, sf).select(F.concat("stem", F.lit(".md")).alias("document_id"), "text", F.create_map(F.lit("n"), F.col("n_chars").cast("string"), F.lit("lang"), F.col("lang")).alias("metadata"))
-    return render(_top(spark, sf)[0].join(docs, "document_id").withColumn("citation", F.col("document_id")))
+    return prompts.render_context(_top(spark, sf)[0].join(docs, "document_id").withColumn("citation", F.col("document_id")))
 
 
-@query("build_prompt")
+@query(
+    "build_prompt",
+    f"""select b.item_id as question_id, case when b.item_id % 3 = 0 then '{prompts.PREFERENCES}' || chr(10) || b.text || chr(10) || chr(10) else '' end || '{prompts.rules_text(PUBLIC, SUBJECT)}' || chr(10) || chr(10)
+    || case when c.context is null then 'FRAGMENTOS: (ninguno)' else 'FRAGMENTOS:' || chr(10) || chr(10) || c.context end || chr(10) as prompt
+    from benchmark b left join (select question_id, {CONTEXT} as context from {TOP} join documents d on document_id = 'doc-' || d.doc_id || '.md' group by question_id) c on c.question_id = b.item_id""",
+)
 def build_prompt(spark, sf):
-    from veridoc.plans.prompts import build_prompt as build
-
-    return build(_contexts(spark, sf), PUBLIC, "documentos técnicos")
+    """Every question's prompt; every third has its own text as a system turn, too."""
+    wishes = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.when(F.col("item_id") % 3 == 0, F.array("text")).alias("turns"))
+    return prompts.build_prompt(wishes.join(_contexts(spark, sf), "question_id", "left"), PUBLIC, SUBJECT, system_col="turns")
 
 
 @query("extractive_answer")
