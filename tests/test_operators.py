@@ -188,3 +188,57 @@ def test_hooks(spark):
     assert got == [(1, "x", None), (2, None, "roto")]
     cards = hooks.summarize(spark.createDataFrame([("p",)], "prompt string"), lambda p: "respuesta {\"a\": 1}" + p * 0, "a int")
     assert cards.first().card.a == 1
+
+
+def test_vector_score_by_scan_and_by_slices_equals_brute_force(spark, monkeypatch):
+    import numpy as np
+    from veridoc.operators import retrieval
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(-3, 4, (300, 6)).astype(float)
+    x[7] = x[200]
+    rows = [(i, v.tolist() if i != 9 else None, ["a", "b", None][i % 3]) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, topic string")
+    asked = vectors.filter("vec_id % 4 = 0").withColumnRenamed("vec_id", "query_id")
+    x[9] = 0
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    for topic in (None, "topic"):
+        near = lambda q, v: topic is None or (rows[q][2] is not None and rows[q][2] == rows[v][2])  # noqa: B023, E731
+        want = {q: sorted((round(float(unit[q] @ unit[v]), 9) for v in range(300) if near(q, v)), reverse=True)[:5] for q in range(0, 300, 4)}
+        for chunk in (8192, 20):
+            monkeypatch.setattr(retrieval, "QUERY_CHUNK", chunk)
+            monkeypatch.setattr(retrieval, "SLICE_ROWS", 64)
+            monkeypatch.setattr(retrieval, "QUERY_BLOCK", 16)
+            got = {}
+            for r in retrieval.vector_score(vectors, asked, 5, topic=topic).orderBy("query_id", "rank").collect():
+                assert near(r.query_id, r.vec_id) and abs(r.score - unit[r.query_id] @ unit[r.vec_id]) < 1e-9
+                got.setdefault(r.query_id, []).append(round(r.score, 9))
+            assert got.keys() == {q for q, s in want.items() if s} and all(got[q] == pytest.approx(want[q]) for q in got)
+            assert retrieval.vector_score(vectors.limit(0), asked, 5).count() == 0
+
+
+def test_prompt_parts(spark):
+    from veridoc.plans import policies, prompts
+
+    rows = spark.createDataFrame([(1, "[a.md]\nx", ["se breve"]), (2, None, None)], "question_id long, context string, turns array<string>")
+    masks = policies.Profile(slug="x", redaction=tuple(policies.IDENTIFIERS)[:1])
+    got = {r.question_id: r.prompt for r in prompts.build_prompt(rows, masks, "leyes", "en verso", ("Regla propia.",), system_col="turns").collect()}
+    assert got[1].startswith(prompts.PREFERENCES + "\nen verso\nse breve\n\nRespondes") and got[1].endswith("FRAGMENTOS:\n\n[a.md]\nx\n")
+    assert f"5. {prompts.MASK_RULE}" in got[1] and "9. Regla propia." in got[1] and got[2].endswith(prompts.NO_EVIDENCE) and "se breve" not in got[2]
+    plain = prompts.build_prompt(rows, masks, "leyes", reveal=True).first().prompt
+    assert f"5. {prompts.REVEAL_RULE}" in plain and plain.startswith("Respondes")
+
+
+def test_tables_without_header_and_with_marks(spark):
+    def text(rows, marked=()):
+        cells = [("t", i, j, x, (i, j) in marked) for i, row in enumerate(rows) for j, x in enumerate(row)]
+        return tables.tables_to_text(spark.createDataFrame(cells, "table_id string, row_idx int, col_idx int, text string, marked boolean")).first().text
+
+    assert text([["Año", "Monto"], ["2020", "5"], ["2021", "6"]]) == "Año: 2020 | Monto: 5\nAño: 2021 | Monto: 6"
+    assert text([["Año", "Monto"], ["2020", "5"]]) == "2020 | 5"
+    assert text([["x" * 31, "y" * 40], ["2020", "5"], ["2021", None]], {(2, 1)}) == "2020 | 5\n2021 | [marcado]"
+    matrix = [["", "A", "B"], ["Techo", "", ""], ["Radio", None, None], ["Frenos", "ABS", ""], ["Otros", "", ""], ["", "", ""]]
+    assert text(matrix, {(1, 0 + 2), (2, 1), (2, 2)}) == "Techo: solo en B\nRadio: en todas las versiones\nFrenos: ABS (A)\n## Otros"
+    lines = spark.createDataFrame([(1, 2, "pie", False), (1, 0, "Título", None), (1, 1, "celda", True), (2, 0, " ", False)], "page_id int, line_no int, text string, in_table boolean")
+    held = spark.createDataFrame([(1, 0, "a: b"), (1, 1, "")], "page_id int, table_no int, text string")
+    assert {r.page_id: r.text for r in tables.page_text(lines, held).collect()} == {1: "Título\npie\na: b", 2: ""}

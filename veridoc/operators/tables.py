@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from veridoc.functions.text import fold, strip
 
-#: A value's words are this close; marked cells have this much ink more than empty ones.
+#: A value's words are this close; marked cells have this much ink more than empty ones; a first row
+#: of so many rows, texts and upper-median characters names columns.
 WORD_GAP, MIN_GAP, INK_CEILING, INK_CUT = 0.01, 0.001, 0.35, 0.0015
+HEADER_ROWS, HEADER_TEXTS, HEADER_CHARS = 3, 2, 30
 _RULE = r"^\s*\|?[\s:|-]*-[\s:|-]*\|?\s*$"
 _VERSION = r"^[A-ZÁÉÍÓÚÑ0-9][A-ZÁÉÍÓÚÑ0-9 .\-+®/]{1,28}$"
 
@@ -116,24 +118,50 @@ def is_comparative(cells: DataFrame) -> DataFrame:
     return rows.select("table_id", ok.alias("comparative"))
 
 
+def plausible_header(cells: DataFrame) -> DataFrame:
+    """(table_id, plausible): whether the texts of row 0 name columns, and are not content themselves."""
+    filled = F.filter(F.collect_list(F.when(F.col("row_idx") == 0, F.length(strip(F.col("text"))))), lambda n: n > 0)
+    rows = cells.groupBy("table_id").agg(F.count_distinct("row_idx").alias("rows"), F.sort_array(filled).alias("lengths"))
+    short = F.get("lengths", F.floor(F.size("lengths") / 2).cast("int")) <= HEADER_CHARS
+    return rows.select("table_id", F.coalesce((F.col("rows") >= HEADER_ROWS) & (F.size("lengths") >= HEADER_TEXTS) & short, F.lit(False)).alias("plausible"))
+
+
 def tables_to_text(cells: DataFrame) -> DataFrame:
-    """(table_id, text) of cells (table_id, row_idx, col_idx, text): rows of a comparative table say which
-    columns a feature is in, other rows pair each value with its header."""
-    filled = cells.withColumn("text", strip(F.coalesce("text", F.lit(""))))
+    """(table_id, text) of cells (table_id, row_idx, col_idx, text[, marked]): rows of a comparative table say which
+    columns a feature is in, other rows pair each value with its header, where row 0 can be one.
+
+    marked tells empty cells that hold a drawn mark: they name their column in a comparative table, and stand as
+    "[marcado]" in others. Rows without any text or mark give no line; neither does row 0."""
+    drawn = F.coalesce(F.col("marked"), F.lit(False)) if "marked" in cells.columns else F.lit(False)
+    filled = cells.withColumn("text", strip(F.coalesce("text", F.lit("")))).withColumn("drawn", drawn & (F.col("text") == ""))
     heads = filled.filter("row_idx = 0").groupBy("table_id").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "text"))).alias("heads"), F.count_if((F.col("col_idx") > 0) & (F.col("text") != "")).alias("n_heads"))
-    row = F.sort_array(F.collect_list(F.when((F.col("text") != ""), F.struct("col_idx", "text"))))
-    rows = filled.filter("row_idx > 0").groupBy("table_id", "row_idx").agg(row.alias("cells")).join(heads, "table_id").join(is_comparative(cells), "table_id")
+    row = F.sort_array(F.collect_list(F.when((F.col("text") != "") | F.col("drawn"), F.struct("col_idx", "text"))))
+    kinds = is_comparative(cells).join(plausible_header(cells), "table_id")
+    rows = filled.filter("row_idx > 0").groupBy("table_id", "row_idx").agg(row.alias("cells")).join(heads, "table_id").join(kinds, "table_id")
     label = F.coalesce(F.element_at(F.transform(F.filter("cells", lambda c: c["col_idx"] == 0), lambda c: c["text"]), 1), F.lit(""))
     values = F.filter("cells", lambda c: c["col_idx"] > 0)
     name = lambda c: F.coalesce(F.element_at("heads", c["col_idx"]), F.lit(""))
-    marks = F.forall(values, lambda c: c["text"].isin("•", "x", "X", "✓"))
+    is_mark = lambda c: c["text"].isin("", "•", "x", "X", "✓")
+    marks = F.forall(values, is_mark)
     columns = F.array_join(F.transform(values, name), ", ")
     matrix = (
         F.when(F.size(values) == 0, F.concat(F.lit("## "), label))
         .when(marks & (F.size(values) == F.col("n_heads")), F.concat(label, F.lit(": en todas las versiones")))
         .when(marks, F.concat(label, F.lit(": solo en "), columns))
-        .otherwise(F.concat(label, F.lit(": "), F.array_join(F.transform(values, lambda c: F.concat(c["text"], F.lit(" ("), name(c), F.lit(")"))), ", ")))
+        .otherwise(F.concat(label, F.lit(": "), F.array_join(F.transform(F.filter(values, lambda c: c["text"] != ""), lambda c: F.concat(c["text"], F.lit(" ("), name(c), F.lit(")"))), ", ")))
     )
-    plain = F.array_join(F.transform("cells", lambda c: F.when(name(c) != "", F.concat(name(c), F.lit(": "), c["text"])).otherwise(c["text"])), " | ")
-    lines = rows.select("table_id", "row_idx", F.when(F.col("comparative"), matrix).otherwise(plain).alias("line"))
+    shown = lambda c: F.when(c["text"] == "", "[marcado]").otherwise(c["text"])
+    plain = F.array_join(F.transform("cells", lambda c: F.when(F.col("plausible") & (name(c) != ""), F.concat(name(c), F.lit(": "), shown(c))).otherwise(shown(c))), " | ")
+    lines = rows.filter(F.size("cells") > 0).select("table_id", "row_idx", F.when(F.col("comparative"), matrix).otherwise(plain).alias("line"))
     return lines.groupBy("table_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+def page_text(lines: DataFrame, tables: DataFrame) -> DataFrame:
+    """(page_id, text): the lines of a page that no table holds, in their order, then its tables in theirs.
+
+    lines: (page_id, line_no, text, in_table); tables: (page_id, table_no, text). Blank pieces are left out; a page
+    of blank pieces only has an empty text."""
+    outside = lines.filter(~F.coalesce("in_table", F.lit(False))).select("page_id", F.lit(0).alias("part"), F.col("line_no").cast("long").alias("at"), "text")
+    pieces = outside.unionByName(tables.select("page_id", F.lit(1).alias("part"), F.col("table_no").cast("long").alias("at"), "text"))
+    said = F.collect_list(F.when(strip(F.col("text")) != "", F.struct("part", "at", "text")))
+    return pieces.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(said), lambda x: x["text"]), "\n").alias("text"))

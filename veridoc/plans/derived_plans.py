@@ -196,8 +196,9 @@ def group_cell_words(spark, sf):
 @query(
     "tables_to_text",
     f"""select doc_id as table_id, md5(string_agg(case when doc_id % 2 = 0 then case when a and b then feature || ': en todas las versiones' when a then feature || ': solo en GT LINE' when not b then '## ' || feature else feature || ': solo en BASE 2.0' end
+    when n_rows < 2 then feature || ' | ' || length(feature) || ' | ' || line_no
     else 'Equipo: ' || feature || ' | GT LINE: ' || length(feature) || ' | BASE 2.0: ' || line_no end, chr(10) order by line_no)) as text_md5
-    from (select doc_id, line_no, 'pieza ' || feature as feature, (line_no % 2 = 0 and line_no % 100 <> 98) or line_no % 100 = 99 as a, line_no % 2 = 1 as b from {ROWS}) group by doc_id""",
+    from (select doc_id, line_no, count(*) over (partition by doc_id) as n_rows, 'pieza ' || feature as feature, (line_no % 2 = 0 and line_no % 100 <> 98) or line_no % 100 = 99 as a, line_no % 2 = 1 as b from {ROWS}) group by doc_id""",
 )
 def tables_to_text(spark, sf):
     """Documents' sentences as rows of marks (even ids) or of values under headers (odd ids)."""
@@ -211,6 +212,20 @@ def tables_to_text(spark, sf):
     return text.select("table_id", F.md5("text").alias("text_md5"))
 
 
+@query(
+    "page_text",
+    f"""select page_id, md5(string_agg(piece, chr(10) order by part, pos)) as text_md5 from
+    (select doc_id * 1000 + page_no as page_id, 0 as part, i as pos, string_split(text, chr(10))[i + 1] as piece from {PAGES}, unnest(range(len(string_split(text, chr(10))))) as u(i) where i % 3 <> 1
+    union all select doc_id * 1000 + page_no, 1, page_no, 'tabla ' || doc_id from {PAGES} where page_no % 2 = 0) where trim(piece) <> '' group by page_id""",
+)
+def page_text(spark, sf):
+    """Pages whose every third line stands in a table; each second page has a table's text, too."""
+    rows = pages(spark, sf).withColumn("page_id", F.col("doc_id") * 1000 + F.col("page_no"))
+    lines = rows.select("page_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text")).withColumn("in_table", F.col("line_no") % 3 == 1)
+    held = rows.filter("page_no % 2 = 0").select("page_id", F.col("page_no").alias("table_no"), F.concat(F.lit("tabla "), F.col("doc_id").cast("string")).alias("text"))
+    return tables.page_text(lines, held).filter("text <> ''").select("page_id", F.md5("text").alias("text_md5"))
+
+
 @query(
     "index_check",
     """select doc_id, p is null as ok, p as problem from (select doc_id, case when doc_id % 7 = 0 then 'no_metadata' when octet_length(encode(text)) <= 400 or octet_length(encode(text)) >= 8000 then 'size' when doc_id % 5 = 0 then 'looks_like_a_chunk' end as p from documents)""",
