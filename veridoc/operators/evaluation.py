@@ -139,6 +139,14 @@ def coverage_gain(joined: DataFrame) -> DataFrame:
     )
 
 
+def conversion_totals(conversions: DataFrame) -> DataFrame:
+    """One row of what conversions (seconds, pages, tables, one row a document) took: documents, pages, tables,
+    seconds, and seconds a document; missing measures count as 0."""
+    sums = {c: F.coalesce(F.sum(F.coalesce(c, F.lit(0))), F.lit(0)) for c in ("pages", "tables", "seconds")}
+    average = F.when(F.count("*") > 0, F.bround(sums["seconds"] / F.count("*"), 1))
+    return conversions.agg(F.count("*").alias("n_docs"), *[v.alias(c) for c, v in sums.items()], average.alias("seconds_per_doc"))
+
+
 def line_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """(stem, line, sign, n): lines that one corpus has more often than the other in the same document.
 

@@ -113,3 +113,12 @@ def index_check(cards: DataFrame) -> DataFrame:
         .when(F.contains("name", F.lit("--")), "looks_like_a_chunk")
     )
     return cards.select("name", problem.isNull().alias("ok"), problem.alias("problem"))
+
+
+def index_reached(questions: DataFrame, hits: DataFrame, cards: DataFrame, k: int = 5) -> DataFrame:
+    """(question_id, n_cards, ok) of every question: the index cards (name) among its first k hits (question_id,
+    document_id, rank), and whether there is one."""
+    found = hits.filter(F.col("rank") <= k).join(cards.select(F.col("name").alias("document_id")).distinct(), "document_id", "left_semi")
+    counts = found.groupBy("question_id").agg(F.count("*").alias("n_cards"))
+    rows = questions.select("question_id").join(counts, "question_id", "left").withColumn("n_cards", F.coalesce("n_cards", F.lit(0)))
+    return rows.select("question_id", "n_cards", (F.col("n_cards") > 0).alias("ok"))

@@ -333,6 +333,17 @@ def slowest_docs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", (F.col("n_chars") / 1000).alias("seconds")).orderBy(F.desc("seconds"), "doc_id").limit(3)
 
 
+@query(
+    "conversion_totals",
+    "select count(*) as n_docs, sum(n_pages) as pages, sum(n_tables) as tables, sum(n_chars) as seconds, round_even(sum(n_chars) / count(*), 1) as seconds_per_doc from (select n_chars, doc_id % 7 as n_pages, case when doc_id % 3 = 0 then 0 else doc_id % 5 end as n_tables from documents)",
+)
+def conversion_totals(spark, sf):
+    """Documents whose conversion took a second for each character."""
+    d = F.col("doc_id")
+    rows = table(spark, sf, "documents").select((d % 7).alias("pages"), F.when(d % 3 != 0, d % 5).alias("tables"), F.col("n_chars").alias("seconds"))
+    return evaluation.conversion_totals(rows)
+
+
 @query(
     "sample_fragments",
     f"""select stem, chunk_index from (select stem, chunk_index, row_number() over (partition by stem order by chunk_index) - 1 as pos, count(*) over (partition by stem) as total from {CHUNKS})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veridoc.functions import text as t
-from veridoc.operators import evaluation, retrieval, tables
+from veridoc.operators import evaluation, index, retrieval, tables
 from veridoc.plans import prompts
 from veridoc.plans.corpus_plans import CHUNKS, PAGES
 from veridoc.plans.inputs import chunk_table, documents, pages, questions, table
@@ -156,6 +156,17 @@ def build_prompt(spark, sf):
     return prompts.build_prompt(wishes.join(_contexts(spark, sf), "question_id", "left"), PUBLIC, SUBJECT, system_col="turns")
 
 
+@query(
+    "index_reached",
+    f"""select item_id as question_id, count(t.document_id) as n_cards, count(t.document_id) > 0 as ok from benchmark left join
+    (select question_id, document_id from {TOP} join documents d on document_id = 'doc-' || d.doc_id || '.md' where rank <= 5 and d.doc_id % 3 = 0) t on t.question_id = item_id group by item_id""",
+)
+def index_reached(spark, sf):
+    """Every third document stands for an index card."""
+    cards = documents(spark, sf).filter("doc_id % 3 = 0").select(F.concat("stem", F.lit(".md")).alias("name"))
+    return index.index_reached(questions(spark, sf), _top(spark, sf)[0], cards)
+
+
 @query("extractive_answer")
 def extractive_answer(spark, sf):
     docs = documents(spark, sf).select(F.concat("stem", F.lit(".md")).alias("document_id"), "text")
