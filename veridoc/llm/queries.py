@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.llm import chat, common, fingerprints, importance, media, near_dedup, packing, piece_bpe, simple8b, token_counts, toxicity
+from veridoc.llm import chat, common, fingerprints, importance, licenses, media, near_dedup, packing, piece_bpe, simple8b, spelling, token_counts, toxicity
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -90,13 +90,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.with_crc(simple8b.read_token_files(spark, root, index)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(table(spark, sf_dir, "documents"))
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict:
     found = (
         op1_document_fingerprints, op2_near_duplicates, op3_chunked_media, op4_toxicity, op5_token_counts,
         op6_importance_resampling, op7_best_fit_packing, op8_chat_windows, op9_piece_round_trip, op10_token_files,
+        op11_license_scan, op12_spelling_variants,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_license_scan": licenses.twin_sql(), "op12_spelling_variants": spelling.twin_sql()}
