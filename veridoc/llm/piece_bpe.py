@@ -118,14 +118,16 @@ def model(path: str, check: bool = True) -> tuple[PieceBpe, SegmentMemo]:
 
 
 class SegmentMemo:
-    """Ids of texts, each distinct segment encoded once; emptied beyond ``limit`` segments."""
+    """Ids of texts, each distinct segment encoded once; emptied beyond ``limit`` segments or ``chars`` code points
+    of them, so that the memory is bounded by these and what one call brings."""
 
-    def __init__(self, bpe: PieceBpe, limit: int = 1_000_000):
-        self.bpe, self.limit, self.known = bpe, limit, {}
+    def __init__(self, bpe: PieceBpe, limit: int = 1_000_000, chars: int = 1 << 25):
+        self.bpe, self.limit, self.chars, self.known, self.held = bpe, limit, chars, {}, 0
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > self.limit:
+        if len(self.known) > self.limit or self.held > self.chars:
             self.known.clear()
+            self.held = 0
         rows = []
         for t in texts:
             t = t or ""
@@ -134,6 +136,7 @@ class SegmentMemo:
             else:
                 rows.append(t.replace("\n", " \n").split(" "))
         new = list({s for row in rows for s in row} - self.known.keys())
+        self.held += sum(map(len, new))
         self.known.update(zip(new, self.bpe.encode_segments(new), strict=True))
         return [b"".join(map(self.known.__getitem__, row)) for row in rows]
 

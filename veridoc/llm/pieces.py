@@ -45,11 +45,12 @@ class PieceMemo:
 
     encode: (tokens of each piece, all their ids or None if only numbers are wanted) of two lists of pieces, the
     first of which can be made one text: each is a space or newline and characters that are no white space.
-    limit: pieces remembered; beyond it only those used most stay, so that the memory is bounded.
+    limit, chars: pieces remembered, and their code points; beyond either only those used most stay, so that the
+    memory is bounded by these and what one call brings.
     """
 
-    def __init__(self, encode: Callable, limit: int = 1_000_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable, limit: int = 1_000_000, chars: int = 1 << 25):
+        self.encode, self.limit, self.chars = encode, limit, chars
         self._reset()
 
     def _reset(self) -> None:
@@ -60,7 +61,7 @@ class PieceMemo:
         self.count = 1  # number 0 stands for nothing
         self.sizes, self.starts, self.uses = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.pool, self.filled = np.zeros(1 << 14, np.uint32), 0
-        self.whole[""] = 0
+        self.whole[""] = self.held = 0
 
     def _learn(self) -> None:
         """Encodes the pieces numbered since the last call. A piece that can't be cut off safely, as white
@@ -68,6 +69,7 @@ class PieceMemo:
         fresh, self.fresh = self.fresh, []
         if not fresh:
             return
+        self.held += sum(map(len, fresh))
         match = _JOINT.fullmatch
         plain = np.fromiter((match(p) is not None for p in fresh), bool, len(fresh))
         joint, single = np.flatnonzero(plain), np.flatnonzero(~plain)
@@ -89,9 +91,10 @@ class PieceMemo:
     def _shrink(self) -> None:
         """Starts again with the pieces used most, half of the limit at most."""
         uses = self.uses[: self.count]
-        half = max(1, self.limit // 2)
+        half = min(max(1, self.limit // 2), len(uses))
         least = max(2, int(np.partition(uses, -half)[-half]) + 1)
-        kept = [[p for p, n in d.items() if n and uses[n] >= least] for d in (self.tail, self.whole, self.odd)]
+        room = max(1, self.chars // (2 * half))  # longer pieces are cheap to learn again for what they hold
+        kept = [[p for p, n in d.items() if n and uses[n] >= least and len(p) <= room] for d in (self.tail, self.whole, self.odd)]
         self._reset()
         for d, pieces in zip((self.tail, self.whole, self.odd), kept, strict=True):
             for p in pieces:
@@ -100,7 +103,7 @@ class PieceMemo:
 
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the pieces of all texts in order, and how many pieces each text has."""
-        if self.count > self.limit:
+        if self.count > self.limit or self.held > self.chars:
             self._shrink()
         rows = [(t or "").replace("\n", " \n").split(" ") for t in texts]
         n = np.fromiter(map(len, rows), np.int64, len(rows))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.llm import chat, common, fingerprints, importance, licenses, media, near_dedup, packing, piece_bpe, simple8b, spelling, token_counts, toxicity
+from veridoc.llm import alignment, chat, common, fingerprints, importance, licenses, media, near_dedup, packing, piece_bpe, simple8b, spelling, token_counts, toxicity
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -99,11 +99,15 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_statistics(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), tokenizer_path(PIECE_BPE))
+
+
 def queries() -> dict:
     found = (
         op1_document_fingerprints, op2_near_duplicates, op3_chunked_media, op4_toxicity, op5_token_counts,
         op6_importance_resampling, op7_best_fit_packing, op8_chat_windows, op9_piece_round_trip, op10_token_files,
-        op11_license_scan, op12_spelling_variants,
+        op11_license_scan, op12_spelling_variants, op13_token_alignment,
     )
     return {f.__name__: f for f in found}
 

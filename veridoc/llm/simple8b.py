@@ -168,17 +168,20 @@ def unpack_file(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class LibraryEncoder:
-    """Ids of pieces by the tokenizers library, many pieces to a text where they can be joined."""
+    """Ids of pieces by the tokenizers library, many pieces to a text where they can be joined.
 
-    def __init__(self, path: str):
+    plain: special strings inside texts are ordinary text."""
+
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenizer.encode_special_tokens = plain
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(special)) if special else None
+        self.special = re.compile("|".join(special)) if special and not plain else None
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def __call__(self, joint: list[str], alone: list[str]) -> tuple[np.ndarray, np.ndarray]:
