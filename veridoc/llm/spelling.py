@@ -26,7 +26,7 @@ RUN = re.compile("[a-zÀ-ÿ]+")
 #: Distinct words that one task counts before it passes them on.
 HELD = 200_000
 #: Words of one filter; a length with more has several, by hash.
-FILTER_WORDS = 1 << 18
+FILTER_WORDS = 1 << 15
 #: Bits of a filter for each word; each word sets eight bits of one block of 512.
 WORD_BITS = 16
 #: Bytes of filters that are broadcast at once; more are probed in further rounds.
