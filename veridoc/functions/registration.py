@@ -21,12 +21,12 @@ def register_functions(spark: SparkSession) -> None:
         "slug_text": ("regexp_replace(regexp_replace(fold_text(x), '[^a-z0-9]+', '-'), '^-+|-+$', '')", "string"),
         "document_base": ("split_part(regexp_replace(x, '[.]md$', ''), '--', 1)", "string"),
     }
-    spark.sql(f"create or replace temporary function fold_text(x string) returns string return translate(lower(x), {_quote(t._ACCENTED)}, {_quote(t._PLAIN)})")
+    spark.sql(f"create or replace temporary function fold_text(x string) returns string return {t.fold_sql('x')}")
+    stop = ", ".join(map(t.sql_literal, t.STOPWORDS))
+    marks = " or ".join(f"contains(lower(x), {t.sql_literal(m)})" for m in t.DENIALS)
     # a SQL function can't be called on a lambda's variable, so folding is spelled out there
-    folded = f"translate(lower(w), {_quote(t._ACCENTED)}, {_quote(t._PLAIN)})"
-    stop = ", ".join(map(_quote, t.STOPWORDS))
-    marks = " or ".join(f"contains(lower(x), {_quote(m)})" for m in t.DENIALS)
-    sql["condense_text"] = (f"array_join(filter(regexp_extract_all(lower(x), '[\\\\p{{L}}\\\\p{{N}}_]+', 0), w -> length(w) > 2 and not array_contains(array({stop}), {folded})), ' ')", "string")
+    content = f"if(length(w) = octet_length(w), w, {t.fold_sql('w')}) not in ({stop})"
+    sql["condense_text"] = (f"array_join(filter(regexp_extract_all(lower(x), {t.sql_literal(t.WORD)}, 0), w -> length(w) > 2 and {content}), ' ')", "string")
     sql["is_denial_text"] = (marks, "boolean")
     for name, (body, kind) in sql.items():
         spark.sql(f"create or replace temporary function {name}(x string) returns {kind} return {body}")
@@ -35,10 +35,6 @@ def register_functions(spark: SparkSession) -> None:
     spark.udtf.register("chunk_text", _ChunkText)
 
 
-def _quote(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 @F.pandas_udf(T.StringType())
 def _mask(texts: pd.Series) -> pd.Series:
     from veridoc.streaming.events import mask_text

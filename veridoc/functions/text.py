@@ -3,8 +3,9 @@ except in fold_any, for scripts beyond Latin."""
 
 from __future__ import annotations
 
+import json
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -62,25 +63,69 @@ def lines(c: Column) -> Column:
 
 
 def _letters() -> tuple[str, str, dict[str, str]]:
-    """Letters whose compatibility decomposition is one letter and marks; those letters, and after them the
-    combining marks (which translate drops); and ligatures, which stand for several letters."""
-    folded = lambda p: "".join(c for c in unicodedata.normalize("NFKD", chr(p)) if not unicodedata.combining(c))
-    scripts, ligatures = [*range(0xA0, 0x2000), *range(0xFF01, 0xFFDD)], [*range(0xA0, 0x250), *range(0xFB00, 0xFB07)]
-    single = {chr(p): folded(p) for p in scripts if len(folded(p)) == 1 and folded(p) != chr(p)}
-    marks = "".join(chr(p) for p in range(0x300, 0x3100) if unicodedata.combining(chr(p)))
-    return "".join(single) + marks, "".join(single.values()), {chr(p): folded(p) for p in ligatures if len(folded(p)) > 1}
+    """Characters whose compatibility decomposition is one character and marks; those characters, and after them the
+    combining marks (which translate drops); and characters that stand for several. Hangul is not parted."""
+    folded = lambda c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+    ranges = (range(0xA0, 0x3400), range(0xA000, 0xAC00), range(0xF900, 0x1FC00), range(0x2F800, 0x2FA20))  # others have none
+    known = [chr(p) for points in ranges for p in points]
+    marks = [c for c in known if unicodedata.combining(c)]
+    changed = {c: f for c in known if not unicodedata.combining(c) and (f := folded(c)) != c}
+    single = {c: f for c, f in changed.items() if len(f) == 1}
+    return "".join([*single, *marks]), "".join(single.values()), {c: f for c, f in changed.items() if len(f) != 1}
 
 
 _ACCENTED, _PLAIN, _LIGATURES = _letters()
+#: Characters for several that texts of common scripts hold; the others are looked up one by one where they occur.
+_COMMON = {c: f for c, f in _LIGATURES.items() if c < "\u0250" or c in "\u2025\u2026\u2033\u2122\u2116" or "\ufb00" <= c <= "\ufb06"}
+_RARE = {c: f for c, f in _LIGATURES.items() if c not in _COMMON}
+
+
+def _class(chars: Iterable[str]) -> str:
+    """A regular expression for one of these characters, as ranges."""
+    spans: list[list[int]] = []
+    for p in sorted(map(ord, chars)):
+        if spans and p == spans[-1][1] + 1:
+            spans[-1][1] = p
+        else:
+            spans.append([p, p])
+    return "[" + "".join(f"\\x{{{x:x}}}-\\x{{{y:x}}}" for x, y in spans) + "]"
+
+
+_IS_COMMON, _IS_RARE = _class(_COMMON), _class(_RARE)
+
+
+def is_ascii(c: Column) -> Column:
+    return F.length(c) == F.octet_length(c)
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents, for Latin, Greek, Cyrillic and full-width text; fold_any covers all scripts."""
-    plain = F.translate(F.lower(c), _ACCENTED, _PLAIN)
+    """Lower case without accents, by compatibility decomposition, for all scripts but Hangul, whose syllables stay
+    whole; fold_any parts these, too. ASCII texts are only lowered."""
+    low = F.lower(c)
+    plain = F.translate(low, _ACCENTED, _PLAIN)
     parted = plain
-    for ligature, letters in _LIGATURES.items():
+    for ligature, letters in _COMMON.items():
         parted = F.replace(parted, F.lit(ligature), F.lit(letters))
-    return F.when(plain.rlike(f"[{''.join(_LIGATURES)}]"), parted).otherwise(plain)
+    parted = F.when(plain.rlike(_IS_COMMON), parted).otherwise(plain)
+    letters = F.from_json(F.lit(json.dumps(_RARE)), "map<string,string>")
+    each = F.transform(F.split(parted, ""), lambda x: F.when(x.rlike(_IS_RARE), F.element_at(letters, x)).otherwise(x))
+    return F.when(is_ascii(c), low).when(plain.rlike(_IS_RARE), F.array_join(each, "")).otherwise(parted)
+
+
+def sql_literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def fold_sql(x: str) -> str:
+    """fold as SQL over an expression; for SQL functions, which cannot be called on a lambda's variable."""
+    plain = f"translate(lower({x}), {sql_literal(_ACCENTED)}, {sql_literal(_PLAIN)})"
+    parted = plain
+    for ligature, letters in _COMMON.items():
+        parted = f"replace({parted}, {sql_literal(ligature)}, {sql_literal(letters)})"
+    parted = f"if({plain} rlike {sql_literal(_IS_COMMON)}, {parted}, {plain})"
+    letters = f"from_json({sql_literal(json.dumps(_RARE))}, 'map<string,string>')"
+    each = f"transform(split({parted}, ''), rare_ -> if(rare_ rlike {sql_literal(_IS_RARE)}, element_at({letters}, rare_), rare_))"
+    return f"case when length({x}) = octet_length({x}) then lower({x}) when {plain} rlike {sql_literal(_IS_RARE)} then array_join({each}, '') else {parted} end"
 
 
 @F.pandas_udf(T.StringType())
@@ -119,8 +164,9 @@ def words(c: Column) -> Column:
 
 def condense_words(c: Column) -> Column:
     """Lower-cased words of content, in order."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(words(c), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, fold(w)))
+    # words of ASCII letters are what they fold to
+    content = lambda w: F.when(is_ascii(w), ~w.isin(*STOPWORDS)).otherwise(~fold(w).isin(*STOPWORDS))
+    return F.filter(words(c), lambda w: (F.length(w) > 2) & content(w))
 
 
 def condense(c: Column) -> Column:
@@ -136,7 +182,8 @@ def plan_queries(question: Column, most: int = 2) -> Column:
 
 def token_set(c: Column) -> Column:
     """Distinct folded words of content."""
-    return F.array_distinct(F.transform(condense_words(c), fold))
+    long = F.filter(words(c), lambda w: F.length(w) > 2)
+    return F.array_distinct(F.filter(F.transform(long, fold), lambda w: ~w.isin(*STOPWORDS)))
 
 
 def chunk_tokens(text: Column, file_name: Column) -> Column:
