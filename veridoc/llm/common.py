@@ -92,17 +92,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, blob) with each text compressed, so that a shuffle moves less; null stays null."""
+def packed(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    """(key, blob) and further columns, with each text compressed, so that a shuffle moves less; null stays null."""
     import pyarrow as pa
 
-    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), *more)
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(compressed(b.column("text").to_pylist()), pa.binary())], ["key", "blob"])
+            blobs = pa.array(compressed(b.column("text").to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("key"), blobs, *map(b.column, more)], ["key", "blob", *more])
 
-    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, blob binary")
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    return rows.mapInArrow(run, ", ".join([f"key {kind('key')}, blob binary", *[f"{c} {kind(c)}" for c in more]]))
 
 
 def compressed(texts: list[str | None]) -> list[bytes | None]:

@@ -91,7 +91,7 @@ def _batches(column: pa.Array, size: int = 256) -> Iterator[tuple[int, list]]:
 
 
 def _occurrences(batches):
-    """(key, digest, n) of each distinct chunk of each row."""
+    """(mark, digest, n) of each distinct chunk of each row."""
     for b in batches:
         for lo, texts in _batches(b.column("text")):
             data = [payload(t) for t in texts]
@@ -101,7 +101,7 @@ def _occurrences(batches):
                 digests += held.keys()
                 times += held.values()
                 keys += [lo + i] * len(held)
-            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(keys, pa.int64())), pa.array(digests, pa.binary()), pa.array(times, pa.int32())], ["key", "digest", "n"])
+            yield pa.RecordBatch.from_arrays([b.column("mark").take(pa.array(keys, pa.int64())), pa.array(digests, pa.binary()), pa.array(times, pa.int32())], ["mark", "digest", "n"])
 
 
 #: The ordered chunk list (MAGIC, number of chunks, digest and length of each), the kind of each chunk's place, the bytes of inline chunks, and of owned ones.
@@ -142,29 +142,29 @@ def _rows(batches):
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), held]
-            yield pa.RecordBatch.from_arrays([b.column("key").slice(lo, len(texts)), *map(pa.array, cols, kinds)], ["key", "n_bytes", "form", "places", "inline", "owned"])
+            yield pa.RecordBatch.from_arrays([b.column(c).slice(lo, len(texts)) for c in ("key", "mark")] + list(map(pa.array, cols, kinds)), ["key", "mark", "n_bytes", "form", "places", "inline", "owned"])
 
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Stores every row's payload in the shared folder, each shared chunk once; returns the table's path.
 
     Null texts are empty payloads of 64 zero bytes; whole texts are stored whatever their length; repeated
-    rows and null ids stay; other columns are left out, so their names cannot clash.
+    rows and null ids stay; other columns are left out, so their names cannot clash; an empty table is stored empty.
+
+    What a row shares with others is gathered by its mark, a hash of its id and text: so many rows of one id, or
+    without an id, have a set each, which is no larger than the row's own chunks.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("key", "text"))
     kind = rows.schema["key"].dataType.simpleString()
-    seen = stored(rows.mapInArrow(_occurrences, f"key {kind}, digest binary, n int"), "chunk-digests")
+    seen = stored(rows.select("mark", "text").mapInArrow(_occurrences, "mark long, digest binary, n int"), "chunk-digests")
     # counts and owners are combined before the shuffle, so a chunk of very many rows is one row for each task
-    shared = seen.groupBy("digest").agg(F.sum("n").alias("n"), F.min(F.struct("key")).alias("first")).filter("n > 1")
-    own = F.col("key").eqNullSafe(F.col("first.key"))
-    shared = stored(shared, "shared-digests")
-    found = salted_join(seen.select("key", "digest"), shared.select("digest", "first"), "digest", shared)
-    marks = found.groupBy("key").agg(F.collect_set(F.struct("digest", own.alias("own"))).alias("shared"))
-    blobs = packed(rows, "key", "text").alias("b")
-    marked = blobs.join(marks.alias("m"), F.col("b.key").eqNullSafe(F.col("m.key")), "left").select("b.key", "b.blob", "m.shared")
+    shared = stored(seen.groupBy("digest").agg(F.sum("n").alias("n"), F.min("mark").alias("first")).filter("n > 1"), "shared-digests")
+    found = salted_join(seen.select("mark", "digest"), shared.select("digest", "first"), "digest", shared)
+    marks = found.groupBy("mark").agg(F.collect_set(F.struct("digest", (F.col("mark") == F.col("first")).alias("own"))).alias("shared"))
+    marked = packed(rows, "key", "text", "mark").join(marks, "mark", "left").select("key", "mark", "blob", "shared")
     path = shared_dir(spark, "media")
-    marked.mapInArrow(_rows, f"key {kind}, {ROW}").write.option("compression", "zstd").parquet(path)
+    marked.mapInArrow(_rows, f"key {kind}, mark long, {ROW}").write.option("compression", "zstd").parquet(path)
     discard(seen)
     return path
 
@@ -200,7 +200,7 @@ def _features(batches):
     for b in batches:
         cols = {c: b.column(c) for c in b.schema.names}
         for lo in range(0, b.num_rows, 256):
-            part = {c: v.slice(lo, 256).to_pylist() for c, v in cols.items() if c != "key"}
+            part = {c: v.slice(lo, 256).to_pylist() for c, v in cols.items() if c not in ("key", "mark")}
             out: list[tuple] = []
             for i, form in enumerate(part["form"]):
                 known = {x["digest"]: x["bytes"] for x in [*(part["owned"][i] or []), *(part["fetched"][i] or [])]}
@@ -211,14 +211,14 @@ def _features(batches):
 
 
 def _asked(batches):
-    """(key, digest) of the chunks that a row names."""
+    """(mark, digest) of the chunks that a row names."""
     for b in batches:
         at, digests = [], []
         for i, (form, places) in enumerate(zip(b.column("form").to_pylist(), b.column("places").to_pylist(), strict=True)):
             own = {d for (d, _), p in zip(listed(form), places, strict=True) if p == NAMED}
             digests += own
             at += [i] * len(own)
-        yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(at, pa.int64())), pa.array(digests, pa.binary())], ["key", "digest"])
+        yield pa.RecordBatch.from_arrays([b.column("mark").take(pa.array(at, pa.int64())), pa.array(digests, pa.binary())], ["mark", "digest"])
 
 
 def read_media(spark: SparkSession, path: str) -> DataFrame:
@@ -226,15 +226,14 @@ def read_media(spark: SparkSession, path: str) -> DataFrame:
     media_sha256 are of the stored chunk list.
 
     Rows whose chunks are all in the row itself move nowhere; for the others only the named chunks and
-    what the row holds itself are shuffled. A lost or altered chunk raises ValueError.
+    what the row holds itself are shuffled. A lost or altered chunk raises ValueError; an empty table gives no rows.
     """
     table = spark.read.parquet(path)
     kind = table.schema["key"].dataType.simpleString()
     named = F.instr(F.hex("places"), f"{NAMED:02X}") > 0
     chunks = table.select(F.explode("owned").alias("c")).select("c.digest", "c.bytes").groupBy("digest").agg(F.first("bytes").alias("bytes"))
-    asked = stored(table.filter(named).select("key", "form", "places").mapInArrow(_asked, f"key {kind}, digest binary").distinct(), "asked-digests")
-    fetched = salted_join(asked, chunks, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "bytes")).alias("fetched"))
-    t, f = table.filter(named).alias("t"), fetched.alias("f")
-    far = t.join(f, F.col("t.key").eqNullSafe(F.col("f.key"))).select("t.*", "f.fetched")
+    asked = stored(table.filter(named).select("mark", "form", "places").mapInArrow(_asked, "mark long, digest binary").distinct(), "asked-digests")
+    fetched = salted_join(asked, chunks, "digest").groupBy("mark").agg(F.collect_list(F.struct("digest", "bytes")).alias("fetched"))
+    far = table.filter(named).join(fetched, "mark").select(*table.columns, "fetched")
     near = table.filter(~named).withColumn("fetched", F.lit(None).cast(fetched.schema["fetched"].dataType))
     return near.unionByName(far).mapInArrow(_features, f"doc_id {kind}, {RESULT}")

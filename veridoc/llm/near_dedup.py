@@ -224,11 +224,12 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     known = salted_join(placed, classes.select("label", "n_copies", F.col("first.least").alias("class_id"), F.col("first.key").alias("kept")), "label", classes)
     known = stored(known.select("key", "n", "class_id", "n_copies", "kept"), "known")
     joined = salted_join(signed.select("id", "key"), known.drop("n"), "key", known)
-    return joined.select("id", "key", "class_id", "n_copies", ((F.col("key") == F.col("kept")) & F.col("id").eqNullSafe(F.col("class_id"))).alias("kept"))
+    return joined.select("id", "key", "class_id", "n_copies", F.lower(F.hex("kept")).alias("class_key"), ((F.col("key") == F.col("kept")) & F.col("id").eqNullSafe(F.col("class_id"))).alias("kept"))
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_copies): the class of every row, named by its smallest id, and the class's rows.
+    """(doc_id, class_id, n_copies, class_key): the class of every row, named by its smallest id, and the class's
+    rows. class_key, the digest of the text that stays of the class, tells classes apart where ids repeat or are null.
 
     Equal texts are one class from the start; only different texts are compared. Within a bucket (texts with one
     band key) every text is compared with the bucket's first; a similarity of SIMILAR or more links them. Where
@@ -243,7 +244,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     text. Null ids take part; a class of null ids only has a null class_id. Extra columns are left out; an empty
     table gives no rows.
     """
-    return classified(docs, id_col, text_col).select(F.col("id").alias("doc_id"), "class_id", "n_copies")
+    return classified(docs, id_col, text_col).select(F.col("id").alias("doc_id"), "class_id", "n_copies", "class_key")
 
 
 def _labels(rows: DataFrame, nodes: DataFrame) -> DataFrame:

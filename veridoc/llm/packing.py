@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,14 +128,15 @@ def pack_documents(docs: DataFrame, length_col: str = "n_tokens", capacities: tu
     rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "n", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     largest, allowed = max(capacities), list(capacities)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["n", "doc_id"], ascending=[False, True], kind="stable")
-        ids, group = part["doc_id"].tolist(), int(part["pack_group"].iloc[0])
-        found = pack([int(x) for x in part["n"]], allowed)
-        return pd.DataFrame(
-            [(ids[i], piece, piece * largest, n, f"{group}-{b}", at, size) for i, piece, n, b, at, size in found],
-            columns=["doc_id", "piece", "piece_start", "piece_tokens", "bin_id", "bin_offset", "bin_length"],
-        )
+    def run(part: pa.Table) -> pa.Table:
+        # ids stay Arrow values: pandas would turn whole numbers beside a null into floats
+        part = part.sort_by([("n", "descending"), ("doc_id", "ascending")])
+        group = part.column("pack_group")[0].as_py()
+        item, piece, n, b, at, size = (list(x) for x in zip(*pack(part.column("n").to_pylist(), allowed), strict=True))
+        columns = (piece, [p * largest for p in piece], n, [f"{group}-{x}" for x in b], at, size)
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32())
+        names = ["piece", "piece_start", "piece_tokens", "bin_id", "bin_offset", "bin_length"]
+        return pa.table([part.column("doc_id").take(pa.array(item)), *map(pa.array, columns, kinds)], ["doc_id", *names])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.groupBy("pack_group").applyInPandas(run, f"doc_id {kind}, {PACKED}")
+    return rows.groupBy("pack_group").applyInArrow(run, f"doc_id {kind}, {PACKED}")
