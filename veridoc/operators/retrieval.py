@@ -35,19 +35,32 @@ def lexical_score(queries: DataFrame, index: DataFrame, min_score: float = MIN_S
     find every candidate; frequent tokens generate none, and candidates are verified on whole token sets.
     Counts of tokens are combined before they are shuffled; joins on a frequent token can be split.
     """
-    asked = queries.select("question_id", "query_idx", "tokens", F.size("tokens").alias("n"))
-    terms = asked.select("question_id", "query_idx", "n", F.explode("tokens").alias("token"))
+    terms = query_terms(queries)
     wanted = terms.select("token").distinct()
     # only tokens that queries use leave the scan of the chunks
     postings = index.select("document_id", F.explode("tokens").alias("token")).join(wanted, "token", "left_semi")
     frequency = postings.groupBy("token").agg(F.count("*").alias("df"))
+    candidates = probing_terms(terms, frequency, min_score).join(postings, "token").select("question_id", "query_idx", "document_id").distinct()
+    return verified(queries, candidates, index, ["document_id"], min_score)
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(question_id, query_idx, n, token): each token of each query, and how many the query has."""
+    return queries.select("question_id", "query_idx", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+
+
+def probing_terms(terms: DataFrame, frequency: DataFrame, min_score: float) -> DataFrame:
+    """terms without those that no candidate needs: a query's most frequent ones, by (token, df)."""
     rarest = Window.partitionBy("question_id", "query_idx").orderBy("df", "token")
     least = F.greatest(F.lit(1), F.ceil(F.lit(float(min_score)) * F.col("n") - 1e-9))
-    probes = terms.join(frequency, "token", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("rank", F.row_number().over(rarest))
-    probes = probes.filter(F.col("rank") <= F.col("n") - least + 1).select("question_id", "query_idx", "token")
-    candidates = probes.join(postings, "token").select("question_id", "query_idx", "document_id").distinct()
-    pairs = candidates.join(asked, ["question_id", "query_idx"]).join(index.withColumnRenamed("tokens", "held"), "document_id")
-    score = F.size(F.array_intersect("tokens", "held")) / F.col("n")
+    ranked = terms.join(frequency, "token", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("rank", F.row_number().over(rarest))
+    return ranked.filter(F.col("rank") <= F.col("n") - least + 1).drop("n", "df", "rank")
+
+
+def verified(queries: DataFrame, candidates: DataFrame, index: DataFrame, keys: list[str], min_score: float) -> DataFrame:
+    """The score of each candidate by its whole token set, found in index by keys, if it is min_score or more."""
+    pairs = candidates.join(queries.select("question_id", "query_idx", "tokens"), ["question_id", "query_idx"]).join(index.withColumnRenamed("tokens", "held"), keys)
+    score = F.size(F.array_intersect("tokens", "held")) / F.size("tokens")
     return pairs.select("question_id", "query_idx", "document_id", score.alias("score")).filter(F.col("score") >= F.lit(float(min_score)))
 
 
