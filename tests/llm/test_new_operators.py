@@ -153,7 +153,7 @@ def naive_alignment(rows):
             x, y = [], []
         ends = lambda side, ids: np.cumsum([len(side.raw[i]) for i in ids]).tolist()
         ea, eb = ends(a, x), ends(b, y)
-        links = [(x[i], y[j]) for i in range(len(x)) for j in range(len(y)) if max(([0] + ea)[i], ([0] + eb)[j]) < min(ea[i], eb[j])] if len(x) < 900 else None
+        links = [(x[i], y[j]) for i in range(len(x)) for j in range(len(y)) if max(([0] + ea)[i], ([0] + eb)[j]) < min(ea[i], eb[j])] if len(x) < 120 else None
         if links is None:  # the same by a walk
             links, i, j = [], 0, 0
             while i < len(x):
