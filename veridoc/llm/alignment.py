@@ -11,6 +11,7 @@ predecessor has emitted leaves it out, and groups that lie across pieces are sti
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -78,11 +79,32 @@ class Side:
     def __init__(self, encode, raw: list[bytes]):
         self.encode, self.raw = encode, raw
         self.sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        #: decimal ids, followed by a comma, then the same ids followed by what ends a group
-        self.inner = [b"%d," % k for k in range(len(raw))]
-
-    def covers(self, ids: np.ndarray, text: bytes) -> bool:
-        return b"".join(map(self.raw.__getitem__, ids.tolist())) == text
+        self.starts, self.pool = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(raw), np.uint8)
+        width = len(str(len(raw))) + 1
+        self.digits = np.frombuffer(b"".join(b"%d" % k + b"," * (width - len(str(k))) for k in range(len(raw))), np.uint8).reshape(-1, width)
+        self.written = np.fromiter((len(str(k)) + 1 for k in range(len(raw))), np.int64, len(raw))
+
+    def spells(self, ids: np.ndarray, counts: np.ndarray, raw: list[bytes]) -> np.ndarray:
+        """Whether the tokens of each text, of which there are so many, are its bytes."""
+        sizes = self.sizes[ids]
+        total = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
+        good = np.diff(total) == np.fromiter(map(len, raw), np.int64, len(raw))
+        kept = np.repeat(good, counts)
+        sizes, ends = sizes[kept], np.cumsum(sizes[kept])
+        held = self.pool[np.repeat(self.starts[ids[kept]] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
+        wrong = np.flatnonzero(held != np.frombuffer(b"".join(r for r, ok in zip(raw, good, strict=True) if ok), np.uint8))
+        at = np.flatnonzero(good)
+        good[at[np.searchsorted(np.cumsum(np.diff(total)[at]), wrong, "right")]] = False
+        return good
+
+
+class LibraryPieces(PieceBpe):
+    """Segments as the library encodes them."""
+
+    def encode_segments(self, pieces: list[str]) -> list[bytes]:
+        ids = self.library.encode(pieces, num_threads=1) if pieces else []
+        mark = [self.ids[MARK]]
+        return [array("I", x[1:] if p[:1] == "\n" else x if p else mark).tobytes() for p, x in zip(pieces, ids, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -102,7 +124,7 @@ def byte_side(path: str) -> Side:
 @lru_cache(maxsize=2)
 def piece_side(path: str) -> Side:
     """A piece vocabulary (a sentencepiece .model), which puts a space before the text itself."""
-    bpe = PieceBpe(path)
+    bpe = LibraryPieces(path, check=False)
     raw = []
     for i in range(bpe.library.get_piece_size()):
         piece = bpe.library.id_to_piece(i)
@@ -124,17 +146,14 @@ def align_texts(texts: list[str], a: Side, b: Side, pieces: int = PIECES) -> lis
     some = [k for k, t in enumerate(texts) if t]
     if not some:
         return out
-    split = lambda ids, n: np.split(ids.astype(np.int64), np.cumsum(n)[:-1])
-    per_a, per_b = (split(*side.encode([texts[k] for k in some])) for side in (a, b))
-    good = []
-    for k, x, y in zip(some, per_a, per_b, strict=True):
-        raw = b" " + texts[k].encode()
-        good.append(a.covers(x, raw) and b.covers(y, raw))
-    some, per_a, per_b = ([x for x, ok in zip(xs, good, strict=True) if ok] for xs in (some, per_a, per_b))
-    if not some:
+    raw = [b" " + texts[k].encode() for k in some]
+    (ids_a, n_a), (ids_b, n_b) = (side.encode([texts[k] for k in some]) for side in (a, b))
+    good = a.spells(ids_a, n_a, raw) & b.spells(ids_b, n_b, raw)
+    if not good.any():
         return out
-    ids_a, ids_b = np.concatenate(per_a), np.concatenate(per_b)
-    n_a, n_b = np.array([len(x) for x in per_a]), np.array([len(x) for x in per_b])
+    some = [k for k, ok in zip(some, good, strict=True) if ok]
+    ids_a, ids_b = ids_a[np.repeat(good, n_a)].astype(np.int64), ids_b[np.repeat(good, n_b)].astype(np.int64)
+    n_a, n_b = n_a[good], n_b[good]
     at_a, at_b, group = overlaps(np.cumsum(a.sizes[ids_a]), np.cumsum(b.sizes[ids_b]), pieces)
     of_text = np.repeat(np.arange(len(some)), n_a)[at_a]
     group_a, group_b = np.empty(len(ids_a), np.int64), np.empty(len(ids_b), np.int64)
@@ -143,14 +162,14 @@ def align_texts(texts: list[str], a: Side, b: Side, pieces: int = PIECES) -> lis
     count_a, count_b = np.bincount(group_a), np.bincount(group_b)
     place_a = np.arange(len(ids_a)) + (np.cumsum(count_b) - count_b)[group_a]
     place_b = np.arange(len(ids_b)) + np.cumsum(count_a)[group_b]
-    written = np.empty(len(ids_a) + len(ids_b), object)
+    width = max(a.digits.shape[1], b.digits.shape[1])
+    written, sizes = np.zeros((len(ids_a) + len(ids_b), width), np.uint8), np.empty(len(ids_a) + len(ids_b), np.int64)
     for side, ids, places, groups, mark in ((a, ids_a, place_a, group_a, b"|"), (b, ids_b, place_b, group_b, b";")):
+        written[places, : side.digits.shape[1]], sizes[places] = side.digits[ids], side.written[ids]
         last = np.append(groups[1:] != groups[:-1], True)
-        words = np.array(list(map(side.inner.__getitem__, ids.tolist())), object)
-        words[last] = [b"%d" % k + mark for k in ids[last].tolist()]
-        written[places] = words
-    written = written.tolist()
-    ends = np.cumsum(n_a + n_b)
+        written[places[last], side.written[ids[last]] - 1] = mark[0]
+    line = written[np.arange(width) < sizes[:, None]].tobytes()
+    ends = np.append(0, np.cumsum(sizes)[np.cumsum(n_a + n_b) - 1]).tolist()
     closes = np.append(group[1:] != group[:-1], True)
     n_groups = np.bincount(of_text[closes], minlength=len(some))
     n_links = np.bincount(of_text, minlength=len(some))
@@ -159,7 +178,7 @@ def align_texts(texts: list[str], a: Side, b: Side, pieces: int = PIECES) -> lis
     cut = np.searchsorted(pairs, np.arange(1, len(some)) * wide)
     per_pairs, per_times = np.split(pairs % wide, cut), np.split(times.astype(np.int32), cut)
     for m, k in enumerate(some):
-        text = b"".join(written[ends[m] - n_a[m] - n_b[m] : ends[m]])[:-1].decode()
+        text = line[ends[m] : ends[m + 1] - 1].decode()
         out[k] = (int(n_a[m]), int(n_b[m]), int(n_groups[m]), int(n_links[m]), text, per_pairs[m], per_times[m])
     return out
 
