@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from veridoc.functions import text as t
 from veridoc.operators import evaluation, index, retrieval, tables
+from veridoc.operators.kept_index import TokenIndex
 from veridoc.plans import prompts
 from veridoc.plans.corpus_plans import CHUNKS, PAGES
 from veridoc.plans.inputs import chunk_table, documents, pages, questions, table
 from veridoc.plans.policies import PUBLIC
 from veridoc.plans.text_plans import DECLINE, PLANNED, sql_denial, sql_tokens
-from veridoc.sources.shared import written
+from veridoc.sources.shared import shared_dir, written
 
 SUBJECT = "documentos técnicos"
 QUERIES: dict = {}
@@ -52,6 +53,36 @@ def lexical_score(spark, sf):
     return _scores(spark, sf)[0]
 
 
+def _kept(spark, sf):
+    """An index that an older state of the documents made and today's brought up to date: (index, counts of both)."""
+    docs = documents(spark, sf).select(F.concat("stem", F.lit(".md")).alias("document_id"), "text", "doc_id")
+    k = F.col("doc_id")
+    old = docs.filter(k % 10 != 3).withColumn("text", F.when(k % 50 == 7, F.concat(F.lit("antigua "), "text")).otherwise(F.col("text")))
+    gone = docs.filter(k % 25 == 1).withColumn("document_id", F.concat(F.lit("retired-"), "document_id"))
+    index = TokenIndex(spark, shared_dir(spark, "kept-index"))
+    return index, [index.update(old.unionByName(gone)), index.update(docs)]
+
+
+@query("lexical_score_kept", f"select question_id, query_idx, document_id, score from {SCORES}")
+def lexical_score_kept(spark, sf):
+    """lexical_score from a kept index that was brought up to date, not rebuilt."""
+    return _kept(spark, sf)[0].search(retrieval.planned(questions(spark, sf)))
+
+
+@query(
+    "index_update",
+    """select * from (values (1, 'new', (select count(*) from documents where doc_id % 10 <> 3) + (select count(*) from documents where doc_id % 25 = 1)), (1, 'changed', 0), (1, 'deleted', 0),
+    (2, 'new', (select count(*) from documents where doc_id % 10 = 3)), (2, 'changed', (select count(*) from documents where doc_id % 50 = 7 and doc_id % 10 <> 3)), (2, 'deleted', (select count(*) from documents where doc_id % 25 = 1)),
+    (2, 'live', (select count(*) from documents))) t(step, action, n)""",
+)
+def index_update(spark, sf):
+    """How many documents each update of a kept index found new, changed and deleted, and how many it then holds."""
+    index, counts = _kept(spark, sf)
+    rows = [(i, a, n) for i, c in enumerate(counts, 1) for a, n in c.items()]
+    held = index.documents().agg(F.lit(2).alias("step"), F.lit("live").alias("action"), F.count("*").alias("n"))
+    return spark.createDataFrame(rows, "step int, action string, n long").unionByName(held)
+
+
 @query("query_union", f"select question_id, count(*) as n_variants, string_agg(query, chr(10) order by query_idx) as variants from {PLANNED} group by all")
 def query_union(spark, sf):
     rows = retrieval.planned(questions(spark, sf)).groupBy("question_id").agg(F.count("*").alias("n_variants"), F.sort_array(F.collect_list(F.struct("query_idx", "query"))).alias("x"))

@@ -8,10 +8,13 @@ from veridoc.functions.text import is_denial, is_grounded, mask_identifiers, tex
 from veridoc.operators import chunking
 from veridoc.plans.inputs import documents, table
 from veridoc.plans.policies import PUBLIC
+from veridoc.plans.text_plans import SQL as TEXT_SQL
 from veridoc.plans.text_plans import sql_denial
 from veridoc.sources.shared import shared_dir
 from veridoc.streaming import events as ev
-from veridoc.streaming.runner import run_available
+from veridoc.streaming.late import RANK_ERROR, WindowLog
+from veridoc.streaming.ordered import redact_unordered, state_session
+from veridoc.streaming.runner import arriving, run_available, stream_of
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -203,3 +206,93 @@ def incremental_prep(spark, sf):
 def _joined(parts):
     texts = F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda x: x["text"])
     return parts.groupBy("response_id").agg(F.array_join(texts, "").alias("text"))
+
+
+def _shuffled(deltas, batches: int = 4):
+    """Deltas (response_id, sequence_number, type, delta) as a stream of batches that hold any of them, one in seven
+    twice; two later rows of another response let the wait for missing ones end."""
+    spark = deltas.sparkSession
+    keys = ("response_id", "sequence_number")
+    rows = deltas.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("sequence_number") % 60))
+    once = rows.withColumn("b", F.pmod(F.xxhash64(*keys), F.lit(batches)).cast("int"))
+    again = once.filter(F.pmod(F.xxhash64(*keys, F.lit(1)), F.lit(7)) == 0).withColumn("b", F.lit(batches - 1))
+    closing = spark.range(2).select(F.lit(-1).cast(rows.schema["response_id"].dataType).alias("response_id"), F.lit(0).alias("sequence_number"), F.lit("output_text.done").alias("type"), F.lit(None).cast("string").alias("delta"), F.timestamp_seconds(F.lit(1_700_086_400) + F.col("id") * 86_400).alias("ts"), (F.col("id") + batches).cast("int").alias("b"))
+    path = arriving(once.unionByName(again).unionByName(closing.withColumn("sequence_number", F.col("sequence_number").cast(rows.schema["sequence_number"].dataType))), "shuffled", batches + 2, F.col("b"))
+    return stream_of(state_session(spark), path, rows.schema)
+
+
+@query("ordered_answers", f"select response_id, md5(string_agg(delta, '' order by sequence_number)) as text_md5 from {RESPONSES} group by response_id")
+def ordered_answers(spark, sf):
+    """stream_answers of deltas that come in any order over several micro-batches, some twice and some never."""
+    parts = run_available(redact_unordered(_shuffled(responses(spark, sf)), ()), "ordered", spark=spark)
+    return _joined(parts.filter("response_id >= 0")).select("response_id", F.md5("text").alias("text_md5"))
+
+
+@query("redact_unordered", TEXT_SQL["mask_emails"])
+def redact_unordered_documents(spark, sf):
+    """Documents as deltas of 512 characters that come in any order over several micro-batches, masked as they come."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    last = F.floor(F.length(F.coalesce("text", F.lit(""))) / 512)
+    rows = docs.select(F.col("doc_id").alias("response_id"), F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("sequence_number"), last.alias("last"), "text")
+    rows = rows.select("response_id", "sequence_number", F.when(F.col("sequence_number") == F.col("last"), "output_text.done").otherwise("output_text.delta").alias("type"), F.substr("text", F.col("sequence_number") * 512 + 1, F.lit(512)).alias("delta"))
+    parts = run_available(redact_unordered(_shuffled(rows), ("email",)), "masked", spark=spark)
+    joined = _joined(parts.filter("response_id >= 0")).select(F.col("response_id").alias("doc_id"), F.md5("text").alias("masked_md5"))
+    return docs.filter("text is not null").select("doc_id").join(joined, "doc_id").unionByName(docs.filter("text is null").select("doc_id", F.lit(None).cast("string").alias("masked_md5")))
+
+
+def _quarter(low: str, high: str):
+    """Which of four equal stretches of time a row is in."""
+    us = F.unix_micros("ts")
+    return F.least(F.floor((us - F.col(low)) * 4 / F.greatest(F.col(high) - F.col(low), F.lit(1))), F.lit(3)).cast("int")
+
+
+@query("lifecycle_stream", SQL["request_lifecycle"])
+def lifecycle_stream(spark, sf):
+    """request_lifecycle as two streams in several micro-batches; lost requests come out as the watermark passes them."""
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    span = e.agg(F.min(F.unix_micros("ts")).alias("low"), F.max(F.unix_micros("ts")).alias("high"))
+    close = span.select(F.lit("end").alias("request_id"), (F.timestamp_micros("high") + F.expr("interval 1 day")).alias("ts"), F.lit(None).cast("string").alias("event"))
+    row = e.crossJoin(F.broadcast(span))  # of one row
+    accepted = row.filter("event_type = 'view'").select(F.concat_ws("-", "user_id", "event_id").alias("request_id"), "ts", _quarter("low", "high").alias("b"))
+    ended = row.filter("event_type in ('error', 'purchase')").select(F.concat_ws("-", "user_id", (F.col("event_id") - 1).cast("string")).alias("request_id"), "ts", F.col("event_type").alias("event"), _quarter("low", "high").alias("b"))
+    a = arriving(accepted.unionByName(close.select("request_id", "ts", F.lit(4).alias("b"))), "accepted", 5, F.col("b"))
+    b = arriving(ended.unionByName(close.select(F.lit("none").alias("request_id"), "ts", "event", F.lit(4).alias("b"))), "ended", 5, F.col("b"))
+    joined = ev.request_lifecycle(stream_of(spark, a, "request_id string, ts timestamp"), stream_of(spark, b, "request_id string, ts timestamp, event string"))
+    found = run_available(joined, "lifecycle").filter("request_id != 'end'")
+    return found.select(F.split_part("request_id", F.lit("-"), F.lit(2)).cast("long").alias("request_id"), "outcome")
+
+
+#: events in six batches by time, of which one row in ten comes two batches later; lateness is 10 minutes.
+LATE = f"""(select *, time_bucket(interval '5 minutes', ts) as period from (select *, least(case when event_id % 10 = 0 then q + 2 else q end, 5) as b from (select *, cast(least(floor((epoch_us(ts) - min(epoch_us(ts)) over ()) * 6 / greatest(max(epoch_us(ts)) over () - min(epoch_us(ts)) over (), 1)), 5) as integer) as q from {TELEMETRY})))"""
+BEFORE = f"(select b, max(m) over (order by b rows between unbounded preceding and 1 preceding) as latest from (select b, max(ts) as m from {LATE} group by b))"
+
+
+@query(
+    "late_rows",
+    f"""select epoch(period)::bigint as period_s, count(*) filter (not late) as n, count(*) filter (late) as n_late, count(*) filter (not late and event = 'response.failed') as n_errors, true as p95_in_bounds
+    from (select x.*, coalesce(period + interval '5 minutes' <= latest - interval '10 minutes', false) as late from {LATE} x join {BEFORE} using (b)) group by period""",
+)
+def late_rows(spark, sf):
+    """Telemetry in six micro-batches, of which some rows come too late: rows in windows and late rows of each period,
+    and whether each window's p95 of the time to the first token is within the sketch's rank error (or two rows)."""
+    rows = telemetry(spark, sf).select("ts", "event", "ttft_ms", "chunks", "latency_ms", "grounded", "event_id")
+    span = rows.agg(F.min(F.unix_micros("ts")).alias("low"), F.max(F.unix_micros("ts")).alias("high"))
+    us = F.unix_micros("ts")
+    q = F.least(F.floor((us - F.col("low")) * 6 / F.greatest(F.col("high") - F.col("low"), F.lit(1))), F.lit(5)).cast("int")
+    b = F.least(q + F.when(F.col("event_id") % 10 == 0, 2).otherwise(0), F.lit(5))
+    numbered = rows.crossJoin(F.broadcast(span)).withColumn("b", b).drop("low", "high", "event_id")  # span is one row
+    path = arriving(numbered, "telemetry-late", 6, F.col("b"))
+    schema = "ts timestamp, event string, ttft_ms double, chunks int, latency_ms int, grounded boolean"
+    log = WindowLog(spark, shared_dir(spark, "window-log"))
+    log.run(stream_of(spark, path, schema))
+    period = lambda df: df.withColumn("period", F.window("ts", ev.PERIOD)["start"])
+    late = period(log.late(spark, schema)).groupBy("period").agg(F.count("*").alias("n_late"))
+    windows = log.windows(spark, closed=False)
+    on_time = period(spark.read.schema(schema).parquet(path)).filter("event = 'response.completed'").join(windows.select("period", "ttft_p95"), "period")
+    ranks = on_time.groupBy("period").agg(F.count("*").alias("m"), F.count_if(F.col("ttft_ms") < F.col("ttft_p95")).alias("below"), F.count_if(F.col("ttft_ms") <= F.col("ttft_p95")).alias("upto")).join(late, "period", "left")
+    # late rows are among the rows counted here, so they widen the bounds
+    slack = F.col("m") * RANK_ERROR + 2 + F.coalesce("n_late", F.lit(0))
+    inside = ranks.select("period", ((F.col("below") - slack <= 0.95 * F.col("m")) & (F.col("upto") + slack >= 0.95 * F.col("m"))).alias("inside"))
+    out = windows.join(late, "period", "full_outer").join(inside, "period", "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select(F.unix_seconds("period").alias("period_s"), count("n"), count("n_late"), count("n_errors"), F.coalesce("inside", F.lit(True)).alias("p95_in_bounds"))
