@@ -11,6 +11,7 @@ from veridoc.functions.text import fold, strip
 #: of so many rows, texts and upper-median characters names columns.
 WORD_GAP, MIN_GAP, INK_CEILING, INK_CUT = 0.01, 0.001, 0.35, 0.0015
 HEADER_ROWS, HEADER_TEXTS, HEADER_CHARS = 3, 2, 30
+#: Patterns of a table's rule and of a version's name.
 _RULE = r"^\s*\|?[\s:|-]*-[\s:|-]*\|?\s*$"
 _VERSION = r"^[A-ZÁÉÍÓÚÑ0-9][A-ZÁÉÍÓÚÑ0-9 .\-+®/]{1,28}$"
 
@@ -126,19 +127,30 @@ def plausible_header(cells: DataFrame) -> DataFrame:
     return rows.select("table_id", F.coalesce((F.col("rows") >= HEADER_ROWS) & (F.size("lengths") >= HEADER_TEXTS) & short, F.lit(False)).alias("plausible"))
 
 
-def tables_to_text(cells: DataFrame) -> DataFrame:
+def tables_to_text(cells: DataFrame, columns_word: str = "columnas") -> DataFrame:
     """(table_id, text) of cells (table_id, row_idx, col_idx, text[, marked]): rows of a comparative table say which
     columns a feature is in, other rows pair each value with its header, where row 0 can be one.
 
     marked tells empty cells that hold a drawn mark: they name their column in a comparative table, and stand as
-    "[marcado]" in others. Rows without any text or mark give no line; neither does row 0."""
+    "[marcado]" in others. Rows without any text or mark give no line; neither does row 0.
+
+    Cells that also have their extent (left, right) and that of their words (text_left, text_right) give each value
+    of a comparative table to columns by its place, see placed_row; columns_word is what its columns are called."""
+    placed = {"left", "right", "text_left", "text_right"} <= set(cells.columns)
     drawn = F.coalesce(F.col("marked"), F.lit(False)) if "marked" in cells.columns else F.lit(False)
     filled = cells.withColumn("text", strip(F.coalesce("text", F.lit("")))).withColumn("drawn", drawn & (F.col("text") == ""))
     heads = filled.filter("row_idx = 0").groupBy("table_id").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "text"))).alias("heads"), F.count_if((F.col("col_idx") > 0) & (F.col("text") != "")).alias("n_heads"))
     row = F.sort_array(F.collect_list(F.when((F.col("text") != "") | F.col("drawn"), F.struct("col_idx", "text"))))
+    if placed:
+        middle = (F.col("left") + F.col("right")) / 2
+        centres = filled.filter("row_idx = 0 and col_idx > 0").groupBy("table_id").agg(F.collect_list(middle).alias("centres"))
+        heads = heads.join(centres, "table_id", "left").withColumn("centres", F.coalesce("centres", F.array().cast("array<double>")))
     kinds = is_comparative(cells).join(plausible_header(cells), "table_id")
-    rows = filled.filter("row_idx > 0").groupBy("table_id", "row_idx").agg(row.alias("cells")).join(heads, "table_id").join(kinds, "table_id")
-    label = F.coalesce(F.element_at(F.transform(F.filter("cells", lambda c: c["col_idx"] == 0), lambda c: c["text"]), 1), F.lit(""))
+    extent = F.struct(F.col("text_left").cast("double").alias("left"), F.col("text_right").cast("double").alias("right"), "col_idx", "text") if placed else F.struct("col_idx")
+    said = (F.col("col_idx") > 0) & (F.col("text") != "")
+    values_of = [F.sort_array(F.collect_list(F.when(said, extent))).alias("values"), F.count_if(F.col("col_idx") > 0).alias("n_values")] if placed else []
+    rows = filled.filter("row_idx > 0").groupBy("table_id", "row_idx").agg(row.alias("cells"), *values_of).join(heads, "table_id").join(kinds, "table_id")
+    label = F.coalesce(F.get(F.filter("cells", lambda c: c["col_idx"] == 0), F.lit(0))["text"], F.lit(""))
     values = F.filter("cells", lambda c: c["col_idx"] > 0)
     name = lambda c: F.coalesce(F.element_at("heads", c["col_idx"]), F.lit(""))
     is_mark = lambda c: c["text"].isin("", "•", "x", "X", "✓")
@@ -150,12 +162,126 @@ def tables_to_text(cells: DataFrame) -> DataFrame:
         .when(marks, F.concat(label, F.lit(": solo en "), columns))
         .otherwise(F.concat(label, F.lit(": "), F.array_join(F.transform(F.filter(values, lambda c: c["text"] != ""), lambda c: F.concat(c["text"], F.lit(" ("), name(c), F.lit(")"))), ", ")))
     )
+    if placed:
+        matrix = placed_row(label, values, columns_word)
     shown = lambda c: F.when(c["text"] == "", "[marcado]").otherwise(c["text"])
     plain = F.array_join(F.transform("cells", lambda c: F.when(F.col("plausible") & (name(c) != ""), F.concat(name(c), F.lit(": "), shown(c))).otherwise(shown(c))), " | ")
-    lines = rows.filter(F.size("cells") > 0).select("table_id", "row_idx", F.when(F.col("comparative"), matrix).otherwise(plain).alias("line"))
+    lines = rows.filter(F.size("cells") > 0).select("table_id", "row_idx", F.when(F.col("comparative"), matrix).otherwise(plain).alias("line")).filter("line is not null")
     return lines.groupBy("table_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
+def value_groups(values: Column) -> Column:
+    """Values (left, right, col_idx, text) in order of place, those no farther apart than WORD_GAP made one: text,
+    extent and columns of each."""
+    one = lambda v: F.array(F.struct(v["text"].alias("text"), v["left"].alias("left"), v["right"].alias("right"), F.array(v["col_idx"]).alias("columns")))
+    none = F.filter(F.transform(values, lambda v: one(v)[0]), lambda v: F.lit(False))
+
+    def add(found: Column, v: Column) -> Column:
+        last = F.element_at(found, -1)
+        grown = F.struct(F.concat_ws(" ", last["text"], v["text"]).alias("text"), last["left"].alias("left"), v["right"].alias("right"), F.concat(last["columns"], F.array(v["col_idx"])).alias("columns"))
+        joins = (F.size(found) > 0) & F.coalesce(v["left"] - F.get(found, F.size(found) - 1)["right"] <= WORD_GAP, F.lit(False))
+        return F.when(joins, F.concat(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(found, one(v)))
+
+    return F.aggregate(values, none, add)
+
+
+def placed_row(label: Column, marks: Column, columns_word: str) -> Column:
+    """A row of a comparative table by where its values stand: a value nearer to the middle of all columns than to
+    the middle of any is said of all of them; another one of the columns of the cells that it lies in. Without values
+    its marks name columns, and without either it is a heading; a row without a label gives nothing.
+
+    Reads the columns values, n_values, heads and centres of its row."""
+    centres, heads = F.col("centres"), F.col("heads")
+    middle = (F.array_min(centres) + F.array_max(centres)) / 2
+    named = lambda cs: F.array_distinct(F.filter(F.transform(cs, lambda c: F.element_at(heads, c)), lambda h: F.coalesce(h, F.lit("")) != ""))
+
+    def phrase(g: Column) -> Column:
+        at = (g["left"] + g["right"]) / 2
+        nearest = F.array_min(F.transform(centres, lambda c: F.abs(at - c)))
+        of_all = (F.size(centres) == 0) | (F.abs(at - middle) < nearest) | (F.size(named(g["columns"])) == 0)
+        return F.when(of_all, g["text"]).otherwise(F.concat(g["text"], F.lit(" ("), F.array_join(named(g["columns"]), ", "), F.lit(")")))
+
+    said = F.array_join(F.transform(value_groups(F.col("values")), phrase), "; ")
+    names = F.array_join(F.transform(marks, lambda c: F.coalesce(F.nullif(F.element_at(heads, c["col_idx"]), F.lit("")), F.concat(F.lit("columna "), (c["col_idx"] + 1).cast("string")))), ", ")
+    every = (F.size(marks) == F.col("n_values")) & (F.col("n_values") > 1)
+    return (
+        F.when(label == "", None)
+        .when(F.size("values") > 0, F.concat(label, F.lit(": "), said))
+        .when(every, F.concat(label, F.lit(f": en todas las {columns_word} ("), names, F.lit(")")))
+        .when(F.size(marks) > 0, F.concat(label, F.lit(": solo en "), names))
+        .otherwise(F.concat(F.lit("## "), label))
+    )
+
+
+def _children(blocks: DataFrame, kind: str) -> DataFrame:
+    """(page_id, parent, at, child) of the blocks of one kind."""
+    return blocks.filter(F.col("kind") == kind).select("page_id", F.col("block_id").alias("parent"), F.posexplode("children").alias("at", "child"))
+
+
+def blocks_to_cells(blocks: DataFrame, ink: DataFrame | None = None) -> DataFrame:
+    """(page_id, table_id, table_no, row_idx, col_idx, text, left, right, text_left, text_right[, marked]) of the
+    tables that an engine's blocks describe.
+
+    blocks: (page_id, block_no, block_id, kind, text, row_idx, col_idx, left, width, selected, children); kind is
+    TABLE, CELL, WORD, SELECTION_ELEMENT or LINE, children are ids of blocks of the same page, and rows and columns
+    count from 1. A cell's text is its words in the order of its children, and "sí" for each selected element;
+    text_left and text_right are 0 without words. The first row that a table has is row 0, its header. ink gives
+    (page_id, block_id, ink, compact) of cells: an empty cell is marked if its ink is a compact spot above the
+    table's own threshold. Children that no block has, and cells of no table, are left out."""
+    plain = ["page_id", "block_id"]
+    tables_ = blocks.filter("kind = 'TABLE'").select("page_id", F.col("block_id").alias("table"), F.col("block_no").alias("table_no"))
+    cell = blocks.filter("kind = 'CELL'").select(*plain, F.col("row_idx").alias("r"), F.col("col_idx").alias("c"), F.col("left").cast("double").alias("left"), (F.col("left") + F.col("width")).cast("double").alias("right"))
+    inside = _children(blocks, "TABLE").withColumnsRenamed({"parent": "table", "child": "block_id"}).drop("at")
+    cell = cell.join(inside, plain).join(tables_, ["page_id", "table"])
+    part = blocks.filter("kind in ('WORD', 'SELECTION_ELEMENT')").select("page_id", F.col("block_id").alias("child"), "kind", "text", "selected", F.col("left").cast("double").alias("l"), (F.col("left") + F.col("width")).cast("double").alias("r"))
+    parts = _children(blocks, "CELL").join(part, ["page_id", "child"])
+    word = F.col("kind") == "WORD"
+    piece = F.when(word, F.struct(F.lit(0).alias("k"), "at", "text")).when(F.col("selected"), F.struct(F.lit(1).alias("k"), "at", F.lit("sí").alias("text")))
+    texts = parts.groupBy("page_id", F.col("parent").alias("block_id")).agg(
+        strip(F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda x: x["text"]), " ")).alias("text"),
+        F.min(F.when(word, F.col("l"))).alias("text_left"),
+        F.max(F.when(word, F.col("r"))).alias("text_right"),
+    )
+    first = F.min("r").over(Window.partitionBy("page_id", "table"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    found = cell.join(texts, plain, "left").select(
+        "page_id",
+        F.struct("page_id", F.col("table").alias("block_id")).alias("table_id"),
+        "table_no",
+        (F.col("r") - first).cast("int").alias("row_idx"),
+        (F.col("c") - 1).cast("int").alias("col_idx"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        "left",
+        "right",
+        zero("text_left"),
+        zero("text_right"),
+        "block_id",
+    )
+    if ink is None:
+        return found.drop("block_id")
+    spots = found.filter("text = ''").join(ink.select(*plain, "ink", "compact"), plain, "left").select("table_id", *plain, F.coalesce("ink", F.lit(0.0)).alias("ink"), F.coalesce("compact", F.lit(False)).alias("compact"))
+    cut = mark_threshold(spots)
+    drawn = spots.join(cut, "table_id").select(*plain, (F.col("compact") & (F.col("ink") >= F.col("threshold")) & (F.col("ink") <= INK_CEILING)).alias("marked"))
+    return found.join(drawn, plain, "left").withColumn("marked", F.coalesce("marked", F.lit(False))).drop("block_id")
+
+
+def lines_outside_tables(blocks: DataFrame) -> DataFrame:
+    """(page_id, line_no, text) of the lines none of whose words are in a table's cell."""
+    cells = _children(blocks, "TABLE").select("page_id", F.col("child").alias("parent"))
+    held = _children(blocks, "CELL").join(cells, ["page_id", "parent"], "left_semi").select("page_id", "child").distinct()
+    taken = _children(blocks, "LINE").join(held, ["page_id", "child"], "left_semi").select("page_id", F.col("parent").alias("block_id")).distinct()
+    lines = blocks.filter("kind = 'LINE'").join(taken, ["page_id", "block_id"], "left_anti")
+    return lines.select("page_id", F.col("block_no").alias("line_no"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def blocks_to_pages(blocks: DataFrame, ink: DataFrame | None = None, columns_word: str = "columnas") -> DataFrame:
+    """(page_id, text): lines outside tables, then the page's tables in words, from an engine's blocks."""
+    cells = blocks_to_cells(blocks, ink)
+    texts = tables_to_text(cells, columns_word).join(cells.select("table_id", "table_no").distinct(), "table_id")
+    lines = lines_outside_tables(blocks).withColumn("in_table", F.lit(False))
+    return page_text(lines, texts.select(F.col("table_id.page_id").alias("page_id"), "table_no", "text"))
+
+
 def page_text(lines: DataFrame, tables: DataFrame) -> DataFrame:
     """(page_id, text): the lines of a page that no table holds, in their order, then its tables in theirs.
 

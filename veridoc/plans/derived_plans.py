@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veridoc.functions import text as t
@@ -12,7 +13,7 @@ from veridoc.plans.inputs import documents, pages, table
 from veridoc.plans.corpus_plans import PAGES
 from veridoc.plans.text_plans import sql_denial, sql_slug
 from veridoc.sources import corpus
-from veridoc.sources.shared import shared_dir
+from veridoc.sources.shared import shared_dir, written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -212,6 +213,92 @@ def tables_to_text(spark, sf):
     return text.select("table_id", F.md5("text").alias("text_md5"))
 
 
+#: Where values stand, as their row and feature have it: the first's extent, the second's, and the columns they begin in.
+AT = """(select *, la + 0.02::double + (line_no % 5) / 100.0::double as ra from (select *, 0.45::double + ((length(feature) * 37 + line_no * 11) % 300) / 1000.0::double as la from (select doc_id, line_no, 'pieza ' || feature as feature from {rows})))"""
+CENTRES = (0.515, 0.645, 0.775, 0.905)
+_AREA = "(0.515::double + 0.905::double) / 2"
+_NEAREST = lambda at: "least(" + ", ".join(f"abs({at} - {c}::double)" for c in CENTRES) + ")"
+
+
+@query(
+    "placed_tables",
+    f"""with x as (select *, ra + (line_no % 30) / 1000.0::double as lb from {AT.replace("{rows}", ROWS)}), y as (select *, lb + 0.03::double as rb, cast(floor((la - 0.45::double) / 0.13::double) as integer) as ca, cast(floor((lb - 0.45::double) / 0.13::double) as integer) as cb from x),
+    z as (select *, ['COOL', 'STYLE', 'CVT', 'EXCITE'][ca + 1] as ha, ['COOL', 'STYLE', 'CVT', 'EXCITE'][least(greatest(cb, ca + 1), 3) + 1] as hb, line_no % 4 <> 0 as one, line_no % 2 = 1 as two, lb - ra <= 0.01::double as near, (la + rb) / 2 as m, (la + ra) / 2 as ma, (lb + rb) / 2 as mb from y)
+    select doc_id as table_id, md5(string_agg(case when not one then '## ' || feature when two and near then feature || ': ' || line_no || ' x' || line_no || case when abs(m - {_AREA}) < {_NEAREST("m")} then '' else ' (' || ha || ', ' || hb || ')' end
+    else feature || ': ' || line_no || case when abs(ma - {_AREA}) < {_NEAREST("ma")} then '' else ' (' || ha || ')' end || case when not two then '' else '; x' || line_no || case when abs(mb - {_AREA}) < {_NEAREST("mb")} then '' else ' (' || hb || ')' end end end, chr(10) order by line_no)) as text_md5 from z group by doc_id""",
+)
+def placed_tables(spark, sf):
+    """Documents' sentences as rows of comparative tables whose values stand at places that the rows' own lengths and
+    numbers give: under a column, between columns, and in the middle of all."""
+    n = F.col("line_no")
+    rows = _lines(spark, sf).filter("line_no > 2").withColumn("feature", F.concat(F.lit("pieza "), F.element_at(tables.md_table_cells(F.col("line")), 1)))
+    rows = rows.withColumn("la", F.lit(0.45) + ((F.length("feature") * 37 + n * 11) % 300) / F.lit(1000.0))
+    rows = rows.withColumn("ra", F.col("la") + F.lit(0.02) + (n % 5) / F.lit(100.0))
+    rows = rows.withColumn("lb", F.col("ra") + (n % 30) / F.lit(1000.0)).withColumn("rb", F.col("lb") + F.lit(0.03))
+    column = lambda c: F.floor((F.col(c) - F.lit(0.45)) / F.lit(0.13)).cast("int")
+    first = column("la") + 1
+    second = F.least(F.greatest(column("lb"), column("la") + 1), F.lit(3)) + 1
+    value = lambda at, text, left, right: F.struct(at.alias("col_idx"), text.alias("text"), left.alias("text_left"), right.alias("text_right"))
+    none, zero = F.lit(""), F.lit(0.0)
+    said = [value(F.lit(0), F.col("feature"), F.lit(0.06), F.lit(0.2))]
+    for k in range(1, 5):
+        one, two = (n % 4 != 0) & (first == k), (n % 2 == 1) & (second == k)
+        said.append(value(F.lit(k), F.when(one, n.cast("string")).when(two, F.concat(F.lit("x"), n.cast("string"))).otherwise(none), F.when(one, F.col("la")).when(two, F.col("lb")).otherwise(zero), F.when(one, F.col("ra")).when(two, F.col("rb")).otherwise(zero)))
+    cells = rows.select("doc_id", (n - 2).alias("row_idx"), F.inline(F.array(*said)))
+    heads = F.array(*[value(F.lit(k), F.lit(t), F.lit(0.5), F.lit(0.5)) for k, t in enumerate(("", "COOL", "STYLE", "CVT", "EXCITE"))])
+    cells = cells.unionByName(table(spark, sf, "documents").select("doc_id", F.lit(0).alias("row_idx"), F.inline(heads)))
+    # centres of the columns' grid are given by their extents
+    centre = F.element_at(F.array(F.lit(0.25), *map(F.lit, CENTRES)), F.col("col_idx") + 1)
+    placed = cells.withColumn("left", centre).withColumn("right", centre)
+    text = tables.tables_to_text(placed.withColumnRenamed("doc_id", "table_id"))
+    return text.select("table_id", F.md5("text").alias("text_md5"))
+
+
+@query(
+    "tables_from_blocks",
+    """with l as (select doc_id, i, w from (select doc_id, unnest(range(len(ls))) as i, list_filter(string_split(unnest(ls), ' '), lambda x: x <> '') as w from (select doc_id, string_split(text, chr(10)) as ls from documents)) where len(w) > 0),
+    r as (select *, row_number() over (partition by doc_id order by i) - 1 as k, count(*) over (partition by doc_id) as n from l),
+    p as (select doc_id, i, k, n, case when k < 2 then array_to_string(w, ' ') when n - 2 >= 2 then 'Pieza: ' || w[1] || ' | Clave: ' || coalesce(w[2], '-') || ' | Resto: ' || coalesce(nullif(array_to_string(w[3:], ' '), ''), '-') else w[1] || ' | ' || coalesce(w[2], '-') || ' | ' || coalesce(nullif(array_to_string(w[3:], ' '), ''), '-') end as piece from r)
+    select doc_id as page_id, md5(string_agg(piece, chr(10) order by k)) as text_md5 from p group by doc_id""",
+)
+def tables_from_blocks(spark, sf):
+    """Documents as pages of an engine's blocks: their first two lines stand alone, the others in one table of three
+    columns, whose words are blocks below cells and, again, below lines."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    rows = docs.select("page_id", "i", F.filter(F.split("line", " "), lambda x: x != "").alias("w")).filter(F.size("w") > 0)
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("page_id").orderBy("i")) - 1)
+    key = lambda *parts: F.concat_ws("-", *[p if isinstance(p, str) else p.cast("string") for p in parts])
+    dash = lambda ws: F.when(F.size(ws) > 0, ws).otherwise(F.array(F.lit("-")))
+    cut = F.array(F.slice("w", 1, 1), dash(F.slice("w", 2, 1)), dash(F.slice("w", 3, F.greatest(F.size("w") - 2, F.lit(1)))))
+    body = rows.filter("k >= 2").select("page_id", (F.col("k") - 1).alias("r"), F.posexplode(cut).alias("c", "ws"))
+    pages_ = rows.filter("k >= 2").select("page_id").distinct()
+    head = pages_.select("page_id", F.lit(0).alias("r"), F.posexplode(F.array(*[F.array(F.lit(t)) for t in ("Pieza", "Clave", "Resto")])).alias("c", "ws"))
+    cells = body.unionByName(head).withColumn("id", key(F.lit("cell"), F.col("r"), F.col("c")))
+    word = lambda owner, at: key(F.lit("word"), owner, at)
+    kids = lambda owner: F.transform("ws", lambda _, j: F.concat(F.lit("word-"), owner, F.lit("-"), j.cast("string")))
+    names = ["page_id", "block_no", "block_id", "kind", "text", "row_idx", "col_idx", "left", "width", "selected", "children"]
+    kinds = dict(zip(names, ["long", "int", "string", "string", "string", "int", "int", "double", "double", "boolean", "array<string>"], strict=True))
+
+    def block(df, **given):
+        return df.select("page_id", *[given.get(n, F.lit(None)).cast(kinds[n]).alias(n) for n in names[1:]])
+
+    words = cells.select("page_id", "id", "c", F.posexplode("ws").alias("j", "t"))
+    line = rows.withColumn("ws", F.col("w")).withColumn("id", key(F.lit("line"), F.col("k")))
+    owner = F.when(F.col("k") < 2, F.col("id")).otherwise(key(F.lit("cell"), F.col("k") - 1, F.lit(0)))
+    blocks = [
+        block(cells, block_no=F.lit(0), block_id=F.col("id"), kind=F.lit("CELL"), row_idx=F.col("r") + 1, col_idx=F.col("c") + 1, left=F.col("c") * 0.3, width=F.lit(0.3), children=kids(F.col("id"))),
+        block(words, block_no=F.lit(0), block_id=word(F.col("id"), F.col("j")), kind=F.lit("WORD"), text=F.col("t"), left=F.col("c") * 0.3 + F.col("j") * 0.001, width=F.lit(0.001)),
+        block(cells.groupBy("page_id").agg(F.collect_list("id").alias("ids")), block_no=F.lit(1 << 20), block_id=F.lit("table"), kind=F.lit("TABLE"), children=F.col("ids")),
+        block(line, block_no=F.col("k"), block_id=F.col("id"), kind=F.lit("LINE"), text=F.array_join("ws", " "), children=kids(owner)),
+        block(line.filter("k < 2").select("page_id", "id", F.posexplode("ws").alias("j", "t")), block_no=F.lit(0), block_id=word(F.col("id"), F.col("j")), kind=F.lit("WORD"), text=F.col("t")),
+    ]
+    whole = blocks[0]
+    for b in blocks[1:]:
+        whole = whole.unionByName(b)
+    text = tables.blocks_to_pages(written(whole, "blocks"))
+    return text.filter("text <> ''").select("page_id", F.md5("text").alias("text_md5"))
+
+
 @query(
     "page_text",
     f"""select page_id, md5(string_agg(piece, chr(10) order by part, pos)) as text_md5 from
