@@ -40,6 +40,8 @@ IDENTIFIERS = {
     "telefono": r"(?<![\d\w])(?:\+?52[\s.-]*)?\(?\d{2,3}\)?[\s.-]*\d{3,4}[\s.-]*\d{4}(?![\d\w])",
     "cedula": r"(?<![\d\w])\d{7,8}(?![\d\w])",
 }
+#: What every match of a pattern holds, as a cheap test before it.
+_HINTS = {"curp": r"\d{4}", "rfc": r"\d{4}", "email": "@", "telefono": r"\d{4}", "cedula": r"\d{4}"}
 PERSONAL = ("curp", "rfc", "telefono", "cedula")
 VISIBLE = 4
 WORD = r"[\p{L}\p{N}_]+"
@@ -203,13 +205,15 @@ def mask_identifiers(c: Column, names: Sequence[str] = PERSONAL, reveal: bool =
         raise ValueError(f"unknown identifier patterns: {sorted(unknown)}")
     if reveal:
         return c
+    raw, hints = c, sorted({_HINTS[n] for n in names})
     for name, pattern in IDENTIFIERS.items():
         if name in names:
             p = "(?U)" + pattern
             parts, found = F.split(c, p, -1), F.regexp_extract_all(c, F.lit(p), 0)
             joined = F.array_join(F.zip_with(parts, found, lambda s, m: F.concat(F.coalesce(s, F.lit("")), F.coalesce(_mask(m), F.lit("")))), "")
             c = F.when(c.rlike(p), joined).otherwise(c)
-    return c
+    # most texts hold nothing that any pattern could match; they pass one short test
+    return F.when(raw.rlike("(?U)" + "|".join(hints)), c).otherwise(raw) if hints else raw
 
 
 def contains_identifier(c: Column, names: Sequence[str] = PERSONAL) -> Column:
@@ -252,7 +256,7 @@ def collapsed_length(c: Column) -> Column:
 
 
 def _table_lines(c: Column) -> Column:
-    return F.transform(F.split(c, "\n"), lambda x: x.rlike(r"^\s*\|.*\|\s*$"))
+    return F.transform(lines(c), lambda x: x.rlike(r"^\s*\|.*\|\s*$"))
 
 
 def table_rows(c: Column) -> Column:
@@ -261,8 +265,9 @@ def table_rows(c: Column) -> Column:
 
 def table_blocks(c: Column) -> Column:
     """Runs of neighbouring table lines."""
-    lines = _table_lines(c)
-    return F.size(F.filter(F.transform(lines, lambda x, i: x & ((i == 0) | ~F.coalesce(F.get(lines, i - 1), F.lit(False)))), lambda x: x))
+    rows = _table_lines(c)
+    before = F.concat(F.array(F.lit(False)), rows)
+    return F.size(F.filter(F.zip_with(rows, before, lambda x, last: x & ~last), lambda x: x))
 
 
 def sentences(c: Column) -> Column:

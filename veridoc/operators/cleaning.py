@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from veridoc.functions.text import lines, strip, strip_end
 from veridoc.plans.policies import Cleanup
 
+#: Lines that are noise, bare page numbers, and folios that say so.
 NOISE = "^[A-Za-z0-9+/=]{60,}$"
-BARE_NUMBER = r"^\s*[-–—]?\s*[0-9]{1,3}\s*[-–—]?\s*$"
-EXPLICIT_FOLIO = r"(?i)^\s*(p[áa]g(?:ina)?\.?)\s*[0-9]+\s*(?:(?:de|/|of)\s*[0-9]+)?\s*$"
+BARE_NUMBER = r"^\s*[-–—]?\s*\d{1,3}\s*[-–—]?\s*$"
+EXPLICIT_FOLIO = r"(?i)^\s*(p[áa]g(?:ina)?\.?)\s*\d+\s*(?:(?:de|/|of)\s*\d+)?\s*$"
 
 
 def doc_lines(pages: DataFrame) -> DataFrame:

@@ -75,7 +75,9 @@ def extractive_answer(rows: DataFrame, decline: str) -> DataFrame:
     question without hits (null or an empty array); the answer takes the first two hits."""
     tokens, hits = F.col("query_tokens"), F.col("hits")
     body = fold(F.array_join(F.transform(hits, lambda h: h["text"]), " "))
-    missing = F.exists(tokens, lambda t: (F.length(t) >= 4) & ~F.contains(body, t))
+    # body stands in an array beside the tokens, so that it is folded once and not for each of them
+    beside = F.zip_with(tokens, F.array_repeat(body, F.size(tokens)), lambda t, b: (F.length(t) >= 4) & ~F.contains(b, t))
+    missing = F.exists(beside, lambda x: x)
     best = F.transform(F.slice(hits, 1, 2), lambda h: F.struct(best_sentence(tokens, h["text"]).alias("s"), h["document_id"].alias("d")))
     parts = F.transform(F.filter(best, lambda x: x["s"] != ""), lambda x: F.concat(F.regexp_replace(x["s"], r"\.+$", ""), F.lit(" ["), x["d"], F.lit("].")))
     said = F.concat(F.lit("Según los documentos disponibles: "), F.array_join(parts, " "))
@@ -147,6 +149,13 @@ def conversion_totals(conversions: DataFrame) -> DataFrame:
     return conversions.agg(F.count("*").alias("n_docs"), *[v.alias(c) for c, v in sums.items()], average.alias("seconds_per_doc"))
 
 
+def doc_set_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(side, stem): documents that only one corpus has, or both; each corpus is read once."""
+    left, right = (d.select("stem").distinct().withColumn(n, F.lit(True)) for d, n in ((a, "in_a"), (b, "in_b")))
+    side = F.when(F.col("in_b").isNull(), "only_a").when(F.col("in_a").isNull(), "only_b").otherwise("both")
+    return left.join(right, "stem", "full_outer").select(side.alias("side"), "stem")
+
+
 def line_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """(stem, line, sign, n): lines that one corpus has more often than the other in the same document.
 

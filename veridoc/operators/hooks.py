@@ -15,7 +15,8 @@ def transcribe(pages: DataFrame, engine: Callable[[pd.DataFrame], pd.DataFrame],
     """(doc_key, page_no, text, confidence, error): the engine's output for pages (doc_key, page_no, image).
 
     The engine gets up to ``batch_rows`` pages at a time and returns doc_key, page_no, text and confidence; if it
-    raises, its pages become rows with the error, and the others go on."""
+    raises, its pages become rows with the error, and the others go on. Keys reach the engine as strings, for pandas
+    would turn whole numbers beside a null into floats; they come back as they were."""
     kind = dict(pages.dtypes)["doc_key"]
     columns = ["doc_key", "page_no", "text", "confidence", "error"]
 
@@ -29,7 +30,9 @@ def transcribe(pages: DataFrame, engine: Callable[[pd.DataFrame], pd.DataFrame],
                     out = some[["doc_key", "page_no"]].assign(text=None, confidence=float("nan"), error=str(e))
                 yield out[columns]
 
-    return pages.mapInPandas(run, f"doc_key {kind}, page_no int, text string, confidence double, error string")
+    keyed = pages.withColumn("doc_key", F.col("doc_key").cast("string"))
+    out = keyed.mapInPandas(run, "doc_key string, page_no int, text string, confidence double, error string")
+    return out.withColumn("doc_key", F.col("doc_key").cast(kind))
 
 
 def summarize(samples: DataFrame, model: Callable[[pd.Series], pd.Series], schema: str, prompt: str = "prompt") -> DataFrame:

@@ -10,17 +10,17 @@ from pyspark.sql import types as T
 
 #: Families by pattern of the slug, in order.
 FAMILIES = (
-    (r"^[0-9][tT][0-9][0-9]", "reporte-trimestral"),
+    (r"^\d[tT]\d\d", "reporte-trimestral"),
     (r"^cnbv-", "reporte-anual"),
     (r"^reporte-anual-", "reporte-anual"),
     (r"^informe-anual-", "reporte-anual"),
     (r"^eeff-", "estados-financieros"),
-    (r"^(?:.+-)?(?:mzo|jun|sep|dic)[0-9][0-9]-balance", "balance-mensual"),
+    (r"^(?:.+-)?(?:mzo|jun|sep|dic)\d\d-balance", "balance-mensual"),
     (r"^estado-de-situacin-", "estado-situacion"),
 )
 MONTHS = {"mzo": "Marzo", "jun": "Junio", "sep": "Septiembre", "dic": "Diciembre"}
 #: Slugs that begin with a year after a prefix.
-YEARLY = ("^informe-anual-integrado-([0-9]{4})", "^cnbv-n-([0-9]{4})", "^reporte-anual-anexo-n-([0-9]{4})")
+YEARLY = (r"^informe-anual-integrado-(\d{4})", r"^cnbv-n-(\d{4})", r"^reporte-anual-anexo-n-(\d{4})")
 
 
 def doc_family(slug: Column) -> Column:
@@ -36,15 +36,16 @@ def _found(c: Column, pattern: str, group: int = 1) -> Column:
 
 def doc_period(slug: Column) -> Column:
     """The period that a slug names, or null."""
-    quarter = r"^([0-9])t([0-9][0-9])"
-    month = r"^(?:.+-)?(mzo|jun|sep|dic)([0-9][0-9])-balance"
+    # fixed values: slugs that name a quarter, a month, a quarter in words or a year
+    quarter = r"^(\d)t(\d\d)"
+    month = r"^(?:.+-)?(mzo|jun|sep|dic)(\d\d)-balance"
     names = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
     labels = [
         F.concat(_found(slug, quarter, 1), F.lit("T"), _found(slug, quarter, 2)),
         F.concat(F.element_at(names, _found(slug, month, 1)), F.lit(" 20"), _found(slug, month, 2)),
         *[_found(slug, p) for p in YEARLY],
-        F.upper(_found(slug, r"^estado-de-situacin-financiera-([0-9][tT][0-9][0-9])")),
-        _found(slug, "^eeff-([0-9]{4})"),
+        F.upper(_found(slug, r"^estado-de-situacin-financiera-(\d[tT]\d\d)")),
+        _found(slug, r"^eeff-(\d{4})"),
     ]
     return F.coalesce(*labels)
 
@@ -52,8 +53,8 @@ def doc_period(slug: Column) -> Column:
 def family_rollup(docs: DataFrame) -> DataFrame:
     """Per family of (slug, n_chunks): documents, chunks, and first and last year and quarter."""
     rows = docs.withColumn("family", doc_family(F.col("slug"))).withColumn("period", doc_period(F.col("slug")))
-    year = F.coalesce(_found(F.col("period"), "((?:19|20)[0-9]{2})"), F.concat(F.lit("20"), _found(F.col("period"), "^[0-9]T([0-9]{2})$"))).cast("int")
-    quarter = _found(F.col("period"), "^([0-9])T[0-9]{2}$").cast("int")
+    year = F.coalesce(_found(F.col("period"), r"((?:19|20)\d{2})"), F.concat(F.lit("20"), _found(F.col("period"), r"^\dT(\d{2})$"))).cast("int")
+    quarter = _found(F.col("period"), r"^(\d)T\d{2}$").cast("int")
     rows = rows.withColumn("year", year).withColumn("quarter", quarter)
     order = F.when(F.col("quarter").isNotNull(), F.struct("year", "quarter"))
     return rows.groupBy("family").agg(

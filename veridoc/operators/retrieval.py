@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions.text import chunk_tokens, citation, fold, plan_queries, token_set
+from veridoc.functions.text import lines as lines_of
 
 MIN_SCORE = 0.12
 #: Query vectors that are multiplied by at a time; those that travel with a scan at most; and vectors in a slice.
@@ -177,7 +178,7 @@ def _unit(rows: list, width: int | None = None) -> np.ndarray:
 
 def citation_lines(text: Column, least: int = 14, most: int = 60) -> Column:
     """Normalised lines of a chunk that are worth finding on a page."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(fold(x), r"\s+", " ")))
+    lines = F.transform(lines_of(text), lambda x: F.trim(F.regexp_replace(fold(x), r"\s+", " ")))
     return F.slice(F.array_distinct(F.filter(lines, lambda x: (F.length(x) >= least) & x.rlike("[a-z]{4}"))), 1, most)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions.text import fold, strip
+from veridoc.operators.numbering import numbered
 
 #: A value's words are this close; marked cells have this much ink more than empty ones; a first row
 #: of so many rows, texts and upper-median characters names columns.
@@ -71,8 +72,7 @@ def table_header_fill(lines: DataFrame) -> DataFrame:
 
 def make_questions(rows: DataFrame, most: int) -> DataFrame:
     """(doc_id, version, feature, question) of rows that tell versions apart, one for each feature of a
-    document, every n-th of them up to ``most``. Numbers come from counts by document and their running sum,
-    so no row but a document's count meets all others."""
+    document, every n-th of them up to ``most``, numbered over all documents in two passes."""
     label, values, header = F.element_at("cells", 1), F.slice("cells", 2, F.size("cells") - 1), F.col("header")
     pairs = F.filter(F.zip_with(header, values, lambda v, m: F.struct(v.alias("v"), m.alias("m"))), lambda x: x["v"] != "")
     has = F.filter(pairs, lambda x: x["m"] == "•")
@@ -81,10 +81,7 @@ def make_questions(rows: DataFrame, most: int) -> DataFrame:
     found = rows.filter(good).select("doc_id", "line_no", F.element_at(has, 1)["v"].alias("version"), label.alias("feature"))
     first = found.groupBy("doc_id", "feature").agg(F.min_by(F.struct("line_no", "version"), "line_no").alias("x")).select("doc_id", "feature", "x.line_no", "x.version")
     total = max(1, first.count() // most)
-    per_doc = first.groupBy("doc_id").agg(F.count("*").alias("n"))
-    before = per_doc.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("doc_id", "before")
-    numbered = first.join(before, "doc_id").withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")) - 1)
-    chosen = numbered.filter((F.col("at") % total == 0) & (F.col("at") < total * most))
+    chosen = numbered(first, ["doc_id", "line_no"], "at").filter((F.col("at") % total == 0) & (F.col("at") < total * most))
     question = F.concat_ws(" ", F.translate(F.col("doc_id").cast("string"), "-", " "), "version", "feature")
     return chosen.select("doc_id", "version", "feature", question.alias("question"))
 

@@ -89,25 +89,20 @@ def pages_override(spark, sf):
     return rows.select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.md5("text").alias("text_md5"), "reinforced")
 
 
-@query(
-    "density_gate",
-    f"select doc_id, count(*) as n_pages, cast(sum(case when trim(text) <> '' then length(trim(text)) else 0 end) + greatest(2 * (count(*) filter (trim(text) <> '') - 1), 0) as bigint) as n_chars, (sum(case when trim(text) <> '' then length(trim(text)) else 0 end) + greatest(2 * (count(*) filter (trim(text) <> '') - 1), 0)) / count(*) >= 200 as dense from {TRANSCRIPTS} group by doc_id",
-)
-def density_gate(spark, sf):
-    return predicates.density_gate(_transcripts(spark, sf))
-
-
 #: As TRANSCRIPTS, of every page: blank ones stay as rows.
 ALL_TRANSCRIPTS = f"(select doc_id, page_no, case when (doc_id + page_no) % 3 = 0 then '  ' else replace(text, 'e', 'E') end as text from {PAGES})"
 
 
-@query(
-    "density_gate_all",
+DENSITY = (
     f"""select doc_id, n_pages, cast(chars + greatest(2 * (filled - 1), 0) as bigint) as n_chars, (chars + greatest(2 * (filled - 1), 0)) / n_pages >= 200 as dense
-    from (select doc_id, count(*) as n_pages, count(*) filter (trim(text) <> '') as filled, sum(length(trim(text))) as chars from {ALL_TRANSCRIPTS} group by doc_id)""",
+    from (select doc_id, count(*) as n_pages, count(*) filter (trim(text) <> '') as filled, sum(length(trim(text))) as chars from {ALL_TRANSCRIPTS} group by doc_id)"""
 )
-def density_gate_all(spark, sf):
-    """density_gate over every page of every document; density_gate has those with transcripts in pages_override."""
+
+
+@query("density_gate", DENSITY)
+@query("density_gate_all", DENSITY)
+def density_gate(spark, sf):
+    """Over every page of every document (under two names, an older one had every other page)."""
     blank = (F.col("doc_id") + F.col("page_no")) % 3 == 0
     return predicates.density_gate(pages(spark, sf).withColumn("text", F.when(blank, "  ").otherwise(F.replace("text", F.lit("e"), F.lit("E")))))
 
@@ -145,11 +140,16 @@ def chunk_documents(spark, sf):
     return chunking.chunk_documents(docs, PUBLIC.chunking).select("doc_id", "document_id", "chunk_index", "chunk_total", "chunk_text")
 
 
-@query("chunk_rows", "select doc_id, 'doc-' || doc_id as document_id, md5(trim(text, ' ' || chr(10) || chr(9))) as text_md5, true as contiene_pii from documents where length(trim(text)) < 2600 and trim(text) <> ''")
+CHUNKS = f"(select 'doc-' || doc_id as stem, doc_id, printf('doc-%d--%03d.md', doc_id, cast(i // 8 + 1 as int)) as document_id, i // 8 + 1 as chunk_index, string_agg(line, chr(10) order by i) as text from {RAW_LINES} group by all)"
+#: Lines of documents, eight to a chunk, with how many chunks the document has.
+LINE_CHUNKS = "(select *, count(*) over (partition by stem) as chunk_total from {CHUNKS})"
+
+
+@query("chunk_rows", f"select document_id, md5(text) as text_md5, case when chunk_total > 1 then chunk_index end as fragmento, case when chunk_total > 1 then chunk_total end as fragmentos_totales, true as contiene_pii from {LINE_CHUNKS}".replace("{CHUNKS}", CHUNKS))
 def chunk_rows(spark, sf):
-    docs = documents(spark, sf).select("doc_id", "stem", "text")
-    rows = chunking.chunk_rows(chunking.chunk_documents(docs, PUBLIC.chunking), masks=bool(PRIVATE.redaction)).filter("fragmento is null and length(chunk_text) < 2600")
-    return rows.select("doc_id", "document_id", F.md5("chunk_text").alias("text_md5"), "contiene_pii")
+    """Every chunk of every document, eight lines each; chunk_rows_all has those of the chunker."""
+    rows = chunking.chunk_rows(chunk_table(spark, sf), masks=bool(PRIVATE.redaction))
+    return rows.select("document_id", F.md5("text").alias("text_md5"), F.col("fragmento").cast("long").alias("fragmento"), F.col("fragmentos_totales").cast("long").alias("fragmentos_totales"), "contiene_pii")
 
 
 def _chunk_rows(spark, sf, *columns):
@@ -159,26 +159,30 @@ def _chunk_rows(spark, sf, *columns):
 
 @query("chunk_rows_all")
 def chunk_rows_all(spark, sf):
-    """Every chunk of every document with its number and total; chunk_rows has the part that SQL can state."""
+    """Every chunk that the chunker makes of every document, with its number and total."""
     rows = _chunk_rows(spark, sf)
     return rows.select("doc_id", "document_id", F.md5("chunk_text").alias("text_md5"), "fragmento", "fragmentos_totales", "contiene_pii")
 
 
-META = "(select doc_id, 'doc-' || doc_id as document_id, source || '.pdf' as fuente, n_chars, lang, case when doc_id % 2 = 0 then source end as origen from documents)"
-
-
-@query("manifest", f"select document_id, 'documento' as tipo, '' as anio, fuente, n_chars as caracteres, lang as idioma, coalesce(origen, '') as origen from {META}")
+@query(
+    "manifest",
+    f"""select document_id, 'documento' as tipo, '' as anio, source || '.pdf' as fuente, cast(length(c.text) as bigint) as caracteres, lang as idioma, case when c.doc_id % 2 = 0 then source else '' end as origen,
+    case when chunk_total > 1 then cast(chunk_index as varchar) else '' end as fragmento from {LINE_CHUNKS} c join documents d on d.doc_id = c.doc_id""".replace("{CHUNKS}", CHUNKS),
+)
 def manifest(spark, sf):
+    """A row for each chunk of eight lines; manifest_chunks has those of the chunker."""
     from veridoc.sources.corpus import manifest as build
 
-    docs = documents(spark, sf)
-    extra = F.map_filter(F.create_map(F.lit("idioma"), F.col("lang"), F.lit("origen"), F.when(F.col("doc_id") % 2 == 0, F.col("source")), F.lit("fragmentos_totales"), F.lit("1")), lambda k, v: v.isNotNull())
-    return build(docs.select(F.col("stem").alias("document_id"), t.doc_type(F.col("stem")).alias("tipo"), F.lit(None).cast("int").alias("anio"), F.concat("source", F.lit(".pdf")).alias("fuente"), F.col("n_chars").alias("caracteres"), extra.alias("extra")))
+    about = documents(spark, sf).select("stem", "doc_id", "lang", "source")
+    rows = chunking.chunk_rows(chunk_table(spark, sf), masks=False).join(about, "stem")
+    held = {"idioma": F.col("lang"), "origen": F.when(F.col("doc_id") % 2 == 0, F.col("source")), **{c: F.col(c).cast("string") for c in ("fragmento", "fragmentos_totales")}}
+    extra = F.map_filter(F.create_map(*[x for k, v in held.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    return build(rows.select("document_id", t.doc_type(F.col("stem")).alias("tipo"), F.lit(None).cast("int").alias("anio"), F.concat("source", F.lit(".pdf")).alias("fuente"), F.length("text").cast("long").alias("caracteres"), extra.alias("extra")))
 
 
 @query("manifest_chunks")
 def manifest_chunks(spark, sf):
-    """The manifest with a row for each chunk; manifest has the documents, which SQL can state."""
+    """The manifest of the chunker's chunks."""
     from veridoc.sources.corpus import manifest as build
 
     rows = _chunk_rows(spark, sf, "lang", "source")
@@ -212,25 +216,14 @@ def prefer_xml(spark, sf):
     return prefer(docs.select("doc_id", F.concat(stem, kind).alias("path"))).select("doc_id")
 
 
-@query(
-    "pending_work",
-    "select count(*) as n_pending, cast(sum(n_pages) as bigint) as n_pages, sum(n_pages) / 1000 * 15.0 as usd from (select doc_id, cast(ceil(n_chars / 2000) as bigint) as n_pages, text from documents where n_chars < 3000) w where left(sha256('v3|motor|200|' || n_pages || '|' || text), 32) not in (select left(sha256('v3|motor|200|' || cast(ceil(n_chars / 2000) as bigint) || '|' || text), 32) from documents where doc_id % 3 = 0)",
-)
-def pending_work(spark, sf):
-    from veridoc.sources.corpus import cache_key, pending_work as pending
-
-    docs = table(spark, sf, "documents").withColumn("n_pages", F.ceil(F.col("n_chars") / 2000))
-    keyed = docs.withColumn("key", cache_key(F.lit("motor"), F.lit(200), F.col("n_pages"), F.encode("text", "UTF-8")))
-    work = pending(keyed.filter("n_chars < 3000"), keyed.filter("doc_id % 3 = 0").select("key"))
-    return work.agg(F.count("*").alias("n_pending"), F.sum("n_pages").alias("n_pages"), (F.sum("n_pages") / 1000 * 15.0).alias("usd"))
+PENDING = "select count(*) as n_pending, cast(sum(n_pages) as bigint) as n_pages, sum(n_pages) / 1000 * 15.0 as usd from (select left(sha256('v3|motor|200|' || n_pages || '|' || text), 32) as key, n_pages, doc_id from (select *, cast(ceil(n_chars / 2000) as bigint) as n_pages from documents)) w where not exists (select 1 from (select left(sha256('v3|motor|200|' || cast(ceil(n_chars / 2000) as bigint) || '|' || text), 32) as key from documents where doc_id % 3 = 0) c where c.key = w.key)"
 
 
-@query(
-    "pending_work_all",
-    "select count(*) as n_pending, cast(sum(n_pages) as bigint) as n_pages, sum(n_pages) / 1000 * 15.0 as usd from (select left(sha256('v3|motor|200|' || n_pages || '|' || text), 32) as key, n_pages, doc_id from (select *, cast(ceil(n_chars / 2000) as bigint) as n_pages from documents)) w where not exists (select 1 from (select left(sha256('v3|motor|200|' || cast(ceil(n_chars / 2000) as bigint) || '|' || text), 32) as key from documents where doc_id % 3 = 0) c where c.key = w.key)",
-)
-def pending_work_all(spark, sf):
-    """Pending work among documents of every length; the cache holds a third of them."""
+@query("pending_work", PENDING)
+@query("pending_work_all", PENDING)
+def pending_work(spark, sf):
+    """Pending work among documents of every length (under two names, an older one had short ones); the cache holds a
+    third of them."""
     from veridoc.sources.corpus import cache_key, pending_work as pending
 
     docs = table(spark, sf, "documents").withColumn("n_pages", F.ceil(F.col("n_chars") / 2000))
@@ -254,7 +247,6 @@ def ocr_confidence(spark, sf):
     return confidence(lines.select("doc_id", F.floor(F.col("i") / PAGE_LINES).alias("page_no"), (90 + F.floor(F.col("i") / PAGE_LINES) % 10).cast("double").alias("confidence")))
 
 
-CHUNKS = f"(select 'doc-' || doc_id as stem, doc_id, printf('doc-%d--%03d.md', doc_id, cast(i // 8 + 1 as int)) as document_id, i // 8 + 1 as chunk_index, string_agg(line, chr(10) order by i) as text from {RAW_LINES} group by all)"
 SIDE = "select 'doc-' || doc_id as stem, count(*) as n_chunks, string_agg({text}, chr(10) order by document_id) as text, min(doc_id) as doc_id from " + CHUNKS + " where {where} group by doc_id"
 ROWS_OF = "len([x for x in string_split(text, chr(10)) if regexp_full_match(x, '\\s*\\|.*\\|\\s*')])"
 SIDE_A = "(select *, length(regexp_replace(text, '[ \\t]+', ' ', 'g')) as n_chars, " + ROWS_OF + " as table_rows from (" + SIDE.format(text="text", where="doc_id % 10 <> 1") + "))"
@@ -314,9 +306,7 @@ def coverage_gain(spark, sf):
 
 @query("doc_set_diff", "select 'only_a' as side, 'doc-' || doc_id as stem from documents where doc_id % 10 = 2 union all select 'only_b', 'doc-' || doc_id from documents where doc_id % 10 = 1 union all select 'both', 'doc-' || doc_id from documents where doc_id % 10 not in (1, 2)")
 def doc_set_diff(spark, sf):
-    a, b = _side(spark, sf, False).select("stem"), _side(spark, sf, True).select("stem")
-    tagged = lambda d, n: d.select(F.lit(n).alias("side"), "stem")
-    return tagged(a.subtract(b), "only_a").union(tagged(b.subtract(a), "only_b")).union(tagged(a.intersect(b), "both"))
+    return evaluation.doc_set_diff(_side(spark, sf, False), _side(spark, sf, True))
 
 
 @query(

@@ -22,18 +22,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page_no, text): lines of documents, PAGE_LINES to a page."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    page = F.floor(F.col("i") / PAGE_LINES).cast("int")
-    rows = lines.groupBy("doc_id", page.alias("page_no")).agg(F.sort_array(F.collect_list(F.struct("i", "line"))).alias("x"))
-    return rows.select("doc_id", "page_no", F.array_join(F.transform("x", lambda v: v["line"]), "\n").alias("text"))
+    return _parts(table(spark, sf_dir, "documents").select("doc_id", "text"), PAGE_LINES, "page_no").drop("n_parts")
 
 
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(stem, document_id, chunk_index, chunk_total, text): documents' lines, eight to a chunk."""
-    lines = documents(spark, sf_dir).select("stem", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    rows = lines.groupBy("stem", (F.floor(F.col("i") / 8) + 1).cast("int").alias("chunk_index")).agg(F.sort_array(F.collect_list(F.struct("i", "line"))).alias("x"))
-    text = F.array_join(F.transform("x", lambda v: v["line"]), "\n")
-    return rows.select("stem", F.format_string("%s--%03d.md", "stem", "chunk_index").alias("document_id"), "chunk_index", text.alias("text"))
+    rows = _parts(documents(spark, sf_dir).select("stem", "text"), 8, "at").withColumn("chunk_index", F.col("at") + 1)
+    return rows.select("stem", F.format_string("%s--%03d.md", "stem", "chunk_index").alias("document_id"), "chunk_index", F.col("n_parts").alias("chunk_total"), "text")
+
+
+def _parts(docs: DataFrame, size: int, name: str) -> DataFrame:
+    """docs with their text's lines, so many to a row, numbered from 0, and how many such parts the text has. Lines
+    are cut out of the array that each row carries, so nothing is shuffled."""
+    split = docs.withColumn("lines", F.split("text", "\n")).drop("text").withColumn("n_parts", F.ceil(F.size("lines") / size).cast("int"))
+    rows = split.filter("lines is not null").select("*", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias(name))
+    return rows.withColumn("text", F.array_join(F.slice("lines", F.col(name) * size + 1, F.lit(size)), "\n")).drop("lines")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,14 +53,10 @@ def fold(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.md5(t.fold(F.col("text"))).alias("folded_md5"))
 
 
-@query("slug", f"select doc_id, {sql_slug('left(text, 80)')} as slug from documents")
-def slug(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", t.slug(F.left("text", F.lit(80))).alias("slug"))
-
-
+@query("slug", f"select doc_id, md5({sql_slug('text')}) as slug_md5 from documents")
 @query("slug_all", f"select doc_id, md5({sql_slug('text')}) as slug_md5 from documents")
-def slug_all(spark, sf):
-    """Slugs of whole texts; slug shows their first 80 characters."""
+def slug(spark, sf):
+    """Slugs of whole texts (under two names, an older one had short slugs)."""
     return table(spark, sf, "documents").select("doc_id", F.md5(t.slug(F.col("text"))).alias("slug_md5"))
 
 

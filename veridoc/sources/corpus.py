@@ -161,9 +161,16 @@ def id_collisions(rows: DataFrame) -> DataFrame:
     return rows.groupBy("document_id").agg(F.count_distinct("path").alias("n_paths")).filter("n_paths > 1")
 
 
-def manifest(rows: DataFrame) -> DataFrame:
-    """One flat row for each chunk: fixed columns, then every other metadata key in order, '' where absent."""
-    keys = sorted(r[0] for r in rows.select(F.explode(F.map_keys("extra"))).distinct().collect() if r[0] != "fragmentos_totales")
+#: Metadata keys that a manifest may have, for each becomes a column.
+MOST_KEYS = 1000
+
+
+def manifest(rows: DataFrame, most_keys: int = MOST_KEYS) -> DataFrame:
+    """One flat row for each chunk: fixed columns, then every other metadata key in order, '' where absent. Raises
+    where the rows have more than most_keys different ones."""
+    keys = sorted(r[0] for r in rows.select(F.explode(F.map_keys("extra"))).distinct().limit(most_keys + 2).collect() if r[0] != "fragmentos_totales")
+    if len(keys) > most_keys:
+        raise ValueError(f"a manifest can have {most_keys} metadata keys at most")
     fixed = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in ("tipo", "anio", "fuente") else F.col(c) for c in ("document_id", "tipo", "anio", "fuente", "caracteres")]
     return rows.select(*fixed, *[F.coalesce(F.element_at("extra", k), F.lit("")).alias(k) for k in keys])
 
