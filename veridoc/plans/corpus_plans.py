@@ -8,7 +8,7 @@ from veridoc.functions import text as t
 from veridoc.operators import chunking, cleaning, evaluation, index, predicates
 from veridoc.plans.inputs import PAGE_LINES, chunk_table, documents, pages, table
 from veridoc.plans.policies import PRIVATE, PUBLIC
-from veridoc.sources.shared import written
+from veridoc.sources.shared import shared_dir, written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -180,6 +180,24 @@ def manifest(spark, sf):
     return build(rows.select("document_id", t.doc_type(F.col("stem")).alias("tipo"), F.lit(None).cast("int").alias("anio"), F.concat("source", F.lit(".pdf")).alias("fuente"), F.length("text").cast("long").alias("caracteres"), extra.alias("extra")))
 
 
+@query(
+    "corpus_round_trip",
+    f"""select document_id, md5(trim(c.text, ' ' || chr(9) || chr(10) || chr(13))) as text_md5, 'publico' as perfil, lang as idioma, cast(chunk_index as varchar) as fragmento, case when c.doc_id % 2 = 0 then source end as origen
+    from {LINE_CHUNKS} c join documents d on d.doc_id = c.doc_id""".replace("{CHUNKS}", CHUNKS),
+)
+def corpus_round_trip(spark, sf):
+    """Chunks of eight lines written as a corpus of files and read back from its commit."""
+    from veridoc.sources import corpus
+
+    about = documents(spark, sf).select("stem", "doc_id", "lang", "source")
+    rows = chunk_table(spark, sf).join(about, "stem")
+    held = F.map_filter(F.create_map(F.lit("idioma"), F.col("lang"), F.lit("fragmento"), F.col("chunk_index").cast("string"), F.lit("origen"), F.when(F.col("doc_id") % 2 == 0, F.col("source"))), lambda k, v: v.isNotNull())
+    root = shared_dir(spark, "corpus")
+    corpus.write_corpus(rows.select("document_id", "text", held.alias("metadata")), root, PUBLIC.slug, bool(PUBLIC.redaction), root)
+    back = corpus.read_prepared_corpus(spark, root)
+    return back.select("document_id", F.md5("text").alias("text_md5"), *[F.element_at("metadata", k).alias(k) for k in ("perfil", "idioma", "fragmento", "origen")])
+
+
 @query("manifest_chunks")
 def manifest_chunks(spark, sf):
     """The manifest of the chunker's chunks."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridoc.functions.text import slug, strip
+from veridoc.sources.corpus_files import committed, write_files
 
 TEXT_SUFFIXES = ("md", "markdown", "txt")
 SIDECAR = ".metadata.json"
@@ -35,12 +36,17 @@ def sidecar_metadata(raw: Column) -> Column:
 
 
 def read_prepared_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """(document_id, rel_path, text, metadata) of prepared text files and their optional sidecars."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.decode("content", "UTF-8").alias("text"))
+    """(document_id, rel_path, text, metadata) of prepared text files and their optional sidecars: of those that the
+    commits of write_corpus name, or of all files below root where there are no commits."""
+    folders = committed(spark, root)
+    if folders == []:
+        return spark.createDataFrame([], "document_id string, rel_path string, text string, metadata map<string,string>")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders or root).select("path", F.decode("content", "UTF-8").alias("text"))
     suffix = F.lower(F.element_at(F.split("path", r"\."), -1))
     texts = files.filter(suffix.isin(*TEXT_SUFFIXES)).select("path", strip(F.col("text")).alias("text"))
     side = files.filter(F.col("path").endswith(SIDECAR)).select(F.regexp_replace("path", r"\.metadata\.json$", "").alias("path"), F.col("text").alias("raw"))
-    rows = texts.join(side, "path", "left")
+    # Spark lists no empty files; each text of a commit has a sidecar, so one without a text is that of an empty one
+    rows = texts.join(side, "path", "full_outer" if folders else "left").withColumn("text", F.coalesce("text", F.lit("")))
     return rows.select(F.element_at(F.split("path", "/"), -1).alias("document_id"), F.col("path").alias("rel_path"), "text", sidecar_metadata(F.col("raw")).alias("metadata"))
 
 
@@ -188,9 +194,10 @@ def sync_plan(prepared: DataFrame, published: DataFrame, key: str, banned: Colum
     return both.select(key, action.alias("action"))
 
 
-def write_corpus(chunks: DataFrame, root: str, profile: str, masks: bool, allowed_root: str) -> None:
-    """Writes chunks by profile; a profile that masks may only be written below its allowed root."""
+def write_corpus(chunks: DataFrame, root: str, profile: str, masks: bool, allowed_root: str, overwrite: bool = True) -> None:
+    """Writes chunks (document_id, text, metadata map) as text files with sidecars below root; each sidecar names the
+    profile. A profile that masks may only be written below its allowed root, which is checked first."""
     if masks and not (root.rstrip("/") + "/").startswith(allowed_root.rstrip("/") + "/"):
         raise ValueError(f"{profile} may not be written to {root}")
-    named = chunks.withColumn("profile", F.lit(profile)).withColumn("metadataAttributes", F.to_json("meta")).drop("meta")
-    named.write.mode("overwrite").partitionBy("profile").parquet(root)
+    told = F.map_concat(F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, v: k != "perfil"), F.create_map(F.lit("perfil"), F.lit(profile)))
+    write_files(chunks.withColumn("metadata", told), root, overwrite)
