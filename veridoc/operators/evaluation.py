@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions.text import best_sentence, collapsed_length, document_base, fold, is_denial, table_blocks, table_rows
+from veridoc.operators.tables import alignable
 
 USD_PER_1000_PAGES = 15.0
 
@@ -149,6 +150,51 @@ def conversion_totals(conversions: DataFrame) -> DataFrame:
     return conversions.agg(F.count("*").alias("n_docs"), *[v.alias(c) for c, v in sums.items()], average.alias("seconds_per_doc"))
 
 
+def golden_join(golden: DataFrame, answers: DataFrame) -> DataFrame:
+    """(id, kind, n_documents, expected_found) of golden questions (id, kind, expected_doc) with the documents that
+    answers (id, documents) retrieved; a question without an answer has none."""
+    held = F.coalesce("documents", F.array().cast("array<string>"))
+    rows = golden.join(answers.select("id", "documents"), "id", "left")
+    return rows.select("id", "kind", F.size(held).cast("long").alias("n_documents"), F.coalesce(F.array_contains(held, F.col("expected_doc")), F.lit(False)).alias("expected_found"))
+
+
+def retrieval_bench(hits: DataFrame, questions: DataFrame) -> DataFrame:
+    """How well corpora answer questions (question_id, feature, version): one row for each corpus of hits.
+
+    hits: (corpus, question_id, document_id, rank, text). A question is found where a hit's folded text holds its
+    folded feature, and attributable where the first such hit has the feature in a table row under its version. As
+    questions may stem from one of the corpora, the counts are also given over those that all of them found
+    (n_common, attributable_common). A corpus without hits has no row; questions without hits count in total."""
+    asked = questions.select("question_id", "feature", "version")
+    holding = hits.join(asked, "question_id").filter(F.contains(fold(F.col("text")), fold(F.col("feature"))))
+    first = holding.groupBy("corpus", "question_id").agg(F.min_by(F.struct("document_id", "text", "feature", "version"), "rank").alias("x")).select("corpus", "question_id", "x.*")
+    # one text may be a hit of several questions, and a question has one hit of each corpus
+    keyed = first.withColumn("question_id", F.struct("corpus", "question_id"))
+    ok = alignable(keyed).select(F.col("question_id.corpus").alias("corpus"), F.col("question_id.question_id").alias("question_id"), "alignable")
+    corpora = hits.select("corpus").distinct()
+    everywhere = ok.groupBy("question_id").agg(F.count("*").alias("n")).join(corpora.agg(F.count("*").alias("n")), "n").select("question_id", F.lit(True).alias("common"))
+    judged = ok.join(everywhere, "question_id", "left").withColumn("common", F.coalesce("common", F.lit(False)))
+    counts = judged.groupBy("corpus").agg(
+        F.count("*").alias("found"),
+        F.count_if("alignable").alias("attributable"),
+        F.count_if("common").alias("n_common"),
+        F.count_if(F.col("common") & F.col("alignable")).alias("attributable_common"),
+    )
+    total = asked.agg(F.count("*").alias("total"))
+    rows = corpora.join(counts, "corpus", "left").crossJoin(F.broadcast(total))  # total is one row
+    n = lambda c: F.coalesce(c, F.lit(0))
+    share = lambda a, b: F.when(n(b) > 0, F.bround(100.0 * n(a) / n(b), 1)).otherwise(0.0)
+    return rows.select(
+        "corpus",
+        "total",
+        *[n(c).alias(c) for c in ("found", "attributable")],
+        share("found", "total").alias("pct_found"),
+        share("attributable", "total").alias("pct_attributable"),
+        *[n(c).alias(c) for c in ("n_common", "attributable_common")],
+        share("attributable_common", "n_common").alias("pct_common"),
+    )
+
+
 def doc_set_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """(side, stem): documents that only one corpus has, or both; each corpus is read once."""
     left, right = (d.select("stem").distinct().withColumn(n, F.lit(True)) for d, n in ((a, "in_a"), (b, "in_b")))

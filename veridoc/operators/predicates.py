@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.functions.text import strip
+from veridoc.functions.text import doc_type, slug, strip, year_in
 from veridoc.plans.policies import Documents
 
 #: Floors for extracted and transcribed text, and what makes a page a scan.
@@ -107,6 +107,34 @@ def valid_conversations(turns: DataFrame) -> DataFrame:
     return rows.select("conv_id", "n_turns", reason.isNull().alias("valid"), reason.alias("reason"))
 
 
+def doc_metadata(docs: DataFrame, conversion: DataFrame, engine: str = "motor") -> DataFrame:
+    """What each prepared document says of itself: name, text under its title, and metadata as columns.
+
+    docs: (stem, file_name, text); conversion: (stem, n_pages, n_structured, transcribed, encrypted, confidence) of
+    how its text came about: n_structured pages were replaced by the engine's, or the engine transcribed the whole
+    file. Absent facts are null; a document without a conversion counts as its own text layer."""
+    rows = docs.join(conversion, "stem", "left")
+    structured = F.coalesce("n_structured", F.lit(0))
+    origin = (
+        F.when(F.coalesce("transcribed", F.lit(False)), F.lit(f"ocr:{engine}"))
+        .when(structured > 0, F.format_string("capa de texto + %s (%d/%d páginas)", F.lit(engine), structured, F.col("n_pages")))
+        .otherwise(F.lit("capa de texto"))
+    )
+    return rows.select(
+        "stem",
+        F.concat(slug(F.col("stem")), F.lit(".md")).alias("document_id"),
+        F.concat(F.lit("# "), F.col("stem"), F.lit("\n\n"), F.col("text"), F.lit("\n")).alias("text"),
+        doc_type(F.col("stem")).alias("tipo"),
+        F.col("file_name").alias("fuente"),
+        F.col("n_pages").alias("paginas"),
+        origin.alias("origen_texto"),
+        F.when(F.col("encrypted"), F.lit(True)).alias("cifrado_original"),
+        F.col("confidence").alias("ocr_confianza"),
+        F.when(structured > 0, structured).alias("paginas_con_estructura"),
+        year_in(slug(F.col("stem"))).alias("anio"),
+    )
+
+
 def unknown_fields(body: Column, known: tuple[str, ...]) -> Column:
     """Sorted top-level keys of a JSON object that the contract does not name."""
     return F.array_sort(F.array_except(F.coalesce(F.json_object_keys(body), F.array().cast("array<string>")), F.array(*map(F.lit, known))))

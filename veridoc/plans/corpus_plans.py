@@ -8,6 +8,7 @@ from veridoc.functions import text as t
 from veridoc.operators import chunking, cleaning, evaluation, index, predicates
 from veridoc.plans.inputs import PAGE_LINES, chunk_table, documents, pages, table
 from veridoc.plans.policies import PRIVATE, PUBLIC
+from veridoc.plans.text_plans import sql_slug
 from veridoc.sources.shared import shared_dir, written
 
 QUERIES: dict = {}
@@ -89,6 +90,25 @@ def pages_override(spark, sf):
     return rows.select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.md5("text").alias("text_md5"), "reinforced")
 
 
+@query(
+    "doc_metadata",
+    f"""with d as (select *, 'Ficha técnica ' || (1980 + doc_id % 60) || ' ' || source || ' ' || doc_id as stem from documents), n as (select doc_id, count(*) as n_pages from {PAGES} group by 1),
+    r as (select p.doc_id, count(*) filter (trim(t.text) <> '') as k from {PAGES} p join {TRANSCRIPTS} t on t.doc_id = p.doc_id and t.page_no = p.page_no group by 1)
+    select {sql_slug('stem')} || '.md' as document_id, md5('# ' || stem || chr(10) || chr(10) || text || chr(10)) as text_md5, 'ficha_tecnica' as tipo, stem || '.pdf' as fuente, n_pages as paginas,
+    case when d.doc_id % 4 = 0 then 'ocr:motor' when coalesce(k, 0) > 0 then printf('capa de texto + motor (%d/%d páginas)', k, n_pages) else 'capa de texto' end as origen_texto,
+    case when d.doc_id % 9 = 0 then true end as cifrado_original, case when d.doc_id % 4 = 0 then round_even(90 + (d.doc_id % 97) / 10.0, 1)::double end as ocr_confianza, case when k > 0 then k end as paginas_con_estructura, 1980 + doc_year as anio
+    from (select *, doc_id % 60 as doc_year from d) d left join n on n.doc_id = d.doc_id left join r on r.doc_id = d.doc_id""",
+)
+def doc_metadata(spark, sf):
+    """Metadata of documents whose pages were counted and partly transcribed."""
+    k = F.col("doc_id")
+    named = table(spark, sf, "documents").withColumn("stem", F.concat_ws(" ", F.lit("Ficha técnica"), (k % 60 + 1980).cast("string"), "source", k.cast("string")))
+    rows = cleaning.pages_override(pages(spark, sf), _transcripts(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.count_if("reinforced").alias("n_structured"))
+    facts = named.select("doc_id", "stem").join(rows, "doc_id", "left").select("stem", "n_pages", "n_structured", (k % 4 == 0).alias("transcribed"), (k % 9 == 0).alias("encrypted"), F.when(k % 4 == 0, F.bround(90 + (k % 97) / 10.0, 1)).alias("confidence"))
+    out = predicates.doc_metadata(named.select("stem", F.concat("stem", F.lit(".pdf")).alias("file_name"), "text"), facts)
+    return out.withColumn("text_md5", F.md5("text")).withColumn("anio", F.col("anio").cast("long")).drop("stem", "text")
+
+
 #: As TRANSCRIPTS, of every page: blank ones stay as rows.
 ALL_TRANSCRIPTS = f"(select doc_id, page_no, case when (doc_id + page_no) % 3 = 0 then '  ' else replace(text, 'e', 'E') end as text from {PAGES})"
 

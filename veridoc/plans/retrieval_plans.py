@@ -207,20 +207,42 @@ def extractive_answer(spark, sf):
     return evaluation.extractive_answer(asked.join(hits, "question_id", "left"), DECLINE).select("question_id", "answer")
 
 
+#: Two corpora of all documents: in "a" documents of odd ids say their lines as rows of a table under a version, in "b"
+#: those whose id is divisible by three do, and documents divisible by seven are missing.
+def _table_sql(tabled: str, where: str) -> str:
+    return f"""(select doc_id, case when {tabled} then '| Equipo | BASE |' || chr(10) || '|---|---|' || chr(10) || '| ' || replace(replace(text, '|', '/'), chr(10), ' | • |' || chr(10) || '| ') || ' | • |' else text end as text from documents where {where})"""
+
+
+CORPORA = {"a": ("doc_id % 2 = 1", "true"), "b": ("doc_id % 3 = 0", "doc_id % 7 <> 0")}
+BENCH_HITS = " union all ".join(
+    f"select '{name}' as corpus, t.question_id, t.rank, d.text, cast({tabled} as boolean) as tabled, string_split(d.text, chr(10)) as ls from {TOP.replace('from documents)', 'from ' + _table_sql(tabled, where) + ')')} t join {_table_sql(tabled, where)} d on t.document_id = 'doc-' || d.doc_id || '.md'"
+    for name, (tabled, where) in CORPORA.items()
+)
+
+
 @query(
     "retrieval_bench",
-    f"""select count(*) as total, count(*) filter (f) as found, 0 as attributable, round_even(100.0 * count(*) filter (f) / count(*), 1) as pct_found from
-    (select b.item_id, coalesce(bool_or(contains(strip_accents(lower(d.text)), strip_accents(lower(b.text)))), false) as f from benchmark b left join {TOP} t on t.question_id = b.item_id left join documents d on t.document_id = 'doc-' || d.doc_id || '.md' group by 1)""",
+    f"""with h as ({BENCH_HITS}), q as (select item_id, strip_accents(lower(text)) as f from benchmark),
+    x as (select corpus, question_id, rank, tabled and len(list_filter(ls, lambda l: contains(strip_accents(lower(l)), f))) > 0 as ok from h join q on q.item_id = h.question_id where contains(strip_accents(lower(text)), f)),
+    y as (select corpus, question_id, arg_min(ok, rank) as ok from x group by all), c as (select question_id from y group by 1 having count(*) = 2), n as (select count(*) as total from benchmark),
+    z as (select corpus, count(*) as found, count(*) filter (ok) as attributable, count(*) filter (question_id in (select * from c)) as n_common, count(*) filter (ok and question_id in (select * from c)) as attributable_common from y group by corpus)
+    select corpus, total, coalesce(found, 0) as found, coalesce(attributable, 0) as attributable, round_even(100.0 * coalesce(found, 0) / total, 1)::double as pct_found, round_even(100.0 * coalesce(attributable, 0) / total, 1)::double as pct_attributable,
+    coalesce(n_common, 0) as n_common, coalesce(attributable_common, 0) as attributable_common, case when n_common > 0 then round_even(100.0 * attributable_common / n_common, 1) else 0 end::double as pct_common from (select distinct corpus from h) left join z using (corpus), n""",
 )
 def retrieval_bench(spark, sf):
-    docs = documents(spark, sf).select(F.concat("stem", F.lit(".md")).alias("document_id"), "text")
+    """Benchmark questions over two corpora that keep different documents and say different ones as tables."""
+    docs = documents(spark, sf).select("doc_id", F.concat("stem", F.lit(".md")).alias("document_id"), "text")
+    body = F.replace(F.replace("text", F.lit("|"), F.lit("/")), F.lit("\n"), F.lit(" | • |\n| "))
+    rows = F.concat(F.lit("| Equipo | BASE |\n|---|---|\n| "), body, F.lit(" | • |"))
     asked = questions(spark, sf)
-    rows = _top(spark, sf)[0].join(docs, "document_id").join(asked, "question_id").withColumn("feature", F.col("question")).withColumn("version", F.lit("base"))
-    found = rows.select("question_id", "document_id", F.contains(t.fold(F.col("text")), t.fold(F.col("feature"))).alias("hit"), "text", "feature", "version")
-    attributed = tables.alignable(found.filter("hit").select("question_id", "document_id", "text", "feature", "version"))
-    judged = found.groupBy("question_id").agg(F.max("hit").alias("hit")).join(attributed.groupBy("question_id").agg(F.max("alignable").alias("ok")), "question_id", "left")
-    out = asked.select("question_id").join(judged, "question_id", "left").agg(F.count("*").alias("total"), F.count_if("hit").alias("found"), F.count_if("ok").alias("attributable"))
-    return out.withColumn("pct_found", F.bround(100.0 * F.col("found") / F.col("total"), 1))
+    queries = retrieval.planned(asked)
+    hits = None
+    for name, (tabled, where) in CORPORA.items():
+        corpus = written(docs.filter(where).select("document_id", F.when(F.expr(tabled), rows).otherwise(F.col("text")).alias("text")), "bench-corpus")
+        scores = retrieval.lexical_score(queries, written(retrieval.indexed(corpus), "token-index"))
+        top = retrieval.topk_hits(retrieval.merge_hits(scores), 6).join(corpus, "document_id").select(F.lit(name).alias("corpus"), "question_id", "document_id", "rank", "text")
+        hits = top if hits is None else hits.unionByName(top)
+    return evaluation.retrieval_bench(written(hits, "bench-hits"), asked.select("question_id", F.col("question").alias("feature"), F.lit("base").alias("version")))
 
 
 JUDGED = f"""(select *, reason in ('denied', 'masked', 'grounded') as correct from (select id, model, kind, ttft_s, case when contains(lower(answer), lower(forbidden)) then 'leaked' when kind = 'negativa' then case when denied then 'denied' else 'not_denied' end
@@ -248,9 +270,18 @@ def verdict(spark, sf):
     return _judged(spark, sf).select("id", "model", "kind", "reason", "correct")
 
 
-@query("golden_join", "select conv_id || '-' || turn as id, 'm' || (turn % 3) as model, 1 as n_documents from conversations where role = 'assistant'")
+@query(
+    "golden_join",
+    f"""select b.item_id as id, case b.item_id % 3 when 0 then 'positiva' when 1 then 'negativa' else 'enmascarada' end as kind, count(t.document_id) as n_documents, coalesce(bool_or(t.document_id = 'doc-' || b.item_id || '.md'), false) as expected_found
+    from benchmark b left join {TOP} t on t.question_id = b.item_id group by 1, 2""",
+)
 def golden_join(spark, sf):
-    return _judged(spark, sf).select("id", "model", F.size("documents").alias("n_documents"))
+    """Golden questions with what was retrieved for each, questions without evidence included."""
+    k = F.col("question_id") % 3
+    golden = questions(spark, sf).select(F.col("question_id").alias("id"), F.when(k == 0, "positiva").when(k == 1, "negativa").otherwise("enmascarada").alias("kind"), F.concat(F.lit("doc-"), F.col("question_id").cast("string"), F.lit(".md")).alias("expected_doc"))
+    top, queries = _top(spark, sf)
+    answers = retrieval.receipts(top, queries).select(F.col("question_id").alias("id"), "documents")
+    return evaluation.golden_join(golden, answers)
 
 
 @query("eval_summary", f"select model, count(*) filter (correct) as n_correct, count(*) as n, count(*) filter (kind = 'negativa' and correct) as n_negative_correct, count(*) filter (kind = 'negativa') as n_negative, list_sort(list(ttft_s))[len(list(ttft_s)) // 2 + 1] as ttft_p50 from {JUDGED} group by model")

@@ -294,14 +294,6 @@ def dialogue(spark, sf):
     return rows.select("conv_id", "n", F.md5(F.array_join(F.transform("x", lambda v: v["line"]), "\n")).alias("dialogue_md5"))
 
 
-@query("doc_metadata", f"select doc_id, 'documento' as tipo, 'doc-' || doc_id || '.md' as fuente, case when doc_id % 4 = 0 then 'ocr:motor' when doc_id % 4 = 1 then printf('capa de texto + motor (%d/%d páginas)', 1, 3) else 'capa de texto' end as origen_texto, case when doc_id % 4 = 0 then 98.5::double end as ocr_confianza from {DOCS}")
-def doc_metadata(spark, sf):
-    docs = documents(spark, sf)
-    k = F.col("doc_id") % 4
-    origin = F.when(k == 0, "ocr:motor").when(k == 1, F.format_string("capa de texto + %s (%d/%d páginas)", F.lit("motor"), F.lit(1), F.lit(3))).otherwise("capa de texto")
-    return docs.select("doc_id", t.doc_type(F.col("stem")).alias("tipo"), F.concat("stem", F.lit(".md")).alias("fuente"), origin.alias("origen_texto"), F.when(k == 0, F.lit(98.5)).alias("ocr_confianza"))
-
-
 @query("unknown_fields", "select event_id, coalesce(array_to_string(list_sort([k for k in json_keys(props) if k not in ('ms', 'page')]), ','), '') as unknown from events")
 def unknown_fields(spark, sf):
     return table(spark, sf, "events").select("event_id", F.array_join(p.unknown_fields(F.col("props"), ("ms", "page")), ",").alias("unknown"))
