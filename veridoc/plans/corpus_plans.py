@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from veridoc.functions import text as t
 from veridoc.operators import chunking, cleaning, evaluation, index, predicates
-from veridoc.plans.inputs import PAGE_LINES, chunk_table, documents, pages, table
+from veridoc.operators.kept_cards import KeptCards
+from veridoc.plans.inputs import PAGE_LINES, chunk_table, chunked, documents, pages, table
 from veridoc.plans.policies import PRIVATE, PUBLIC
 from veridoc.plans.text_plans import sql_slug
 from veridoc.sources.shared import shared_dir, written
@@ -390,6 +391,27 @@ def sample_hash(spark, sf):
     return index.sample_hash(index.sample_fragments(chunk_table(spark, sf), 4))
 
 
+@query(
+    "cards_refreshed",
+    """select * from (values (1, 'made', (select count(*) from documents where doc_id % 10 <> 3) + (select count(*) from documents where doc_id % 25 = 1)), (1, 'kept', 0), (1, 'removed', 0),
+    (2, 'made', (select count(*) from documents where doc_id % 10 = 3 or doc_id % 50 = 7)), (2, 'kept', (select count(*) from documents where doc_id % 10 <> 3 and doc_id % 50 <> 7)),
+    (2, 'removed', (select count(*) from documents where doc_id % 10 <> 3 and doc_id % 50 = 7) + (select count(*) from documents where doc_id % 25 = 1)),
+    (3, 'made', 0), (3, 'kept', (select count(*) from documents)), (3, 'removed', 0), (3, 'cards', (select count(*) from documents))) t(step, what, n)""",
+)
+def cards_refreshed(spark, sf):
+    """Cards of an older state of the documents, of today's, and of today's again: only what changed is made."""
+    docs = documents(spark, sf)
+    k = F.col("doc_id")
+    old = docs.filter(k % 10 != 3).withColumn("text", F.when(k % 50 == 7, F.concat(F.lit("antigua "), "text")).otherwise(F.col("text")))
+    gone = docs.filter(k % 25 == 1).withColumn("stem", F.concat(F.lit("retired-"), "stem"))
+    kept = KeptCards(spark, shared_dir(spark, "cards"))
+    make = lambda chunks: chunks.groupBy("stem").agg(F.concat_ws(" ", F.lit("card"), F.count("*").cast("string")).alias("card"))
+    steps = [old.unionByName(gone), docs, docs]
+    rows = [(i, w, n) for i, d in enumerate(steps, 1) for w, n in kept.refresh(index.sample_fragments(chunked(d), 4), make).items()]
+    held = kept.cards().agg(F.lit(3).alias("step"), F.lit("cards").alias("what"), F.count("*").alias("n"))
+    return spark.createDataFrame(rows, "step int, what string, n long").unionByName(held)
+
+
 @query(
     "family_rollup",
     """with d as (select *, doc_id % 6 as k, n_chars // 2000 + 1 as chunks from documents),

@@ -27,7 +27,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(stem, document_id, chunk_index, chunk_total, text): documents' lines, eight to a chunk."""
-    rows = _parts(documents(spark, sf_dir).select("stem", "text"), 8, "at").withColumn("chunk_index", F.col("at") + 1)
+    return chunked(documents(spark, sf_dir))
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """chunk_table of documents (stem, text)."""
+    rows = _parts(docs.select("stem", "text"), 8, "at").withColumn("chunk_index", F.col("at") + 1)
     return rows.select("stem", F.format_string("%s--%03d.md", "stem", "chunk_index").alias("document_id"), "chunk_index", F.col("n_parts").alias("chunk_total"), "text")
 
 
