@@ -13,18 +13,31 @@ from veridoc.llm import common, importance, near_dedup, queries, toxicity
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that are not toxic by a network fitted on the labels, judged by text alone, in all their columns.
+
+    A null text counts as an empty one; repeated rows and ties stay or go together; null ids stay; columns of any
+    name stay; an empty table stays empty."""
     return toxicity.without_toxic(docs, queries.table(spark, sf_dir, "labels"))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that importance resampling towards the labels' good ones draws, in all their columns.
+
+    A null text counts as an empty one; repeated rows and ties at the cut stay or go together; null ids share one
+    key's noise; columns of any name stay; an empty table stays empty."""
     return importance.selected_documents(docs, queries.table(spark, sf_dir, "labels"))
 
 
 def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One text of each class of near copies, in all columns: one that the class's smallest id has.
+
+    Null and empty texts are one class; repeated rows of the text that stays all stay, and so do rows without an id
+    where no row of the class has one; columns of any name stay; an empty table stays empty."""
     return near_dedup.without_near_copies(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training sequences of the documents, a row for each piece; edge cases as in packed_documents."""
     return queries.packed_documents(docs)
 
 

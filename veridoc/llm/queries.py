@@ -61,7 +61,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
-    """Packs whole documents by their tokens and an end token each."""
+    """Packs whole documents by their tokens and an end token each: a row for each piece of each document.
+
+    Null and empty texts have their end token only; a text beyond the largest sequence is cut into pieces; repeated
+    rows and rows without an id are packed each by itself, equal lengths by ascending id; other columns are left out;
+    an empty table gives no rows."""
     counts = token_counts.count_tokens(docs, tokenizer_path(BYTE_BPE))
     return packing.pack_documents(counts.select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens")))
 

@@ -23,6 +23,8 @@ from veridoc.llm.pieces import PieceMemo, joined
 NO_RANK = np.int32(2**31 - 1)
 #: Bytes of a pre-token beyond which it is merged by an agenda instead of in rounds.
 LONG = 1000
+#: Pieces that a worker remembers.
+MEMO = 400_000
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -214,7 +216,7 @@ class MergeCounter:
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> PieceMemo:
-    return PieceMemo(MergeCounter(path))
+    return PieceMemo(MergeCounter(path), MEMO)
 
 
 def count_texts(texts: list[str | None], path: str) -> list[int]:
