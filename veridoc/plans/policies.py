@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import json
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -98,6 +99,12 @@ def read_profiles(values: list[dict[str, Any]]) -> dict[str, Profile]:
     return found
 
 
+def read_profile_file(spark, path: str) -> dict[str, Profile]:
+    """read_profiles of a JSON file, one object by slug or a list of objects, in storage that Spark reads."""
+    values = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    return read_profiles([{"slug": k, **v} for k, v in values.items()] if isinstance(values, dict) else values)
+
+
 #: The two topics that the plans run with: one public, one that masks and exposes nothing.
 PUBLIC = Profile(
     slug="publico",

@@ -12,6 +12,7 @@ from veridoc.plans.corpus_plans import CHUNKS, PAGES
 from veridoc.plans.inputs import chunk_table, documents, pages, questions, table
 from veridoc.plans.policies import PUBLIC
 from veridoc.plans.text_plans import DECLINE, PLANNED, sql_denial, sql_tokens
+from veridoc.sources import corpus
 from veridoc.sources.shared import shared_dir, written
 
 SUBJECT = "documentos técnicos"
@@ -238,9 +239,9 @@ def retrieval_bench(spark, sf):
     queries = retrieval.planned(asked)
     hits = None
     for name, (tabled, where) in CORPORA.items():
-        corpus = written(docs.filter(where).select("document_id", F.when(F.expr(tabled), rows).otherwise(F.col("text")).alias("text")), "bench-corpus")
-        scores = retrieval.lexical_score(queries, written(retrieval.indexed(corpus), "token-index"))
-        top = retrieval.topk_hits(retrieval.merge_hits(scores), 6).join(corpus, "document_id").select(F.lit(name).alias("corpus"), "question_id", "document_id", "rank", "text")
+        side = written(docs.filter(where).select("document_id", F.when(F.expr(tabled), rows).otherwise(F.col("text")).alias("text")), "bench-corpus")
+        scores = retrieval.lexical_score(queries, written(retrieval.indexed(side), "token-index"))
+        top = retrieval.topk_hits(retrieval.merge_hits(scores), 6).join(side, "document_id").select(F.lit(name).alias("corpus"), "question_id", "document_id", "rank", "text")
         hits = top if hits is None else hits.unionByName(top)
     return evaluation.retrieval_bench(written(hits, "bench-hits"), asked.select("question_id", F.col("question").alias("feature"), F.lit("base").alias("version")))
 
@@ -284,6 +285,28 @@ def golden_join(spark, sf):
     return evaluation.golden_join(golden, answers)
 
 
+@query(
+    "golden_check",
+    """with g as (select case when item_id % 10 = 9 then item_id - 1 else item_id end as n, item_id, case when item_id % 7 = 6 then 'otra' when item_id % 3 = 0 then 'positiva' when item_id % 3 = 1 then 'negativa' else 'enmascarada' end as kind,
+    case when item_id % 4 = 3 then null when item_id % 5 = 4 then 'doc-x' || item_id || '.md' else 'doc-' || item_id || '.md' end as doc, item_id % 8 <> 1 as declines from benchmark)
+    select 'q' || n as id, problem from (select n, 'unknown_kind' as problem from g where kind = 'otra' union all select n, 'expects_no_document' from g where kind = 'positiva' and doc is null union all select n, 'must_decline' from g where kind = 'negativa' and not declines
+    union all select n, 'not_in_corpus' from g where doc is not null and doc not in (select 'doc-' || doc_id || '.md' from documents) union all select n, 'repeated_id' from g group by n having count(*) > 1)""",
+)
+def golden_check(spark, sf):
+    """Golden questions from JSON lines, some of them wrong, held against the chunks of all documents."""
+    k = F.col("item_id")
+    rows = table(spark, sf, "benchmark").select(
+        F.concat(F.lit("q"), F.when(k % 10 == 9, k - 1).otherwise(k).cast("string")).alias("id"),
+        F.col("text").alias("pregunta"),
+        F.when(k % 7 == 6, "otra").when(k % 3 == 0, "positiva").when(k % 3 == 1, "negativa").otherwise("enmascarada").alias("tipo"),
+        F.when(k % 4 == 3, None).when(k % 5 == 4, F.concat(F.lit("doc-x"), k.cast("string"), F.lit(".md"))).otherwise(F.concat(F.lit("doc-"), k.cast("string"), F.lit(".md"))).alias("documento_esperado"),
+        (k % 8 != 1).alias("debe_declinar"),
+    )
+    path = shared_dir(spark, "golden")
+    rows.write.json(path)
+    return corpus.golden_problems(corpus.read_golden_files(spark, path), chunk_table(spark, sf).select("document_id"))
+
+
 @query("eval_summary", f"select model, count(*) filter (correct) as n_correct, count(*) as n, count(*) filter (kind = 'negativa' and correct) as n_negative_correct, count(*) filter (kind = 'negativa') as n_negative, list_sort(list(ttft_s))[len(list(ttft_s)) // 2 + 1] as ttft_p50 from {JUDGED} group by model")
 def eval_summary(spark, sf):
     return evaluation.eval_summary(_judged(spark, sf))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.functions.text import slug, strip
+from veridoc.functions.text import document_base, slug, strip
 from veridoc.sources.corpus_files import committed, write_files
 
 TEXT_SUFFIXES = ("md", "markdown", "txt")
@@ -142,6 +142,40 @@ def read_golden(spark: SparkSession, questions: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "id string, question string, kind string, expected_doc string, forbidden array<string>")
 
 
+GOLDEN = "id string, pregunta string, tipo string, documento_esperado string, debe_declinar boolean, prohibido array<string>"
+KINDS = ("positiva", "negativa", "enmascarada")
+
+
+def read_golden_files(spark: SparkSession, path: str) -> DataFrame:
+    """Golden questions (id, question, kind, expected_doc, must_decline, forbidden) from files of JSON lines; nothing
+    is left out, golden_problems tells what is wrong with them."""
+    rows = spark.read.schema(GOLDEN).json(path)
+    none = F.array().cast("array<string>")
+    return rows.select("id", F.col("pregunta").alias("question"), F.col("tipo").alias("kind"), F.col("documento_esperado").alias("expected_doc"), F.coalesce("debe_declinar", F.lit(False)).alias("must_decline"), F.coalesce("prohibido", none).alias("forbidden"))
+
+
+def golden_problems(golden: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(id, problem): what is wrong with golden questions, held against the documents (document_id) of a corpus.
+
+    A chunk counts for the document that it is part of. A question may have several problems; rows with one id have
+    that problem once, and rows without an id one each."""
+    held = corpus.select(document_base(F.col("document_id")).alias("base")).distinct().withColumn("held", F.lit(True))
+    rows = golden.withColumn("base", document_base(F.col("expected_doc"))).join(held, "base", "left")
+    named = F.coalesce(F.col("expected_doc") != "", F.lit(False))
+    rules = {
+        "no_id": F.coalesce(F.col("id") == "", F.lit(True)),
+        "no_question": F.coalesce(strip(F.col("question")) == "", F.lit(True)),
+        "unknown_kind": ~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)),
+        "expects_no_document": (F.col("kind") == "positiva") & ~named,
+        "must_decline": (F.col("kind") == "negativa") & ~F.col("must_decline"),
+        "not_in_corpus": named & F.col("held").isNull(),
+    }
+    each = F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
+    found = rows.select("id", F.explode(each).alias("problem"))
+    repeated = golden.filter("id != ''").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id", F.lit("repeated_id").alias("problem"))
+    return found.unionByName(repeated)
+
+
 def prefer_xml(originals: DataFrame) -> DataFrame:
     """Originals without the PDFs that have an XML of the same stem beside them."""
     kind = F.lower(F.element_at(F.split("path", r"\."), -1))
