@@ -180,8 +180,7 @@ def retrieval_bench(hits: DataFrame, questions: DataFrame) -> DataFrame:
         F.count_if("common").alias("n_common"),
         F.count_if(F.col("common") & F.col("alignable")).alias("attributable_common"),
     )
-    total = asked.agg(F.count("*").alias("total"))
-    rows = corpora.join(counts, "corpus", "left").crossJoin(F.broadcast(total))  # total is one row
+    rows = corpora.join(counts, "corpus", "left").withColumn("total", F.lit(asked.count()).cast("long"))
     n = lambda c: F.coalesce(c, F.lit(0))
     share = lambda a, b: F.when(n(b) > 0, F.bround(100.0 * n(a) / n(b), 1)).otherwise(0.0)
     return rows.select(

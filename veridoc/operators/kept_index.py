@@ -52,10 +52,9 @@ class TokenIndex:
         paths = [f"{self.root}/segments/{s['name']}/{part}" for s in state["segments"]]
         if not paths:
             return self.spark.createDataFrame([], SCHEMAS[part])
-        return self.spark.read.schema(SCHEMAS[part]).option("basePath", self.root).parquet(*paths) if part in ("forward", "dead") else self._bucketed(part, paths)
-
-    def _bucketed(self, part: str, paths: list[str]) -> DataFrame:
-        """Rows of one part with the bucket that their folder names."""
+        if "bucket" not in SCHEMAS[part]:
+            return self.spark.read.schema(SCHEMAS[part]).parquet(*paths)
+        # each segment is read by itself, for its folders name the buckets
         frames = [self.spark.read.schema(SCHEMAS[part]).parquet(p) for p in paths]
         out = frames[0]
         for f in frames[1:]:

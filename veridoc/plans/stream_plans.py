@@ -240,21 +240,21 @@ def redact_unordered_documents(spark, sf):
     return docs.filter("text is not null").select("doc_id").join(joined, "doc_id").unionByName(docs.filter("text is null").select("doc_id", F.lit(None).cast("string").alias("masked_md5")))
 
 
-def _quarter(low: str, high: str):
-    """Which of four equal stretches of time a row is in."""
-    us = F.unix_micros("ts")
-    return F.least(F.floor((us - F.col(low)) * 4 / F.greatest(F.col(high) - F.col(low), F.lit(1))), F.lit(3)).cast("int")
+def _stretch(rows, n: int):
+    """Which of n equal stretches of time a row of rows is in, and the time of the last row."""
+    low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    low, high = low or 0, high or 0
+    return F.least(F.floor((F.unix_micros("ts") - F.lit(low)) * n / F.lit(max(high - low, 1))), F.lit(n - 1)).cast("int"), F.timestamp_micros(F.lit(high))
 
 
 @query("lifecycle_stream", SQL["request_lifecycle"])
 def lifecycle_stream(spark, sf):
     """request_lifecycle as two streams in several micro-batches; lost requests come out as the watermark passes them."""
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    span = e.agg(F.min(F.unix_micros("ts")).alias("low"), F.max(F.unix_micros("ts")).alias("high"))
-    close = span.select(F.lit("end").alias("request_id"), (F.timestamp_micros("high") + F.expr("interval 1 day")).alias("ts"), F.lit(None).cast("string").alias("event"))
-    row = e.crossJoin(F.broadcast(span))  # of one row
-    accepted = row.filter("event_type = 'view'").select(F.concat_ws("-", "user_id", "event_id").alias("request_id"), "ts", _quarter("low", "high").alias("b"))
-    ended = row.filter("event_type in ('error', 'purchase')").select(F.concat_ws("-", "user_id", (F.col("event_id") - 1).cast("string")).alias("request_id"), "ts", F.col("event_type").alias("event"), _quarter("low", "high").alias("b"))
+    quarter, last = _stretch(e, 4)
+    close = spark.range(1).select(F.lit("end").alias("request_id"), (last + F.expr("interval 1 day")).alias("ts"), F.lit(None).cast("string").alias("event"))
+    accepted = e.filter("event_type = 'view'").select(F.concat_ws("-", "user_id", "event_id").alias("request_id"), "ts", quarter.alias("b"))
+    ended = e.filter("event_type in ('error', 'purchase')").select(F.concat_ws("-", "user_id", (F.col("event_id") - 1).cast("string")).alias("request_id"), "ts", F.col("event_type").alias("event"), quarter.alias("b"))
     a = arriving(accepted.unionByName(close.select("request_id", "ts", F.lit(4).alias("b"))), "accepted", 5, F.col("b"))
     b = arriving(ended.unionByName(close.select(F.lit("none").alias("request_id"), "ts", "event", F.lit(4).alias("b"))), "ended", 5, F.col("b"))
     joined = ev.request_lifecycle(stream_of(spark, a, "request_id string, ts timestamp"), stream_of(spark, b, "request_id string, ts timestamp, event string"))
@@ -276,11 +276,9 @@ def late_rows(spark, sf):
     """Telemetry in six micro-batches, of which some rows come too late: rows in windows and late rows of each period,
     and whether each window's p95 of the time to the first token is within the sketch's rank error (or two rows)."""
     rows = telemetry(spark, sf).select("ts", "event", "ttft_ms", "chunks", "latency_ms", "grounded", "event_id")
-    span = rows.agg(F.min(F.unix_micros("ts")).alias("low"), F.max(F.unix_micros("ts")).alias("high"))
-    us = F.unix_micros("ts")
-    q = F.least(F.floor((us - F.col("low")) * 6 / F.greatest(F.col("high") - F.col("low"), F.lit(1))), F.lit(5)).cast("int")
+    q, _ = _stretch(rows, 6)
     b = F.least(q + F.when(F.col("event_id") % 10 == 0, 2).otherwise(0), F.lit(5))
-    numbered = rows.crossJoin(F.broadcast(span)).withColumn("b", b).drop("low", "high", "event_id")  # span is one row
+    numbered = rows.withColumn("b", b).drop("event_id")
     path = arriving(numbered, "telemetry-late", 6, F.col("b"))
     schema = "ts timestamp, event string, ttft_ms double, chunks int, latency_ms int, grounded boolean"
     log = WindowLog(spark, shared_dir(spark, "window-log"))
