@@ -37,11 +37,12 @@ def chunked(docs: DataFrame) -> DataFrame:
 
 
 def _parts(docs: DataFrame, size: int, name: str) -> DataFrame:
-    """docs with their text's lines, so many to a row, numbered from 0, and how many such parts the text has. Lines
-    are cut out of the array that each row carries, so nothing is shuffled."""
-    split = docs.withColumn("lines", F.split("text", "\n")).drop("text").withColumn("n_parts", F.ceil(F.size("lines") / size).cast("int"))
-    rows = split.filter("lines is not null").select("*", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias(name))
-    return rows.withColumn("text", F.array_join(F.slice("lines", F.col(name) * size + 1, F.lit(size)), "\n")).drop("lines")
+    """docs with their text's lines, so many to a row, numbered from 0, and how many such parts the text has."""
+    keys = [c for c in docs.columns if c != "text"]
+    split = docs.withColumn("lines", F.split("text", "\n"))
+    rows = split.select(*keys, F.ceil(F.size("lines") / size).cast("int").alias("n_parts"), F.posexplode("lines").alias("i", "line"))
+    parts = rows.groupBy(*keys, "n_parts", F.floor(F.col("i") / size).cast("int").alias(name)).agg(F.sort_array(F.collect_list(F.struct("i", "line"))).alias("x"))
+    return parts.select(*keys, "n_parts", name, F.array_join(F.transform("x", lambda v: v["line"]), "\n").alias("text"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
