@@ -99,8 +99,9 @@ class PieceBpe:
         return [array("I", x).tobytes() for x in ids]
 
     def segments(self, text: str) -> list[str]:
-        """Segments of a text, without the first space mark of each."""
-        return [s.replace(MARK, " ")[1:] for s in _SEGMENT.findall((MARK + text.replace(" ", MARK)) if text else "")]
+        """Segments of a text, without the first space mark of each; a mark before a newline is a segment of its own."""
+        found = (s.replace(MARK, " ")[1:] for s in _SEGMENT.findall((MARK + text.replace(" ", MARK)) if text else ""))
+        return [p for s in found for p in (("", s) if s[:1] == "\n" else (s,))]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: byte pieces join to characters, control ids vanish, the first space mark is dropped."""
