@@ -143,16 +143,16 @@ def slug(c: Column) -> Column:
 
 def doc_type(stem: Column) -> Column:
     """Type that a file name's slug suggests; the first rule that holds decides."""
-    name = slug(stem)
-    has = lambda *words: F.lit(False) if not words else F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(name, w))
-    return (
+    kind = lambda name: (
         F.when(name.startswith("cv"), "cv")
-        .when(has("certificado", "constancia"), "certificado")
-        .when(has("titulo"), "titulo")
-        .when(has("ficha", "especificacion"), "ficha_tecnica")
-        .when(has("folleto", "catalogo", "brochure"), "folleto")
+        .when(name.rlike("certificado|constancia"), "certificado")
+        .when(name.rlike("titulo"), "titulo")
+        .when(name.rlike("ficha|especificacion"), "ficha_tecnica")
+        .when(name.rlike("folleto|catalogo|brochure"), "folleto")
         .otherwise("documento")
     )
+    # as a variable of its own, the slug is made once and not for each rule
+    return F.get(F.transform(F.array(slug(stem)), kind), F.lit(0))
 
 
 def year_in(c: Column) -> Column:
@@ -184,7 +184,8 @@ def plan_queries(question: Column, most: int = 2) -> Column:
 
 def token_set(c: Column) -> Column:
     """Distinct folded words of content."""
-    long = F.filter(words(c), lambda w: F.length(w) > 2)
+    # repeats go before words are folded
+    long = F.filter(F.array_distinct(words(c)), lambda w: F.length(w) > 2)
     return F.array_distinct(F.filter(F.transform(long, fold), lambda w: ~w.isin(*STOPWORDS)))
 
 

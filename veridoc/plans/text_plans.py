@@ -68,7 +68,8 @@ def slug(spark, sf):
     when contains(s, 'folleto') or contains(s, 'catalogo') or contains(s, 'brochure') then 'folleto' else 'documento' end as tipo from s""",
 )
 def doc_type(spark, sf):
-    name = F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2)), "source")
+    # the first two words, without cutting the whole text
+    name = F.concat_ws(" ", F.substring_index("text", " ", 2), "source")
     return table(spark, sf, "documents").select("doc_id", t.doc_type(name).alias("tipo"))
 
 
