@@ -6,15 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridoc.functions.text import chunk_tokens, citation, fold, plan_queries, token_set
 from veridoc.functions.text import lines as lines_of
+from veridoc.sources.shared import written
 
 MIN_SCORE = 0.12
 #: Query vectors that are multiplied by at a time; those that travel with a scan at most; and vectors in a slice.
 QUERY_BLOCK, QUERY_CHUNK, SLICE_ROWS = 1024, 8192, 16_384
+#: Tokens of all queries that travel with a scan of the chunks at most, and cells of chunks by queries that are counted at once.
+QUERY_TERMS, COUNTED = 1 << 18, 1 << 22
 
 
 def planned(questions: DataFrame, id_col: str = "question_id", text_col: str = "question") -> DataFrame:
@@ -32,10 +36,14 @@ def indexed(chunks: DataFrame) -> DataFrame:
 def lexical_score(queries: DataFrame, index: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """(question_id, query_idx, document_id, score): share of a query's tokens that a chunk has.
 
-    A score of min_score needs ceil(min_score * n) shared tokens, so the rarest n - that + 1 tokens of a query
-    find every candidate; frequent tokens generate none, and candidates are verified on whole token sets.
-    Counts of tokens are combined before they are shuffled; joins on a frequent token can be split.
+    Up to QUERY_CHUNK queries of QUERY_TERMS tokens travel with one scan of the chunks, which then are neither
+    shuffled nor stored. More are joined: a score of min_score needs ceil(min_score * n) shared tokens, so the rarest
+    n - that + 1 tokens of a query find every candidate; frequent tokens generate none, and candidates are verified
+    on whole token sets. The index is read three times then.
     """
+    if few(queries):
+        return scanned(queries, index, min_score)
+    index = written(index, "token-index")
     terms = query_terms(queries)
     wanted = terms.select("token").distinct()
     # only tokens that queries use leave the scan of the chunks
@@ -45,6 +53,47 @@ def lexical_score(queries: DataFrame, index: DataFrame, min_score: float = MIN_S
     return verified(queries, candidates, index, ["document_id"], min_score)
 
 
+def few(queries: DataFrame) -> bool:
+    """Whether queries are few enough to travel with a scan."""
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("terms")).first()
+    return size["n"] <= QUERY_CHUNK and size["terms"] <= QUERY_TERMS
+
+
+def scanned(queries: DataFrame, index: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """lexical_score of few queries: each chunk's tokens are looked up among theirs where they are read."""
+    schema = ", ".join(f"{c} {dict([*queries.dtypes, *index.dtypes])[c]}" for c in ("question_id", "query_idx", "document_id"))
+    asked = queries.select("question_id", "query_idx", "tokens").toArrow()
+    if not len(asked):
+        return queries.sparkSession.createDataFrame([], f"{schema}, score double")
+    sizes = np.array([len(x or ()) for x in asked["tokens"].to_pylist()], np.int64)
+    flat = pa.concat_arrays([c.flatten() for c in asked["tokens"].chunks])
+    known = flat.unique()
+    # queries of each token, one token after the other
+    of = pc.index_in(flat, known).to_numpy(zero_copy_only=False).astype(np.int64)
+    lists = np.repeat(np.arange(len(sizes)), sizes)[np.argsort(of, kind="stable")]
+    ends = np.cumsum(np.bincount(of, minlength=len(known)))
+    ids = [pa.concat_arrays(asked[c].chunks) for c in ("question_id", "query_idx")]
+    held = max(1, COUNTED // max(1, len(sizes)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = np.append(0, ends)[:-1]
+        for whole in batches:
+            for b in (whole.slice(at, held) for at in range(0, whole.num_rows, held)):
+                found = pc.index_in(b.column("tokens").flatten(), known)
+                hit = found.is_valid().to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(b.num_rows), pc.fill_null(b.column("tokens").value_lengths(), 0).to_numpy(zero_copy_only=False))[hit]
+                token = found.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+                n = ends[token] - starts[token]
+                stops = np.cumsum(n)
+                query = lists[np.repeat(starts[token] - stops + n, n) + np.arange(int(n.sum()))]
+                shared = np.bincount(np.repeat(owner, n) * len(sizes) + query, minlength=b.num_rows * len(sizes)).reshape(b.num_rows, len(sizes))
+                score = shared / np.maximum(sizes, 1)
+                doc, query = np.nonzero((score >= min_score) & (shared > 0))
+                yield pa.RecordBatch.from_arrays([*(x.take(pa.array(query)) for x in ids), b.column("document_id").take(pa.array(doc)), pa.array(score[doc, query])], ["question_id", "query_idx", "document_id", "score"])
+
+    return index.select("document_id", "tokens").mapInArrow(scan, f"{schema}, score double")
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(question_id, query_idx, n, token): each token of each query, and how many the query has."""
     return queries.select("question_id", "query_idx", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))

@@ -40,8 +40,7 @@ TOP = f"(select * from (select *, row_number() over (partition by question_id or
 def _scores(spark, sf):
     docs = documents(spark, sf).select(F.concat("stem", F.lit(".md")).alias("document_id"), "text")
     queries = retrieval.planned(questions(spark, sf))
-    # the token sets are built once; scoring reads them three times
-    return retrieval.lexical_score(queries, written(retrieval.indexed(docs), "token-index")), queries
+    return retrieval.lexical_score(queries, retrieval.indexed(docs)), queries
 
 
 def _top(spark, sf, k: int = 6):
@@ -239,8 +238,8 @@ def retrieval_bench(spark, sf):
     queries = retrieval.planned(asked)
     hits = None
     for name, (tabled, where) in CORPORA.items():
-        side = written(docs.filter(where).select("document_id", F.when(F.expr(tabled), rows).otherwise(F.col("text")).alias("text")), "bench-corpus")
-        scores = retrieval.lexical_score(queries, written(retrieval.indexed(side), "token-index"))
+        side = docs.filter(where).select("document_id", F.when(F.expr(tabled), rows).otherwise(F.col("text")).alias("text"))
+        scores = retrieval.lexical_score(queries, retrieval.indexed(side))
         top = retrieval.topk_hits(retrieval.merge_hits(scores), 6).join(side, "document_id").select(F.lit(name).alias("corpus"), "question_id", "document_id", "rank", "text")
         hits = top if hits is None else hits.unionByName(top)
     return evaluation.retrieval_bench(written(hits, "bench-hits"), asked.select("question_id", F.col("question").alias("feature"), F.lit("base").alias("version")))
