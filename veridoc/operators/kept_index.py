@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridoc.functions.text import chunk_tokens
-from veridoc.operators.retrieval import MIN_SCORE, probing_terms, query_terms, verified
+from veridoc.operators.retrieval import MIN_SCORE, few, probing_terms, query_terms, scanned, verified
 from veridoc.sources.shared import Files, written
 
 #: Token buckets of a new index; a question reads those of its own tokens.
@@ -168,6 +168,10 @@ class TokenIndex:
         buckets = [r["bucket"] for r in terms.select("bucket").distinct().collect()]
         near = lambda part: self._read(part, state).filter(F.col("bucket").isin(buckets))
         wanted = terms.select("bucket", "token").distinct()
+        if few(queries):
+            # a document's postings of the queries' tokens are all that a score needs
+            held = near("postings").join(F.broadcast(wanted), ["bucket", "token"], "left_semi").groupBy("document_id", "version").agg(F.collect_list("token").alias("tokens"))
+            return scanned(queries, self._live(held, state), min_score)
         frequency = near("frequencies").join(wanted, ["bucket", "token"], "left_semi").groupBy("token").agg(F.sum("n").alias("df"))
         probes = probing_terms(terms, frequency, min_score)
         hits = probes.join(near("postings"), ["bucket", "token"]).select("question_id", "query_idx", "document_id", "version").distinct()
