@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veridoc.functions.text import document_base, slug, strip
-from veridoc.sources.corpus_files import committed, write_files
+from veridoc.sources.corpus_files import committed, read_files, write_files
 
 TEXT_SUFFIXES = ("md", "markdown", "txt")
 SIDECAR = ".metadata.json"
@@ -41,12 +41,14 @@ def read_prepared_corpus(spark: SparkSession, root: str) -> DataFrame:
     folders = committed(spark, root)
     if folders == []:
         return spark.createDataFrame([], "document_id string, rel_path string, text string, metadata map<string,string>")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders or root).select("path", F.decode("content", "UTF-8").alias("text"))
+    if folders:
+        rows = read_files(spark, folders)
+        return rows.select("document_id", F.col("path").alias("rel_path"), strip(F.col("text")).alias("text"), sidecar_metadata(F.col("sidecar")).alias("metadata"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.decode("content", "UTF-8").alias("text"))
     suffix = F.lower(F.element_at(F.split("path", r"\."), -1))
     texts = files.filter(suffix.isin(*TEXT_SUFFIXES)).select("path", strip(F.col("text")).alias("text"))
     side = files.filter(F.col("path").endswith(SIDECAR)).select(F.regexp_replace("path", r"\.metadata\.json$", "").alias("path"), F.col("text").alias("raw"))
-    # Spark lists no empty files; each text of a commit has a sidecar, so one without a text is that of an empty one
-    rows = texts.join(side, "path", "full_outer" if folders else "left").withColumn("text", F.coalesce("text", F.lit("")))
+    rows = texts.join(side, "path", "left")
     return rows.select(F.element_at(F.split("path", "/"), -1).alias("document_id"), F.col("path").alias("rel_path"), "text", sidecar_metadata(F.col("raw")).alias("metadata"))
 
 

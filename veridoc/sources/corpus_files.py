@@ -24,6 +24,8 @@ from veridoc.sources.shared import Files
 FORMAT = "prepared_corpus"
 COMMITS = "_commits"
 SIDECAR = ".metadata.json"
+#: Documents of a folder at most; and code points of texts that a reading task hands on at once.
+FOLDER_DOCUMENTS, BATCH_CHARS = 4096, 1 << 22
 
 
 def _store(root: str):
@@ -57,11 +59,12 @@ class CorpusFilesWriter(DataSourceArrowWriter):
         for batch in iterator:
             for row in batch.to_pylist():
                 name = check_name(row["document_id"])
-                if not n:
-                    store.create_dir(f"{root}/{folder}", recursive=True)
+                if n % FOLDER_DOCUMENTS == 0:
+                    part = f"{root}/{folder}/{n // FOLDER_DOCUMENTS:06d}"
+                    store.create_dir(part, recursive=True)
                 sidecar = json.dumps({"metadataAttributes": dict(row["metadata"] or [])}, ensure_ascii=False)
                 for path, text in ((name, row["text"] or ""), (name + SIDECAR, sidecar)):
-                    with store.open_output_stream(f"{root}/{folder}/{path}") as f:
+                    with store.open_output_stream(f"{part}/{path}") as f:
                         f.write(text.encode())
                 n += 1
         return Attempt(folder, n)
@@ -69,7 +72,7 @@ class CorpusFilesWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Attempt | None]) -> None:
         store, root = _store(self.root)
         done = [m for m in messages if m is not None and m.n]
-        text = json.dumps({"folders": [m.folder for m in done], "n": sum(m.n for m in done), "replaces": self.overwrite})
+        text = json.dumps({"folders": [f"{m.folder}/{k:06d}" for m in done for k in range(-(-m.n // FOLDER_DOCUMENTS))], "n": sum(m.n for m in done), "replaces": self.overwrite})
         name = f"{time.time_ns():020d}-{self.job}.json"
         store.create_dir(f"{root}/{COMMITS}", recursive=True)
         with store.open_output_stream(f"{root}/{COMMITS}/{name}.tmp") as f:
@@ -108,7 +111,8 @@ def write_files(rows: DataFrame, root: str, overwrite: bool = True) -> None:
 
 def committed(spark: SparkSession, root: str) -> list[str] | None:
     """Folders of a corpus that its commits name; None where there are no commits, as below a folder of files that
-    others wrote. There is a folder for each task of each write since the last that replaced all."""
+    others wrote. There is a folder for each task, and FOLDER_DOCUMENTS of it, of each write since the last that
+    replaced all."""
     files = Files(spark, root)
     names = [n for n in files.names(COMMITS) if n.endswith(".json")]
     if not names:
@@ -118,3 +122,38 @@ def committed(spark: SparkSession, root: str) -> list[str] | None:
         made = json.loads(files.read(f"{COMMITS}/{n}"))
         folders = ([] if made["replaces"] else folders) + [f"{root.rstrip('/')}/{f}" for f in made["folders"]]
     return folders
+
+
+def read_files(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """(document_id, path, text, sidecar) of the documents in folders that commits name. Tasks list the folders, a
+    few to each, so that the driver never holds the names of the files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["document_id", "path", "text", "sidecar"]
+        for folder in (f for b in batches for f in b.column("folder").to_pylist()):
+            store, root = _store(folder)
+            rows, size = [], 0
+            found = store.get_file_info(_selector(root))
+            for name in sorted(f.base_name.removesuffix(SIDECAR) for f in found if f.base_name.endswith(SIDECAR)):
+                text, sidecar = (_content(store, f"{root}/{x}") for x in (name, name + SIDECAR))
+                rows.append((name, f"{folder}/{name}", text, sidecar))
+                size += len(text) + len(sidecar)
+                if size > BATCH_CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names)
+
+    parts = spark.sparkContext.parallelize([(f,) for f in folders], len(folders))
+    return spark.createDataFrame(parts, "folder string").mapInArrow(run, "document_id string, path string, text string, sidecar string")
+
+
+def _selector(root: str):
+    from pyarrow import fs
+
+    return fs.FileSelector(root)
+
+
+def _content(store, path: str) -> str:
+    with store.open_input_stream(path) as f:
+        return f.read().decode()
