@@ -22,13 +22,19 @@ def transcribe(pages: DataFrame, engine: Callable[[pd.DataFrame], pd.DataFrame],
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
+            found: list[list] = [[] for _ in columns]
             for at in range(0, len(part), batch_rows):
                 some = part.iloc[at : at + batch_rows]
                 try:
-                    out = engine(some).assign(error=None)
+                    out = engine(some)
+                    rows = [out[c].tolist() for c in columns[:-1]] + [[None] * len(out)]
                 except Exception as e:  # an engine's failure is a result here
-                    out = some[["doc_key", "page_no"]].assign(text=None, confidence=float("nan"), error=str(e))
-                yield out[columns]
+                    n = len(some)
+                    rows = [some["doc_key"].tolist(), some["page_no"].tolist(), [None] * n, [float("nan")] * n, [str(e)] * n]
+                for held, more in zip(found, rows, strict=True):
+                    held += more
+            # one frame for all of them: a frame has a cost of its own, however few its rows
+            yield pd.DataFrame(dict(zip(columns, found, strict=True)))
 
     keyed = pages.withColumn("doc_key", F.col("doc_key").cast("string"))
     out = keyed.mapInPandas(run, "doc_key string, page_no int, text string, confidence double, error string")
