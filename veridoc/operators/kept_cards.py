@@ -48,8 +48,11 @@ class KeptCards:
         stems that it leaves out are tried again next time. A card that was removed and comes back is made again."""
         state = self._state()
         name = f"{state['version'] + 1:08d}-{uuid.uuid4().hex[:12]}"
-        wanted, old = sample_hash(sample), self.cards()
+        old = self.cards()
         path = lambda part: f"{self.root}/{name}/{part}"
+        # texts are hashed once; what is new and what is gone is found from the hashes
+        sample_hash(sample).write.parquet(path("wanted"))
+        wanted = self.spark.read.schema("stem string, sample_hash string").parquet(path("wanted"))
         wanted.join(old.select("stem", "sample_hash"), ["stem", "sample_hash"], "left_anti").write.parquet(path("todo"))
         todo = self.spark.read.schema("stem string, sample_hash string").parquet(path("todo"))
         stale = old.select("stem", "sample_hash").join(wanted, ["stem", "sample_hash"], "left_anti")
@@ -57,7 +60,9 @@ class KeptCards:
         held = self.spark.read.schema("stem string, sample_hash string").parquet(*before) if before else stale.limit(0)
         # a stem's earlier card of the same hash lies in an older part: what is made again takes its place
         stale.unionByName(held).distinct().write.parquet(path("gone"))
-        made = make(sample.join(todo.select("stem"), "stem", "left_semi")).select("stem", "card").filter(F.col("card").isNotNull())
+        # where nothing is to be made no text is read again
+        some = sample.limit(0) if todo.isEmpty() else sample.join(todo.select("stem"), "stem", "left_semi")
+        made = make(some).select("stem", "card").filter(F.col("card").isNotNull())
         made.join(todo, "stem").select("stem", "sample_hash", "card").write.parquet(path("cards"))
         fresh = self.spark.read.schema(self.SCHEMA).parquet(path("cards"))
         gone = self.spark.read.schema("stem string, sample_hash string").parquet(path("gone"))

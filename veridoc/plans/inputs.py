@@ -37,8 +37,15 @@ def chunked(docs: DataFrame) -> DataFrame:
 
 
 def _parts(docs: DataFrame, size: int, name: str) -> DataFrame:
-    """docs with their text's lines, so many to a row, numbered from 0, and how many such parts the text has."""
+    """docs with their text's lines, so many to a row, numbered from 0, and how many such parts the text has.
+
+    A text is cut where it is read and nothing is shuffled, unless rows share their keys: then the lines of equal
+    number stand together in one part, as in SQL that groups by keys and part."""
     keys = [c for c in docs.columns if c != "text"]
+    if docs.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        cut = F.regexp_extract_all(F.concat(F.lit("\n"), "text"), F.lit(f"(?:\\n[^\\n]*){{1,{size}}}"), F.lit(0))
+        rows = docs.select(*keys, cut.alias("cut")).select(*keys, F.size("cut").alias("n_parts"), F.posexplode("cut").alias(name, "part"))
+        return rows.select(*keys, "n_parts", name, F.substr("part", F.lit(2)).alias("text"))
     split = docs.withColumn("lines", F.split("text", "\n"))
     rows = split.select(*keys, F.ceil(F.size("lines") / size).cast("int").alias("n_parts"), F.posexplode("lines").alias("i", "line"))
     parts = rows.groupBy(*keys, "n_parts", F.floor(F.col("i") / size).cast("int").alias(name)).agg(F.sort_array(F.collect_list(F.struct("i", "line"))).alias("x"))
