@@ -94,24 +94,40 @@ def _class(chars: Iterable[str]) -> str:
 
 
 _IS_COMMON, _IS_RARE = _class(_COMMON), _class(_RARE)
+#: A cheap test that every text with a rare character passes; the exact one costs a class of hundreds of ranges.
+_MAYBE_RARE = r"[\x{250}-\x{10FFFF}]"
 
 
 def is_ascii(c: Column) -> Column:
     return F.length(c) == F.octet_length(c)
 
 
+def _bound(value: Column, f) -> Column:
+    """f of a column that is a variable of its own, so that it is made once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _has_rare(plain: Column) -> Column:
+    """Whether a text has characters of _RARE: whether it loses bytes where they are dropped."""
+    dropped = F.translate(plain, "".join(_RARE), "")
+    return plain.rlike(_MAYBE_RARE) & (F.octet_length(dropped) < F.octet_length(plain))
+
+
 def fold(c: Column) -> Column:
     """Lower case without accents, by compatibility decomposition, for all scripts but Hangul, whose syllables stay
     whole; fold_any parts these, too. ASCII texts are only lowered."""
+
+    def parted(plain: Column) -> Column:
+        out = plain
+        for ligature, letters in _COMMON.items():
+            out = F.replace(out, F.lit(ligature), F.lit(letters))
+        out = F.when(plain.rlike(_IS_COMMON), out).otherwise(plain)
+        letters = F.from_json(F.lit(json.dumps(_RARE)), "map<string,string>")
+        each = F.transform(F.split(out, ""), lambda x: F.when(x.rlike(_IS_RARE), F.element_at(letters, x)).otherwise(x))
+        return F.when(_has_rare(plain), F.array_join(each, "")).otherwise(out)
+
     low = F.lower(c)
-    plain = F.translate(low, _ACCENTED, _PLAIN)
-    parted = plain
-    for ligature, letters in _COMMON.items():
-        parted = F.replace(parted, F.lit(ligature), F.lit(letters))
-    parted = F.when(plain.rlike(_IS_COMMON), parted).otherwise(plain)
-    letters = F.from_json(F.lit(json.dumps(_RARE)), "map<string,string>")
-    each = F.transform(F.split(parted, ""), lambda x: F.when(x.rlike(_IS_RARE), F.element_at(letters, x)).otherwise(x))
-    return F.when(is_ascii(c), low).when(plain.rlike(_IS_RARE), F.array_join(each, "")).otherwise(parted)
+    return F.when(is_ascii(c), low).otherwise(_bound(F.translate(low, _ACCENTED, _PLAIN), parted))
 
 
 def sql_literal(text: str) -> str:
@@ -127,7 +143,8 @@ def fold_sql(x: str) -> str:
     parted = f"if({plain} rlike {sql_literal(_IS_COMMON)}, {parted}, {plain})"
     letters = f"from_json({sql_literal(json.dumps(_RARE))}, 'map<string,string>')"
     each = f"transform(split({parted}, ''), rare_ -> if(rare_ rlike {sql_literal(_IS_RARE)}, element_at({letters}, rare_), rare_))"
-    return f"case when length({x}) = octet_length({x}) then lower({x}) when {plain} rlike {sql_literal(_IS_RARE)} then array_join({each}, '') else {parted} end"
+    rare = f"{plain} rlike {sql_literal(_MAYBE_RARE)} and {plain} rlike {sql_literal(_IS_RARE)}"
+    return f"case when length({x}) = octet_length({x}) then lower({x}) when {rare} then array_join({each}, '') else {parted} end"
 
 
 @F.pandas_udf(T.StringType())
@@ -152,7 +169,7 @@ def doc_type(stem: Column) -> Column:
         .otherwise("documento")
     )
     # as a variable of its own, the slug is made once and not for each rule
-    return F.get(F.transform(F.array(slug(stem)), kind), F.lit(0))
+    return _bound(slug(stem), kind)
 
 
 def year_in(c: Column) -> Column:
@@ -184,9 +201,11 @@ def plan_queries(question: Column, most: int = 2) -> Column:
 
 def token_set(c: Column) -> Column:
     """Distinct folded words of content."""
-    # repeats go before words are folded
+    # repeats go before words are folded, which they are together: no word holds a line end, nor does what it folds to
     long = F.filter(F.array_distinct(words(c)), lambda w: F.length(w) > 2)
-    return F.array_distinct(F.filter(F.transform(long, fold), lambda w: ~w.isin(*STOPWORDS)))
+    folded = lambda joined: F.split(fold(joined), "\n")
+    content = lambda some: F.when(F.size(some) == 0, some).otherwise(F.array_distinct(F.filter(_bound(F.array_join(some, "\n"), folded), lambda w: ~w.isin(*STOPWORDS))))
+    return _bound(long, content)
 
 
 def chunk_tokens(text: Column, file_name: Column) -> Column:
