@@ -89,17 +89,31 @@ class PieceMemo:
                 self.sizes[n] = UNSAFE
 
     def _shrink(self) -> None:
-        """Starts again with the pieces used most, half of the limit at most."""
+        """Goes on with the pieces used most, half of the limit at most, and what is known of them."""
         uses = self.uses[: self.count]
         half = min(max(1, self.limit // 2), len(uses))
         least = max(2, int(np.partition(uses, -half)[-half]) + 1)
         room = max(1, self.chars // (2 * half))  # longer pieces are cheap to learn again for what they hold
-        kept = [[p for p, n in d.items() if n and uses[n] >= least and len(p) <= room] for d in (self.tail, self.whole, self.odd)]
+        often = (uses >= least).tolist()
+        kept = [[(p, n) for p, n in d.items() if n and often[n] and len(p) <= room] for d in (self.tail, self.whole, self.odd)]
+        sizes, starts, pool = self.sizes, self.starts, self.pool[: self.filled]
         self._reset()
         for d, pieces in zip((self.tail, self.whole, self.odd), kept, strict=True):
-            for p in pieces:
-                d[p]
-        self._learn()
+            first, self.count = self.count, self.count + len(pieces)
+            d.update(zip((p for p, _ in pieces), range(first, self.count), strict=True))
+            self.held += sum(len(p) if p[:1] == "\n" else len(d.lead) + len(p) for p, _ in pieces)
+            if d.sure:
+                self.sure.update(range(first, self.count))
+        old = np.fromiter((n for pieces in kept for _, n in pieces), np.int64, self.count - 1)
+        spare = np.zeros(1 << 12, np.int64)
+        self.sizes = np.concatenate([[0], sizes[old], spare])
+        self.starts, self.uses = np.zeros(len(self.sizes), np.int64), np.zeros(len(self.sizes), np.int64)
+        if len(pool):
+            lengths = np.maximum(sizes[old], 0)
+            ends = np.cumsum(lengths)
+            self.starts[1 : self.count] = ends - lengths
+            self.filled = int(lengths.sum())
+            self.pool = np.concatenate([pool[np.repeat(starts[old] - ends + lengths, lengths) + np.arange(self.filled)], np.zeros(1 << 14, np.uint32)])
 
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the pieces of all texts in order, and how many pieces each text has."""
