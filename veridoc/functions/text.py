@@ -1,14 +1,19 @@
 """Text scalars as Spark columns: folding, slugs, query words, masking, citations. No Python runs per row
-except in fold_any, for scripts beyond Latin."""
+except in fold_any, for scripts beyond Latin; with_tokens cuts whole batches of texts as arrays."""
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from functools import cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -213,6 +218,117 @@ def chunk_tokens(text: Column, file_name: Column) -> Column:
     return F.array_distinct(F.concat(token_set(text), token_set(F.translate(file_name, "-_", "  "))))
 
 
+#: Bytes of text that are cut at once, where a longer text is cut by itself; and words that a task remembers at most.
+_CUT_BYTES, _MOST_KNOWN = 1 << 20, 200_000
+#: Bytes of words, beyond ASCII any; and the bytes in lower case.
+_WORD_BYTES = np.array([p > 127 or chr(p).isalnum() or p == 95 for p in range(256)])
+_LOWER_BYTES = np.array([p + 32 * (65 <= p <= 90) for p in range(256)], np.uint8)
+_STOPS = frozenset(STOPWORDS)
+_STOP_BYTES = pa.array([w.encode() for w in STOPWORDS], pa.binary())
+#: Its lower case depends on what stands around it, beyond its word.
+_SIGMA = "\u03a3"
+
+
+@cache
+def _character_tables() -> tuple[str, dict[int, str], dict[int, str]]:
+    """Spark's own rules for characters beyond ASCII: those of no word as a regular expression, those that lower()
+    changes, and characters of words that fold() changes. Made once for each process."""
+    spark = SparkSession.active()
+    points = F.explode(F.split("s", "")).alias("c")
+    blocks = ["".join(chr(p) for p in range(low, low + 128) if not 0xD800 <= p < 0xE000) for low in range(0x80, 0x110000, 128)]
+    chars = spark.createDataFrame([(b,) for b in blocks if b], "s string").select(points)
+    chars = chars.select("c", F.lower("c").alias("low"), F.col("c").rlike(WORD).alias("word")).filter((F.col("low") != F.col("c")) | F.col("word"))
+    found = chars.select("c", "low", "word", F.when(F.col("word"), fold(F.col("c"))).alias("plain")).toArrow().to_pylist()
+    lower = {ord(r["c"]): r["low"] for r in found if r["low"] != r["c"]}
+    plain = {ord(r["c"]): r["plain"] for r in found if r["word"] and r["plain"] != r["c"]}
+    spans = _class([r["c"] for r in found if r["word"]])[1:-1]
+    spans = re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08x}", spans)
+    return f"[^0-9A-Za-z_{spans}]+", lower, plain
+
+
+def _tokens_of(run: str, tables: tuple[re.Pattern, dict[int, str], dict[int, str]]) -> list[str]:
+    """token_set of characters without a space, in lower case as far as they are ASCII."""
+    between, lower, plain = tables
+    long = [w for w in between.split(run.translate(lower)) if len(w) > 2]
+    return [w for w in dict.fromkeys(w.translate(plain) for w in long) if w not in _STOPS]
+
+
+def _cut(texts: pa.Array, tables: tuple, known: dict[bytes, list[str]]) -> pa.ListArray:
+    """token_set of each text but for _SIGMA; known holds what words beyond ASCII stand for."""
+    texts = texts.cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    inside = _WORD_BYTES[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[ends] = True
+    starts = np.flatnonzero(inside & (edge[:-1] | ~np.append(False, inside[:-1])))
+    stops = np.flatnonzero(inside & (edge[1:] | ~np.append(inside[1:], False))) + 1
+    offsets = np.append(0, np.cumsum(stops - starts)).astype(np.int32)
+    runs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER_BYTES[data[inside]])]).dictionary_encode()
+    names, width = runs.dictionary, max(1, len(runs.dictionary))
+    owner, code = np.divmod(np.unique((np.searchsorted(ends, starts, side="right") - 1) * width + runs.indices.to_numpy()), width)
+    at = names.buffers()[1] and np.frombuffer(names.buffers()[1], np.int32)[names.offset : names.offset + len(names) + 1]
+    odd = np.zeros(len(names), bool)
+    if len(names):
+        odd = np.maximum.reduceat(np.frombuffer(names.buffers()[2], np.uint8)[: at[-1]], at[:-1]) > 127
+    kept = ~odd & ~pc.less(pc.binary_length(names), 3).to_numpy(zero_copy_only=False) & ~pc.is_in(names, value_set=_STOP_BYTES).to_numpy(zero_copy_only=False)
+    if len(known) > _MOST_KNOWN:
+        known.clear()
+    means = []
+    for run in names.filter(pa.array(odd)).to_pylist():
+        if run not in known:
+            known[run] = _tokens_of(run.decode(errors="replace"), tables)
+        means.append(known[run])
+    # each run stands for the tokens from first[code] on, n[code] of them
+    n = kept.astype(np.int64)
+    n[odd] = [len(m) for m in means]
+    plain = names.filter(pa.array(kept)).cast(pa.string())
+    place = np.zeros(len(names), np.int64)
+    place[kept] = np.arange(len(plain))
+    place[odd] = len(plain) + np.cumsum(n[odd]) - n[odd]
+    tokens = pa.concat_arrays([plain, pa.array([w for m in means for w in m], pa.string())]).dictionary_encode()
+    each = n[code]
+    owner, first = np.repeat(owner, each), np.repeat(place[code], each)
+    token = tokens.indices.to_numpy()[first + np.arange(len(first)) - np.repeat(np.cumsum(each) - each, each)].astype(np.int64)
+    width = max(1, len(tokens.dictionary))
+    owner, token = np.divmod(np.unique(owner * width + token), width)
+    bounds = np.append(0, np.cumsum(np.bincount(owner, minlength=len(texts)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), tokens.dictionary.take(pa.array(token)))
+
+
+def with_tokens(rows: DataFrame, text: Column, name: str) -> DataFrame:
+    """rows with a column, new or in place of one, of the token set of text in any order; null counts as empty. Words
+    are found as arrays of bytes by Spark's own rules for characters, and each is folded once for many texts; only
+    texts with a capital sigma are left to token_set."""
+    kept = rows.withColumn(name, F.coalesce(text, F.lit("")))
+    columns = [c for c in rows.columns if c != name]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != name), "_tokens array<string>, _sigma string"])
+    between, *changed = _character_tables()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, known = (re.compile(between), *changed), {}
+        for b in batches:
+            at = b.schema.get_field_index(name)
+            ends, lo = np.cumsum(pc.binary_length(b.column(at)).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _CUT_BYTES, side="right")))
+                part = b.slice(lo, hi - lo)
+                texts = part.column(at)
+                special = pc.match_substring(texts, _SIGMA).to_pylist()
+                whole = pa.array([texts[i].as_py() if x else None for i, x in enumerate(special)], pa.string())
+                yield pa.RecordBatch.from_arrays([*map(part.column, columns), _cut(texts, tables, known), whole], [*columns, "_tokens", "_sigma"])
+                lo = hi
+
+    tokens = F.when(F.col("_sigma").isNull(), F.col("_tokens")).otherwise(token_set(F.col("_sigma")))
+    return kept.mapInArrow(cut, schema).select(*columns, tokens.alias(name))
+
+
+def chunk_text(text: Column, file_name: Column) -> Column:
+    """What has the tokens of chunk_tokens: a chunk's text and, in a line of its own, the words of its file name."""
+    return F.concat_ws("\n", text, F.translate(file_name, "-_", "  "))
+
+
 def _mask(value: Column) -> Column:
     hidden = F.greatest(F.length(value) - VISIBLE, F.lit(0))
     return F.when(F.length(value) <= VISIBLE, F.repeat(F.lit("*"), F.length(value))).otherwise(F.concat(F.repeat(F.lit("*"), hidden), F.right(value, F.lit(VISIBLE))))

@@ -11,11 +11,14 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridoc.functions.text import chunk_tokens
+from veridoc.functions.text import chunk_text, with_tokens
 from veridoc.operators.retrieval import MIN_SCORE, few, probing_terms, query_terms, scanned, verified
 from veridoc.sources.shared import Files, written
 
@@ -32,6 +35,43 @@ SCHEMAS = {
 }
 
 
+#: Tokens of documents that are inverted at once; a document of more is inverted by itself.
+INVERTED = 1 << 20
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.DictionaryArray, np.ndarray]]:
+    """Parts of batches, their tokens, and how many tokens each of their rows has."""
+    for b in batches:
+        sizes = b.column("tokens").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends, lo = np.cumsum(sizes, dtype=np.int64), 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + INVERTED, side="right")))
+            part = b.slice(lo, hi - lo)
+            yield part, part.column("tokens").flatten().dictionary_encode(), sizes[lo:hi]
+            lo = hi
+
+
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, documents, version) of each version of each part, from (document_id, tokens, version)."""
+    for part, tokens, sizes in _parts(batches):
+        for version in part.column("version").unique():
+            code = tokens.indices.to_numpy()
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            same = (part.column("version").to_numpy(zero_copy_only=False) == version.as_py())[owner]
+            code, owner = code[same], owner[same]
+            known, n = np.unique(code, return_counts=True)
+            documents = part.column("document_id").take(pa.array(owner[np.argsort(code, kind="stable")]))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), documents)
+            yield pa.RecordBatch.from_arrays([tokens.dictionary.take(pa.array(known)), lists, pa.array(np.full(len(known), version.as_py(), np.int32))], ["token", "documents", "version"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, n): in how many documents of each part a token is."""
+    for _, tokens, _ in _parts(batches):
+        n = np.bincount(tokens.indices.to_numpy(), minlength=len(tokens.dictionary))
+        yield pa.RecordBatch.from_arrays([tokens.dictionary, pa.array(n.astype(np.int64))], ["token", "n"])
+
+
 class TokenIndex:
     """The index below root, which is made by its first update.
 
@@ -94,9 +134,11 @@ class TokenIndex:
         if not any(counts.values()):
             return counts
         name = f"{version:08d}-{uuid.uuid4().hex[:12]}"
-        fresh = given.join(plan.filter("action != 'deleted'").select("document_id", "hash"), ["document_id", "hash"], "left_semi").dropDuplicates(["document_id"])
+        # joined by the id alone, texts are dealt once for the join and for dropping repeats
+        wanted = plan.filter("action != 'deleted'").select("document_id", F.col("hash").alias("wanted"))
+        fresh = given.join(wanted, "document_id").filter(F.col("hash") == F.col("wanted")).select("document_id", "text", "hash").dropDuplicates(["document_id"])
         dead = plan.filter("action != 'new'").select("document_id", F.lit(version).alias("version"))
-        forward = fresh.select("document_id", "hash", chunk_tokens(F.col("text"), F.col("document_id")).alias("tokens"), F.lit(version).alias("version"))
+        forward = with_tokens(fresh, chunk_text(F.col("text"), F.col("document_id")), "text").select("document_id", "hash", F.col("text").alias("tokens"), F.lit(version).alias("version"))
         lost = self.documents(state).join(dead.select("document_id"), "document_id", "left_semi")
         self._write(name, state, forward, dead, lost)
         segment = {"name": name, "documents": counts["new"] + counts["changed"], "dead": counts["changed"] + counts["deleted"]}
@@ -111,13 +153,16 @@ class TokenIndex:
         forward.write.parquet(f"{path}/forward")
         dead.write.parquet(f"{path}/dead")
         forward = self.spark.read.schema(SCHEMAS["forward"]).parquet(f"{path}/forward")
-        token = F.explode("tokens").alias("token")
-        postings = forward.select(token, "document_id", "version").withColumn("bucket", self._bucket(F.col("token"), state))
+        # postings are inverted where documents are read; a token travels once for each batch of them
+        lists = forward.select("document_id", "tokens", "version").mapInArrow(_inverted, "token string, documents array<string>, version int")
+        lists = lists.withColumn("bucket", self._bucket(F.col("token"), state))
         # large buckets, as those of frequent tokens, are split over tasks and small ones share one
-        postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "document_id").write.partitionBy("bucket").parquet(f"{path}/postings")
-        changes = forward.select(token, F.lit(1).alias("n"))
+        sorted_lists = lists.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token")
+        postings = sorted_lists.select("token", F.explode("documents").alias("document_id"), "version", "bucket")
+        postings.write.partitionBy("bucket").parquet(f"{path}/postings")
+        changes = forward.select("tokens").mapInArrow(_counted, "token string, n long")
         if lost is not None:
-            changes = changes.unionByName(lost.select(token, F.lit(-1).alias("n")))
+            changes = changes.unionByName(lost.select(F.explode("tokens").alias("token"), F.lit(-1).cast("long").alias("n")))
         changes = changes.groupBy("token").agg(F.sum("n").alias("n")).filter("n != 0").withColumn("bucket", self._bucket(F.col("token"), state))
         changes.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/frequencies")
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridoc.functions.text import chunk_tokens, citation, fold, plan_queries, token_set
+from veridoc.functions.text import chunk_text, citation, fold, plan_queries, token_set, with_tokens
 from veridoc.functions.text import lines as lines_of
 from veridoc.sources.shared import written
 
@@ -30,7 +30,7 @@ def planned(questions: DataFrame, id_col: str = "question_id", text_col: str = "
 
 def indexed(chunks: DataFrame) -> DataFrame:
     """(document_id, tokens) of chunks given as (document_id, text)."""
-    return chunks.select("document_id", chunk_tokens(F.col("text"), F.col("document_id")).alias("tokens"))
+    return with_tokens(chunks.select("document_id", "text"), chunk_text(F.col("text"), F.col("document_id")), "text").withColumnRenamed("text", "tokens")
 
 
 def lexical_score(queries: DataFrame, index: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
