@@ -46,7 +46,7 @@ IDENTIFIERS = {
     "cedula": r"(?<![\d\w])\d{7,8}(?![\d\w])",
 }
 #: What every match of a pattern holds, as a cheap test before it.
-_HINTS = {"curp": r"\d{4}", "rfc": r"\d{4}", "email": "@", "telefono": r"\d{4}", "cedula": r"\d{4}"}
+HINTS = {"curp": r"\d{4}", "rfc": r"\d{4}", "email": "@", "telefono": r"\d{4}", "cedula": r"\d{4}"}
 PERSONAL = ("curp", "rfc", "telefono", "cedula")
 VISIBLE = 4
 WORD = r"[\p{L}\p{N}_]+"
@@ -341,7 +341,7 @@ def mask_identifiers(c: Column, names: Sequence[str] = PERSONAL, reveal: bool =
         raise ValueError(f"unknown identifier patterns: {sorted(unknown)}")
     if reveal:
         return c
-    raw, hints = c, sorted({_HINTS[n] for n in names})
+    raw, hints = c, sorted({HINTS[n] for n in names})
     for name, pattern in IDENTIFIERS.items():
         if name in names:
             p = "(?U)" + pattern

@@ -185,9 +185,12 @@ def _answers(rows, ending=None):
 def redact_stream(spark, sf):
     """Documents as streams of deltas of 64 characters; checked against masking the whole texts; a null text counts as an empty one."""
     docs = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
-    pieces = F.sequence(F.lit(0), F.floor(F.length("text") / 64).cast("int"))
-    rows = docs.select(F.col("doc_id").alias("response_id"), F.explode(pieces).alias("sequence_number"), "text")
-    rows = rows.select("response_id", "sequence_number", F.when(F.col("sequence_number") == F.floor(F.length("text") / 64), "output_text.done").otherwise("output_text.delta").alias("type"), F.substr("text", F.col("sequence_number") * 64 + 1, F.lit(64)).alias("delta"))
+    # a text is cut in one pass; taking each piece from the whole text would pass over it for each
+    full = F.regexp_extract_all("text", F.lit("(?s).{1,64}"), F.lit(0))
+    pieces = F.when(F.length("text") % 64 == 0, F.array_append(full, F.lit(""))).otherwise(full)
+    cut = docs.select(F.col("doc_id").alias("response_id"), pieces.alias("pieces")).select("response_id", F.size("pieces").alias("n"), F.posexplode("pieces").alias("sequence_number", "delta"))
+    kind = F.when(F.col("sequence_number") == F.col("n") - 1, "output_text.done").otherwise("output_text.delta")
+    rows = cut.select("response_id", "sequence_number", kind.alias("type"), "delta")
     names = ("email", "telefono", "cedula")
     parts = run_available(ev.redact_stream(_as_stream(spark, rows, "document-deltas"), names), "redacted")
     whole = docs.select(F.col("doc_id").alias("response_id"), F.md5(mask_identifiers(F.col("text"), names)).alias("whole_md5"))

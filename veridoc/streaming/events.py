@@ -5,6 +5,7 @@ Functions that take streams also take batches, so each has a batch twin.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from veridoc.functions.text import IDENTIFIERS, VISIBLE
+from veridoc.functions.text import HINTS, IDENTIFIERS, VISIBLE
 
 PERIOD, LATENESS = "5 minutes", "10 minutes"
 TTFT_LIMIT_MS, TTFT_PERIODS = 5000.0, 2
@@ -117,11 +118,14 @@ def safe_prefix(text: str) -> int:
 
 def mask_text(text: str, names: tuple[str, ...]) -> str:
     for name, pattern in IDENTIFIERS.items():
-        if name in names:
+        if name in names and re.search(HINTS[name], text):
             text = re.sub(pattern, lambda m: "*" * (len(m[0]) - VISIBLE) + m[0][-VISIBLE:] if len(m[0]) > VISIBLE else "*" * len(m[0]), text)
     return text
 
 
+#: Buckets of responses that share a state, and types of ids that strings stand for exactly.
+RESPONSE_BUCKETS = 4096
+_SHARING = ("string", "bigint", "int", "smallint", "tinyint")
 TERMINAL = ("response.completed", "response.failed", "response.incomplete")
 
 
@@ -134,31 +138,69 @@ def redact_stream(deltas: DataFrame, names: tuple[str, ...], done_type: str = "o
     the state. ``timeout_s`` seconds without any row do so, too, if given; a stream with timeouts runs on until it is
     stopped, so leave them out where all that is available is to be processed once."""
 
+    kind = dict(deltas.dtypes)["response_id"]
+    if timeout_s is None and kind in _SHARING:
+        return _redacted_by_bucket(deltas, names, done_type, kind)
+
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, number = state.get if state.exists else ("", 0)
         frames = list(parts)
-        text, kinds = held, set()
-        if frames:
-            rows = pd.concat(frames).sort_values("sequence_number", kind="stable")
-            text += "".join(d for d in rows["delta"] if isinstance(d, str))
-            kinds = set(rows["type"])
-        done = state.hasTimedOut or done_type in kinds or not kinds.isdisjoint(TERMINAL)
-        cut = len(text) if done else safe_prefix(text)
-        # a completion that follows the done event finds no state and adds nothing
-        told = cut > 0 or (not number and bool(kinds & {done_type, *TERMINAL[1:]}))
-        if not done:
-            state.update((text[cut:], number + told))
+        rows = pd.concat(frames).sort_values("sequence_number", kind="stable") if frames else None
+        found = ([], set()) if rows is None else (rows["delta"].tolist(), set(rows["type"]))
+        left, piece = _advanced(state.get if state.exists else ("", 0), *found, names, done_type, state.hasTimedOut)
+        if left:
+            state.update(left)
             if timeout_s is not None:
                 state.setTimeoutDuration(timeout_s * 1000)
         elif state.exists:
             state.remove()
-        if told:
-            yield pd.DataFrame({"response_id": [key[0]], "part": [number], "text": [mask_text(text[:cut], names)]})
+        if piece:
+            yield pd.DataFrame({"response_id": [key[0]], "part": [piece[0]], "text": [piece[1]]})
 
-    kind = dict(deltas.dtypes)["response_id"]
     return deltas.groupBy("response_id").applyInPandasWithState(run, f"response_id {kind}, part int, text string", "held string, part int", "append", GroupStateTimeout.NoTimeout if timeout_s is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def _advanced(before: tuple[str, int], found: list, kinds: set, names: tuple[str, ...], done_type: str, timed_out: bool = False) -> tuple[tuple[str, int] | None, tuple[int, str] | None]:
+    """What is held of a response after these deltas, and the part that they complete; None for nothing."""
+    held, number = before
+    text = held + "".join(d for d in found if isinstance(d, str))
+    done = timed_out or done_type in kinds or not kinds.isdisjoint(TERMINAL)
+    cut = len(text) if done else safe_prefix(text)
+    # a completion that follows the done event finds no state and adds nothing
+    told = cut > 0 or (not number and bool(kinds & {done_type, *TERMINAL[1:]}))
+    return None if done else (text[cut:], number + told), (number, mask_text(text[:cut], names)) if told else None
+
+
+def _redacted_by_bucket(deltas: DataFrame, names: tuple[str, ...], done_type: str, kind: str) -> DataFrame:
+    """redact_stream without timeouts: the responses of a bucket share a call and a state, which holds those open."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {r: (text, number) for r, text, number in json.loads(state.get[0])} if state.exists else {}
+        rows = pd.concat(list(parts)).sort_values("sequence_number", kind="stable")
+        found: dict[str | None, tuple[list, set]] = {}
+        for r, delta, event in zip(rows["response_id"].tolist(), rows["delta"].tolist(), rows["type"].tolist(), strict=True):
+            some, kinds = found.setdefault(r, ([], set()))
+            some.append(delta)
+            kinds.add(event)
+        out = []
+        for r, (some, kinds) in found.items():
+            left, piece = _advanced(held.pop(r, ("", 0)), some, kinds, names, done_type)
+            if left:
+                held[r] = left
+            if piece:
+                out.append((r, *piece))
+        if held:
+            state.update((json.dumps([(r, *x) for r, x in held.items()]),))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["response_id", "part", "text"])
+
+    # ids go through pandas as strings, for null would turn whole numbers into floats
+    rows = deltas.select(F.pmod(F.xxhash64("response_id"), F.lit(RESPONSE_BUCKETS)).alias("bucket"), F.col("response_id").cast("string").alias("response_id"), "sequence_number", "type", "delta")
+    parts = rows.groupBy("bucket").applyInPandasWithState(run, "response_id string, part int, text string", "open string", "append", GroupStateTimeout.NoTimeout)
+    return parts.select(F.col("response_id").cast(kind).alias("response_id"), "part", "text")
+
+
 def spend(tokens: float, last: float | None, times: list[float], limit: float = BUCKET, refill_s: float = REFILL_S) -> tuple[list[bool], float, float | None]:
     """Token bucket over ascending times: whether each request passes, and the state after them."""
     passed = []
