@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ WORDS = 5
 #: A bucket with members of more classes than this isn't linked through hubs. A search holds about so many
 #: texts, and bytes of compressed text, twice at most.
 MANY, BLOCK_ROWS, BLOCK_BYTES = 8, 4096, 1 << 25
+#: Words of 64 bits of a Bloom filter: 16 MB, which hold 20 million hashes with about one in 20 others taken for one.
+FILTER_WORDS = 1 << 21
 #: Bands by which a bucket of more than BLOCK_ROWS members is split further.
 DEEPER = 3
 #: Components in which a similar pair agrees, but for less than one in a million (102 on average).
@@ -144,15 +147,81 @@ def _signed(batches):
             )
 
 
-def _named_texts(batches):
-    """(key, blob) of the texts of a task, copies of one text mostly once."""
-    known: set[bytes] = set()
-    for b in batches:
-        if len(known) > 1_000_000:
-            known.clear()
-        fresh = {k: t for t in b.column("text").to_pylist() if t and (k := digest(t)) not in known}
-        known |= fresh.keys()
-        yield pa.RecordBatch.from_arrays([pa.array(fresh.keys(), pa.binary()), pa.array(compressed([*fresh.values()]), pa.binary())], ["key", "blob"])
+def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each hash its word of a filter of FILTER_WORDS words of 64 bits, and its three bits there."""
+    mask = np.zeros(len(hashes), np.uint64)
+    for shift in (40, 46, 52):
+        mask |= np.uint64(1) << ((hashes >> np.uint64(shift)) & np.uint64(63))
+    return (hashes & np.uint64(FILTER_WORDS - 1)).astype(np.int64), mask
+
+
+def _hashes(values: pa.Array) -> np.ndarray:
+    """Band keys, and the first bytes of digests, are hashes as they are."""
+    if pa.types.is_integer(values.type):
+        return values.to_numpy(zero_copy_only=False).view(np.uint64)
+    return np.frombuffer(b"".join(v[:8] for v in values.to_pylist()), "<u8")
+
+
+def _filter(keys: DataFrame) -> bytes:
+    """A compressed Bloom filter of the one column of keys; its size is fixed, whatever their number."""
+
+    def run(batches):
+        for b in batches:
+            word, mask = _bits(_hashes(b.column(0)))
+            at, inverse = np.unique(word, return_inverse=True)
+            out = np.zeros(len(at), np.uint64)
+            np.bitwise_or.at(out, inverse, mask)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out.view(np.int64))], ["word", "mask"])
+
+    words = keys.mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    table = np.zeros(FILTER_WORDS, np.uint64)
+    table[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
+    return zstandard.ZstdCompressor(level=1).compress(table.tobytes())
+
+
+def _may_hold(table: bytes) -> Callable[[pa.Array], np.ndarray]:
+    """Whether each value may be in a filter: of those in it all are, of others few unless it is full."""
+    words = np.frombuffer(zstandard.ZstdDecompressor().decompress(table), np.uint64)
+
+    def held(values: pa.Array) -> np.ndarray:
+        word, mask = _bits(_hashes(values))
+        return (words[word] & mask) == mask
+
+    return held
+
+
+def _banded(shared: bytes) -> Callable:
+    """(key, size, place, band) of those bands of texts that may be shared."""
+
+    def run(batches):
+        held = _may_hold(shared)
+        for b in batches:
+            sizes = b.column("bands").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            bands = b.column("bands").flatten()
+            owner = np.repeat(np.arange(b.num_rows), sizes)
+            place = np.arange(len(bands)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = np.flatnonzero(held(bands))
+            rows = pa.array(owner[at])
+            yield pa.RecordBatch.from_arrays([b.column("key").take(rows), b.column("size").take(rows), pa.array(place[at].astype(np.int32)), bands.take(pa.array(at))], ["key", "size", "place", "band"])
+
+    return run
+
+
+def _named_texts(wanted: bytes) -> Callable:
+    """(key, blob) of the texts of a task that may be wanted, copies of one text mostly once."""
+
+    def run(batches):
+        held, known = _may_hold(wanted), set()
+        for b in batches:
+            if len(known) > 1_000_000:
+                known.clear()
+            texts = [t for t in b.column("text").to_pylist() if t]
+            keys = [digest(t) for t in texts]
+            fresh = {k: t for k, t, x in zip(keys, texts, held(pa.array(keys, pa.binary())), strict=True) if x and k not in known}
+            known |= fresh.keys()
+            yield pa.RecordBatch.from_arrays([pa.array(fresh.keys(), pa.binary()), pa.array(compressed([*fresh.values()]), pa.binary())], ["key", "blob"])
+
+    return run
 
 
 def overlap(a: list[str | None], b: list[str | None]) -> np.ndarray:
@@ -251,9 +320,11 @@ def _labels(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(key, label) of each text that another is linked with."""
     banded = nodes.select("key", "size", F.posexplode("bands").alias("place", "band"))
     shared = stored(banded.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("key", "size")).alias("hub")).filter("n > 1"), "bands")
-    buckets = stored(salted_join(banded, shared.drop("n"), "band", shared), "buckets")
+    # most bands are one text's, and most texts share none: they are left out before anything is shuffled
+    some = nodes.select("key", "size", "bands").mapInArrow(_banded(_filter(shared.select("band"))), "key binary, size long, place int, band long")
+    buckets = stored(salted_join(some, shared.drop("n"), "band", shared), "buckets")
     wanted = buckets.select("key").distinct()
-    named = rows.select("text").mapInArrow(_named_texts, "key binary, blob binary")
+    named = rows.select("text").mapInArrow(_named_texts(_filter(buckets.select("key"))), "key binary, blob binary")
     texts = stored(named.join(wanted, "key").dropDuplicates(["key"]), "candidates")
     star = buckets.filter(F.col("key") != F.col("hub.key")).filter(_may(F.col("size"), F.col("hub.size")))
     seen = _compared(star.select(F.col("key").alias("a"), F.col("hub.key").alias("b")), texts)
