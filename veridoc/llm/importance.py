@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import blocks, mix, stored, word_hashes
+from veridoc.llm.common import blocks, forget, give_back, lean, mix, stored, word_hashes
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
@@ -75,7 +75,7 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["bucket", "n"])
 
-    rows = texts.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = texts.select("text").mapInArrow(lean(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(BUCKETS)
     for bucket, n in rows.collect():  # one row for each of a fixed number of buckets
         out[bucket] = n
@@ -127,7 +127,9 @@ def with_ratio(docs: DataFrame, ratio: Ratio, name: str = "_ratio", text_col: st
 
     @F.pandas_udf("mean double, n long")  # the ratios, a fixed number of them, travel with the function
     def score(texts: pd.Series) -> pd.DataFrame:
+        forget()
         mean, n = ratio.means([t if isinstance(t, str) else None for t in texts])
+        give_back()
         return pd.DataFrame({"mean": mean, "n": n})
 
     return docs.withColumn(name, score(F.col(text_col)))

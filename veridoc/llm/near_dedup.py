@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import blocks, compressed, mix, salted_join, shingle_hashes, stored, unpacked
+from veridoc.llm.common import blocks, compressed, lean, mix, salted_join, shingle_hashes, stored, unpacked
 
 COMPONENTS, BAND_ROWS = 128, 4
 BANDS = COMPONENTS // BAND_ROWS
@@ -57,6 +57,12 @@ def bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner[at], shingles[at], np.diff(np.append(at, len(order)))
 
 
+def _bags_in_parts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same as bags, for which a pass looks at about _PASS_CHARS code points only."""
+    found = [(lo, bags(texts[lo:hi])) for lo, hi in blocks(texts, _PASS_CHARS)]
+    return tuple(np.concatenate(x) for x in zip(*[(owner + lo, shingles, weights) for lo, (owner, shingles, weights) in found], strict=True)) if found else bags([])
+
+
 def _unit(bits: np.ndarray) -> np.ndarray:
     return ((bits >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
@@ -173,7 +179,7 @@ def _filter(keys: DataFrame) -> bytes:
             np.bitwise_or.at(out, inverse, mask)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out.view(np.int64))], ["word", "mask"])
 
-    words = keys.mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    words = keys.mapInArrow(lean(run), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     table = np.zeros(FILTER_WORDS, np.uint64)
     table[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
     return zstandard.ZstdCompressor(level=1).compress(table.tobytes())
@@ -230,7 +236,7 @@ def overlap(a: list[str | None], b: list[str | None]) -> np.ndarray:
     for t in [*a, *b]:
         known.setdefault(t, len(known))
     texts = list(known)
-    owner, shingles, weights = bags(texts)
+    owner, shingles, weights = _bags_in_parts(texts)
     ends = np.searchsorted(owner, np.arange(len(texts) + 1))
     total = np.bincount(owner, weights, len(texts))
     out = np.zeros(len(a))
@@ -282,7 +288,7 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept marks the rows of one text of each class: one that the class's smallest id has."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    signed = stored(rows.mapInArrow(_signed, f"id {kind}, key binary, size long, bands array<long>, sig binary"), "signatures")
+    signed = stored(rows.mapInArrow(lean(_signed), f"id {kind}, key binary, size long, bands array<long>, sig binary"), "signatures")
     # equal texts have equal signatures, so any of them will do; copies are combined before the shuffle
     nodes = stored(signed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("size", "bands", "sig")]), "texts")
     labels = _labels(rows, nodes)
@@ -321,10 +327,10 @@ def _labels(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     banded = nodes.select("key", "size", F.posexplode("bands").alias("place", "band"))
     shared = stored(banded.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("key", "size")).alias("hub")).filter("n > 1"), "bands")
     # most bands are one text's, and most texts share none: they are left out before anything is shuffled
-    some = nodes.select("key", "size", "bands").mapInArrow(_banded(_filter(shared.select("band"))), "key binary, size long, place int, band long")
+    some = nodes.select("key", "size", "bands").mapInArrow(lean(_banded(_filter(shared.select("band")))), "key binary, size long, place int, band long")
     buckets = stored(salted_join(some, shared.drop("n"), "band", shared), "buckets")
     wanted = buckets.select("key").distinct()
-    named = rows.select("text").mapInArrow(_named_texts(_filter(buckets.select("key"))), "key binary, blob binary")
+    named = rows.select("text").mapInArrow(lean(_named_texts(_filter(buckets.select("key")))), "key binary, blob binary")
     texts = stored(named.join(wanted, "key").dropDuplicates(["key"]), "candidates")
     star = buckets.filter(F.col("key") != F.col("hub.key")).filter(_may(F.col("size"), F.col("hub.size")))
     seen = _compared(star.select(F.col("key").alias("a"), F.col("hub.key").alias("b")), texts)
@@ -354,7 +360,7 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     count = lambda side: pairs.groupBy(side).agg(F.count("*").alias("n"))
     one = salted_join(pairs, texts.select(F.col("key").alias("a"), F.col("blob").alias("blob_a")), "a", count("a"))
     both = salted_join(one, texts.select(F.col("key").alias("b"), F.col("blob").alias("blob_b")), "b", count("b"), ["a"])
-    return stored(both.select("a", "b", "blob_a", "blob_b").mapInArrow(_verified, PAIR), "compared")
+    return stored(both.select("a", "b", "blob_a", "blob_b").mapInArrow(lean(_verified), PAIR), "compared")
 
 
 def _mixed(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -444,7 +450,7 @@ def _by_block(rows: DataFrame, search: Callable, schema: str) -> DataFrame:
         if len(held["key"]) > 1:
             yield from search(held)
 
-    return rows.repartition(*block).sortWithinPartitions(*block, "key").mapInArrow(run, schema)
+    return rows.repartition(*block).sortWithinPartitions(*block, "key").mapInArrow(lean(run), schema)
 
 
 def _candidates_of(x: int, place: int, sig: np.ndarray, label: np.ndarray, size: np.ndarray, side: np.ndarray) -> np.ndarray:
@@ -485,7 +491,7 @@ def join_classes(held: dict[str, list]) -> Iterator[tuple[bytes, bytes, float]]:
     """(larger key, smaller key, similarity) links between different classes among the rows of one block, or
     across two. A pair is looked at in the first band that it shares."""
     sig, label, size, side = _arrays(held)
-    owner, shingles, weights = bags(unpacked(held["blob"]))
+    owner, shingles, weights = _bags_in_parts(unpacked(held["blob"]))
     ends = np.searchsorted(owner, np.arange(len(sig) + 1))
     for x in np.flatnonzero(label != np.bincount(label).argmax()):
         near = _candidates_of(x, held["place"][0], sig, label, size, side)

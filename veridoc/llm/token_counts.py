@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import heapq
 import json
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridoc.llm.common import blocks
+from veridoc.llm.common import blocks, lean, remembered
 from veridoc.llm.pieces import PieceMemo, joined
 
 NO_RANK = np.int32(2**31 - 1)
@@ -214,7 +213,7 @@ class MergeCounter:
         return np.concatenate([np.diff(total[np.append(breaks, n_words)]) - ~own if len(joint) else own.astype(np.int64), extra]), None
 
 
-@lru_cache(maxsize=2)
+@remembered
 def counter(path: str) -> PieceMemo:
     return PieceMemo(MergeCounter(path), MEMO)
 
@@ -243,4 +242,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
+    return rows.mapInArrow(lean(run, remembers=True), f"doc_id {kind}, n_bytes long, n_tokens long")
